@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm import decontaminate, mixing, ngram_join, token_files, url_filter
+from loreframe.llm import decontaminate, mixing, ngram_join, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("similarity", F.round("similarity", 9))
 
@@ -34,5 +39,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op6_decontaminate, op7_url_filter, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op9_ngram_join)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}

@@ -108,8 +108,15 @@ class Words:
         up, down = _power(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[low] * up[:n], out=total[1:])
+        self._total, self._down = total, down
         self.hashes = splitmix((total[self.stops] - total[self.starts]) * down[self.starts] + (self.stops - self.starts).astype(np.uint64))
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, hash of the first ``size`` bytes) of the words that have more bytes."""
+        at = np.flatnonzero(self.stops - self.starts > size)
+        starts = self.starts[at]
+        return at, splitmix((self._total[starts + size] - self._total[starts]) * self._down[starts] + np.uint64(1 << 32) + np.uint64(size))
+
     def shingles(self, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, row, first word's index) of each run of ``size`` words within a row; a row with fewer words has one, of all its words."""
         h, counts = self.hashes, np.diff(self.bounds)
