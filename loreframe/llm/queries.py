@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm import decontaminate, mixing, ngram_join, token_files, toxicity, url_filter
+from loreframe.llm import decontaminate, media_chunks, mixing, ngram_join, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.stored_media(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
