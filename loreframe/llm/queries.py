@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm import decontaminate, media_chunks, mixing, ngram_join, token_files, toxicity, url_filter
+from loreframe.llm import decontaminate, media_chunks, mixing, ngram_join, quality_lm, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,9 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join)}
+def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality(table(spark, sf_dir, "documents"), quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join, op10_quality_lm)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
