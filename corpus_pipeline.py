@@ -1,13 +1,60 @@
-"""The training-data pipeline over documents."""
+"""The training-data pipeline over documents.
+
+Each stage takes what the one before kept: toxic documents go, one document of each group of near copies stays,
+documents that hold benchmark items go, sources are mixed to their target weights, and the mix is written as
+token files. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from loreframe.llm import decontaminate, mixing, ngram_join, token_files, toxicity
+from loreframe.llm.shared import stored
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't call toxic."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return ngram_join.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without(docs, found)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document that is drawn more than once is repeated."""
+    return mixing.draws(mixing.mix(docs), docs.columns).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files hold of each document."""
+    return token_files.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("ngram_join", without_near_copies),
+    ("decontaminate", without_benchmark),
+    ("mixing", mixed),
+    ("token_files", tokens),
+]
+#: The classifier, the join and the tokenizer aren't SQL; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
     return docs

@@ -111,9 +111,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
 
 
 def draws(mixed: DataFrame, columns: list[str], seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """The mix's rows, one a draw, with shard and copy: rows of a shard in one partition, shuffled there."""
+    """The mix's rows, one a draw, with shard and copy: in order of the shards, and shuffled within each."""
     each = mixed.select(*columns, F.posexplode("shards").alias("copy", "shard"))
-    return each.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+    each = each.withColumn("_place", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+    return each.repartitionByRange("shard", "_place").sortWithinPartitions("shard", "_place").drop("_place")
 
 
 ORACLE = r"""

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm import decontaminate, media_chunks, mixing, ngram_join, quality_lm, token_files, toxicity, url_filter
+from loreframe.llm import decontaminate, licenses, line_dedup, media_chunks, mixing, ngram_join, quality_lm, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_sentences")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,5 +56,5 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.quality(table(spark, sf_dir, "documents"), quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join, op10_quality_lm)}
-ORACLES = {"op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_licenses, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join, op10_quality_lm)}
+ORACLES = {"op3_licenses": licenses.oracle(), "op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE}

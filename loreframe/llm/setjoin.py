@@ -331,3 +331,48 @@ def linked(alive: DataFrame, percent: int) -> DataFrame:
         key = key.repartition("block", "chunk", "against").sortWithinPartitions("block", "chunk", "against", "minor", "cls")
         wide = _relabelled(wide, key.mapInArrow(_join_sides(percent), "a long, b long"), "root")
     return single.union(wide.select("cls", "root"))
+
+
+def _first_chunks(percent: int) -> Callable:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["block", "chunk"]):
+            keys, sizes = _sets(part)
+            found = trie.earlier(keys, sizes, percent)
+            yield pa.RecordBatch.from_arrays([part.column("cls").combine_chunks(), pa.array(found)], names=["cls", "found"])
+
+    return go
+
+
+def _first_sides(percent: int) -> Callable:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["block", "chunk", "against"]):
+            side = np.array(part.column("probe").to_pylist(), bool)
+            keys, sizes = _sets(part)
+            places = list(zip(part.column("p1").to_pylist(), part.column("p2").to_pylist(), strict=True))
+            left, right = ([[x[i] for i in np.flatnonzero(side == s)] for x in (keys, sizes, places)] for s in (False, True))
+            classes = np.array(part.column("cls").to_pylist(), np.int64)[side]
+            found = np.array(trie.ahead(left, right, percent), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[found])], names=["cls"])
+
+    return go
+
+
+def shadowed(alive: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """(cls): the classes that are linked with a class of an earlier place; first has (cls, p1, p2), the place of each class."""
+    placed = alive.join(blocks(alive, percent), "cls").join(first, "cls")
+    held = stored(chunked(placed, "block"), "blocks")
+    key = held.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "p1", "p2").select("block", "chunk", "cls", "n", "keys")
+    inside = stored(key.mapInArrow(_first_chunks(percent), "cls long, found boolean"), "inside")
+    found, large = inside.where("found").select("cls"), held.where("chunks > 1")
+    if large.isEmpty():
+        return found
+    # what no earlier set of its own chunk matched, against the block's other chunks
+    open_ = large.join(inside.where("not found").select("cls"), "cls", "left_semi").drop("chunks").withColumnRenamed("chunk", "home")
+    open_ = stored(chunked(open_, "block", "against").drop("chunks").join(large.select("block", "chunks").distinct(), "block"), "open")
+    probes = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> home")
+    many = open_.groupBy("block").agg(F.max("against").alias("_last"))
+    to = large.join(many, "block").withColumn("against", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    columns = ["block", "chunk", "against", "cls", "n", "keys", "p1", "p2"]
+    key = to.select(*columns, F.lit(False).alias("probe")).union(probes.select(*columns, F.lit(True).alias("probe")))
+    key = key.repartition("block", "chunk", "against").sortWithinPartitions("block", "chunk", "against", "probe", "p1", "p2")
+    return found.union(key.mapInArrow(_first_sides(percent), "cls long")).distinct()

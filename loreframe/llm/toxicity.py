@@ -154,11 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     return fit(pick("positive"), pick("drawn"), toxic / count if count else 0.0)
 
 
-def _score(weights: np.ndarray, bias: float, schema: pa.Schema) -> Callable:
+def _score(weights: np.ndarray, bias: float, schema: pa.Schema, text: str) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for i, found, cuts in features(batch.column("_text")):
+            for i, found, cuts in features(batch.column(text)):
                 total = np.concatenate([[0.0], np.cumsum(weights[found], dtype=np.float64)])
                 out[i : i + len(cuts) - 1] = sigmoid(bias + total[cuts[1:]] - total[cuts[:-1]])
             columns = [batch.column(c) for c in schema.names[:-1]]
@@ -172,9 +172,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    rows = docs.select(*names, F.col(text_col).alias("_text"))
+    rows = docs.select(*names) if text_col in names else docs.select(*names, text_col)
     out = docs.select(*names, F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_score(*model, to_arrow_schema(out)), out)
+    return rows.mapInArrow(_score(*model, to_arrow_schema(out), text_col), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 
@@ -171,3 +173,16 @@ def across(left: tuple[list, list, list], right: tuple[list, list, list], percen
                 trie.union(i, j)
                 out.append((labels[i], labels[j]))
     return out
+
+
+def ahead(left: tuple[list, list, list], right: tuple[list, list, list], percent: int) -> list[bool]:
+    """Whether a set of the right is linked with one of the left whose place is before its own; places of the left rise."""
+    lists, ranks = ranked([*left[0], *right[0]])
+    trie, n = Trie(ranks, percent), len(left[0])
+    for own, size in zip(lists[:n], left[1], strict=True):
+        trie.insert(trie.add(own, size))
+    out = []
+    for own, size, place in zip(lists[n:], right[1], right[2], strict=True):
+        i = trie.add(own, size)
+        out.append(next(trie.probe(i, before=bisect_left(left[2], place), skip=False), None) is not None)
+    return out
