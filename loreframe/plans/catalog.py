@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loreframe.plans import story
+
+_GROUPS = (story,)
+QUERIES: dict = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
+ORACLES: dict = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
