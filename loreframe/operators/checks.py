@@ -21,7 +21,7 @@ def check_canon(mentions: DataFrame, canon: DataFrame, keys: list[str]) -> DataF
     """Mentions (keys, chapter, claimed) that contradict canon (keys, value, locked, source_chapter): FAIL where locked, else WARN."""
     met = mentions.join(canon, keys).where("source_chapter is null or source_chapter < chapter")
     met = met.where(X.fold_value("claimed") != X.fold_value("value"))
-    return met.withColumn("severity", F.when("locked", "fail").otherwise("warn"))
+    return met.withColumn("severity", F.when(F.col("locked"), "fail").otherwise("warn"))
 
 
 def check_knowledge(claims: DataFrame, facts: DataFrame, keys: list[str], least: int = 2, ratio: float = 0.5) -> DataFrame:
