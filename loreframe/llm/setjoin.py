@@ -116,7 +116,7 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
         dealt = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])) if len(dealt) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(dealt))
-        rows_out = [(int(dealt[a]), run, tokens[a:b].tobytes(), _planes(rows[a:b]), None, None, None) for a, b in zip(cuts, ends, strict=True)]
+        rows_out = [(int(dealt[a]), run, _rising(tokens[a:b]), _planes(rows[a:b]), None, None, None) for a, b in zip(cuts, ends, strict=True)]
         rows_out.append((-1, run, None, None, classes.tobytes(), sizes.astype("<u4").tobytes(), np.ascontiguousarray(heavy).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), _POSTED_TYPES, strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
 
@@ -141,13 +141,23 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
 _POSTED_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """uint32 values as four planes of bytes: planes that are the same throughout cost nothing once compressed."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Values as planes of their bytes: planes that are the same throughout cost nothing once compressed."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _unplaned(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unplaned(x: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Rising uint64 values as planes of their differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), "<u8")
+
+
+def _risen(x: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(x, "<u8"), dtype=np.uint64)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -179,7 +189,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.select(["run", "tokens", "rows", "classes", "sizes", "heavy"])
             continue
         runs = part.column("run").to_pylist()
-        tokens = [np.frombuffer(x, np.uint64) for x in part.column("tokens").to_pylist()]
+        tokens = [_risen(x) for x in part.column("tokens").to_pylist()]
         rows = np.concatenate([_unplaned(x) for x in part.column("rows").to_pylist()])
         source = np.repeat(np.arange(len(runs)), [len(x) for x in tokens])
         every = np.concatenate(tokens)
@@ -258,7 +268,7 @@ def blocks(alive: DataFrame, percent: int) -> DataFrame:
     prefixes = alive.mapInArrow(_prefixes(percent), "token long, cls long")
     heads = prefixes.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").drop("tail")
     ties = prefixes.join(heads, "token").where("cls > head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    return components(ties).withColumnsRenamed({"node": "cls", "root": "block"})
+    return components(ties).select(F.col("node").alias("cls"), F.col("root").alias("block"))
 
 
 def chunked(rows: DataFrame, by: str, into: str = "chunk") -> DataFrame:
@@ -298,7 +308,7 @@ def _join_sides(percent: int) -> Callable:
 
 def _relabelled(labels: DataFrame, links: DataFrame, column: str) -> DataFrame:
     """labels whose ``column`` is replaced by the root of its component under links."""
-    roots = components(links).withColumnsRenamed({"node": column, "root": "_root"})
+    roots = components(links).select(F.col("node").alias(column), F.col("root").alias("_root"))
     return labels.join(roots, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
