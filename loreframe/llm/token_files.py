@@ -6,8 +6,9 @@ with row groups of bounded size and page indexes over pages of bounded row count
 the metadata alone or the ids of a range of documents. Each row has its start within its file; a reader adds
 the tokens of the files before.
 
-A word is encoded once a task and then looked up: for tokenizers that drop white space and never join across
-it, a text's ids are its words' ids in a row. The lookup table is emptied beyond a fixed number of words.
+A word is encoded once a worker and then looked up: for tokenizers that drop white space and never join across
+it, a text's ids are its words' ids in a row. The lookup table keeps a fixed number of words; words beyond are
+encoded once a batch.
 
 Cases: a null text is empty and has the end id only; null ids come first; rows with one id are ordered by a
 hash of their text; an empty table makes no rows. Extra columns are kept if named in ``keep``.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from loreframe.llm.shared import WORD, scratch
 
 END = 2
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 LAYOUT = {
     "compression": "zstd",
     "parquet.block.size": str(32 << 20),
@@ -47,25 +48,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> Callable[[list[str]], tuple[bytes, list[int]]]:
-    """texts -> the little-endian 4-byte ids of all of them, and how many each has."""
+def encoder(path: str) -> Callable[[list[str]], tuple[list[bytes], list[int]]]:
+    """texts -> the little-endian 4-byte ids of each, and how many it has."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    tokenizer, find, known = _tokenizers[path], re.compile(WORD).findall, {}
+        _tokenizers[path] = Tokenizer.from_file(path), {}
+    (tokenizer, known), find = _tokenizers[path], re.compile(WORD).findall
 
-    def encode(texts: list[str]) -> tuple[bytes, list[int]]:
+    def encode(texts: list[str]) -> tuple[list[bytes], list[int]]:
         words = [find(x) for x in texts]
-        new = list({w for own in words for w in own if w not in known})
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = list({w for own in words for w in own})
+        new = [w for w in set().union(*words) if w not in known]
+        room = len(known) + len(new) <= MOST_WORDS
+        table = known if room else {}
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<i4").tobytes()
-        parts = [b"".join(map(known.__getitem__, own)) for own in words]
+                table[w] = np.array(e.ids, "<i4").tobytes()
+        if room:
+            parts = [b"".join(map(known.__getitem__, own)) for own in words]
+        else:
+            parts = [b"".join([known[w] if w in known else table[w] for w in own]) for own in words]
         return parts, [len(p) // 4 for p in parts]
 
     return encode
@@ -78,8 +81,8 @@ def _encode(path: str, end: int, keep: list[str], schema: pa.Schema) -> Callable
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, at, tail = encoder(path), 0, np.array([end], "<i4").tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
                 parts, counts = encode([x or "" for x in batch.column("text").to_pylist()])
                 counts = np.array(counts, np.int64) + 1
                 offsets = np.concatenate([[0], np.cumsum(counts)])
