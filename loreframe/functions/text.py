@@ -83,8 +83,8 @@ def sentences(text: str | Column) -> Column:
 
 def candidate_names(text: str | Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct capitalised words of three letters or more that aren't stop words, in order."""
-    found = F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)))
-    return F.filter(found, lambda w: ~F.lower(w).isin(*(stop or STOPWORDS)))
+    words = F.regexp_extract_all(_col(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: F.rlike(w, F.lit("^[A-Z][a-z]{2,}$")) & ~F.lower(w).isin(*(stop or STOPWORDS))))
 
 
 def level(value: str | Column) -> Column:
@@ -145,7 +145,10 @@ def prefixes(name: str | Column) -> Column:
 
 
 def grams(folded: str | Column, most: int) -> Column:
-    """Runs of up to ``most`` words of a folded text, as an array of strings."""
-    words = F.filter(F.regexp_extract_all(_col(folded), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1)), lambda w: w != "")
-    runs = [F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
-    return F.array_distinct(F.concat(*runs))
+    """Distinct runs of up to ``most`` words of a folded text; each length is one zip of the shorter runs with the words that follow."""
+    words = F.regexp_extract_all(_col(folded), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1))
+    runs, out = words, [words]
+    for k in range(1, most):
+        runs = F.filter(F.zip_with(runs, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        out.append(runs)
+    return F.array_distinct(F.concat(*out))

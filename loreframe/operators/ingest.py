@@ -67,7 +67,7 @@ def sliding_chunks(docs: DataFrame, size: int, overlap: int, text: str = "text")
 def merge_entities(rows: DataFrame, keys: list[str], order: str, scalars: list[str], lists: list[str]) -> DataFrame:
     """Records of one name: of each scalar the first that isn't empty, of each list the distinct union in order."""
     first = [F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(order))).alias(c) for c in scalars]
-    union = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x, c=c: F.coalesce(x[c], F.array().cast("array<string>"))))).alias(c) for c in lists]
+    union = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda x: x["v"]))).alias(c) for c in lists]
     return rows.groupBy(*keys).agg(*first, *union)
 
 

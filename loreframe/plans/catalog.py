@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loreframe.plans import graph, records, story
+from loreframe.plans import graph, names, records, search, story
 
-_GROUPS = (story, records, graph)
+_GROUPS = (story, records, graph, search, names)
 QUERIES: dict = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
 ORACLES: dict = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
