@@ -60,6 +60,9 @@ class Index:
         self.own = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.prints = fingerprints(hashes, cuts[:-1], cuts[1:]) if len(hashes) else np.zeros(len(ids), np.uint64)
         self.known = np.unique(hashes)
+        # the sizes of the items that have each known shingle
+        holders = np.unique(np.stack([np.searchsorted(self.known, hashes), np.repeat(self.sizes, np.diff(cuts))]), axis=1)
+        self.holder_cuts, self.holder_sizes = np.searchsorted(holders[0], np.arange(len(self.known) + 1)), holders[1]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.known >> np.uint64(44)] = True
         self.sized: dict[int, tuple[np.ndarray, list[list[np.ndarray]]]] = {}
@@ -83,6 +86,12 @@ class Index:
         out[at] = self.known[place] == hashes[at]
         return out
 
+    def sizes_of(self, hashes: np.ndarray) -> list[int]:
+        """The sizes of the items that have any of these known shingles; items of other sizes can't be similar."""
+        at = np.searchsorted(self.known, np.unique(hashes))
+        found = [self.holder_sizes[self.holder_cuts[k] : self.holder_cuts[k + 1]] for k in at]
+        return np.unique(np.concatenate(found)).tolist()
+
     def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of items of a size within the radius of the windows' fingerprints."""
         _, tables = self.sized[size]
@@ -115,7 +124,7 @@ def matches(index: Index, hashes: np.ndarray, n_words: int, percent: int) -> Ite
     if not len(hit):
         return
     best: dict[int, tuple] = {}
-    for size, (of, _) in index.sized.items():
+    for size in index.sizes_of(hashes[hit]):
         width = max(1, size - index.shingle + 1)
         last = max(0, len(hashes) - width)
         # a window that starts at s holds the shingles s .. s + width - 1
