@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loreframe.plans import flows, graph, names, records, search, story
+from loreframe.plans import flows, graph, names, records, search, story, views
 
-_GROUPS = (story, records, graph, search, names, flows)
+_GROUPS = (story, records, graph, search, names, flows, views)
 QUERIES: dict = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
 ORACLES: dict = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
