@@ -44,15 +44,21 @@ def similarity(a: str | Column, b: str | Column) -> Column:
 def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> DataFrame:
     """(keys, a, b, score) of distinct surfaces a < b with a similarity of ``least`` or more, without comparing all pairs.
 
-    Two ways lead to such a similarity. Sharing tokens: surfaces meet on their tokens. The sequence ratio: with it
+    Two ways lead to such a similarity. Sharing tokens: the shorter name's rarest tokens, as many as could be spared
+    and one more, must include one of the longer's, and they meet on these. The sequence ratio: with it
     the names' edit distance by insertions and deletions is at most (1 - least) * (la + lb), so that of that many
     pieces and one more of the shorter name, one occurs in the other; they meet on (lengths, piece).
     """
     rows = names.select(*keys, "surface").distinct().withColumn("_l", F.length("surface"))
-    tokens = rows.select(*keys, "surface", F.explode(F.array_distinct(F.split("surface", " "))).alias("_t"), F.size(F.array_distinct(F.split("surface", " "))).alias("_n"))
-    other = tokens.select(*keys, F.col("surface").alias("_b"), "_t", F.col("_n").alias("_m"))
-    shared = tokens.join(other, [*keys, "_t"]).where("surface < _b").groupBy(*keys, "surface", "_b", "_n", "_m").agg(F.count("*").alias("_s"))
-    first = shared.where(F.col("_s") / F.least("_n", "_m") >= least).select(*keys, F.col("surface").alias("a"), F.col("_b").alias("b"))
+    words = rows.select(*keys, "surface", F.array_distinct(F.split("surface", " ")).alias("_w")).withColumn("_n", F.size("_w"))
+    tokens = words.withColumn("_t", F.explode("_w"))
+    counts = tokens.groupBy(*keys, "_t").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(W.partitionBy(*keys, "surface").orderBy("_df", "_t"))
+    rare = tokens.join(counts, [*keys, "_t"]).withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(least) - 1e-9) + 1)
+    other = tokens.select(*keys, F.col("surface").alias("_b"), "_t", F.col("_w").alias("_v"), F.col("_n").alias("_m"))
+    shared = rare.join(other, [*keys, "_t"]).where((F.col("surface") != F.col("_b")) & (F.col("_n") <= F.col("_m")))
+    shared = shared.where(F.size(F.array_intersect("_w", "_v")) / F.col("_n") >= least)
+    first = shared.select(*keys, F.least("surface", "_b").alias("a"), F.greatest("surface", "_b").alias("b"))
     # pieces of the shorter name for each length that the longer may have
     most = F.floor(F.col("_l") * (least / (2 - least)) ** -1).cast("int")
     lengths = rows.select(*keys, F.col("_l").alias("_len")).distinct()
