@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import Words, n_words, pieces, stored, utf8
+from loreframe.llm.shared import Words, lean, n_words, pieces, stored, utf8
 
 PERCENT, SHINGLE, RADIUS, BLOCKS = 75, 5, 24, 8
 ITEMS, ITEM_WORDS = 20_000, 4_000_000
@@ -186,7 +186,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, hamming, first_word, n_words): the best window for each pair, once."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = [rows.mapInArrow(_scan(ids, texts, percent, shingle, radius), PAIRS) for ids, texts in item_blocks(items, item_id, item_text)]
+    found = [rows.mapInArrow(lean(_scan(ids, texts, percent, shingle, radius)), PAIRS) for ids, texts in item_blocks(items, item_id, item_text)]
     out = docs.sparkSession.createDataFrame([], PAIRS)
     for part in found:
         out = out.union(part)

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from loreframe.llm import trie
 from loreframe.llm.components import components
-from loreframe.llm.shared import stored
+from loreframe.llm.shared import lean, stored
 from loreframe.llm.trie import KEY
 
-RUN_TOKENS = 2_000_000
+RUN_TOKENS = 1_000_000
 HEAVY_SHARE = 1 / 500
 HEAVY_MOST = 200_000
 RANGE_TOKENS = 500_000
@@ -83,7 +83,7 @@ def _members(sets: Sets, names: list[str]) -> Callable:
 def members(rows: DataFrame, sets: Sets, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """(entities with n and cls, null for an empty set; counts of common tokens), written to the shared folder."""
     schema = ", ".join(f"{c} long" for c in [*names, "n", "cls", "token", "held"])
-    out = stored(rows.mapInArrow(_members(sets, names), schema), "members")
+    out = stored(rows.mapInArrow(lean(_members(sets, names)), schema), "members")
     return out.where("token is null").select(*names, "n", "cls"), out.where("token is not null").select("token", "held")
 
 
@@ -160,6 +160,19 @@ def _risen(x: bytes) -> np.ndarray:
     return np.cumsum(_unplaned(x, "<u8"), dtype=np.uint64)
 
 
+def pack(keys: np.ndarray, rising: bool = False) -> bytes:
+    """KEY values as planes; tokens that rise are kept as differences."""
+    token = np.ascontiguousarray(keys["token"])
+    return _planes(keys["order"]) + (_rising(token) if rising else _planes(token, "<u8"))
+
+
+def unpack(x: bytes, rising: bool = False) -> np.ndarray:
+    n = len(x) // 12
+    out = np.empty(n, KEY)
+    out["order"], out["token"] = _unplaned(x[: 4 * n]), _risen(x[4 * n :]) if rising else _unplaned(x[4 * n :], "<u8")
+    return out
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches, each as one table."""
     held: list[pa.RecordBatch] = []
@@ -208,7 +221,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own):
                 packed = np.empty(len(own), KEY)
                 packed["order"], packed["token"] = held[own], every[own]
-                out.append((run, packed.tobytes(), rows[own].astype("<u4").tobytes(), None, None, None))
+                out.append((run, pack(packed, rising=True), _planes(rows[own]), None, None, None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _POSTED_TYPES[1:], strict=True)], names=["run", "tokens", "rows", "classes", "sizes", "heavy"])
 
@@ -221,8 +234,8 @@ def _assemble(common: np.ndarray, percent: int) -> Callable:
             heavy = np.frombuffer(head["heavy"], np.uint32).reshape(2, -1)
             packed = np.empty(heavy.shape[1], KEY)
             packed["order"], packed["token"] = _HEAVY_ORDER + heavy[1].astype(np.int64), common[heavy[1]] if heavy.shape[1] else 0
-            keys = np.concatenate([packed, *[np.frombuffer(x, KEY) for x in part.column("tokens").to_pylist() if x]])
-            rows = np.concatenate([heavy[0], *[np.frombuffer(x, "<u4") for x in part.column("rows").to_pylist() if x]])
+            keys = np.concatenate([packed, *[unpack(x, rising=True) for x in part.column("tokens").to_pylist() if x]])
+            rows = np.concatenate([heavy[0], *[_unplaned(x) for x in part.column("rows").to_pylist() if x]])
             shared = np.bincount(rows, minlength=len(classes))
             enough = 100 * shared >= percent * sizes
             keep = enough[rows]
@@ -232,7 +245,7 @@ def _assemble(common: np.ndarray, percent: int) -> Callable:
             alive = np.flatnonzero(enough & (shared > 0))
             a, b = np.searchsorted(rows, alive), np.searchsorted(rows, alive, side="right")
             if len(alive):
-                yield pa.RecordBatch.from_arrays([pa.array(classes[alive]), pa.array(sizes[alive]), pa.array([keys[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())], names=["cls", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes[alive]), pa.array(sizes[alive]), pa.array([pack(keys[i:j]) for i, j in zip(a, b, strict=True)], pa.binary())], names=["cls", "n", "keys"])
 
     return go
 
@@ -242,9 +255,9 @@ def survivors(rows: DataFrame, sets: Sets, entities: DataFrame, counts: DataFram
     size = entities.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("cls")).first()
     common = _heavy(counts, size[1])
     ranges = min(1 << 20, max(64, size[0] // RANGE_TOKENS))
-    dealt = rows.mapInArrow(_post(sets, ranges, common), _POSTED).repartition(F.col("range"), F.when(F.col("range") < 0, F.col("run"))).sortWithinPartitions("range")
-    shared = dealt.mapInArrow(_count, "run long, tokens binary, rows binary, classes binary, sizes binary, heavy binary")
-    alive = shared.repartition("run").sortWithinPartitions("run").mapInArrow(_assemble(common, percent), "cls long, n long, keys binary")
+    dealt = rows.mapInArrow(lean(_post(sets, ranges, common)), _POSTED).repartition(F.col("range"), F.when(F.col("range") < 0, F.col("run"))).sortWithinPartitions("range")
+    shared = dealt.mapInArrow(lean(_count), "run long, tokens binary, rows binary, classes binary, sizes binary, heavy binary")
+    alive = shared.repartition("run").sortWithinPartitions("run").mapInArrow(lean(_assemble(common, percent)), "cls long, n long, keys binary")
     return stored(alive.dropDuplicates(["cls"]), "survivors")
 
 
@@ -253,7 +266,7 @@ def _prefixes(percent: int) -> Callable:
         for batch in batches:
             tokens, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for c, n, keys in zip(*[batch.column(x).to_pylist() for x in ("cls", "n", "keys")], strict=True):
-                own = np.frombuffer(keys, KEY)["token"]
+                own = unpack(keys)["token"]
                 least = -(-percent * n // 100)
                 own = own[: max(0, n - least + 1 - (n - len(own)))]
                 tokens.append(own)
@@ -265,7 +278,7 @@ def _prefixes(percent: int) -> Callable:
 
 def blocks(alive: DataFrame, percent: int) -> DataFrame:
     """(cls, block): classes tied by prefix tokens; those that no other class can be linked with are left out."""
-    prefixes = alive.mapInArrow(_prefixes(percent), "token long, cls long")
+    prefixes = alive.mapInArrow(lean(_prefixes(percent)), "token long, cls long")
     heads = prefixes.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").drop("tail")
     ties = prefixes.join(heads, "token").where("cls > head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     return components(ties).select(F.col("node").alias("cls"), F.col("root").alias("block"))
@@ -278,7 +291,7 @@ def chunked(rows: DataFrame, by: str, into: str = "chunk") -> DataFrame:
 
 
 def _sets(part: pa.Table) -> tuple[list[np.ndarray], list[int]]:
-    return [np.frombuffer(x, KEY) for x in part.column("keys").to_pylist()], part.column("n").to_pylist()
+    return [unpack(x) for x in part.column("keys").to_pylist()], part.column("n").to_pylist()
 
 
 def _join_chunks(percent: int) -> Callable:
@@ -316,7 +329,7 @@ def linked(alive: DataFrame, percent: int) -> DataFrame:
     """(cls, root): the components of all links between the classes; classes without links may be missing."""
     held = stored(chunked(alive.join(blocks(alive, percent), "cls"), "block"), "blocks")
     key = held.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "cls").select("block", "chunk", "cls", "n", "keys")
-    labels = stored(key.mapInArrow(_join_chunks(percent), "block long, cls long, root long"), "labels")
+    labels = stored(key.mapInArrow(lean(_join_chunks(percent)), "block long, cls long, root long"), "labels")
     large = held.where("chunks > 1")
     if large.isEmpty():
         return labels.select("cls", "root")
@@ -325,7 +338,7 @@ def linked(alive: DataFrame, percent: int) -> DataFrame:
     # the components' first sets, dealt anew
     heads = chunked(large.drop("chunk", "chunks").join(wide.where("cls = root").select("cls"), "cls", "left_semi"), "block")
     key = heads.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "cls").select("block", "chunk", "cls", "n", "keys")
-    links = key.mapInArrow(_join_chunks(percent), "block long, cls long, root long").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    links = key.mapInArrow(lean(_join_chunks(percent)), "block long, cls long, root long").select(F.col("cls").alias("a"), F.col("root").alias("b"))
     wide = stored(_relabelled(wide, links, "root"), "labels")
     # what lies outside a block's largest component against the whole block
     counts = wide.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
@@ -339,7 +352,7 @@ def linked(alive: DataFrame, percent: int) -> DataFrame:
         columns = ["block", "chunk", "against", "cls", "n", "keys", "root"]
         key = to.select(*columns, F.lit(False).alias("minor")).union(probes.select(*columns, F.lit(True).alias("minor")))
         key = key.repartition("block", "chunk", "against").sortWithinPartitions("block", "chunk", "against", "minor", "cls")
-        wide = _relabelled(wide, key.mapInArrow(_join_sides(percent), "a long, b long"), "root")
+        wide = _relabelled(wide, key.mapInArrow(lean(_join_sides(percent)), "a long, b long"), "root")
     return single.union(wide.select("cls", "root"))
 
 
@@ -372,7 +385,7 @@ def shadowed(alive: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     placed = alive.join(blocks(alive, percent), "cls").join(first, "cls")
     held = stored(chunked(placed, "block"), "blocks")
     key = held.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "p1", "p2").select("block", "chunk", "cls", "n", "keys")
-    inside = stored(key.mapInArrow(_first_chunks(percent), "cls long, found boolean"), "inside")
+    inside = stored(key.mapInArrow(lean(_first_chunks(percent)), "cls long, found boolean"), "inside")
     found, large = inside.where("found").select("cls"), held.where("chunks > 1")
     if large.isEmpty():
         return found
@@ -385,4 +398,4 @@ def shadowed(alive: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     columns = ["block", "chunk", "against", "cls", "n", "keys", "p1", "p2"]
     key = to.select(*columns, F.lit(False).alias("probe")).union(probes.select(*columns, F.lit(True).alias("probe")))
     key = key.repartition("block", "chunk", "against").sortWithinPartitions("block", "chunk", "against", "probe", "p1", "p2")
-    return found.union(key.mapInArrow(_first_sides(percent), "cls long")).distinct()
+    return found.union(key.mapInArrow(lean(_first_sides(percent)), "cls long")).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import Words, pieces, splitmix, utf8
+from loreframe.llm.shared import Words, lean, pieces, splitmix, utf8
 
 BITS = 20
 POSITIVES, UNLABELLED = 4000, 12_000
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     total = rows.count()
     # at most about POSITIVES ids
     marked = rows.join(F.broadcast(ids), "id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), (place < share(UNLABELLED, total)).alias("drawn"))
-    found = marked.where("positive or drawn").mapInArrow(_gather, "positive boolean, drawn boolean, found array<int>").toArrow()
+    found = marked.where("positive or drawn").mapInArrow(lean(_gather), "positive boolean, drawn boolean, found array<int>").toArrow()
     lists = found.column("found").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     rows = docs.select(*names) if text_col in names else docs.select(*names, text_col)
     out = docs.select(*names, F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_score(*model, to_arrow_schema(out), text_col), out)
+    return rows.mapInArrow(lean(_score(*model, to_arrow_schema(out), text_col)), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
