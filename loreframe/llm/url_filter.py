@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import LOWER, UPPER
+from loreframe.llm.shared import LOWER, UPPER, stored
 
 #: Rule = (host, path prefix, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -77,7 +77,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: f
     """
     counted = pages.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left")
     hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns(levels(F.col("host")))
+    hosts = stored(hosts.withColumns(levels(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m"))
@@ -87,8 +87,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: f
         mean = (F.col("bad") + F.col("kappa") * F.col("m")) / (F.col("n") + F.col("kappa"))
         return children.crossJoin(F.broadcast(kappa)).withColumn("mean", F.round(mean, 9))
 
-    suffixes = shrunk(suffixes.crossJoin(F.broadcast(top))).select("suffix", F.col("mean").alias("m"))
-    domains = shrunk(domains.join(suffixes, "suffix")).select("domain", "suffix", F.col("mean").alias("m"))
+    suffixes = stored(shrunk(suffixes.crossJoin(F.broadcast(top))).select("suffix", F.col("mean").alias("m")), "suffixes")
+    domains = stored(shrunk(domains.join(suffixes, "suffix")).select("domain", "suffix", F.col("mean").alias("m")), "domains")
     hosts = shrunk(hosts.join(domains, ["domain", "suffix"]))
     bound = F.round(F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("kappa") + 1)), 9)
     return hosts.withColumn("bound", bound).select("host", "n", "bad", "mean", "bound", (F.col("bound") > limit).alias("blocked"))
