@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import scratch, splitmix, utf8
+from loreframe.llm.shared import lean, scratch, splitmix, utf8
 
 UNIT, RATE = 192, 8000
 LEAST, MASK_BITS, MOST = 512, 12, 16_384
@@ -111,7 +111,7 @@ def bits_of(digest: bytes) -> list[int]:
 
 def repeated_filter(rows: DataFrame) -> np.ndarray:
     """The Bloom filter of the digests that occur more than once, as 64-bit words."""
-    counted = rows.mapInArrow(_digests, "digest binary, held long").groupBy("digest").agg(F.sum("held").alias("held")).where("held > 1")
+    counted = rows.mapInArrow(lean(_digests), "digest binary, held long").groupBy("digest").agg(F.sum("held").alias("held")).where("held > 1")
     # the same bits as bits_of: little-endian words of the digest
     place = lambda k: F.conv(F.concat(*[F.hex(F.substring("digest", 8 * k + i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("long").bitwiseAND((1 << BLOOM_BITS) - 1)
     bits = counted.select(F.explode(F.array(*[place(k) for k in range(BLOOM_HASHES)])).alias("bit"))
@@ -122,42 +122,40 @@ def repeated_filter(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _write(bloom: np.ndarray) -> Callable:
-    """Documents and repeated chunks in one pass: a chunk's row has a digest and no chunk list."""
+def repeated_in(bloom: np.ndarray, digest: bytes) -> bool:
+    return all(int(bloom[b >> 6]) >> (b & 63) & 1 for b in bits_of(digest))
 
-    def repeated(digest: bytes) -> bool:
-        return all(int(bloom[b >> 6]) >> (b & 63) & 1 for b in bits_of(digest))
+
+def _media(bloom: np.ndarray) -> Callable:
+    """Documents with their chunk lists, and the bytes of the chunks that the filter doesn't hold."""
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("bytes", pa.binary())]))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sizes, shas, lists, shared = [], [], [], {}
+                sizes, shas, lists = [], [], []
                 for text, media, chunks in _each(batch.column("text")):
                     sizes.append(len(text))
                     shas.append(hashlib.sha256(media).digest())
-                    own = []
-                    for c in chunks:
-                        d = hashlib.sha256(c).digest()
-                        if repeated(d):
-                            shared[d] = c
-                            own.append({"digest": d, "length": len(c), "bytes": None})
-                        else:
-                            own.append({"digest": d, "length": len(c), "bytes": c})
-                    lists.append(own)
-                n, m = len(sizes), len(shared)
-                kind = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("bytes", pa.binary())]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([batch.column("id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                        pa.array([*sizes, *[None] * m], pa.int64()),
-                        pa.array([*shas, *[None] * m], pa.binary()),
-                        pa.array([*lists, *[None] * m], kind),
-                        pa.array([*[None] * n, *shared], pa.binary()),
-                        pa.array([*[None] * n, *shared.values()], pa.binary()),
-                    ],
-                    names=["id", "n_bytes", "media", "chunks", "digest", "bytes"],
-                )
+                    named = [(hashlib.sha256(c).digest(), c) for c in chunks]
+                    lists.append([{"digest": d, "length": len(c), "bytes": None if repeated_in(bloom, d) else c} for d, c in named])
+                columns = [batch.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "media", "chunks"])
+
+    return go
+
+
+def _chunks(bloom: np.ndarray) -> Callable:
+    """The chunks that the filter holds, each once a batch."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                found: dict[bytes, bytes] = {}
+                for _, _, chunks in _each(whole.slice(at, 1000).column("text")):
+                    found |= {d: c for c in chunks if repeated_in(bloom, d := hashlib.sha256(c).digest())}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "bytes"])
 
     return go
 
@@ -165,12 +163,10 @@ def _write(bloom: np.ndarray) -> Callable:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Store each row's text as media at path."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_write(repeated_filter(rows)), f"id long, n_bytes long, media binary, chunks {CHUNKS}, digest binary, bytes binary")
-    # documents stay where they are; repeated chunks are told apart when the store is first read
-    out.write.option("compression", "zstd").parquet(f"{path}/media")
-    spark = docs.sparkSession
-    chunks = spark.read.schema(out.schema).parquet(f"{path}/media").where("digest is not null").select("digest", "bytes")
-    chunks.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    bloom = repeated_filter(rows)
+    # documents stay where they are; only the repeated chunks are shuffled
+    rows.mapInArrow(lean(_media(bloom)), f"id long, n_bytes long, media binary, chunks {CHUNKS}").write.option("compression", "zstd").parquet(f"{path}/media")
+    rows.mapInArrow(lean(_chunks(bloom)), "digest binary, bytes binary").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
 
 def facts(media: bytes, n_bytes: int) -> tuple:
@@ -212,9 +208,9 @@ def _facts(key: str) -> Callable:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id and FEATURES) of every stored row, from the stored bytes."""
-    docs = spark.read.parquet(f"{path}/media").where("media is not null")
+    docs = spark.read.parquet(f"{path}/media")
     missing = F.exists("chunks", lambda c: c["bytes"].isNull())
-    whole = docs.where(~missing).select("id", "n_bytes", "media", "chunks").mapInArrow(_facts("id"), f"id long, {FEATURES}")
+    whole = docs.where(~missing).select("id", "n_bytes", "media", "chunks").mapInArrow(lean(_facts("id")), f"id long, {FEATURES}")
     parts = docs.where(missing)
     lists = parts.select("media", "n_bytes", "chunks").dropDuplicates(["media"])
     pieces = lists.select("media", "n_bytes", F.posexplode("chunks").alias("at", "chunk"))
@@ -222,7 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     joined = pieces.join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
     piece = F.struct("at", F.struct("digest", "length", F.coalesce("own", "bytes").alias("bytes")).alias("chunk"))
     ordered = joined.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["chunk"]).alias("chunks"))
-    known = ordered.select("media", "n_bytes", "chunks").mapInArrow(_facts("media"), f"media binary, {FEATURES}")
+    known = ordered.select("media", "n_bytes", "chunks").mapInArrow(lean(_facts("media")), f"media binary, {FEATURES}")
     return whole.unionByName(parts.select("id", "media").join(known, "media").drop("media")).withColumnRenamed("id", "doc_id")
 
 
