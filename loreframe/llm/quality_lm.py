@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreframe.llm.setjoin import _planes, _unplaned, class_of, grouped
-from loreframe.llm.shared import Words, n_words, pieces, stored, utf8
+from loreframe.llm.setjoin import _planes, _unplaned, class_of, grouped, squeeze, unsqueeze
+from loreframe.llm.shared import Words, lean, n_words, pieces, stored, utf8
 
 BITS = 19
 V = 1 << BITS
@@ -39,7 +39,7 @@ _FULL = np.uint64((1 << 2 * BITS) - 1)
 _MULTIPLY = 0x2545F4914F6CDD1D | 1
 _BACK = pow(_MULTIPLY, -1, 1 << 2 * BITS)
 START = 0
-RUN_WORDS, SHARD_WORDS, HEAVY = 2_000_000, 4_000_000, 1e-5
+RUN_WORDS, SHARD_WORDS, HEAVY = 1_000_000, 4_000_000, 1e-5
 QUANTILE, BIN = 0.99, 1000
 FILTER_BITS = 25
 
@@ -83,6 +83,15 @@ def _deal(pairs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return cuts
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Rising uint32 values as planes of their differences."""
+    return squeeze(_planes(np.diff(x, prepend=np.uint32(0))))
+
+
+def _stepped(x: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(unsqueeze(x)), dtype=np.uint32)
+
+
 # training
 
 
@@ -113,7 +122,7 @@ def _counts(shards: int) -> Callable:
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         pairs, counts = np.unique(np.concatenate(held), return_counts=True)
         begin, end = _deal(pairs, bounds)
-        out = [(k, _planes((pairs[a:b] - bounds[k]).astype(np.uint32)), _planes(counts[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
+        out = [(k, _steps((pairs[a:b] - bounds[k]).astype(np.uint32)), squeeze(_planes(counts[a:b].astype(np.uint32)))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "pairs", "counts"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +145,11 @@ def _counts(shards: int) -> Callable:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a shard: its pairs in order with their counts."""
     for part in grouped(batches, ["shard"]):
-        pairs = np.concatenate([_unplaned(x) for x in part.column("pairs").to_pylist()])
-        counts = np.concatenate([_unplaned(x) for x in part.column("counts").to_pylist()])
+        pairs = np.concatenate([_stepped(x) for x in part.column("pairs").to_pylist()])
+        counts = np.concatenate([_unplaned(unsqueeze(x)) for x in part.column("counts").to_pylist()])
         pairs, inverse = np.unique(pairs, return_inverse=True)
         total = np.bincount(inverse, counts).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks()[:1], pa.array([_planes(pairs)], pa.binary()), pa.array([_planes(total)], pa.binary())], names=["shard", "pairs", "counts"])
+        yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks()[:1], pa.array([_steps(pairs)], pa.binary()), pa.array([squeeze(_planes(total))], pa.binary())], names=["shard", "pairs", "counts"])
 
 
 def _by_word(shards: int) -> Callable:
@@ -150,7 +159,7 @@ def _by_word(shards: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, pairs, counts in zip(*[batch.column(c).to_pylist() for c in ("shard", "pairs", "counts")], strict=True):
-                plain, c = unmix(_unplaned(pairs).astype(np.uint64) + bounds[shard]), _unplaned(counts).astype(np.int64)
+                plain, c = unmix(_stepped(pairs).astype(np.uint64) + bounds[shard]), _unplaned(unsqueeze(counts)).astype(np.int64)
                 first, second = (plain >> np.uint64(BITS)).astype(np.int64), (plain & np.uint64(V - 1)).astype(np.int64)
                 words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
                 a, b = at[: len(first)], at[len(first) :]
@@ -208,9 +217,9 @@ def _common(shards: int, least: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, pairs, counts in zip(*[batch.column(c).to_pylist() for c in ("shard", "pairs", "counts")], strict=True):
-                c = _unplaned(counts)
+                c = _unplaned(unsqueeze(counts))
                 at = np.flatnonzero(c >= least)
-                yield pa.RecordBatch.from_arrays([pa.array((_unplaned(pairs)[at].astype(np.uint64) + bounds[shard]).astype(np.int64)), pa.array(c[at].astype(np.int64))], names=["pair", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array((_stepped(pairs)[at].astype(np.uint64) + bounds[shard]).astype(np.int64)), pa.array(c[at].astype(np.int64))], names=["pair", "count"])
 
     return go
 
@@ -229,15 +238,15 @@ class Model:
         self.words = int(docs.agg(F.coalesce(F.sum(n_words(text_col)), F.lit(0))).first()[0])
         self.shards = max(64, self.words // SHARD_WORDS)
         # the filter of fixed size lets few other documents pass; the join takes these out
-        words = rows.mapInArrow(_trusted_words(bits), "id long, words binary").join(ids, "id", "left_semi").select("words")
+        words = rows.mapInArrow(lean(_trusted_words(bits)), "id long, words binary").join(ids, "id", "left_semi").select("words")
         schema = "shard int, pairs binary, counts binary"
-        self.counts = stored(words.mapInArrow(_counts(self.shards), schema).repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, schema), "pair-counts")
-        sums = self.counts.mapInArrow(_by_word(self.shards), "word long, total long, n1 long, n2 long, n3 long, kinds long")
+        self.counts = stored(words.mapInArrow(lean(_counts(self.shards)), schema).repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_merge), schema), "pair-counts")
+        sums = self.counts.mapInArrow(lean(_by_word(self.shards)), "word long, total long, n1 long, n2 long, n3 long, kinds long")
         sums = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "kinds")]).toArrow()
         self.tables = word_tables({c: sums.column(c).to_numpy() for c in sums.column_names})
         real = sums.column("word").to_numpy() >= 0
         least = max(2, int(HEAVY * sums.column("total").to_numpy()[real].sum()))
-        heavy = self.counts.mapInArrow(_common(self.shards, least), "pair long, count long").toArrow()
+        heavy = self.counts.mapInArrow(lean(_common(self.shards, least)), "pair long, count long").toArrow()
         order = np.argsort(heavy.column("pair").to_numpy())
         self.heavy = heavy.column("pair").to_numpy()[order].astype(np.uint64), heavy.column("count").to_numpy()[order]
 
@@ -265,7 +274,7 @@ def _ask(shards: int, heavy: tuple[np.ndarray, np.ndarray], tables: dict) -> Cal
         begin, end = _deal(pairs, bounds)
         run = class_of(np.concatenate([pairs[:1000], np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([len(pairs)], np.uint64)]))
         out = [(run, ids, langs, n, sums.tolist(), -1, None, None)]
-        out += [(run, None, None, None, None, k, _planes((pairs[a:b] - bounds[k]).astype(np.uint32)), _planes(rows[a:b])) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
+        out += [(run, None, None, None, None, k, _steps((pairs[a:b] - bounds[k]).astype(np.uint32)), squeeze(_planes(rows[a:b]))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +311,11 @@ def _answer(shards: int, tables: dict) -> Callable:
                     yield pa.RecordBatch.from_arrays([*[own.column(c) for c in _RUN_NAMES[:5]], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=[*_RUN_NAMES[:5], "rows", "logs"])
                     continue
                 if row["counts"] is not None:
-                    at, pairs, counts = row["shard"], _unplaned(row["pairs"]), _unplaned(row["counts"]).astype(np.int64)
+                    at, pairs, counts = row["shard"], _stepped(row["pairs"]), _unplaned(unsqueeze(row["counts"])).astype(np.int64)
                     continue
                 if row["shard"] != at:
                     at, pairs, counts = row["shard"], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                asked, rows = _unplaned(row["pairs"]), _unplaned(row["rows"])
+                asked, rows = _stepped(row["pairs"]), _unplaned(unsqueeze(row["rows"]))
                 c = np.zeros(len(asked), np.int64)
                 if len(pairs):
                     place = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
@@ -314,9 +323,8 @@ def _answer(shards: int, tables: dict) -> Callable:
                 logs = log_p(tables, unmix(asked.astype(np.uint64) + bounds[at]), c)
                 found, inverse = np.unique(rows, return_inverse=True)
                 out = np.bincount(inverse, logs).astype("<f4")
-                gaps = np.diff(found, prepend=np.uint32(0)).astype(np.uint32)
                 own = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([own.column("run"), *[pa.nulls(1, t) for t in _RUN_TYPES[1:5]], pa.array([_planes(gaps)], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=[*_RUN_NAMES[:5], "rows", "logs"])
+                yield pa.RecordBatch.from_arrays([own.column("run"), *[pa.nulls(1, t) for t in _RUN_TYPES[1:5]], pa.array([_steps(found)], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=[*_RUN_NAMES[:5], "rows", "logs"])
 
     return go
 
@@ -328,7 +336,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.array(head["sums"], float)
             for r in rows:
                 if r["rows"] is not None:
-                    sums[np.cumsum(_unplaned(r["rows"]))] += np.frombuffer(r["logs"], "<f4")
+                    sums[_stepped(r["rows"])] += np.frombuffer(r["logs"], "<f4")
             n = np.array(head["n"])
             logs = [float(-s / k) if k else None for s, k in zip(sums, n, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(head["langs"], pa.string()), pa.array(n, pa.int64()), pa.array(logs, pa.float64())], names=["id", "lang", "n_words", "log_perplexity"])
@@ -337,11 +345,11 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def perplexity(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(id, lang, n_words, log_perplexity) of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    asked = rows.mapInArrow(_ask(model.shards, model.heavy, model.tables), _RUN).withColumn("counts", F.lit(None).cast("binary"))
+    asked = rows.mapInArrow(lean(_ask(model.shards, model.heavy, model.tables)), _RUN).withColumn("counts", F.lit(None).cast("binary"))
     held = asked.unionByName(model.counts, allowMissingColumns=True)
     held = held.repartition(F.col("shard"), F.when(F.col("shard") < 0, F.col("run"))).sortWithinPartitions("shard", F.col("counts").isNull())
-    answers = held.mapInArrow(_answer(model.shards, model.tables), "run long, ids array<long>, langs array<string>, n array<int>, sums array<double>, rows binary, logs binary")
-    return answers.repartition("run").sortWithinPartitions("run").mapInArrow(_collect, "id long, lang string, n_words long, log_perplexity double")
+    answers = held.mapInArrow(lean(_answer(model.shards, model.tables)), "run long, ids array<long>, langs array<string>, n array<int>, sums array<double>, rows binary, logs binary")
+    return answers.repartition("run").sortWithinPartitions("run").mapInArrow(lean(_collect), "id long, lang string, n_words long, log_perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:

@@ -116,7 +116,7 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
         dealt = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])) if len(dealt) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(dealt))
-        rows_out = [(int(dealt[a]), run, _rising(tokens[a:b]), _planes(rows[a:b]), None, None, None) for a, b in zip(cuts, ends, strict=True)]
+        rows_out = [(int(dealt[a]), run, squeeze(_rising(tokens[a:b])), squeeze(_planes(rows[a:b])), None, None, None) for a, b in zip(cuts, ends, strict=True)]
         rows_out.append((-1, run, None, None, classes.tobytes(), sizes.astype("<u4").tobytes(), np.ascontiguousarray(heavy).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), _POSTED_TYPES, strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
 
@@ -151,6 +151,15 @@ def _unplaned(x: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def squeeze(x: bytes) -> bytes:
+    """x by zstd behind its length: planes of small values take few bits."""
+    return len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def unsqueeze(x: bytes) -> bytes:
+    return pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _rising(x: np.ndarray) -> bytes:
     """Rising uint64 values as planes of their differences."""
     return _planes(np.diff(x, prepend=np.uint64(0)), "<u8")
@@ -163,10 +172,11 @@ def _risen(x: bytes) -> np.ndarray:
 def pack(keys: np.ndarray, rising: bool = False) -> bytes:
     """KEY values as planes; tokens that rise are kept as differences."""
     token = np.ascontiguousarray(keys["token"])
-    return _planes(keys["order"]) + (_rising(token) if rising else _planes(token, "<u8"))
+    return squeeze(_planes(keys["order"]) + (_rising(token) if rising else _planes(token, "<u8")))
 
 
 def unpack(x: bytes, rising: bool = False) -> np.ndarray:
+    x = unsqueeze(x)
     n = len(x) // 12
     out = np.empty(n, KEY)
     out["order"], out["token"] = _unplaned(x[: 4 * n]), _risen(x[4 * n :]) if rising else _unplaned(x[4 * n :], "<u8")
@@ -202,8 +212,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.select(["run", "tokens", "rows", "classes", "sizes", "heavy"])
             continue
         runs = part.column("run").to_pylist()
-        tokens = [_risen(x) for x in part.column("tokens").to_pylist()]
-        rows = np.concatenate([_unplaned(x) for x in part.column("rows").to_pylist()])
+        tokens = [_risen(unsqueeze(x)) for x in part.column("tokens").to_pylist()]
+        rows = np.concatenate([_unplaned(unsqueeze(x)) for x in part.column("rows").to_pylist()])
         source = np.repeat(np.arange(len(runs)), [len(x) for x in tokens])
         every = np.concatenate(tokens)
         order = np.argsort(every, kind="stable")
@@ -221,7 +231,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own):
                 packed = np.empty(len(own), KEY)
                 packed["order"], packed["token"] = held[own], every[own]
-                out.append((run, pack(packed, rising=True), _planes(rows[own]), None, None, None))
+                out.append((run, pack(packed, rising=True), squeeze(_planes(rows[own])), None, None, None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _POSTED_TYPES[1:], strict=True)], names=["run", "tokens", "rows", "classes", "sizes", "heavy"])
 
@@ -235,7 +245,7 @@ def _assemble(common: np.ndarray, percent: int) -> Callable:
             packed = np.empty(heavy.shape[1], KEY)
             packed["order"], packed["token"] = _HEAVY_ORDER + heavy[1].astype(np.int64), common[heavy[1]] if heavy.shape[1] else 0
             keys = np.concatenate([packed, *[unpack(x, rising=True) for x in part.column("tokens").to_pylist() if x]])
-            rows = np.concatenate([heavy[0], *[_unplaned(x) for x in part.column("rows").to_pylist() if x]])
+            rows = np.concatenate([heavy[0], *[_unplaned(unsqueeze(x)) for x in part.column("rows").to_pylist() if x]])
             shared = np.bincount(rows, minlength=len(classes))
             enough = 100 * shared >= percent * sizes
             keep = enough[rows]
