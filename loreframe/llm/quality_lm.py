@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreframe.llm.setjoin import _planes, _unplaned, class_of, grouped, squeeze, unsqueeze
+from loreframe.llm.setjoin import _planes, _unplaned, grouped, run_id, squeeze, unsqueeze
 from loreframe.llm.shared import Words, lean, n_words, pieces, stored, utf8
 
 BITS = 19
@@ -262,7 +262,7 @@ def _ask(shards: int, heavy: tuple[np.ndarray, np.ndarray], tables: dict) -> Cal
     """Runs of documents: a row with their ids and what the commonest pairs add, and a row for each shard with the other pairs."""
     bounds = shard_bounds(shards)
 
-    def flush(ids: list, langs: list, n: list, held: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(number: int, ids: list, langs: list, n: list, held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate([*held, np.zeros(0, np.uint64)])
         rows = np.repeat(np.arange(len(n)), n).astype(np.uint32)
         at = np.minimum(np.searchsorted(heavy[0], pairs), max(0, len(heavy[0]) - 1))
@@ -272,13 +272,13 @@ def _ask(shards: int, heavy: tuple[np.ndarray, np.ndarray], tables: dict) -> Cal
         order = np.argsort(pairs, kind="stable")
         pairs, rows = pairs[order], rows[order]
         begin, end = _deal(pairs, bounds)
-        run = class_of(np.concatenate([pairs[:1000], np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([len(pairs)], np.uint64)]))
+        run = run_id(number, np.concatenate([pairs[:1000], np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([len(pairs)], np.uint64)]))
         out = [(run, ids, langs, n, sums.tolist(), -1, None, None)]
         out += [(run, None, None, None, None, k, _steps((pairs[a:b] - bounds[k]).astype(np.uint32)), squeeze(_planes(rows[a:b]))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, n, held, size = [], [], [], [], 0
+        ids, langs, n, held, size, number = [], [], [], [], 0, 0
         for batch in batches:
             keys, names = batch.column("id").to_pylist(), batch.column("lang").to_pylist()
             for i, words, cuts in word_ids(batch.column("text")):
@@ -289,10 +289,10 @@ def _ask(shards: int, heavy: tuple[np.ndarray, np.ndarray], tables: dict) -> Cal
                 n += np.diff(cuts).tolist()
                 size += len(words)
                 if size >= RUN_WORDS:
-                    yield flush(ids, langs, n, held)
-                    ids, langs, n, held, size = [], [], [], [], 0
+                    yield flush(number, ids, langs, n, held)
+                    ids, langs, n, held, size, number = [], [], [], [], 0, number + 1
         if ids:
-            yield flush(ids, langs, n, held)
+            yield flush(number, ids, langs, n, held)
 
     return go
 

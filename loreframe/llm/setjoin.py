@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,12 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def run_id(number: int, content: np.ndarray) -> int:
+    """Id of a task's run: equal content of two runs has two ids, a retried task's runs have the same. A retry with other rows gives other ids, not mixed runs."""
+    task = TaskContext.get()
+    return class_of(np.concatenate([np.array([task.partitionId() if task else 0, number], np.uint64), content]))
+
+
 def _members(sets: Sets, names: list[str]) -> Callable:
     def heavy(held: list[np.ndarray], seen: int) -> pa.RecordBatch | None:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -100,7 +107,7 @@ _POSTED = "range int, run long, tokens binary, rows binary, classes binary, size
 def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
     """Runs of classes: one row for each range of token hashes, and one (range -1) with the run's classes."""
 
-    def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def flush(number: int, held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         classes = np.array([c for c, _ in held], np.int64)
         sizes = np.array([len(x) for _, x in held], np.int64)
         tokens = np.concatenate([x for _, x in held])
@@ -112,7 +119,7 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
         tokens, rows = tokens[~is_common], rows[~is_common]
         order = np.argsort(tokens, kind="stable")
         tokens, rows = tokens[order], rows[order]
-        run = class_of(classes.view(np.uint64))
+        run = run_id(number, classes.view(np.uint64))
         dealt = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])) if len(dealt) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(dealt))
@@ -121,7 +128,7 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), _POSTED_TYPES, strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, known = [], 0, set()
+        held, size, known, number = [], 0, set(), 0
         for batch in batches:
             for _, own in sets(batch):
                 for x in own:
@@ -130,10 +137,10 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
                         held.append((c, x))
                         size += len(x)
                 if size >= RUN_TOKENS:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(number, held)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from flush(held)
+            yield from flush(number, held)
 
     return go
 
