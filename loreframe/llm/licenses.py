@@ -2,11 +2,12 @@
 
 A text is cut into sentences, twice: at line ends as well as after sentence marks, and after sentence marks and
 blank lines only (for wrapped notices). Sentences are normalised (A-Z lower-cased, everything but a-z and 0-9 is
-a space) and looked up among known licence sentences; what isn't known is a gap. The sequence of identifiers is
-matched against ordered rules: a rule is a run of identifiers without a gap and takes what it matches, so that
-longer notices go before the references they contain.
+a space) and looked up among known licence sentences; what isn't known is a gap. A known sentence may itself have
+marks followed by white space ("SPDX-License-Identifier: MIT"), so it is cut likewise and is a run of pieces. The
+sequence of pieces is matched against ordered rules: a rule is a run of identifiers, each any of its sentences, without
+a gap and takes what it matches, so that longer notices go before the references they contain.
 
-Only texts with one of the anchor words can hold a known sentence, so others aren't cut.
+Only texts with one of the anchor words, derived from the sentences, can hold a known sentence, so others aren't cut.
 
 Cases: null and empty texts have no licences; sentences are matched in whole, however long; repeated rows get equal
 results; empty tables give empty results; extra columns are kept, those the result adds replace those of the same name.
@@ -62,7 +63,7 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
 )
-#: Every known sentence has one of these words.
+#: Words that most licence sentences have.
 ANCHORS = ("license", "licence", "permission", "copyright", "warrant", "redistribut")
 
 
@@ -74,33 +75,59 @@ def known_sentences(sentences: dict[str, list[str]] = SENTENCES) -> dict[str, st
     return {normalised(s): name for name, found in sentences.items() for s in found}
 
 
+def pieces_of(sentence: str) -> list[str]:
+    """A sentence cut as texts are, each piece normalised."""
+    plain = re.sub(r"[\x20\x09-\x0D]+", " ", sentence)
+    return [x for x in map(normalised, re.sub(r"([.!?;:]) ", "\\1\n", plain).split("\n")) if x]
+
+
+def numbered(sentences: dict[str, list[str]]) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """(numbers of all pieces, the runs of pieces of each identifier as text, shortest first)."""
+    cut = {name: [run for s in found if (run := pieces_of(s))] for name, found in sentences.items()}
+    numbers = {x: i for i, x in enumerate(dict.fromkeys(x for runs in cut.values() for run in runs for x in run))}
+    return numbers, {name: ["".join(f"<{numbers[x]}>" for x in run) for run in sorted(runs, key=len)] for name, runs in cut.items()}
+
+
+def anchors(sentences: dict[str, list[str]]) -> list[str]:
+    """Words of which every sentence has one: of ANCHORS, else its longest."""
+    plain = [x for found in sentences.values() for s in found if (x := normalised(s))]
+    return sorted({next((a for a in ANCHORS if a in s), max(s.split(), key=len)) for s in plain})
+
+
 def _sequence(text: Column, known: Column) -> Column:
-    """Identifiers in order as <id>, with . for what isn't known."""
+    """Numbers of pieces in order as <number>, with . for what isn't known."""
     cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
     plain = F.filter(plain, lambda s: s != "")
-    return F.array_join(F.transform(plain, lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(known, s), F.lit(">")), F.lit("."))), "")
+    return F.array_join(F.transform(plain, lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(known, s).cast("string"), F.lit(">")), F.lit("."))), "")
+
+
+def _any(runs: list[str]) -> str:
+    return f"(?:{'|'.join(runs)})" if runs else "(?!)"
 
 
-def _matches(sequence: Column, rules) -> Column:
+def _matches(sequence: Column, rules, runs: dict[str, list[str]]) -> Column:
     """Names of the rules' licences that match, in order of the rules; each rule takes what it matches."""
     found, rest = [], sequence
     for licence, run in rules:
-        text = "".join(f"<{x}>" for x in run)
-        found.append(F.when(F.contains(rest, F.lit(text)), F.lit(licence)))
-        rest = F.replace(rest, F.lit(text), F.lit("."))
+        text = "".join(_any(runs.get(x, [])[::-1]) for x in run)
+        found.append(F.when(F.rlike(rest, F.lit(text)), F.lit(licence)))
+        rest = F.regexp_replace(rest, text, ".")
     return F.array_compact(F.array(*found))
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules=RULES) -> DataFrame:
     """docs with licenses: the distinct licences found, sorted, and n_sentences: known sentences when cut at line ends."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences(sentences).items() for x in pair])
-    maybe = F.coalesce(F.rlike(F.translate(F.col(text_col), UPPER, LOWER), F.lit("|".join(ANCHORS))), F.lit(False))
+    numbers, runs = numbered(sentences)
+    known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    maybe = F.coalesce(F.rlike(F.translate(F.col(text_col), UPPER, LOWER), F.lit("|".join(anchors(sentences)))), F.lit(False))
     text = F.when(maybe, F.col(text_col)).otherwise(F.lit(""))
     joined = F.regexp_replace(F.regexp_replace(text, r"\n[\x20\x09]*\n", ". "), r"\n", " ")
     rows = docs.withColumns({"_lines": _sequence(text, known), "_wrapped": _sequence(F.translate(joined, " ", "\n"), known)})
-    licences = F.array_sort(F.array_distinct(F.concat(_matches(F.col("_lines"), rules), _matches(F.col("_wrapped"), rules))))
-    return rows.withColumns({"licenses": licences, "n_sentences": F.regexp_count("_lines", F.lit("<")).cast("long")}).drop("_lines", "_wrapped")
+    licences = F.array_sort(F.array_distinct(F.concat(_matches(F.col("_lines"), rules, runs), _matches(F.col("_wrapped"), rules, runs))))
+    # shorter sentences first: one whose pieces are sentences themselves counts as these
+    every = _any(sorted({x for each in runs.values() for x in each}, key=lambda x: (x.count("<"), x)))
+    return rows.withColumns({"licenses": licences, "n_sentences": F.regexp_count("_lines", F.lit(every)).cast("long")}).drop("_lines", "_wrapped")
 
 
 def oracle() -> str:
