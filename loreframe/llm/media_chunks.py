@@ -212,14 +212,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     missing = F.exists("chunks", lambda c: c["bytes"].isNull())
     whole = docs.where(~missing).select("id", "n_bytes", "media", "chunks").mapInArrow(lean(_facts("id")), f"id long, {FEATURES}")
     parts = docs.where(missing)
-    lists = parts.select("media", "n_bytes", "chunks").dropDuplicates(["media"])
-    pieces = lists.select("media", "n_bytes", F.posexplode("chunks").alias("at", "chunk"))
-    pieces = pieces.select("media", "n_bytes", "at", F.col("chunk.digest").alias("digest"), F.col("chunk.length").alias("length"), F.col("chunk.bytes").alias("own"))
+    lists = parts.select("media", "chunks").dropDuplicates(["media"])
+    pieces = lists.select("media", F.posexplode("chunks").alias("at", "chunk"))
+    pieces = pieces.select("media", "at", F.col("chunk.digest").alias("digest"), F.col("chunk.length").alias("length"), F.col("chunk.bytes").alias("own"))
     joined = pieces.join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
     piece = F.struct("at", F.struct("digest", "length", F.coalesce("own", "bytes").alias("bytes")).alias("chunk"))
-    ordered = joined.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["chunk"]).alias("chunks"))
-    known = ordered.select("media", "n_bytes", "chunks").mapInArrow(lean(_facts("media")), f"media binary, {FEATURES}")
-    return whole.unionByName(parts.select("id", "media").join(known, "media").drop("media")).withColumnRenamed("id", "doc_id")
+    ordered = joined.groupBy("media").agg(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["chunk"]).alias("chunks"))
+    # texts that differ in the spaces of the padding share a media: n_bytes is each row's own
+    known = ordered.select("media", F.lit(0).cast("long").alias("n_bytes"), "chunks").mapInArrow(lean(_facts("media")), f"media binary, {FEATURES}").drop("n_bytes")
+    return whole.unionByName(parts.select("id", "n_bytes", "media").join(known, "media").drop("media")).withColumnRenamed("id", "doc_id")
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
