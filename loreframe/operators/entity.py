@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from loreframe.functions import text as X
 
 NEAR = 0.85
+NAME_BLOCK = 2000
 
 
 def surfaces(entities: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,12 +166,62 @@ def roster_subset(names: DataFrame, roster: DataFrame, keys: list[str], cap: int
     return best.withColumn("_n", n).where(F.col("_n") <= cap).select(*keys, "id", "place", F.round("score", 9).alias("score"))
 
 
+def _counts(texts: list, known: dict) -> np.ndarray:
+    """How often each text has each known thing: rows by text."""
+    out = np.zeros((len(texts), len(known)), np.int32)
+    for i, text in enumerate(texts):
+        for x in text:
+            if x in known:
+                out[i, known[x]] += 1
+    return out
+
+
+def best_of(query: str, names: list[str], letters: np.ndarray, words: np.ndarray, n: int, least: float) -> list[tuple[float, str]]:
+    """The n names most like a query, from upper bounds of the similarity by counts of shared letters and tokens."""
+    lengths, tokens = np.array([len(x) for x in names]), np.maximum(words[0].sum(axis=1), 1)
+    ratio = 2.0 * np.minimum(letters[0], letters[1]).sum(axis=1) / np.maximum(lengths + len(query), 1)
+    bound = np.maximum(ratio, (words[0] * words[1]).sum(axis=1) / np.minimum(tokens, max(1, len(set(query.split())))))
+    found: list[tuple[float, str]] = []
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] < (max(least, -found[n - 1][0]) if len(found) >= n else least):
+            break
+        score = float(_ratio([query], [names[i]])[0])
+        if score >= least:
+            found = sorted([*found, (-score, names[i])])[:n]
+    return [(-score, name) for score, name in found]
+
+
 def suggest_names(queries: DataFrame, names: DataFrame, keys: list[str], n: int = 3, least: float = 0.5) -> DataFrame:
-    """(keys, query_id, surface, score): the n surfaces most like a query that isn't found. Candidates share a pair of letters with it."""
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(2))))
-    a = queries.select(*keys, "query_id", F.col("surface").alias("_q")).withColumn("_g", F.explode(pairs("_q")))
-    b = names.select(*keys, "surface").distinct().withColumn("_g", F.explode(pairs("surface")))
-    met = a.join(b, [*keys, "_g"]).select(*keys, "query_id", "_q", "surface").distinct().withColumn("score", similarity("_q", "surface")).where(F.col("score") >= least)
+    """(keys, query_id, surface, score): the n surfaces most like a query that isn't found.
+
+    Blocks of queries meet blocks of names in full; in these, the similarity is computed where bounds by shared
+    letters and tokens leave room for it.
+    """
+    a, b = queries.select(*keys, "query_id", F.col("surface").alias("_q")).where("_q is not null"), names.select(*keys, "surface").where("surface is not null").distinct()
+    parts = [max(1, -(-x.count() // NAME_BLOCK)) for x in (a, b)]
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(parts[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(parts[k] - 1)))
+    a = a.withColumn("_i", place("query_id", 0)).withColumn("_j", every(1))
+    b = b.withColumn("_j", place("surface", 1)).withColumn("_i", every(0))
+    columns = [*keys, "query_id", "surface", "score"]
+    schema = ", ".join([*(f"{k} {t}" for k, t in a.select(*keys, "query_id").dtypes), "surface string", "score double"])
+
+    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or known.empty:
+            return pd.DataFrame([], columns=columns)
+        surfaces = known["surface"].tolist()
+        chars = {x: i for i, x in enumerate(sorted(set("".join(surfaces))))}
+        tokens = {x: i for i, x in enumerate(sorted({w for s in surfaces for w in s.split()}))}
+        letters, words = _counts(surfaces, chars), _counts([set(s.split()) for s in surfaces], tokens)
+        own = [known[k].iloc[0] for k in keys]
+        out = []
+        for query_id, q in zip(asked["query_id"], asked["_q"], strict=True):
+            met = best_of(q, surfaces, (letters, _counts([q], chars)), (words, _counts([set(q.split())], tokens)), n, least)
+            out += [[*own, query_id, surface, score] for score, surface in met]
+        return pd.DataFrame(out, columns=columns)
+
+    by = [*keys, "_i", "_j"]
+    met = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(meet, schema)
     order = F.row_number().over(W.partitionBy(*keys, "query_id").orderBy(F.desc("score"), "surface"))
     return met.withColumn("rank", order).where(F.col("rank") <= n).select(*keys, "query_id", "surface", F.round("score", 9).alias("score"), "rank")
 
