@@ -155,17 +155,6 @@ def gate_groups(groups: DataFrame, names: DataFrame, keys: list[str]) -> DataFra
     return met.join(good, [*keys, "group_id"]).select(*keys, "group_id", "member", "canonical")
 
 
-def roster_subset(names: DataFrame, roster: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """The ``cap`` roster entries (keys, id, surface, place) most like any of the names, in order of place.
-
-    names and the roster of one key meet in full: both are one chapter's lists.
-    """
-    met = names.select(*keys, F.col("surface").alias("_q")).join(roster, keys)
-    best = met.withColumn("_s", similarity("_q", "surface")).groupBy(*keys, "id", "place").agg(F.max("_s").alias("score"))
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "place"))
-    return best.withColumn("_n", n).where(F.col("_n") <= cap).select(*keys, "id", "place", F.round("score", 9).alias("score"))
-
-
 def _counts(texts: list, known: dict) -> np.ndarray:
     """How often each text has each known thing: rows by text."""
     out = np.zeros((len(texts), len(known)), np.int32)
@@ -176,19 +165,74 @@ def _counts(texts: list, known: dict) -> np.ndarray:
     return out
 
 
-def best_of(query: str, names: list[str], letters: np.ndarray, words: np.ndarray, n: int, least: float) -> list[tuple[float, str]]:
-    """The n names most like a query, from upper bounds of the similarity by counts of shared letters and tokens."""
-    lengths, tokens = np.array([len(x) for x in names]), np.maximum(words[0].sum(axis=1), 1)
-    ratio = 2.0 * np.minimum(letters[0], letters[1]).sum(axis=1) / np.maximum(lengths + len(query), 1)
-    bound = np.maximum(ratio, (words[0] * words[1]).sum(axis=1) / np.minimum(tokens, max(1, len(set(query.split())))))
-    found: list[tuple[float, str]] = []
-    for i in np.argsort(-bound, kind="stable"):
-        if bound[i] < (max(least, -found[n - 1][0]) if len(found) >= n else least):
-            break
-        score = float(_ratio([query], [names[i]])[0])
-        if score >= least:
-            found = sorted([*found, (-score, names[i])])[:n]
-    return [(-score, name) for score, name in found]
+class Block:
+    """Some names with upper bounds of their similarity to another, by counts of shared letters and tokens."""
+
+    def __init__(self, names: list[str]):
+        self.names, each = names, [set(s.split()) for s in names]
+        self.chars = {x: i for i, x in enumerate(sorted(set("".join(names))))}
+        self.tokens = {x: i for i, x in enumerate(sorted(set().union(*each)))}
+        self.letters, self.words = _counts(names, self.chars), _counts(each, self.tokens)
+        self.lengths, self.sizes = np.array([len(x) for x in names]), np.maximum([len(x) for x in each], 1)
+
+    def bounds(self, other: str) -> np.ndarray:
+        own = set(other.split())
+        ratio = 2.0 * np.minimum(self.letters, _counts([other], self.chars)).sum(axis=1) / np.maximum(self.lengths + len(other), 1)
+        return np.maximum(ratio, (self.words * _counts([own], self.tokens)).sum(axis=1) / np.minimum(self.sizes, max(1, len(own))))
+
+    def most(self, query: str, n: int, least: float) -> list[tuple[float, str]]:
+        """(score, name) of the n names most like a query."""
+        found: list[tuple[float, str]] = []
+        bound = self.bounds(query)
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < (max(least, -found[n - 1][0]) if len(found) >= n else least):
+                break
+            score = float(_ratio([query], [self.names[i]])[0])
+            if score >= least:
+                found = sorted([*found, (-score, self.names[i])])[:n]
+        return [(-score, name) for score, name in found]
+
+    def highest(self, surface: str) -> float:
+        """The similarity of the name most like a surface."""
+        best, bound = 0.0, self.bounds(surface)
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] <= best:
+                break
+            best = max(best, float(_ratio([self.names[i]], [surface])[0]))
+        return best
+
+
+def in_blocks(a: DataFrame, by_a: str, b: DataFrame, by_b: str) -> tuple[DataFrame, DataFrame]:
+    """a and b with _i and _j, so that each row of a meets each of b in one pair of blocks of about NAME_BLOCK rows."""
+    parts = [max(1, -(-x.count() // NAME_BLOCK)) for x in (a, b)]
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(parts[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(parts[k] - 1)))
+    return a.withColumn("_i", place(by_a, 0)).withColumn("_j", every(1)), b.withColumn("_j", place(by_b, 1)).withColumn("_i", every(0))
+
+
+def roster_subset(names: DataFrame, roster: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """The ``cap`` roster entries (keys, id, surface, place) most like any of the names, in order of place.
+
+    Blocks of names meet blocks of the roster; in these, the similarity is computed where its bounds leave room.
+    """
+    a = names.select(*keys, F.coalesce("surface", F.lit("")).alias("_q")).distinct()
+    b = roster.select(*keys, "id", "place", F.coalesce("surface", F.lit("")).alias("surface"))
+    a, b = in_blocks(a, "_q", b, "surface")
+    columns = [*keys, "id", "place", "_s"]
+    schema = ", ".join([*(f"{k} {t}" for k, t in b.select(*keys, "id", "place").dtypes), "_s double"])
+
+    def meet(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or entries.empty:
+            return pd.DataFrame([], columns=columns)
+        block = Block(asked["_q"].tolist())
+        scores = {x: block.highest(x) for x in entries["surface"].unique()}
+        return entries.assign(_s=entries["surface"].map(scores))[columns]
+
+    by = [*keys, "_i", "_j"]
+    met = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(meet, schema)
+    best = met.groupBy(*keys, "id", "place").agg(F.max("_s").alias("score"))
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "place"))
+    return best.withColumn("_n", n).where(F.col("_n") <= cap).select(*keys, "id", "place", F.round("score", 9).alias("score"))
 
 
 def suggest_names(queries: DataFrame, names: DataFrame, keys: list[str], n: int = 3, least: float = 0.5) -> DataFrame:
@@ -198,26 +242,16 @@ def suggest_names(queries: DataFrame, names: DataFrame, keys: list[str], n: int
     letters and tokens leave room for it.
     """
     a, b = queries.select(*keys, "query_id", F.col("surface").alias("_q")).where("_q is not null"), names.select(*keys, "surface").where("surface is not null").distinct()
-    parts = [max(1, -(-x.count() // NAME_BLOCK)) for x in (a, b)]
-    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(parts[k])).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(parts[k] - 1)))
-    a = a.withColumn("_i", place("query_id", 0)).withColumn("_j", every(1))
-    b = b.withColumn("_j", place("surface", 1)).withColumn("_i", every(0))
+    a, b = in_blocks(a, "query_id", b, "surface")
     columns = [*keys, "query_id", "surface", "score"]
     schema = ", ".join([*(f"{k} {t}" for k, t in a.select(*keys, "query_id").dtypes), "surface string", "score double"])
 
     def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame([], columns=columns)
-        surfaces = known["surface"].tolist()
-        chars = {x: i for i, x in enumerate(sorted(set("".join(surfaces))))}
-        tokens = {x: i for i, x in enumerate(sorted({w for s in surfaces for w in s.split()}))}
-        letters, words = _counts(surfaces, chars), _counts([set(s.split()) for s in surfaces], tokens)
-        own = [known[k].iloc[0] for k in keys]
-        out = []
+        block, own, out = Block(known["surface"].tolist()), [known[k].iloc[0] for k in keys], []
         for query_id, q in zip(asked["query_id"], asked["_q"], strict=True):
-            met = best_of(q, surfaces, (letters, _counts([q], chars)), (words, _counts([set(q.split())], tokens)), n, least)
-            out += [[*own, query_id, surface, score] for score, surface in met]
+            out += [[*own, query_id, surface, score] for score, surface in block.most(q, n, least)]
         return pd.DataFrame(out, columns=columns)
 
     by = [*keys, "_i", "_j"]
