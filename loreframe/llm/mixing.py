@@ -11,7 +11,9 @@ a shard the rows are shuffled by a digest.
 What comes to the driver is one row a source. Windows hold the blocks of one source (4096 at most) or the
 documents of one block of 4096.
 
-Cases: a null text has size 0; a null source is a source of its own, last in order; null ids share one
+What a document gives to the mix is what the tree draws: a draw counts if the shards' runs of blocks hold its place.
+
+Cases: a null text has size 0; documents of size 0 are drawn with the whole epochs of their source and no further; a null source is a source of its own, last in order; null ids share one
 permuted place; equal rows are drawn alike unless the boundary falls between them; an empty table gives an
 empty mix. Reruns agree. Extra columns are kept; columns that the result adds replace those of the same name.
 """
@@ -21,15 +23,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.llm.shared import n_words, stored
 
 SEED = 7
-#: Rows of the table of blocks up to which it is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_BLOCKS = 200_000
+#: Rows of the tables of sources and of blocks up to which they are broadcast; beyond, Spark chooses.
+BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -72,14 +74,14 @@ def _digest(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, shards: int = 32, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix draws the row) and shards (array: the shard of each draw)."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"size": n_words(text_col), "_source": _source_key(source_col), "_digest": _digest(id_col, seed)})
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), n_words(text_col).alias("size"), _source_key(source_col).alias("_source"), _digest(id_col, seed).alias("_digest"))
     keyed = keyed.withColumn("_block", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
     blocks = stored(keyed.groupBy("_source", "_block").agg(F.sum("size").alias("words")), "mixing-blocks")
     # "=" sorts code points as they are, the empty key of null goes last
@@ -87,27 +89,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     aims = targets([r[2] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
     plan = [(r[1], r[2], aim, r[3], int(min(most, aim // r[2])) if r[2] else 1) for r, aim in zip(sources, aims, strict=True)]
     plan = [(*p, p[2] - p[4] * p[1] if p[1] else 0.0) for p in plan]
-    facts = _rows(spark, plan, "_source string, source_size long, target double, _blocks long, _epochs int, _rest double")
+    facts = spark.createDataFrame(plan, "_source string, source_size long, target double, _blocks long, _epochs int, _rest double")
     order = W.partitionBy("_source").orderBy("_block")
     placed = blocks.withColumns({"_rank": F.row_number().over(order) - 1, "_end": F.sum("words").over(order)}).withColumn("_begin", F.col("_end") - F.col("words"))
-    placed = placed.join(F.broadcast(facts), "_source")
-    placed = placed.withColumns({"_whole": F.col("_end") <= F.col("_rest"), "_cut": (F.col("_begin") <= F.col("_rest")) & (F.col("_rest") < F.col("_end"))})
+    placed = placed.join(_small(facts, len(plan)), "_source")
+    placed = placed.withColumns({"_whole": (F.col("_rest") > 0) & (F.col("_end") <= F.col("_rest")), "_cut": (F.col("_rest") > 0) & (F.col("_begin") <= F.col("_rest")) & (F.col("_rest") < F.col("_end"))})
     placed = stored(placed, "mixing-plan")
     drawn = {r._source: r.n for r in placed.groupBy("_source").agg(F.sum(F.col("_epochs") + (F.col("_whole") | F.col("_cut")).cast("int")).alias("n")).collect()}
     quotas = np.array([drawn[p[0]] for p in plan], np.int64)
     ends = np.cumsum(split(quotas, shards, seed), axis=0) if len(plan) else np.zeros((shards, 0), np.int64)
-    runs = _rows(spark, [(p[0], [int(x) for x in ends[:-1, i]]) for i, p in enumerate(plan)], "_source string, _ends array<long>")
-    placed = placed.join(F.broadcast(runs), "_source").drop("words", "_end")
-    if sum(p[3] for p in plan) <= BROADCAST_BLOCKS:
-        placed = F.broadcast(placed)
-    met = keyed.join(placed, ["_source", "_block"])
-    inside = W.partitionBy("_source", "_block").orderBy("_digest", id_col, "size", text_col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    runs = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]]) for i, p in enumerate(plan)], "_source string, _ends array<long>")
+    placed = placed.join(_small(runs, len(plan)), "_source").drop("words", "_end")
+    met = keyed.join(_small(placed, sum(p[3] for p in plan)), ["_source", "_block"])
+    inside = W.partitionBy("_source", "_block").orderBy("_digest", "_id", "size", "_text").rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = met.where("_cut").withColumn("_middle", F.col("_begin") + F.sum("size").over(inside) - F.col("size") / 2)
     cut = cut.withColumn("copies", F.col("_epochs") + (F.col("_middle") <= F.col("_rest")).cast("int")).drop("_middle")
     whole = met.where("not _cut").withColumn("copies", F.col("_epochs") + F.col("_whole").cast("int"))
+    # the draw of a block's place falls to the shard whose run of the source's draws holds it
     at = lambda copy: F.size(F.filter("_ends", lambda end: end <= copy * F.col("_blocks") + F.col("_rank")))
-    out = whole.unionByName(cut).withColumn("shards", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<int>")))
-    return out.select(*docs.columns, *[c for c in ("size", "source_size", "target", "copies", "shards") if c not in docs.columns])
+    wanted = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<int>"))
+    out = whole.unionByName(cut).withColumn("shards", F.filter(wanted, lambda s: s < shards)).withColumn("copies", F.size("shards"))
+    added = ("size", "source_size", "target", "copies", "shards")
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added], *added)
 
 
 def draws(mixed: DataFrame, columns: list[str], seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
