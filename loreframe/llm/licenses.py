@@ -24,47 +24,116 @@ from loreframe.llm.shared import LOWER, UPPER
 
 #: Known licence sentences, by identifier; fixed values.
 SENTENCES = {
-    "mit-ref": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT", "MIT License"],
+    "mit-ref": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License", "The MIT License (MIT)"],
     "mit-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "as-is-mit": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
+    "no-liability-mit": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "apache-ref": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Apache License 2.0", "This project is licensed under the Apache License 2.0."],
     "apache-grant": ['Licensed under the Apache License, Version 2.0 (the "License");'],
     "apache-comply": ["you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "apache-as-is": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl2-ref": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GNU General Public License v2.0."],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-even": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-ref": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "lgpl2-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-ref": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "bsd-ref": ["SPDX-License-Identifier: BSD-3-Clause", "Released under the BSD 3-Clause License.", "BSD 3-Clause License"],
+    "bsd2-ref": ["SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD 2-Clause License.", "BSD 2-Clause License"],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd-name": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "as-is-bsd": ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'],
+    "isc-ref": ["SPDX-License-Identifier: ISC", "ISC License"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "as-is-isc": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "mpl-ref": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-ref": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "epl-ref": ["SPDX-License-Identifier: EPL-2.0"],
+    "cc-by-nc-nd-ref": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "cc-by-nc-sa-ref": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa-ref": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nd-ref": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "cc-by-ref": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc0-ref": ["This work is dedicated to the public domain under the CC0 1.0 Universal licence.", "SPDX-License-Identifier: CC0-1.0"],
+    "reserved": ["All rights reserved."],
 }
 #: Ordered rules: (licence, identifiers in a row).
 RULES = (
+    ("MIT", ("mit-grant", "mit-notice", "as-is-mit", "no-liability-mit")),
     ("MIT", ("mit-grant", "mit-notice", "as-is-mit")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy", "apache-as-is")),
     ("Apache-2.0", ("apache-grant", "apache-comply")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "as-is-bsd")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "as-is-bsd")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-even")),
     ("GPL-3.0", ("gpl-free", "gpl-hope", "gpl-even")),
+    ("AGPL-3.0", ("agpl-free", "gpl-hope", "gpl-even")),
+    ("LGPL-3.0", ("lgpl3-free", "gpl-hope", "gpl-even")),
+    ("GPL-2.0", ("gpl2-free", "gpl-hope")),
     ("GPL-3.0", ("gpl-free", "gpl-hope")),
+    ("AGPL-3.0", ("agpl-free", "gpl-hope")),
+    ("LGPL-3.0", ("lgpl3-free", "gpl-hope")),
+    ("GPL-2.0", ("gpl2-free",)),
     ("GPL-3.0", ("gpl-free",)),
+    ("AGPL-3.0", ("agpl-free",)),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("LGPL-2.1", ("lgpl2-free",)),
+    ("ISC", ("isc-grant", "as-is-isc")),
+    ("0BSD", ("0bsd-grant", "as-is-isc")),
+    ("MPL-2.0", ("mpl-ref", "mpl-copy")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("MPL-2.0", ("mpl-ref",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-grant",)),
     ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache-grant",)),
     ("BSD", ("bsd-grant",)),
     ("BSD-3-Clause", ("bsd-ref",)),
+    ("BSD-2-Clause", ("bsd2-ref",)),
     ("MIT", ("mit-ref",)),
     ("Apache-2.0", ("apache-ref",)),
+    ("GPL-2.0", ("gpl2-ref",)),
     ("GPL-3.0", ("gpl3-ref",)),
+    ("LGPL", ("lgpl-ref",)),
+    ("AGPL-3.0", ("agpl-ref",)),
+    ("ISC", ("isc-ref",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("EPL-2.0", ("epl-ref",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-ref",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-ref",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
+    ("all-rights-reserved", ("reserved",)),
 )
 #: Words that most licence sentences have.
-ANCHORS = ("license", "licence", "permission", "copyright", "warrant", "redistribut")
+ANCHORS = ("license", "licence", "permission", "copyright", "warrant", "redistribut", "distribute", "public domain", "rights reserved")
 
 
 def normalised(sentence: str) -> str:
@@ -150,7 +219,7 @@ def oracle() -> str:
     wrapped = "translate(regexp_replace(text, '\\n[\\x20\\x09]*\\n', '.' || chr(8233), 'g'), chr(10) || chr(8233), ' ' || chr(10))"
     return f"""
 with k as (select map_from_entries(list((s, n))) as known from (values {table}) as v(s, n)),
-d as (select doc_id, case when regexp_matches(translate(text, '{UPPER}', '{LOWER}'), '{"|".join(ANCHORS)}') then text else '' end as text from documents),
+d as (select doc_id, case when regexp_matches(translate(text, '{UPPER}', '{LOWER}'), '{"|".join(anchors(SENTENCES))}') then text else '' end as text from documents),
 q as (select doc_id, {sequence("text")} as lines, {sequence(wrapped)} as wrapped from d, k)
 select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat({matches("lines")}, {matches("wrapped")}), lambda x: x is not null))), ',') as licenses,
     (length(lines) - length(replace(lines, '<', '')))::bigint as n_sentences from q
