@@ -1,16 +1,19 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased (A-Z) runs without ASCII white space. An item of w words is compared with every window of
-w words of a document (a shorter document is one window). Items and windows get 64-bit SimHash fingerprints of
-their 5-word shingles, each weighted by its count. Fingerprints are split into 8 blocks of 8 bits; two within
-``RADIUS`` differ by at most RADIUS // 8 bits in at least one block, so looking up each block within that many
-bits finds every item within the radius. What is found within the radius is verified by the exact weighted
-Jaccard similarity (sum of minima over sum of maxima of the counts), ``percent`` or more. At that similarity
-fingerprints differ by 11 bits on average with a standard deviation of 3; the radius is 4.3 deviations above.
-
-Windows that share no shingle with any item have similarity 0, so only windows around shared shingles are
-fingerprinted. Items are a query set: they are sent to the tasks in blocks of at most ``ITEMS`` items and
-``ITEM_WORDS`` words, documents are scanned once a block, and nothing is shuffled but the pairs found.
+w words of a document (a shorter document is one window). Items and windows get 256-bit SimHash fingerprints of
+their 5-word shingles, each weighted by its count. Fingerprints are split into 16 blocks of 16 bits; two within
+``RADIUS`` = 63 bits differ by at most 3 bits in at least one block, so looking up each block within 3 bits finds
+every item of the size within the radius. What is found within the radius is verified by the exact weighted
+Jaccard similarity (sum of minima over sum of maxima of the counts), ``percent`` or more. At a similarity of 0.75
+fingerprints differ by 44 bits on average with a standard deviation of 6, so that fewer than one in a thousand true
+matches at the very threshold is missed; random windows differ by 128.
+
+An exact bound decides which windows are fingerprinted: those where enough positions hold shingles of items of
+the size; all others have a lower similarity. An item of fewer than 5 words has one shingle, of its own length, and
+matches where a window of as many words has it. Items are a query set: they are sent to the tasks in blocks of at most
+``ITEMS`` items and ``ITEM_WORDS`` words, one block at a time, documents are scanned once a block, and nothing is
+shuffled but the pairs found.
 
 Cases: null and empty texts and items match nothing; items with equal words match alike; fewer words than a
 shingle make one shingle; repeated rows of documents give repeated pairs once each by id; empty tables give no
@@ -27,24 +30,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import Words, lean, n_words, pieces, stored, utf8
+from loreframe.llm.shared import Words, lean, n_words, pieces, splitmix, stored, utf8
 
-PERCENT, SHINGLE, RADIUS, BLOCKS = 75, 5, 24, 8
-ITEMS, ITEM_WORDS = 20_000, 4_000_000
+PERCENT, SHINGLE, RADIUS = 75, 5, 63
+LANES, BLOCKS, ITEMS, ITEM_WORDS = 4, 16, 2000, 4_000_000
+#: Positions that are fingerprinted at a time.
+SPAN = 8192
 PAIRS = "doc_id long, item_id long, similarity double, hamming int, first_word int, n_words int"
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """n x (64 * LANES) bits of the hashes."""
+    lanes = np.stack([splitmix(hashes ^ splitmix(np.uint64(k + 1))) for k in range(LANES)], axis=1)
+    return np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1)
+
+
+def _running(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set before each place, and in all."""
+    out = np.zeros((len(hashes) + 1, 64 * LANES), np.int32)
+    np.cumsum(_bits(hashes), axis=0, dtype=np.int32, out=out[1:])
+    return out
+
+
 def fingerprints(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash of each run hashes[begin:end]: bit b is set where more hashes have it than not."""
-    bits = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return ((sums[ends] - sums[begins] > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    """n x LANES: the SimHash of each run hashes[begin:end], begins and ends rising: a bit is set where more hashes have it than not."""
+    out = np.zeros((len(begins), LANES), np.uint64)
+    i = 0
+    while i < len(begins):
+        j = int(min(np.searchsorted(begins, begins[i] + SPAN, side="right"), np.searchsorted(ends, ends[i] + SPAN, side="right")))
+        # the first run's counts, and what later runs lose at their beginning and gain at their end
+        sums = np.zeros(64 * LANES, np.int32)
+        for k in range(int(begins[i]), int(ends[i]), SPAN):
+            sums += _bits(hashes[k : min(k + SPAN, ends[i])]).sum(axis=0, dtype=np.int32)
+        gained, lost = _running(hashes[ends[i] : ends[j - 1]]), _running(hashes[begins[i] : begins[j - 1]])
+        sums = sums + gained[ends[i:j] - ends[i]] - lost[begins[i:j] - begins[i]]
+        out[i:j] = np.packbits(2 * sums > (ends[i:j] - begins[i:j])[:, None], axis=1).view(np.uint64)
+        i = j
+    return out
+
 
+def near_masks(radius: int) -> np.ndarray:
+    """All 16-bit values of at most radius bits."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    return x[np.bitwise_count(x) <= radius]
 
-def near_bytes(radius: int) -> list[np.ndarray]:
-    """For each byte, the bytes that differ from it by at most radius bits."""
-    x = np.arange(256)
-    return [x[np.bitwise_count(x ^ v) <= radius] for v in x]
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 class Index:
@@ -53,37 +85,37 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int):
         self.shingle, self.radius = shingle, radius
         words = Words(*utf8(pa.array(texts, pa.string())))
+        self.ids, self.sizes = np.array(ids, np.int64), np.diff(words.bounds)
         hashes, rows, _ = words.shingles(shingle)
+        # items of fewer words than a shingle: by size, their one shingle
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for size in np.unique(self.sizes[(self.sizes > 0) & (self.sizes < shingle)]).tolist():
+            own, of, _ = words.shingles(size)
+            held = self.short.setdefault(size, {})
+            for h, i in zip(own.tolist(), of.tolist(), strict=True):
+                if self.sizes[i] == size:
+                    held.setdefault(h, []).append(i)
+        keep = self.sizes[rows] >= shingle
+        hashes, rows = hashes[keep], rows[keep]
         order = np.argsort(rows, kind="stable")
         hashes, cuts = hashes[order], np.searchsorted(rows[order], np.arange(len(ids) + 1))
-        self.ids, self.sizes = np.array(ids, np.int64), np.diff(words.bounds)
         self.own = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.prints = fingerprints(hashes, cuts[:-1], cuts[1:]) if len(hashes) else np.zeros(len(ids), np.uint64)
+        self.prints = fingerprints(hashes, cuts[:-1], cuts[1:])
         self.known = np.unique(hashes)
         # the sizes of the items that have each known shingle
         holders = np.unique(np.stack([np.searchsorted(self.known, hashes), np.repeat(self.sizes, np.diff(cuts))]), axis=1)
         self.holder_cuts, self.holder_sizes = np.searchsorted(holders[0], np.arange(len(self.known) + 1)), holders[1]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.known >> np.uint64(44)] = True
-        self.sized: dict[int, tuple[np.ndarray, list[list[np.ndarray]]]] = {}
-        near = near_bytes(radius // BLOCKS)
-        for size in np.unique(self.sizes[self.sizes > 0]):
-            of = np.flatnonzero(self.sizes == size)
-            tables = []
-            for b in range(BLOCKS):
-                table: list[list[int]] = [[] for _ in range(256)]
-                for i in of:
-                    for v in near[int(self.prints[i] >> np.uint64(8 * b)) & 255]:
-                        table[v].append(i)
-                tables.append([np.array(x, np.int64) for x in table])
-            self.sized[int(size)] = of, tables
+        self.sized: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are shingles of items."""
         out = self.seen[hashes >> np.uint64(44)]
         at = np.flatnonzero(out)
-        place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
-        out[at] = self.known[place] == hashes[at]
+        if len(at):
+            place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
+            out[at] = self.known[place] == hashes[at]
         return out
 
     def sizes_of(self, hashes: np.ndarray) -> list[int]:
@@ -92,22 +124,29 @@ class Index:
         found = [self.holder_sizes[self.holder_cuts[k] : self.holder_cuts[k + 1]] for k in at]
         return np.unique(np.concatenate(found)).tolist()
 
+    def tables(self, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The items of a size, and for each block the sorted (value << 16 | item's place) of all values near the items' own."""
+        if size not in self.sized:
+            of = np.flatnonzero(self.sizes == size)
+            values, masks = self.prints[of].view("<u2"), near_masks(self.radius // BLOCKS)
+            near = [((values[:, b, None] ^ masks).astype(np.uint32) << np.uint32(16) | np.arange(len(of), dtype=np.uint32)[:, None]).ravel() for b in range(BLOCKS)]
+            self.sized[size] = of, [np.sort(x) for x in near]
+        return self.sized[size]
+
     def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of items of a size within the radius of the windows' fingerprints."""
-        _, tables = self.sized[size]
-        windows, items = [], []
+        of, tables = self.tables(size)
+        values, found = np.ascontiguousarray(prints).view("<u2").astype(np.uint32), []
         for b in range(BLOCKS):
-            values = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-            for v in np.unique(values):
-                if len(found := tables[b][v]):
-                    at = np.flatnonzero(values == v)
-                    windows.append(np.repeat(at, len(found)))
-                    items.append(np.tile(found, len(at)))
-        if not windows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)]), axis=1)
-        keep = np.bitwise_count(prints[pairs[0]] ^ self.prints[pairs[1]]) <= self.radius
-        return pairs[0][keep], pairs[1][keep]
+            low = np.searchsorted(tables[b], values[:, b] << np.uint32(16))
+            counts = np.searchsorted(tables[b], values[:, b] << np.uint32(16) | np.uint32(0xFFFF), side="right") - low
+            windows = np.repeat(np.arange(len(prints)), counts)
+            at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            found.append(windows << 16 | (tables[b][at] & np.uint32(0xFFFF)).astype(np.int64))
+        pairs = np.unique(np.concatenate(found))
+        windows, items = pairs >> 16, of[pairs & 0xFFFF]
+        keep = distances(prints[windows], self.prints[items]) <= self.radius
+        return windows[keep], items[keep]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> float:
@@ -137,13 +176,12 @@ def matches(index: Index, hashes: np.ndarray, n_words: int, percent: int) -> Ite
         if not len(begins):
             continue
         ends = np.minimum(begins + width, len(hashes))
-        low, high = int(begins[0]), int(ends[-1])
-        prints = fingerprints(hashes[low:high], begins - low, ends - low) if high - low < 200_000 else np.concatenate([fingerprints(hashes[a:b], np.zeros(1, int), np.full(1, b - a)) for a, b in zip(begins, ends, strict=True)])
+        prints = fingerprints(hashes, begins, ends)
         for w, i in zip(*index.within(size, prints), strict=True):
             a, b = int(begins[w]), int(ends[w])
             similarity = weighted_jaccard(index.own[i], hashes[a:b])
             if 100 * similarity >= percent:
-                found = (similarity, -a, int(np.bitwise_count(prints[w] ^ index.prints[i])), min(size, n_words))
+                found = (similarity, -a, int(distances(prints[w], index.prints[i])), min(size, n_words))
                 if i not in best or found[:2] > best[i][:2]:
                     best[i] = found
     for i, (similarity, a, distance, size) in sorted(best.items()):
@@ -165,6 +203,14 @@ def _scan(ids: list[int], texts: list[str], percent: int, shingle: int, radius:
                     own = own[np.argsort(at[own])]
                     count = int(words.bounds[row + 1] - words.bounds[row])
                     out += [(docs[i + row], *found) for found in matches(index, hashes[own], count, percent)]
+                for size, held in index.short.items():
+                    own, of, at = words.shingles(size)
+                    met = np.flatnonzero(np.isin(own, np.array(list(held), np.uint64)))
+                    first: dict[tuple[int, int], int] = {}
+                    for k in met[np.argsort(at[met])].tolist():
+                        for item in held[int(own[k])]:
+                            first.setdefault((int(of[k]), item), int(at[k] - words.bounds[of[k]]))
+                    out += [(docs[i + row], int(index.ids[item]), 1.0, 0, place, size) for (row, item), place in first.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PAIRS.split(", ")])
@@ -172,24 +218,24 @@ def _scan(ids: list[int], texts: list[str], percent: int, shingle: int, radius:
     return go
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
-    """Blocks of bounded size, brought to the driver one at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text, block) of the items, in blocks of bounded size, and how many blocks there are."""
     sized = stored(items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("words", n_words("text")), "items")
     count, words = sized.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    blocks = max(1, -(-2 * count // ITEMS), -(-2 * words // ITEM_WORDS)) if 2 * count > ITEMS or 2 * words > ITEM_WORDS else 1
-    for k in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        if rows:
-            yield [r.id for r in rows], [r.text for r in rows]
+    n = max(1, -(-2 * count // ITEMS), -(-2 * words // ITEM_WORDS)) if count > ITEMS or words > ITEM_WORDS else 1
+    return sized.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, hamming, first_word, n_words): the best window for each pair, once."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = [rows.mapInArrow(lean(_scan(ids, texts, percent, shingle, radius)), PAIRS) for ids, texts in item_blocks(items, item_id, item_text)]
-    out = docs.sparkSession.createDataFrame([], PAIRS)
-    for part in found:
-        out = out.union(part)
+    out, (sized, n) = docs.sparkSession.createDataFrame([], PAIRS), item_blocks(items, item_id, item_text)
+    for k in range(n):
+        own = sized.where(F.col("block") == k).orderBy("id", "text").collect()
+        if own:
+            part = rows.mapInArrow(lean(_scan([r.id for r in own], [r.text for r in own], percent, shingle, radius)), PAIRS)
+            # of several blocks each is done before the next is brought to the driver
+            out = out.union(part if n == 1 else stored(part, "contaminated-block"))
     best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "first_word")
     return out.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
