@@ -6,29 +6,36 @@ with row groups of bounded size and page indexes over pages of bounded row count
 the metadata alone or the ids of a range of documents. Each row has its start within its file; a reader adds
 the tokens of the files before.
 
-A word is encoded once a worker and then looked up: for tokenizers that drop white space and never join across
-it, a text's ids are its words' ids in a row. The lookup table keeps a fixed number of words; words beyond are
-encoded once a batch.
+Where the tokenizer drops white space and never joins across it, nor between ASCII letters, digits and marks (this is
+tried on it, see ``Encoder``), a text's ids are its pieces' ids in a row: the pieces of a batch are dictionary-encoded,
+and what is new is encoded once a worker and then looked up. The table of pieces is of fixed size: when it is full, the
+pieces that were met in more than one batch stay. Other tokenizers, and texts with special tokens in them, encode whole
+texts.
 
 Cases: a null text is empty and has the end id only; null ids come first; rows with one id are ordered by a
-hash of their text; an empty table makes no rows. Extra columns are kept if named in ``keep``.
+hash of their text; an empty table makes no rows. Extra columns are kept if named in ``keep``, unless they have the
+name of one of the files' own columns, which is refused.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import lean, scratch
+from loreframe.llm.shared import lean, pieces, scratch, utf8
 
 END = 2
 MOST_WORDS = 300_000
+#: Texts that are encoded together, in bytes.
+BATCH_BYTES = 4 << 20
 LAYOUT = {
     "compression": "zstd",
     "parquet.block.size": str(32 << 20),
@@ -38,7 +45,7 @@ LAYOUT = {
     "parquet.enable.dictionary": "true",
     "parquet.writer.version": "v2",
 }
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -47,30 +54,110 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> Callable[[list[bytes]], tuple[list[bytes], list[int]]]:
-    """UTF-8 texts -> the little-endian 4-byte ids of each, and how many it has. bytes.split() cuts at the six ASCII white-space bytes."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+# letters a-z, marks and digits of ASCII; white space; and what is cut from nothing: apostrophes and other bytes
+_OTHER, _LETTER, _MARK, _DIGIT, _SPACE = range(5)
+_KIND = np.array([_LETTER if 97 <= b <= 122 else _DIGIT if 48 <= b <= 57 else _SPACE if b in b" \t\n\v\f\r" else _MARK if 33 <= b <= 126 and b != 39 and not 65 <= b <= 90 else _OTHER for b in range(256)], np.uint8)
+_LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _byte_letters() -> list[str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on."""
+    plain = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b if own else 256 + b - sum(plain[:b])) for b, own in enumerate(plain)]
+
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path]
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(pieces with A-Z lower-cased, the n + 1 bounds of the rows in them)."""
+    low = _LOW[data[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    n, kind = len(low), _KIND[low]
+    fresh = np.zeros(n + 1, bool)
+    fresh[offsets] = True
+    left, right = kind[:-1], kind[1:]
+    fresh[1:n] |= (left != right) & (left != _OTHER) & (right != _OTHER) | (left == _DIGIT) & (right == _DIGIT) | (left == _SPACE) | (right == _SPACE)
+    solid = kind != _SPACE
+    starts = np.flatnonzero(fresh[:n] & solid)
+    # where the pieces begin once white space is taken out
+    places = np.append((np.cumsum(solid) - 1)[starts], np.count_nonzero(solid)).astype(np.int32) if n else np.zeros(1, np.int32)
+    pieces_ = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(low[solid])])
+    return pieces_, np.searchsorted(starts, offsets)
 
-    def encode(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
-        words = [x.split() for x in texts]
-        new = list(set().union(*words).difference(known))
-        room = len(known) + len(new) <= MOST_WORDS
-        table = known if room else {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, "<i4").tobytes()
-        if room:
-            parts = [b"".join(map(known.__getitem__, own)) for own in words]
-        else:
-            parts = [b"".join([known[w] if w in known else table[w] for w in own]) for own in words]
-        return parts, [len(p) // 4 for p in parts]
 
-    return encode
+class Encoder:
+    """The ids of texts by a tokenizer's file, with a table of pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
+        letters = _byte_letters()
+        self.letters = {b: x for b, x in enumerate(letters) if ord(x) != b}
+        probes = [x + y for x in map(chr, range(33, 127)) for y in map(chr, range(33, 127))]
+        probes += [f"{x}{space}{y}" for x in ("Word", "it's", "12.", "\u00c9t\u00e9,", "\u1112") for y in ("'s", "$x", "\u0301b", "\u1161,", "\u4e2d") for space in " \t\n\v\f\r"]
+        try:
+            found = [self.model_ids(w) for w in ("q", "word", "\u00e9t\u00e9", "\u4e2d")]
+            self.direct = found == self.ids(["q", "word", "\u00e9t\u00e9", "\u4e2d"])
+        except Exception:  # a model without the letters of bytes
+            self.direct = False
+        own, bounds = cut(*utf8(pa.array(probes)))
+        each = self.ids([x.decode() for x in own.to_pylist()])
+        self.by_pieces = all(ids == sum(each[a:b], []) for ids, a, b in zip(self.ids(probes), bounds[:-1], bounds[1:], strict=True))
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def model_ids(self, word: str) -> list[int]:
+        """A word of lower-case composed letters is one piece for the model."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
+    def fresh(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [self.direct and t.isalpha() and (t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t))) for t in texts]
+        rest = iter(self.ids([t for t, p in zip(texts, plain, strict=True) if not p]))
+        for w, t, p in zip(words, texts, plain, strict=True):
+            self.known[w] = np.array(self.model_ids(t) if p else next(rest), "<i4").tobytes()
+
+    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, how many each has)."""
+        old = [w for w in words if w in self.known]
+        self.again.update(old)
+        if len(self.known) + len(words) - len(old) > MOST_WORDS:
+            stay = self.again if 2 * len(self.again) <= MOST_WORDS else set(old)
+            self.known, self.again = {w: self.known[w] for w in stay}, set()
+        self.fresh([w for w in words if w not in self.known])
+        found = [self.known[w] for w in words]
+        return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts in a row, how many each has)."""
+        whole = np.full(len(column), not self.by_pieces)
+        for mark in self.special if self.by_pieces else ():
+            whole |= pc.fill_null(pc.match_substring(column, mark), False).to_numpy(zero_copy_only=False)
+        rest = pc.if_else(pa.array(~whole), column, "") if whole.any() else column
+        pieces_, bounds = cut(*utf8(rest))
+        coded = pieces_.dictionary_encode()
+        flat, sizes = self.looked_up(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        counts, begins = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])]
+        ends = ends[bounds]
+        if whole.any():
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for i, own in zip(np.flatnonzero(whole), self.ids([column[int(i)].as_py() or "" for i in np.flatnonzero(whole)]), strict=True):
+                parts[i] = np.array(own, "<i4")
+            return np.concatenate([np.zeros(0, "<i4"), *parts]), np.array([len(x) for x in parts], np.int64)
+        return ids, np.diff(ends)
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer's file."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Encoder(path)
+    return _tokenizers[path]
 
 
 def _encode(path: str, end: int, keep: list[str], schema: pa.Schema) -> Callable:
@@ -78,17 +165,19 @@ def _encode(path: str, end: int, keep: list[str], schema: pa.Schema) -> Callable
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, at, tail = encoder(path), 0, np.array([end], "<i4").tobytes()
+        encode, at = encoder(path), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                parts, counts = encode([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
-                counts = np.array(counts, np.int64) + 1
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.array(np.frombuffer(b"".join(x for p in parts for x in (p, tail)), "<i4"))
-                columns = [*[batch.column(c) for c in keep], pa.array(counts), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)]
+            texts = whole.column("text").cast(pa.large_string())
+            _, offsets = utf8(texts)
+            for i, j in pieces(offsets, BATCH_BYTES):
+                batch = whole.slice(i, j - i)
+                ids, counts = encode(texts.slice(i, j - i))
+                ends = np.cumsum(counts)
+                ids, counts = np.insert(ids, ends, end), counts + 1
+                offsets_ = np.concatenate([[0], np.cumsum(counts)])
+                columns = [*[batch.column(c) for c in keep], pa.array(counts), pa.array(at + offsets_[:-1]), pa.ListArray.from_arrays(pa.array(offsets_.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-                at += int(offsets[-1])
+                at += int(offsets_[-1])
 
     return run
 
@@ -96,6 +185,8 @@ def _encode(path: str, end: int, keep: list[str], schema: pa.Schema) -> Callable
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> None:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if {"ids", "n_tokens", "local_start", "text"} & {id_col, *keep}:
+        raise ValueError("ids, n_tokens, local_start and text are names of the files' own columns")
     wanted = docs.select(id_col, *keep, F.col(text_col).alias("text"))
     names = [id_col, *keep]
     ranged = wanted.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, F.xxhash64("text"))
