@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreframe.llm import setjoin
-from loreframe.llm.shared import Words, pieces, stored, utf8
+from loreframe.llm.shared import Words, grouped_sets, hot_join, hot_keys, pieces, stored, utf8
 
 PERCENT, SHINGLE = 75, 5
 
@@ -40,20 +40,13 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _lines(size: int) -> setjoin.Sets:
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         ids = batch.column("id")
         data, offsets = utf8(batch.column("text"))
         for i, j in pieces(offsets):
             rows, numbers, bounds = lines_of(data, offsets[i : j + 1])
             hashes, at, _ = Words(data, bounds).shingles(size)
-            keys = np.lexsort((hashes, at))
-            hashes, at = hashes[keys], at[keys]
-            if len(hashes):
-                keep = np.ones(len(hashes), bool)
-                keep[1:] = (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1])
-                hashes, at = hashes[keep], at[keep]
-            cuts = np.searchsorted(at, np.arange(len(rows) + 1))
-            yield [pc.take(ids, pa.array(rows + i)), numbers], [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield [pc.take(ids, pa.array(rows + i)), numbers], *grouped_sets(hashes, at, len(rows))
 
     return sets
 
@@ -63,13 +56,14 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     sets = _lines(shingle)
     entities, counts = setjoin.members(rows, sets, ["id", "line"])
-    places = entities.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "line")).alias("p"))
-    places = stored(places.select("cls", F.col("p.id").alias("p1"), F.col("p.line").alias("p2")), "places")
+    places = entities.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "line")).alias("p"), F.count("*").alias("held"))
+    places = stored(places.select("cls", F.col("p.id").alias("p1"), F.col("p.line").alias("p2"), "held"), "places")
     alive = setjoin.survivors(rows, sets, entities, counts, percent)
-    gone = setjoin.shadowed(alive, places, percent).withColumn("gone", F.lit(True))
-    known = places.join(gone, "cls", "left")
+    gone = setjoin.shadowed(alive, places.drop("held"), percent).withColumn("gone", F.lit(True))
+    known = places.drop("held").join(gone, "cls", "left")
     later = (F.col("p1") < F.col("id")) | ((F.col("p1") == F.col("id")) & (F.col("p2") < F.col("line")))
-    return entities.join(known, "cls", "left").select("id", "line", "n", F.coalesce(F.col("gone") | later, F.lit(False)).alias("removed"))
+    out = hot_join(entities, known, "cls", hot_keys(places, "cls", "held"), "id")
+    return out.select("id", "line", "n", F.coalesce(F.col("gone") | later, F.lit(False)).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +75,9 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
 
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs whose texts lack the removed lines."""
-    gone = found.where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_removed"))
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).drop("_id", "_removed")
+    row, gone = F.struct(*docs.columns).alias("row"), found.where("n_removed > 0").select(F.col(id_col).alias("id"), "removed")
+    lines = F.split(f"row.`{text_col}`", "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i.cast("long"))), "\n")
+    met = docs.select(row, F.col(id_col).alias("id")).join(gone, "id", "left")
+    text = F.when(F.col("removed").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
+    return met.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -20,16 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.llm import setjoin
-from loreframe.llm.shared import shingle_sets, stored
+from loreframe.llm.shared import hot_join, hot_keys, shingle_sets, stored
 
 PERCENT, SHINGLE = 75, 5
 
 
 def _documents(size: int) -> setjoin.Sets:
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         ids = batch.column("id")
-        for i, own in shingle_sets(batch.column("text"), size):
-            yield [ids.slice(i, len(own))], own
+        for i, tokens, cuts in shingle_sets(batch.column("text"), size):
+            yield [ids.slice(i, len(cuts) - 1)], tokens, cuts
 
     return sets
 
@@ -39,10 +39,11 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
     rows, sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _documents(shingle)
     entities, counts = setjoin.members(rows, sets, ["id"])
     roots = setjoin.linked(setjoin.survivors(rows, sets, entities, counts, percent), percent)
-    classes = entities.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"))
-    named = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("cls", "component")
-    out = entities.join(named, "cls", "left")
+    classes = stored(entities.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("held")), "classes")
+    named = stored(classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("held")), "least")
+    named = hot_join(named, least.drop("held"), "root", hot_keys(least, "root", "held"), "cls").select("cls", "component")
+    out = hot_join(entities, named, "cls", hot_keys(classes, "cls", "held"), "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 

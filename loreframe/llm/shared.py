@@ -26,9 +26,12 @@ _PIECE = 1 << 18
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; one of our own only where none is set."""
+    """A new folder below the shared checkpoint folder; where none is set, one of our own in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -70,6 +73,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower-case letters, digits, and bytes beyond ASCII.
+_CORE = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -124,14 +129,19 @@ class Words:
         up, down = _power(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[low] * up[:n], out=total[1:])
-        self._total, self._down = total, down
+        self._total, self._down, self._core = total, down, _CORE[low]
         self.hashes = splitmix((total[self.stops] - total[self.starts]) * down[self.starts] + (self.stops - self.starts).astype(np.uint64))
 
-    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index, hash of the first ``size`` bytes) of the words that have more bytes."""
-        at = np.flatnonzero(self.stops - self.starts > size)
-        starts = self.starts[at]
-        return at, splitmix((self._total[starts + size] - self._total[starts]) * self._down[starts] + np.uint64(1 << 32) + np.uint64(size))
+    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, start, stop) of the words without the ASCII marks around them; words of marks alone are left out."""
+        at = np.flatnonzero(self._core)
+        first, last = np.searchsorted(at, self.starts), np.searchsorted(at, self.stops) - 1
+        whole = np.flatnonzero(first <= last)
+        return whole, at[first[whole]], at[last[whole]] + 1
+
+    def hashes_of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes."""
+        return splitmix((self._total[stops] - self._total[starts]) * self._down[starts] + (stops - starts).astype(np.uint64) + np.uint64(1 << 33))
 
     def shingles(self, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, row, first word's index) of each run of ``size`` words within a row; a row with fewer words has one, of all its words."""
@@ -157,18 +167,48 @@ class Words:
         return out, rows[at], at
 
 
-def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For runs of rows: the first row's index and each row's sorted distinct shingle hashes."""
+def grouped_counts(hashes: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, group, count) of each of n groups, in order of the groups and hashes."""
+    order = np.argsort(hashes)
+    own = groups[order]
+    # radix sort where the groups' numbers are small
+    order = order[np.argsort(own.astype(np.uint16) if n < 1 << 16 else own, kind="stable")]
+    hashes, groups = hashes[order], groups[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (groups[1:] != groups[:-1])
+    at = np.flatnonzero(first)
+    return hashes[at], groups[at], np.diff(np.append(at, len(hashes)))
+
+
+def grouped_sets(hashes: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each of n groups in one array, and their n + 1 bounds."""
+    hashes, groups, _ = grouped_counts(hashes, groups, n)
+    return hashes, np.searchsorted(groups, np.arange(n + 1))
+
+
+def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows: the first row's index, and each row's sorted distinct shingle hashes in one array with bounds."""
     data, offsets = utf8(column)
     for i, j in pieces(offsets):
         hashes, rows, _ = Words(data, offsets[i : j + 1]).shingles(size)
-        order = np.lexsort((hashes, rows))
-        hashes, rows = hashes[order], rows[order]
-        if len(hashes):
-            keep = np.ones(len(hashes), bool)
-            keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-            hashes, rows = hashes[keep], rows[keep]
-        cuts = np.searchsorted(rows, np.arange(j - i + 1))
-        yield i, [hashes[cuts[k] : cuts[k + 1]] for k in range(j - i)]
+        yield i, *grouped_sets(hashes, rows, j - i)
+
+
+#: A key with more than about 1 / HOT of all rows is dealt over several tasks.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, held: str) -> DataFrame:
+    """(key, _parts) of the keys with more than 2 / HOT of all rows, so fewer than HOT of them; counts is a stored table with one row a key."""
+    total = counts.agg(F.sum(held)).first()[0] or 0
+    each = max(1, total // HOT)
+    return counts.where(F.col(held) > 2 * each).select(key, F.ceil(F.col(held) / each).cast("int").alias("_parts"))
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, spread: str, how: str = "left") -> DataFrame:
+    """rows with the one row of facts of their key: hot keys and null ones are dealt over several tasks by the column ``spread``."""
+    few = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(spread), F.when(F.col(key).isNull(), HOT).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
+    left = rows.join(few, key, "left").withColumn("_salt", salt).drop("_parts")
+    right = facts.join(few, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
