@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A document's features are the distinct hashes of its words and of their first 4 and 5 bytes, from its whole
-text. The classifier is linear. It learns from confirmed toxic documents (P) and from documents whatever their
-label (U), by minimising the class-prior-corrected risk
+A document's features come from its whole text: its words without the ASCII marks around them, and the words'
+beginnings of 5, 6 and 7 bytes, each as one that occurs once or more, ``LEVELS``-fold or more. The classifier is linear.
+It learns from confirmed toxic documents (P) and from documents whatever their label (U), by minimising the
+class-prior-corrected risk
 
     pi * R_P(+1) + max(0, R_U(-1) - pi * R_P(-1))
 
@@ -10,9 +11,9 @@ with the logistic loss; where a batch's second term falls below zero, the step g
 pi is the share of toxic documents among the labelled rows that may be learnt from. Features are kept where
 their share of P differs from that of U by more than ``Z`` standard errors.
 
-What is learnt from is bounded: about ``POSITIVES`` and ``UNLABELLED`` documents, chosen by a hash of their id;
-their hashed features come to the driver, which fits the model in numpy. The weights are a table of fixed size
-that goes to the tasks, and every document is scored there.
+What is learnt from is bounded: about ``POSITIVES`` and ``UNLABELLED`` documents, chosen by a hash of their id. Their
+features, 64-bit hashes, are counted by a Spark aggregation that keeps the significant ones; the sample's rows of
+these come to the driver, which fits the model in numpy. The weights go to the tasks, where every document is scored.
 
 Cases: null and empty texts have no features and get the score of the bias; rows without labels or with null
 labels are unlabelled; repeated labels of one id count as toxic if any is; without any toxic row, or with empty
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import Words, lean, pieces, splitmix, utf8
+from loreframe.llm.shared import Words, grouped_counts, lean, pieces, splitmix, stored, utf8
 
-BITS = 20
 POSITIVES, UNLABELLED = 4000, 12_000
-Z, MOST_FEATURES = 3.0, 20_000
-EPOCHS, RATE, DECAY, BATCHES, BETA = 100, 0.05, 1e-4, 8, 0.0
+SIZES, LEVELS, Z = (5, 6, 7), (1, 2, 3, 4, 6), 3.0
+EPOCHS, RATE, DECAY, BATCHES, BETA = 20, 0.05, 1e-4, 8, 0.0
+#: Features that a task counts before it hands the counts on.
+RUN_FEATURES = 2_000_000
 
 
 def fold(doc_id: str | Column) -> Column:
@@ -43,27 +45,71 @@ def fold(doc_id: str | Column) -> Column:
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: the first row's index, sorted distinct features of each row in one array, and their bounds."""
+    """For runs of rows: the first row's index, and the (feature, row) of each of the rows' distinct features, by row."""
     data, offsets = utf8(column)
     for i, j in pieces(offsets):
         words = Words(data, offsets[i : j + 1])
-        rows = np.repeat(np.arange(j - i), np.diff(words.bounds))
-        found = [(rows, words.hashes)]
-        for size in (4, 5):
-            at, hashes = words.beginnings(size)
-            found.append((rows[at], hashes))
-        keys = np.concatenate([(r.astype(np.uint64) << np.uint64(BITS)) | (splitmix(h) >> np.uint64(64 - BITS)) for r, h in found])
-        keys = np.unique(keys)
-        cuts = np.searchsorted(keys >> np.uint64(BITS), np.arange(j - i + 1, dtype=np.uint64))
-        yield i, (keys & np.uint64((1 << BITS) - 1)).astype(np.int32), cuts
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, starts, stops = words.cores()
+        rows = np.repeat(np.arange(j - i), np.diff(words.bounds))[at]
+        found = [(words.hashes_of(starts, stops), rows)]
+        for size in SIZES:
+            long = stops - starts >= size
+            found.append((splitmix(words.hashes_of(starts[long], starts[long] + size)), rows[long]))
+        hashes, rows, counts = grouped_counts(*(np.concatenate(x) for x in zip(*found, strict=True)), j - i)
+        each = [(splitmix(hashes[k] + np.uint64(level)), rows[k]) for level in LEVELS if len(k := np.flatnonzero(counts >= level)) or level == 1]
+        hashes, rows = (np.concatenate(x) for x in zip(*each, strict=True))
+        order = np.argsort(rows, kind="stable")
+        yield i, hashes[order], rows[order]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, in how many rows of P and of U)."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        hashes, p, u = (np.concatenate(x) for x in zip(*held, strict=True))
+        known, at = np.unique(hashes, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *[pa.array(np.bincount(at, x, len(known)).astype(np.int64)) for x in (p, u)]], names=["feature", "p", "u"])
+
+    held, size = [], 0
     for batch in batches:
-        for i, found, cuts in features(batch.column("text")):
-            rows = slice(i, len(cuts) - 1)
-            own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch.column("positive").slice(rows.start, rows.stop), batch.column("drawn").slice(rows.start, rows.stop), own], names=["positive", "drawn", "found"])
+        flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("positive", "drawn")]
+        for i, hashes, rows in features(batch.column("text")):
+            held.append((hashes, *[f[rows + i] for f in flags]))
+            size += len(hashes)
+            if size >= RUN_FEATURES:
+                yield flush(held)
+                held, size = [], 0
+    if size:
+        yield flush(held)
+
+
+class Chosen:
+    """The features that the model has, sorted; a bitmap of their first bits turns most others away."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.maybe = known, np.zeros(1 << 20, bool)
+        self.maybe[known >> np.uint64(44)] = True
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are known, their places)."""
+        at = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(self.known, hashes[at]), max(0, len(self.known) - 1))
+        same = self.known[place] == hashes[at] if len(at) else np.zeros(0, bool)
+        return at[same], place[same]
+
+
+def _gather(chosen: Chosen) -> Callable:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: list[np.ndarray] = []
+            for i, hashes, rows in features(batch.column("text")):
+                lists += [np.zeros(0, np.int32)] * (i - len(lists))
+                at, place = chosen.places(hashes)
+                lists += np.split(place.astype(np.int32), np.searchsorted(rows[at], np.arange(1, rows.max(initial=0) + 1)))
+            lists += [np.zeros(0, np.int32)] * (batch.num_rows - len(lists))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("drawn"), pa.array(lists, pa.list_(pa.int32()))], names=["positive", "drawn", "found"])
+
+    return go
 
 
 class Rows:
@@ -85,35 +131,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The features whose shares of P and U differ by more than Z standard errors, at most MOST_FEATURES of them."""
-    size = 1 << BITS
-    p = np.bincount(np.concatenate(positive), minlength=size) / len(positive)
-    u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]), minlength=size) / max(1, len(unlabelled))
-    error = np.sqrt((p * (1 - p) + 1 / len(positive)) / len(positive) + (u * (1 - u) + 1 / max(1, len(unlabelled))) / max(1, len(unlabelled)))
-    z = np.abs(p - u) / error
-    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    return np.sort(best[z[best] > Z])
+def significant(counts: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The features whose shares of P and U differ by more than Z standard errors, sorted."""
+    p, u = F.col("p") / max(1, n_p), F.col("u") / max(1, n_u)
+    error = F.sqrt((p * (1 - p) + 1 / max(1, n_p)) / max(1, n_p) + (u * (1 - u) + 1 / max(1, n_u)) / max(1, n_u))
+    found = counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.abs(p - u) > Z * error).select("feature").toArrow()
+    return np.sort(found.column("feature").to_numpy().view(np.uint64))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
-    """(weights of all hashed features, bias) by the non-negative risk estimator, with Adam steps."""
-    weights = np.zeros(1 << BITS, np.float32)
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
+    """(weights of ``width`` features, bias) by the non-negative risk estimator, with Adam steps; rows are arrays of features' places."""
     start = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-60.0 if prior <= 0 else 60.0)
     if not positive or not unlabelled or not 0 < prior < 1:
-        return weights, start
-    chosen = select(positive, unlabelled)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    kept = [[(k := place[x])[k >= 0] for x in rows] for rows in (positive, unlabelled)]
+        return np.zeros(width), start
     rng = np.random.default_rng(seed)
-    deals = [rng.permutation(len(rows)) % BATCHES for rows in kept]
+    deals = [rng.permutation(len(rows)) % BATCHES for rows in (positive, unlabelled)]
     batches = []
     for b in range(BATCHES):
-        p, u = ([rows[i] for i in np.flatnonzero(deal == b)] for rows, deal in zip(kept, deals, strict=True))
+        p, u = ([rows[i] for i in np.flatnonzero(deal == b)] for rows, deal in zip((positive, unlabelled), deals, strict=True))
         if p and u:
-            batches.append((Rows(p, len(chosen)), Rows(u, len(chosen))))
-    x = np.zeros(len(chosen) + 1)
+            batches.append((Rows(p, width), Rows(u, width)))
+    x = np.zeros(width + 1)
     x[-1] = start
     m, v, step = np.zeros_like(x), np.zeros_like(x), 0
     for _ in range(EPOCHS):
@@ -130,12 +168,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             step += 1
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights[chosen] = x[:-1]
-    return weights, float(x[-1])
+    return x[:-1], float(x[-1])
+
+
+#: Chosen features, their weights, and the bias.
+Model = tuple[Chosen, np.ndarray, float]
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Weights and bias from the rows of docs and labels for which may_learn (over the column ``id``) holds."""
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+    """The model from the rows of docs and labels for which may_learn (over the column ``id``) holds."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(may_learn)
     known = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic")).where(may_learn & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic"))
     count, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
@@ -145,29 +186,31 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     total = rows.count()
     # at most about POSITIVES ids
     marked = rows.join(F.broadcast(ids), "id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), (place < share(UNLABELLED, total)).alias("drawn"))
-    found = marked.where("positive or drawn").mapInArrow(lean(_gather), "positive boolean, drawn boolean, found array<int>").toArrow()
-    lists = found.column("found").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sample = stored(marked.where("positive or drawn"), "toxicity-sample")
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if("drawn")).first()
+    chosen = Chosen(significant(sample.mapInArrow(lean(_count), "feature long, p long, u long"), n_p, n_u))
+    found = sample.mapInArrow(lean(_gather(chosen)), "positive boolean, drawn boolean, found array<int>").toArrow()
+    lists = pa.concat_arrays(found.column("found").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     every = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     pick = lambda name: [every[i] for i in np.flatnonzero(found.column(name).to_numpy())]
-    return fit(pick("positive"), pick("drawn"), toxic / count if count else 0.0)
+    return chosen, *fit(pick("positive"), pick("drawn"), len(chosen.known), toxic / count if count else 0.0)
 
 
-def _score(weights: np.ndarray, bias: float, schema: pa.Schema, text: str) -> Callable:
+def _score(chosen: Chosen, weights: np.ndarray, bias: float, schema: pa.Schema, text: str) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, found, cuts in features(batch.column(text)):
-                total = np.concatenate([[0.0], np.cumsum(weights[found], dtype=np.float64)])
-                out[i : i + len(cuts) - 1] = sigmoid(bias + total[cuts[1:]] - total[cuts[:-1]])
+            total = np.full(batch.num_rows, bias)
+            for i, hashes, rows in features(batch.column(text)):
+                at, place = chosen.places(hashes)
+                total += np.bincount(rows[at] + i, weights[place], batch.num_rows)
             columns = [batch.column(c) for c in schema.names[:-1]]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, pa.array(out)], schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema, strict=False)], pa.array(sigmoid(total))], schema=schema)
 
     return go
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs (all, unless named) with ``score``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -180,5 +223,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with held_out, score and predicted; learns only from rows that aren't held out."""
     model = train(docs, labels, fold("id") != 0, id_col, text_col)
-    scored = score(docs, model, text_col, keep)
-    return scored.withColumns({"held_out": fold(id_col) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "held_out", "predicted")]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scored = score(rows, model, "text", ["row", "id"])
+    return scored.select("row.*", (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
