@@ -2,21 +2,28 @@
 
 Each stage takes what the one before kept: toxic documents go, one document of each group of near copies stays,
 documents that hold benchmark items go, sources are mixed to their target weights, and the mix is written as
-token files. All stages but the last return the columns of documents.
+token files. All stages but the last return the columns of documents, whatever their names: rows pass through the
+operators that add columns as one struct.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loreframe.llm import decontaminate, mixing, ngram_join, token_files, toxicity
 from loreframe.llm.shared import stored
 
 
+def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns and the whole row as ``row``."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *columns)
+
+
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.toxicity(_with_row(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["row", "doc_id"])
+    return scored.where("predicted = 0").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that is drawn more than once is repeated."""
-    return mixing.draws(mixing.mix(docs), docs.columns).select(*docs.columns)
+    return mixing.draws(mixing.mix(_with_row(docs, "doc_id", "text", "source")), ["row", "doc_id"]).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
