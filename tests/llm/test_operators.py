@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def test_decontaminate(spark):
     own = items[1][1].split()
     docs = [
         (0, f"{prose(7, 300)} {items[0][1].upper()} {prose(8, 50)}"), (1, " ".join(own[:20] + ["zzz"] + own[21:])), (2, prose(11, 400)), (3, None), (4, " ".join(own[:25])),
-        (5, "three word item"), (6, f"{prose(12, 9)}\n{edited(items[1][1], 5, 1)}"), (7, " ".join(own[:30] + own[:30])), (8, items[0][1]), (8, items[0][1]),
+        (5, "three word item"), (9, f"{prose(13, 8)} Three  word ITEM {prose(14, 8)} three word item"), (10, "three word"), (None, prose(100, 20)), (6, f"{prose(12, 9)}\n{edited(items[1][1], 5, 1)}"), (7, " ".join(own[:30] + own[:30])), (8, items[0][1]), (8, items[0][1]),
     ]
     expected = {}
     for d, text in docs:
@@ -164,6 +165,11 @@ def test_decontaminate(spark):
             own_item = collections.Counter(shingles(item))
             if not own_item or not s:
                 continue
+            if len(words(item)) < 5:
+                w, v = words(item), words(text)
+                if any(v[k : k + len(w)] == w for k in range(len(v))):
+                    expected[d, i] = 1.0
+                continue
             width = max(1, len(words(item)) - 4)
             best = 0
             for a in range(max(1, len(s) - width + 1)):
@@ -175,18 +181,65 @@ def test_decontaminate(spark):
     D, B = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.contaminated(D, B).collect()
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in rows} == expected and len(rows) == len(expected)
-    assert {r.doc_id for r in decontaminate.without(D, decontaminate.contaminated(D, B)).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+    assert {r.doc_id for r in decontaminate.without(D, decontaminate.contaminated(D, B)).collect()} == {d for d, _ in docs} - {d for d, _ in expected} | {None}
     assert decontaminate.contaminated(D, B.where("false")).count() == 0 and decontaminate.contaminated(D.where("false"), B).count() == 0
 
 
+def test_decontaminate_blocks_of_items_and_names(spark, monkeypatch):
+    """Items in several blocks, repeated rows, clashing columns, and a very long text."""
+    items = [(i, prose(300 + i, 15), "t") for i in range(9)]
+    docs = [(i, f"{prose(i, 40)} {items[i % 9][1]}", 1.0, 2) for i in range(12)] + [(3, f"{prose(3, 40)} {items[3][1]}", 1.0, 2), (20, f"{prose(77, 60_000)} {items[4][1]}", 0.0, 1)]
+    D, B = spark.createDataFrame(docs, "doc_id long, text string, similarity double, item_id int"), spark.createDataFrame(items, "item_id long, text string, id string")
+    one = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(D, B).collect()}
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    rows = decontaminate.contaminated(D, B).collect()
+    assert len(rows) == 13 and {(r.doc_id, r.item_id, r.similarity) for r in rows} == one == {(i, i % 9, 1.0) for i in range(12)} | {(20, 4, 1.0)}
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(5)
-    index = decontaminate.Index(list(range(200)), [prose(s, 12) for s in range(200)], 5, 24)
+    index = decontaminate.Index(list(range(200)), [prose(s, 12) for s in range(200)], 5, decontaminate.RADIUS)
     base = index.prints[rng.integers(0, 200, 300)]
-    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for k in rng.integers(1, 30, 300)])
+    flips = np.array([np.packbits(np.isin(np.arange(256), rng.choice(256, k, replace=False))).view(np.uint64) for k in rng.integers(1, 80, 300)])
     w, i = index.within(12, base ^ flips)
-    near = np.bitwise_count((base ^ flips)[:, None] ^ index.prints[None, :]) <= 24
+    near = decontaminate.distances((base ^ flips)[:, None], index.prints[None, :]) <= decontaminate.RADIUS
     assert set(zip(w.tolist(), i.tolist())) == set(zip(*[x.tolist() for x in np.nonzero(near)]))
+    # of random windows few are candidates in a block
+    _, tables = index.tables(12)
+    assert all(len(t) / (200 * 65536) < 0.011 for t in tables)
+
+
+def test_fingerprints_of_long_runs(monkeypatch):
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    begins = np.unique(rng.integers(0, 2500, 200))
+    for width in (1, 7, 400):
+        ends = np.minimum(begins + width, 3000)
+        whole = decontaminate.fingerprints(hashes, begins, ends)
+        monkeypatch.setattr(decontaminate, "SPAN", 64)
+        assert (whole == decontaminate.fingerprints(hashes, begins, ends)).all()
+        monkeypatch.setattr(decontaminate, "SPAN", 8192)
+        for k in (0, 50, len(begins) - 1):
+            bits = decontaminate._bits(hashes[begins[k] : ends[k]])
+            assert (np.unpackbits(whole[k].view(np.uint8)) == (2 * bits.sum(axis=0, dtype=int) > len(bits))).all()
+
+
+def test_simhash_recall_near_the_threshold():
+    """Of windows whose similarity lies in [0.75, 0.8], as good as all are within the radius."""
+    found = total = 0
+    rng = np.random.default_rng(8)
+    for n in (10, 14, 30, 60, 200):
+        for _ in range(300):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = a.copy()
+            # changing k of n distinct shingles gives a similarity of (n - k) / (n + k)
+            k = int(np.floor(n * 0.25 / 1.75))
+            b[rng.choice(n, k, replace=False)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+            if 0.75 <= (n - k) / (n + k) <= 0.8:
+                one = [decontaminate.fingerprints(x, np.zeros(1, int), np.full(1, n)) for x in (a, b)]
+                total += 1
+                found += int(decontaminate.distances(*one)[0] <= decontaminate.RADIUS)
+    assert total >= 900 and found / total >= 0.99
 
 
 def test_mixing_targets():
@@ -219,6 +272,21 @@ def test_mixing(spark, texts):
     assert len(shards) == 32 and max(shards.values()) < 4 * sum(shards.values()) / 32
 
 
+def test_mixing_cases(spark):
+    """Empty documents of a source at its cap, clashing names, repeated rows, null ids."""
+    rows = [(i, "", "a", 5, 0, "k") for i in range(40)] + [(100 + i, prose(i, 6), "a", 5, 0, "k") for i in range(10)] + [(200 + i, prose(i, 60), "b", 5, 0, "k") for i in range(400)]
+    rows += [(None, "x y", "b", 5, 0, "k"), (200, prose(0, 60), "b", 5, 0, "k"), (None, None, None, 5, 0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, shards int, _row string")
+    out = mixing.mix(docs)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == ["doc_id", "text", "source", "_row", "size", "source_size", "target", "copies", "shards"]
+    assert all(r.copies == 3 for r in got if r.source == "a") and all(r.copies <= 3 and r._row == "k" for r in got)
+    one = [r for r in got if r.doc_id == 200]
+    assert len(one) == 2 and abs(one[0].copies - one[1].copies) <= 1
+    # a draw that no shard has isn't taken
+    assert {s for r in got for s in r.shards} <= set(range(32)) and sum(r.copies for r in got) == mixing.draws(out, ["doc_id"]).count()
+
+
 def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 
@@ -243,10 +311,38 @@ def test_token_files_layout_and_full_table(spark, texts, tmp_path, monkeypatch):
     assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings and columns["doc_id"].has_offset_index and "source" in columns
     monkeypatch.setattr(token_files, "MOST_WORDS", 3)
     token_files._tokenizers.clear()
-    few = token_files.encoder(token_files.default_tokenizer())([b"a b c d e a", b"", b"zz a"])
+    column = pa.array(["a b c d e a", "", None, "zz a, B!! it's 12", "c <|endoftext|>d"])
+    few = [token_files.encoder(token_files.default_tokenizer())(column.slice(i, 2)) for i in (0, 1, 3, 0)]
     token_files._tokenizers.clear()
     monkeypatch.setattr(token_files, "MOST_WORDS", 1000)
-    assert few == token_files.encoder(token_files.default_tokenizer())([b"a b c d e a", b"", b"zz a"])
+    encode = token_files.encoder(token_files.default_tokenizer())
+    for (ids, counts), i in zip(few, (0, 1, 3, 0), strict=True):
+        expected = encode.ids([x or "" for x in column.slice(i, 2).to_pylist()])
+        assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+    assert encode.by_pieces and encode.direct
+
+
+def test_token_files_of_a_byte_level_tokenizer(spark, texts):
+    """A tokenizer whose ids depend on the white space before a word encodes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.Encoder(path).by_pieces
+    tokenizer, docs = Tokenizer.from_file(path), frame(spark, texts)
+    got = {r.doc_id: r.ids_crc32 for r in token_files.encoded(docs, path).collect()}
+    assert got == {r.doc_id: zlib.crc32(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in docs.collect()}
+
+
+def test_token_files_cases(spark):
+    rows = [(None, "b", 1), (None, None, 2), (3, "x y", 3), (3, "x", 4), (3, "x", 5), (1, "w " * 200_000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    got = token_files.encoded(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == [(False, 1, 200_001), (False, 3, 2), (False, 3, 2), (False, 3, 3), (True, 0, 1), (True, 0, 2)]
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in got)
+    assert starts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(starts)) and [x[2] for x in starts] == [None, None, 1, 3, 3, 3]
+    with pytest.raises(ValueError):
+        token_files.write(docs, "file:///tmp/never", token_files.default_tokenizer(), keep=("ids",))
 
 
 def test_toxicity(spark):
@@ -273,12 +369,69 @@ def test_toxicity(spark):
     assert all(r.score < 0.01 for r in toxicity.toxicity(D, L.where("false")).collect()) and toxicity.toxicity(D.where("false"), L).count() == 0
 
 
-def test_nonnegative_risk_step():
+def brute_features(text):
+    """The feature strings of a text, from its definition."""
+    counts = collections.Counter()
+    for w in words(text):
+        core = w.encode().strip(bytes(b for b in range(128) if not chr(b).isalnum()))
+        if core:
+            counts[core, 0] += 1
+            for size in toxicity.SIZES:
+                if len(core) >= size:
+                    counts[core[:size], size] += 1
+    return {(*f, level) for f, c in counts.items() for level in toxicity.LEVELS if c >= level}
+
+
+def test_toxicity_features(texts):
+    own = [*texts, "Idiot! (idiot) idiots, 'idiot' --", "!!! ... -", "\u00c9t\u00e9\u2026 \u00e9tonnant \u00e9tonnante"]
+    (i, hashes, rows), names, seen = next(toxicity.features(pa.array(own, pa.string()))), {}, {}
+    assert i == 0
+    for k, text in enumerate(own):
+        found, expected = hashes[rows == k].tolist(), brute_features(text)
+        assert len(found) == len(set(found)) == len(expected)
+        seen[k] = set(found), expected
+    # equal features have equal hashes: shared ones are as many for every pair of texts
+    for a, b in itertools.combinations(range(len(own)), 2):
+        assert len(seen[a][0] & seen[b][0]) == len(seen[a][1] & seen[b][1])
+
+
+def brute_fit(positive, unlabelled, width, prior):
+    """The same descent on dense rows, with the risk differentiated numerically."""
+    rng = np.random.default_rng(5)
+    dense = lambda rows: np.array([[float(k in r) for k in range(width)] + [1.0] for r in rows])
+    deals = [rng.permutation(len(rows)) % toxicity.BATCHES for rows in (positive, unlabelled)]
+    x, m, v, step = np.append(np.zeros(width), np.log(prior / (1 - prior))), np.zeros(width + 1), np.zeros(width + 1), 0
+    loss = lambda z: np.logaddexp(0, z).mean()
+    for _ in range(toxicity.EPOCHS):
+        for b in range(toxicity.BATCHES):
+            p, u = (dense([rows[i] for i in np.flatnonzero(deal == b)]) for rows, deal in zip((positive, unlabelled), deals))
+            rest = lambda w: loss(u @ w) - prior * loss(p @ w)  # noqa: B023, E731
+            risk = (lambda w: prior * loss(-(p @ w)) + rest(w)) if rest(x) >= 0 else (lambda w: -rest(w))  # noqa: B023
+            unit = np.eye(width + 1) * 1e-6
+            gradient = np.array([(risk(x + e) - risk(x - e)) / 2e-6 for e in unit]) + toxicity.DECAY * np.append(x[:-1], 0)
+            step += 1
+            m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+            x = x - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return x
+
+
+def test_nonnegative_risk():
     rng = np.random.default_rng(0)
-    positive = [np.array([1, 2, int(rng.integers(10, 500))], np.int32) for _ in range(80)]
-    unlabelled = [np.array([3, int(rng.integers(10, 500))], np.int32) for _ in range(300)] + positive[:20]
-    weights, bias = toxicity.fit(positive, unlabelled, 0.06)
-    assert weights[1] > 0 and bias + weights[[1, 2]].sum() > 0 > bias + weights[3]
+    positive = [np.unique([1, 2, int(rng.integers(4, 9))]) for _ in range(80)]
+    unlabelled = [np.unique([3, int(rng.integers(4, 9))]) for _ in range(300)] + positive[:20]
+    weights, bias = toxicity.fit(positive, unlabelled, 9, 0.06)
+    assert weights[1] > 0 and bias + weights[[1, 2]].sum() > bias + weights[3]
+    assert np.append(weights, bias) == pytest.approx(brute_fit(positive, unlabelled, 9, 0.06), abs=0.02)
+
+
+def test_toxicity_cases(spark):
+    rows = [(i, "idiot here" if i % 7 == 0 else prose(i, 9), 0.5, 9) for i in range(600)] + [(None, "idiot here", 0.1, 9), (7, "idiot here", 0.2, 9), (8, "x " * 300_000, 0.3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, row int")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(0, 600, 2)] * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels)
+    got = out.collect()
+    assert len(got) == len(rows) and sorted(out.columns) == ["doc_id", "held_out", "predicted", "row", "score", "text"]
+    assert len({r.score for r in got if r.text == "idiot here"}) == 1 and {r.row for r in got} == {9}
 
 
 def test_media(spark, texts):
@@ -307,8 +460,6 @@ def test_media_chunks_cut_by_content():
 
 def brute_lm(train, docs):
     def ids(text):
-        import pyarrow as pa
-
         w = Words(*utf8(pa.array([text], pa.string())))
         return [0, *(int(x) % (quality_lm.V - 1) + 1 for x in w.hashes)]
 
@@ -392,3 +543,28 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert [n for _, _, n in seen[:3]] == [len(own), kept, kept - 1]
     result = corpus_pipeline.run(spark, sf).collect()
     assert len(result) == seen[-1][2] == seen[3][2] and sorted(r.start for r in result)[0] == 0
+
+
+def test_pipeline_with_clashing_names_nulls_and_repeats(spark, tmp_path):
+    """Every stage keeps the columns and values of documents, whatever they are named."""
+    import corpus_pipeline
+
+    item = prose(500, 25)
+    rows = [(i, prose(800 + i, 30), "en", "a", 9, 5, 0.25, "x", True) for i in range(30)]
+    rows += [rows[3], (None, prose(890, 30), None, None, None, None, None, None, None), (77, None, "en", "b", 0, 5, 0.25, "x", False), (78, f"{prose(891, 9)} {item}", "en", "b", 9, 5, 0.25, "x", True)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, row string, held_out boolean"
+    for k, own in enumerate((rows, rows[:0])):
+        sf = f"file://{tmp_path}/{k}"
+        spark.createDataFrame(own, names).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        before = {tuple(r) for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == [x.split()[0] for x in names.split(", ")]
+            after = [tuple(r) for r in docs.collect()]
+            assert set(after) <= before
+            if own:
+                assert len(after) == {"toxicity": 34, "ngram_join": 33, "decontaminate": 32}.get(name, len(after)) and (None in {r[0] for r in after} or name == "mixing")
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(after)
