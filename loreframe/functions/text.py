@@ -81,6 +81,11 @@ def sentences(text: str | Column) -> Column:
     return F.filter(F.split(F.trim(_col(text)), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def flag_sentences(text: str | Column, words: tuple[str, ...] = FLAG_WORDS) -> Column:
+    """The sentences that have one of the words, in any case."""
+    return F.filter(sentences(text), lambda s: F.rlike(F.lower(s), F.lit("|".join(words))))
+
+
 def candidate_names(text: str | Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct capitalised words of three letters or more that aren't stop words, in order."""
     words = F.regexp_extract_all(_col(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
@@ -98,10 +103,6 @@ def union_aliases(name: Column, existing: Column, absorbed: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(existing, absorbed)), lambda x: x != name)
 
 
-def repoint(ids: Column, source: Column, target: Column) -> Column:
-    return F.array_distinct(F.transform(ids, lambda x: F.when(x == source, target).otherwise(x)))
-
-
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine over the common beginning of two vectors; 0 for an empty or zero one."""
     a, b = _col(a), _col(b)

@@ -77,13 +77,13 @@ def version_log(rows: DataFrame, keys: list[str], payload: str = "payload", chap
 def restore_prefix(versions: DataFrame, chapter: int, baselines: DataFrame, keys: list[str], novel: str = "novel") -> tuple[DataFrame, DataFrame]:
     """(versions up to a chapter, novels refused because their history begins later)."""
     refused = baselines.where(F.col("baseline") > chapter).select(novel)
-    kept = versions.where(F.col("chapter") <= chapter).join(F.broadcast(refused), novel, "left_anti")
+    kept = versions.where(F.col("chapter") <= chapter).join(refused, novel, "left_anti")
     return kept, refused
 
 
 def with_history(current: DataFrame, versions: DataFrame, cutoffs: DataFrame, baselines: DataFrame, keys: list[str], novel: str = "novel") -> DataFrame:
     """Records at cutoffs: novels without a baseline read their current rows; a cutoff before the baseline reads none."""
-    bare = current.join(F.broadcast(baselines.select(novel)), novel, "left_anti").join(F.broadcast(cutoffs), novel)
+    bare = current.join(baselines.select(novel), novel, "left_anti").join(F.broadcast(cutoffs), novel)
     allowed = cutoffs.join(baselines, novel).where("cutoff >= baseline").drop("baseline")
     return bare.select(*keys, "cutoff", "payload").unionByName(records_at(versions, allowed, keys))
 

@@ -18,9 +18,8 @@ def check_possession(claims: DataFrame, edges: DataFrame, keys: list[str], chapt
 
 
 def check_canon(mentions: DataFrame, canon: DataFrame, keys: list[str]) -> DataFrame:
-    """Mentions (keys, chapter, claimed) that contradict canon (keys, value, locked, source_chapter): FAIL where locked, else WARN."""
-    met = mentions.join(canon, keys).where("source_chapter is null or source_chapter < chapter")
-    met = met.where(X.fold_value("claimed") != X.fold_value("value"))
+    """Mentions (keys, chapter, claimed) that contradict the canon before their chapter (keys, chapter, value, locked): FAIL where locked, else WARN."""
+    met = mentions.join(canon, [*keys, "chapter"]).where(X.fold_value("claimed") != X.fold_value("value"))
     return met.withColumn("severity", F.when(F.col("locked"), "fail").otherwise("warn"))
 
 

@@ -18,38 +18,68 @@ NAME_BLOCK = 2000
 
 
 def surfaces(entities: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, entity_type, surface, is_name): the folded name and aliases of each entity, distinct."""
+    """(keys, id, entity_type, surface, is_name): the folded name and aliases of each entity, distinct, in NFKC.
+
+    Names in ASCII are in that form already and stay off the Python path.
+    """
     each = entities.select(*keys, "id", "entity_type", F.explode(F.array_append("aliases", F.col("name"))).alias("_s"), "name")
-    rows = each.select(*keys, "id", "entity_type", X.fold_name("_s").alias("surface"), (F.col("_s") == F.col("name")).alias("is_name"))
+    each = each.withColumn("is_name", F.col("_s") == F.col("name")).drop("name").where("_s is not null")
+    plain = F.rlike("_s", F.lit(r"^\p{ASCII}*$"))
+    each = each.where(plain).unionByName(each.where(~plain).withColumn("_s", X.nfkc("_s")))
+    rows = each.select(*keys, "id", "entity_type", X.fold_name("_s").alias("surface"), "is_name")
     return rows.where("surface <> ''").groupBy(*keys, "id", "entity_type", "surface").agg(F.max("is_name").alias("is_name"))
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if not x or not y:
-            out.append(0.0)
-        elif x == y:
-            out.append(1.0)
-        else:
-            p, q = set(x.split()), set(y.split())
-            both = len(p & q) / min(len(p), len(q)) if p and q else 0.0
-            out.append(max(both, difflib.SequenceMatcher(None, x, y).ratio()))
-    return pd.Series(out)
+def bag_bound(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of the sequence ratio of pairs: twice the letters that two names share, in any order, over their lengths."""
+    names, at = np.unique(np.array([*a, *b], object), return_inverse=True)
+    letters = {x: i for i, x in enumerate(sorted(set("".join(names))))}
+    counts, sizes = _counts(list(names), letters), np.array([len(x) for x in names])
+    x, y = at[: len(a)], at[len(a) :]
+    shared = np.concatenate([np.minimum(counts[x[i : i + 5000]], counts[y[i : i + 5000]]).sum(axis=1) for i in range(0, len(x), 5000)] or [np.zeros(0)])
+    return 2.0 * shared / np.maximum(sizes[x] + sizes[y], 1)
+
+
+def sequence_ratio(a: str | Column, b: str | Column, least: float = 0.0) -> Column:
+    """The sequence ratio of two names, which depends on their order; 0 where a bound by shared letters shows that it is below ``least``."""
+
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        left, right = left.fillna(""), right.fillna("")
+        bound = bag_bound(left.tolist(), right.tolist())
+        return pd.Series([0.0 if not x or not y or m < least - 1e-9 else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y, m in zip(left, right, bound, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratio, T.DoubleType())(a, b)
 
 
-def similarity(a: str | Column, b: str | Column) -> Column:
-    """The higher of the sequence ratio and the shared tokens over the shorter name's; the ratio depends on the order."""
-    return F.pandas_udf(_ratio, T.DoubleType())(a, b)
+def token_share(a: str | Column, b: str | Column) -> Column:
+    """The tokens that two folded names share, over the shorter one's."""
+    x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in (a, b))
+    least = F.least(F.size(x), F.size(y))
+    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
+
+
+def similarity(a: str | Column, b: str | Column, least: float = 0.0) -> Column:
+    """The higher of the sequence ratio and the shared tokens over the shorter name's; exact where it is ``least`` or more."""
+    return F.greatest(token_share(a, b), sequence_ratio(a, b, least))
+
+
+def _ratio(a: list[str], b: list[str]) -> list[float]:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = set((x or "").split()), set((y or "").split())
+        both = len(p & q) / min(len(p), len(q)) if p and q else 0.0
+        out.append(0.0 if not x or not y else 1.0 if x == y else max(both, difflib.SequenceMatcher(None, x, y).ratio()))
+    return out
 
 
 def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> DataFrame:
     """(keys, a, b, score) of distinct surfaces a < b with a similarity of ``least`` or more, without comparing all pairs.
 
     Two ways lead to such a similarity. Sharing tokens: the shorter name's rarest tokens, as many as could be spared
-    and one more, must include one of the longer's, and they meet on these. The sequence ratio: with it
-    the names' edit distance by insertions and deletions is at most (1 - least) * (la + lb), so that of that many
-    pieces and one more of the shorter name, one occurs in the other; they meet on (lengths, piece).
+    and one more, must include one of the longer's, and they meet on these. The sequence ratio: with it the names
+    are at most (1 - least) * (la + lb) insertions and deletions apart; of that many pieces and one more of the shorter
+    name, one occurs in the longer, moved by no more than the insertions and deletions that the lengths leave room
+    for. They meet on (lengths, piece, place).
     """
     rows = names.select(*keys, "surface").distinct().withColumn("_l", F.length("surface"))
     words = rows.select(*keys, "surface", F.array_distinct(F.split("surface", " ")).alias("_w")).withColumn("_n", F.size("_w"))
@@ -61,21 +91,23 @@ def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> Dat
     shared = rare.join(other, [*keys, "_t"]).where((F.col("surface") != F.col("_b")) & (F.col("_n") <= F.col("_m")))
     shared = shared.where(F.size(F.array_intersect("_w", "_v")) / F.col("_n") >= least)
     first = shared.select(*keys, F.least("surface", "_b").alias("a"), F.greatest("surface", "_b").alias("b"))
-    # pieces of the shorter name for each length that the longer may have
-    most = F.floor(F.col("_l") * (least / (2 - least)) ** -1).cast("int")
+    # pieces of the shorter name for each length that the longer may have, and where they may lie there
+    most = F.floor(F.col("_l") * (least / (2 - least)) ** -1 + 1e-9).cast("int")
     lengths = rows.select(*keys, F.col("_l").alias("_len")).distinct()
-    short = rows.withColumn("_len", F.explode(F.sequence(F.col("_l"), most))).join(F.broadcast(lengths) if False else lengths, [*keys, "_len"])
-    count = F.floor((F.col("_l") + F.col("_len")) * F.lit(1 - least) + 1e-9).cast("int") + 1
-    short = short.withColumn("_k", count).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    short = rows.withColumn("_len", F.explode(F.sequence(F.col("_l"), most))).join(lengths, [*keys, "_len"])
+    edits, more = F.floor((F.col("_l") + F.col("_len")) * F.lit(1 - least) + 1e-9).cast("int"), F.col("_len") - F.col("_l")
+    short = short.withColumns({"_k": edits + 1, "_back": F.floor((edits - more) / 2).cast("int"), "_on": F.floor((edits + more) / 2).cast("int")})
+    short = short.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     begin, end = F.floor(F.col("_i") * F.col("_l") / F.col("_k")).cast("int"), F.floor((F.col("_i") + 1) * F.col("_l") / F.col("_k")).cast("int")
-    short = short.select(*keys, F.col("surface").alias("_a"), "_len", F.col("surface").substr(begin + 1, end - begin).alias("_p"), (end - begin).alias("_w")).where("_w > 0")
+    short = short.select(*keys, F.col("surface").alias("_a"), "_len", F.col("surface").substr(begin + 1, end - begin).alias("_p"), (end - begin).alias("_w"), F.explode(F.sequence(begin - F.col("_back"), begin + F.col("_on"))).alias("_j"))
+    short = short.where("_w > 0 and _j >= 0 and _j + _w <= _len")
     widths = short.select(*keys, "_len", "_w").distinct()
     long = rows.select(*keys, F.col("surface").alias("_b"), F.col("_l").alias("_len")).join(widths, [*keys, "_len"])
-    long = long.where("_len >= _w").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_len") - F.col("_w") + 1))).select(*keys, "_b", "_len", F.col("_b").substr(F.col("_j"), F.col("_w")).alias("_p")).distinct()
-    met = short.select(*keys, "_a", "_len", "_p").distinct().join(long, [*keys, "_len", "_p"]).where("_a <> _b")
+    long = long.where("_len >= _w").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_len") - F.col("_w")))).select(*keys, "_b", "_len", F.col("_b").substr(F.col("_j") + 1, F.col("_w")).alias("_p"), "_j")
+    met = short.select(*keys, "_a", "_len", "_p", "_j").distinct().join(long, [*keys, "_len", "_p", "_j"]).where("_a <> _b")
     second = met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     pairs = first.union(second).distinct()
-    return pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= least)
+    return pairs.withColumn("score", similarity("a", "b", least)).where(F.col("score") >= least)
 
 
 def duplicate_pairs(names: DataFrame, keys: list[str], least: float = NEAR) -> DataFrame:

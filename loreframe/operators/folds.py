@@ -105,23 +105,45 @@ def fold_threads(log: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("_last._status").alias("status"), "description", "opened", F.when(F.col("_last._status") == "closed", F.col("_last.chapter")).alias("closed"))
 
 
-def fold_canon(log: DataFrame, keys: list[str], locked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts, contradictions) from claims (keys, seq, value, confidence); locked: keys, lock_seq.
+def _canon_claims(log: DataFrame, keys: list[str], locked: DataFrame | None, corrections: DataFrame | None) -> DataFrame:
+    """Claims and corrections with confidence, lock_seq, manual, and open: whether the fold may take them."""
+    confidence = F.when(F.coalesce(F.col("confidence"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)))
+    rows = log.select(*keys, "seq", "value", confidence.alias("confidence"), F.lit(False).alias("manual"))
+    if corrections is not None:
+        rows = rows.unionByName(corrections.select(*keys, "seq", "value", F.lit(1.0).alias("confidence"), F.lit(True).alias("manual")))
+    rows = rows.withColumn("lock_seq", F.lit(None).cast("long")) if locked is None else rows.join(locked, keys, "left")
+    return rows.withColumn("open", F.col("manual") | F.col("lock_seq").isNull() | (F.col("seq") <= F.col("lock_seq")))
+
+
+def fold_canon(log: DataFrame, keys: list[str], locked: DataFrame | None = None, corrections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, contradictions) from claims (keys, seq, value, confidence); locked: keys, lock_seq; corrections: keys, seq, value.
 
     A claim replaces the value where its confidence (0 or absent counts as 1, within 0 and 1) is at least the
     current one; accepted confidence never falls, so the result is the claim with the highest (confidence, seq).
-    After a key is locked its value stays, and claims of another value are contradictions.
+    After a key is locked its value stays, and claims of another value are contradictions. A correction by hand has
+    confidence 1, so it replaces any value, and a lock doesn't stop it.
     """
-    confidence = F.when(F.coalesce(F.col("confidence"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)))
-    rows = log.withColumn("confidence", confidence)
-    rows = rows.withColumn("lock_seq", F.lit(None).cast("long")) if locked is None else rows.join(locked, keys, "left")
-    before = F.col("lock_seq").isNull() | (F.col("seq") <= F.col("lock_seq"))
-    facts = rows.where(before).groupBy(*keys).agg(F.max_by(F.struct("value", "confidence", "seq"), F.struct("confidence", "seq")).alias("_f"), F.max("lock_seq").isNotNull().alias("locked"))
+    rows = _canon_claims(log, keys, locked, corrections)
+    facts = rows.where("open").groupBy(*keys).agg(F.max_by(F.struct("value", "confidence", "seq"), F.struct("confidence", "seq")).alias("_f"), F.max("lock_seq").isNotNull().alias("locked"))
     facts = facts.select(*keys, "_f.value", "_f.confidence", "_f.seq", "locked")
-    later = rows.where(~before).join(facts.where("locked").select(*keys, F.col("value").alias("canon")), keys).where("value <> canon")
+    later = rows.where("not open").join(facts.where("locked").select(*keys, F.col("value").alias("canon")), keys).where("value <> canon")
     return facts, later.select(*keys, "seq", "value", "canon")
 
 
+def canon_before(log: DataFrame, points: DataFrame, keys: list[str], locked: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
+    """(keys, chapter, value, locked): the canon of each point (keys, chapter) as it was before that chapter, where there was any.
+
+    Claims and points of a key run through one window, in which the running maximum of (confidence, seq) is the fold.
+    """
+    claims = _canon_claims(log, keys, locked, corrections).where("open")
+    best = F.struct("confidence", "seq", "value")
+    both = claims.select(*keys, F.col("seq").alias("chapter"), F.lit(1).alias("_kind"), best.alias("_best"), "lock_seq")
+    both = both.unionByName(points.select(*keys, F.col("chapter").cast("long").alias("chapter")).distinct().withColumns({"_kind": F.lit(0), "_best": F.lit(None).cast(both.schema["_best"].dataType), "lock_seq": F.lit(None).cast("long")}))
+    before = W.partitionBy(*keys).orderBy("chapter", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = both.withColumns({"_best": F.max("_best").over(before), "_lock": F.max("lock_seq").over(before)})
+    return run.where("_kind = 0 and _best is not null").select(*keys, "chapter", F.col("_best.value").alias("value"), F.coalesce(F.col("_lock") < F.col("chapter"), F.lit(False)).alias("locked"))
+
+
 def fold_relationships(log: DataFrame) -> DataFrame:
     """Relationship rows kept from assertions (novel, a, b, rel_type, mutual, from_chapter, to_chapter, notes, seq).
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
+from loreframe.operators.entity import sequence_ratio
 
 ATTRIBUTES = ("goals", "physical_state", "appearance", "emotional_state")
 
@@ -160,7 +162,7 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str], keep_if_empty:
 def registered_types(custom: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities whose type is registered, with its casing, and the rejected ones)."""
     names = registry.select(F.lower(F.trim("type_name")).alias("_t"), F.col("type_name")).groupBy("_t").agg(F.min("type_name").alias("type_name"))
-    met = custom.withColumn("_t", F.lower(F.trim("entity_type"))).join(F.broadcast(names), "_t", "left").drop("_t")
+    met = custom.withColumn("_t", F.lower(F.trim("entity_type"))).join(names, "_t", "left").drop("_t")
     return met.where("type_name is not null").withColumn("entity_type", F.col("type_name")).drop("type_name"), met.where("type_name is null").drop("type_name")
 
 
@@ -174,12 +176,25 @@ def select_context(mentions: DataFrame, roster: DataFrame, keys: list[str], cap:
     return met.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= cap).select(*keys, "id", "position")
 
 
-def match_payoffs(pairs: DataFrame, score: Column, keys: list[str], least: float = 0.45) -> DataFrame:
-    """Payoffs (payoff_id, payoff_seq) to commitments (commitment_id) greedily: payoffs in order take their best open commitment.
+def match_payoffs(payoffs: DataFrame, commitments: DataFrame, keys: list[str], least: float = 0.45, second: float = 0.6) -> DataFrame:
+    """(keys, payoff_id, commitment_id, score): payoffs in order of payoff_seq take the open commitment they fit best, the first of equals.
 
-    pairs are candidate pairs; groups are the payoffs of one novel's chapter window, never a whole table.
+    payoffs: keys, payoff_id, payoff_seq, matches (what the payoff says it answers, may be null), payoff (its own
+    text). commitments: keys, commitment_id, foreshadow. The score is the sequence ratio of matches and foreshadow, or
+    ``second`` times that of payoff and foreshadow, whichever is higher; it must reach ``least``. A ratio bounds the
+    quotient of the lengths, so that payoffs meet only commitments of a fitting length (by powers of two). The greedy
+    step gets the pairs of one value of keys that reach ``least``: keys should name a chapter window, never a whole table.
     """
-    schema = ", ".join([*(f"{k} {t}" for k, t in pairs.select(*keys).dtypes), "payoff_id long", "commitment_id long", "score double"])
+    reach = int(np.ceil(np.log2(2 / least - 1)))
+    level = lambda c: F.floor(F.log2(F.greatest(F.length(c), F.lit(1)))).cast("int")
+    c = commitments.select(*keys, "commitment_id", F.lower("foreshadow").alias("_f")).where("_f <> ''").withColumn("_at", level("_f"))
+    p = payoffs.select(*keys, "payoff_id", "payoff_seq", F.lower(F.coalesce("matches", F.lit(""))).alias("_m"), F.lower(F.coalesce("payoff", F.lit(""))).alias("_p"))
+    each = [p.where(F.col(x) != "").select(*keys, "payoff_id", "payoff_seq", F.col(x).alias("_x"), F.lit(w).alias("_w"), F.explode(F.sequence(level(x) - reach, level(x) + reach)).alias("_at")) for x, w in (("_m", 1.0), ("_p", second)) if w >= least]
+    met = each[0].unionByName(each[1]) if len(each) > 1 else each[0]
+    met = met.join(c, [*keys, "_at"]).where(2 * F.col("_w") * F.least(F.length("_x"), F.length("_f")) >= F.lit(least - 1e-9) * (F.length("_x") + F.length("_f")))
+    scored = met.withColumn("score", F.col("_w") * sequence_ratio("_x", "_f", least)).where(F.col("score") >= least)
+    scored = scored.groupBy(*keys, "payoff_id", "payoff_seq", "commitment_id").agg(F.max("score").alias("score"))
+    schema = ", ".join([*(f"{k} {t}" for k, t in payoffs.select(*keys).dtypes), "payoff_id long", "commitment_id long", "score double"])
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -191,8 +206,7 @@ def match_payoffs(pairs: DataFrame, score: Column, keys: list[str], least: float
                     break
         return pd.DataFrame(out, columns=[*keys, "payoff_id", "commitment_id", "score"])
 
-    scored = pairs.withColumn("score", score).where(F.col("score") >= least)
-    return scored.select(*keys, "payoff_id", "payoff_seq", "commitment_id", "score").groupBy(*keys).applyInPandas(greedy, schema)
+    return scored.groupBy(*keys).applyInPandas(greedy, schema)
 
 
 def parse_extractions(rows: DataFrame, column: str, schema: str) -> DataFrame:

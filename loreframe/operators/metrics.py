@@ -35,6 +35,11 @@ def recall_at_k(results: DataFrame, expected: DataFrame, k: int, query: str = "q
     return met.groupBy(query).agg(F.round(F.count("_got") / F.count("*"), 9).alias("recall"))
 
 
+def mean_recall(recalls: DataFrame) -> DataFrame:
+    """One row: the mean of the queries' recall, and how many queries there are."""
+    return recalls.agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))
+
+
 def pairwise_resolution(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: pairs together in truth, in the prediction and in both, precision, recall, f1; from counts, not pairs."""
     pairs = lambda by: rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).cast("long"))

@@ -1,6 +1,7 @@
 """Hybrid retrieval: keyword and vector candidates, rank fusion, diversification.
 
-Queries are a table (query_id, text, novel, max_chapter); every filter by novel and chapter comes before ranking.
+Queries are a table (query_id, text, novel, max_chapter); every filter by novel, chapter and model comes before ranking,
+in the keyword lists as in the vector ones.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
@@ -15,8 +17,8 @@ from loreframe.operators.asof import topk
 
 #: Weights of index fields.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Bytes of query vectors up to which they are broadcast; beyond, they are joined in blocks.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of query vectors that are sent to the tasks at a time, and queries of one matrix product there.
+BROADCAST_BYTES, PRODUCT = 16 << 20, 256
 
 
 def terms(text: str | Column) -> Column:
@@ -53,15 +55,13 @@ def keyword_search(queries: DataFrame, postings: DataFrame, scope: list[str], it
     """
     words, facts = parse_queries(queries)
     asked = queries.select("query_id", *scope, "max_chapter").join(words, "query_id")
-    met = postings.join(F.broadcast(asked), [*scope, "term"]).where("chapter <= max_chapter")
+    met = postings.join(asked, [*scope, "term"]).where("chapter <= max_chapter")
     scored = met.groupBy("query_id", *scope, item).agg(
         F.round(F.sum(F.when(~F.col("negated"), F.col("weight") * F.col("tf"))), 9).alias("raw"),
         F.count_distinct(F.when(~F.col("negated"), F.col("term"))).alias("_hit"), F.max("negated").alias("_bad"),
     )
-    scored = scored.join(F.broadcast(facts), "query_id").where("not _bad and raw > 0 and (not has_negation or _hit = n_terms)")
+    scored = scored.join(facts, "query_id").where("not _bad and raw > 0 and (not has_negation or _hit = n_terms)")
     best = topk(scored, ["query_id"], [F.desc("raw"), F.col(item)], limit)
-    from pyspark.sql import Window as W
-
     return best.select("query_id", *scope, item, F.round(F.col("raw") / F.max("raw").over(W.partitionBy("query_id")), 9).alias("score"), "rank")
 
 
@@ -73,57 +73,80 @@ def bm25_search(queries: DataFrame, postings: DataFrame, scope: list[str], item:
     sizes = tf.groupBy(*scope, item).agg(F.sum("tf").alias("_dl"))
     totals = sizes.groupBy(*scope).agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("_df"))
-    met = tf.join(F.broadcast(asked), [*scope, "term"]).where("chapter <= max_chapter").join(sizes, [*scope, item]).join(df, [*scope, "term"]).join(F.broadcast(totals), scope)
+    met = tf.join(asked, [*scope, "term"]).where("chapter <= max_chapter").join(sizes, [*scope, item]).join(df, [*scope, "term"]).join(totals, scope)
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
     scored = met.groupBy("query_id", *scope, item).agg(F.round(F.sum(part), 9).alias("score"))
     return topk(scored, ["query_id"], [F.desc("score"), F.col(item)], limit).select("query_id", *scope, item, "score", "rank")
 
 
-def dense_search(queries: DataFrame, items: DataFrame, dimensions: int, limit: int = 50) -> DataFrame:
-    """(query_id, item, score, rank): cosine similarity, within 0 and 1, of each query with every item; ties by item.
+def dense_search(queries: DataFrame, items: DataFrame, dimensions: int, limit: int = 50, scope: tuple[str, ...] = (), model: str | None = None) -> DataFrame:
+    """(query_id, item, score, rank): cosine similarity, within 0 and 1, of each query with every item it may see; ties by item.
 
-    Queries (query_id, vector) are a stated set. Each block of them (bounded bytes) goes to the tasks, where a
-    batch of items is one matrix product; a task gives its own first ``limit`` of each query, and these are
-    ranked. Null vectors and those of another length are left out.
+    A query sees the items of its ``scope`` columns (such as novel) and, where it has a max_chapter, those of a
+    chapter up to that; with ``model``, only vectors with that embedding_model are read. Queries are a stated set.
+    Each block of them (bounded bytes) goes to the tasks, where a batch of items is one matrix product for every
+    ``PRODUCT`` queries; a task gives its own first ``limit`` of each query, and these are ranked. Null vectors and
+    those of another length are left out.
     """
-    spark, rows = items.sparkSession, items.where(F.size("vector") == dimensions).select(F.col("item").cast("long"), "vector")
-    asked = queries.where(F.size("vector") == dimensions).select(F.col("query_id").cast("long"), "vector")
+    capped = "max_chapter" in queries.columns
+    own = [F.col("item").cast("long"), "vector", *scope, *(["chapter"] if capped else [])]
+    rows = (items if model is None else items.where(F.col("embedding_model") == model)).where(F.size("vector") == dimensions).select(*own)
+    asked = queries.where(F.size("vector") == dimensions).select(F.col("query_id").cast("long"), "vector", *scope, *(["max_chapter"] if capped else []))
     n = asked.count()
     blocks = max(1, -(-n * dimensions * 8 // BROADCAST_BYTES))
-    out = spark.createDataFrame([], "query_id long, item long, score double")
+    out = items.sparkSession.createDataFrame([], "query_id long, item long, score double")
     for k in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
-        if len(own):
-            out = out.union(rows.mapInPandas(_nearest(own["query_id"].to_numpy(), np.stack(own["vector"].to_list()).astype(float), limit), "query_id long, item long, score double"))
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
+        if len(some):
+            out = out.union(rows.mapInPandas(_nearest(some, scope, capped, limit), "query_id long, item long, score double"))
     return topk(out, ["query_id"], [F.desc("score"), F.col("item")], limit)
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, limit: int):
+def _nearest(asked: pd.DataFrame, scope: tuple[str, ...], capped: bool, limit: int):
+    ids, vectors = asked["query_id"].to_numpy(), np.stack(asked["vector"].to_list()).astype(float)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = vectors / np.where(norms == 0, 1, norms)
+    limits = asked["max_chapter"].fillna(np.inf).to_numpy(float) if capped else None
 
     def go(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] | None = None
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not len(batch):
                 continue
             x = np.stack(batch["vector"].to_list()).astype(float)
             size = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = np.round(np.clip(unit @ (x / np.where(size == 0, 1, size)).T, 0, 1), 9)
+            x = x / np.where(size == 0, 1, size)
             items = batch["item"].to_numpy()
-            new = []
-            for q in range(len(ids)):
-                s, i = (scores[q], items) if held is None else (np.concatenate([held[q][0], scores[q]]), np.concatenate([held[q][1], items]))
-                best = np.lexsort((i, -s))[:limit]
-                new.append((s[best], i[best]))
-            held = new
-        if held is not None:
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(s) for s, _ in held]), "item": np.concatenate([i for _, i in held]), "score": np.concatenate([s for s, _ in held])})
+            for begin in range(0, len(ids), PRODUCT):
+                part = slice(begin, begin + PRODUCT)
+                scores = np.round(np.clip(unit[part] @ x.T, 0, 1), 9)
+                seen = np.ones(scores.shape, bool)
+                for c in scope:
+                    seen &= asked[c].to_numpy(object)[part, None] == batch[c].to_numpy(object)[None, :]
+                if capped:
+                    seen &= batch["chapter"].to_numpy(float)[None, :] <= limits[part, None]
+                for k in range(len(scores)):
+                    s, i = scores[k][seen[k]], items[seen[k]]
+                    if begin + k in held:
+                        s, i = np.concatenate([held[begin + k][0], s]), np.concatenate([held[begin + k][1], i])
+                    best = np.lexsort((i, -s))[:limit]
+                    held[begin + k] = s[best], i[best]
+        if held:
+            yield pd.DataFrame({"query_id": np.concatenate([np.repeat(ids[q], len(s)) for q, (s, _) in held.items()]), "item": np.concatenate([i for _, i in held.values()]), "score": np.concatenate([s for s, _ in held.values()])})
 
     return go
 
 
+def excluded_models(items: DataFrame, model: str, keys: list[str]) -> DataFrame:
+    """(keys, models, n_excluded): the other models whose vectors a search by ``model`` leaves out, where it leaves out all of them."""
+    out = items.where("vector is not null").groupBy(*keys).agg(
+        F.count_if(F.col("embedding_model") == model).alias("_own"), F.count("*").alias("n_excluded"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("embedding_model").eqNullSafe(F.lit(model)), F.coalesce("embedding_model", F.lit("none"))))), ", ").alias("models"),
+    )
+    return out.where("_own = 0").drop("_own")
+
+
 def rrf(ranked: DataFrame, keys: list[str], item: str = "item", k: int = 60, limit: int = 50) -> DataFrame:
     """(keys, item, score, rank): the sum of 1 / (k + rank) over lists; ties by the first list's place. ranked: keys, list_no, rank, item."""
     fused = ranked.groupBy(*keys, item).agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("_first"))
@@ -159,7 +182,7 @@ def mmr(candidates: DataFrame, vectors: DataFrame, key: str = "query_id", weight
 
 
 def hybrid_search(keyword: DataFrame, dense: DataFrame, vectors: DataFrame | None, top_k: int = 8) -> DataFrame:
-    """(query_id, item, score, rank): keyword and dense lists fused and diversified; either may be empty; without vectors, fused alone."""
+    """(query_id, item, score, rank): keyword and dense lists of the same items, fused and diversified; either may be empty; without vectors, fused alone."""
     lists = keyword.select("query_id", F.lit(0).alias("list_no"), "rank", "item").union(dense.select("query_id", F.lit(1).alias("list_no"), "rank", "item"))
     fused = rrf(lists, ["query_id"])
     return fused.where(F.col("rank") <= top_k) if vectors is None else mmr(fused, vectors, top_k=top_k)

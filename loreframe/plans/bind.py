@@ -82,11 +82,13 @@ r as (select id, x[1] as a, x[2] + 1000000000 as b, x[3] as rel_type, x[4]::int
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chapters: novel (source), number by doc_id, doc_id, text, lang."""
+    """documents as chapters: novel (source), number by doc_id, doc_id, text, lang. Texts stay out of the window."""
     from pyspark.sql import Window as W
 
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("novel"), "doc_id", "text", "lang")
-    return rows.withColumn("number", F.row_number().over(W.partitionBy("novel").orderBy("doc_id")))
+    docs = table(spark, sf_dir, "documents")
+    number = F.row_number().over(W.partitionBy("novel").orderBy("doc_id"))
+    numbers = docs.select(F.col("source").alias("novel"), "doc_id").withColumn("number", number).select("doc_id", "number")
+    return docs.select(F.col("source").alias("novel"), "doc_id", "text", "lang").join(numbers, "doc_id")
 
 
 CHAPTERS = "c as (select source as novel, doc_id, text, lang, row_number() over (partition by source order by doc_id)::int as number from documents)"

@@ -69,10 +69,10 @@ def stored_chapters(spark, sf):
     return spark.read.parquet(path).select("novel", "number", "doc_id")
 
 
-@query(f"with {names._PARTS}, b as (select novel, surface, arg_max(id, (is_name, -id)) as id from su group by all), c as (select l_orderkey as claim, l_linenumber as line, l_partkey % 8 as novel, p_name || ' ' || l_partkey % 230 as s from lineitem join part on l_partkey = p_partkey where l_quantity > 45) select claim, line, c.novel, id from c left join b on c.novel = b.novel and s = surface")
+@query(f"with {names._PARTS}, b as (select novel, surface, arg_max(id, (is_name, -id)) as id from su group by all), c as (select l_orderkey as claim, l_linenumber as line, l_partkey % 8 as novel, p_name || ' ' || l_partkey % 230 as s from lineitem join part on l_partkey = p_partkey) select claim, line, c.novel, id from c left join b on c.novel = b.novel and s = surface")
 def resolved_claims(spark, sf):
     p = bind.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    claims = bind.table(spark, sf, "lineitem").where("l_quantity > 45").join(p, "l_partkey").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 8).alias("novel"), F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("l_partkey") % 230).cast("string")).alias("name"))
+    claims = bind.table(spark, sf, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 8).alias("novel"), F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("l_partkey") % 230).cast("string")).alias("name"))
     known, unknown = checks.resolve_claims(claims, names.names(spark, sf), ["novel"])
     return known.select("claim", "line", "novel", "id").unionByName(unknown.select("claim", "line", "novel", F.lit(None).cast("long").alias("id")))
 

@@ -63,17 +63,17 @@ def unambiguous_matches(spark, sf):
     return entity.match_unambiguous(refs, names(spark, sf), ["novel"])
 
 
-@query(f"with {_PARTS}, c as (select l_orderkey as ref_id, l_linenumber as line, l_partkey % 8 as novel, p_name || ' ' || l_partkey % 300 as s from lineitem join part on l_partkey = p_partkey where l_quantity > 40), o as (select novel, surface, arg_min(id, (not is_name, case entity_type when 'character' then 1 when 'location' then 2 else 3 end, id)) as id from su group by all) select ref_id, line, c.novel, id from c left join o on c.novel = o.novel and lower(trim(s)) = surface")
+@query(f"with {_PARTS}, c as (select l_orderkey as ref_id, l_linenumber as line, l_partkey % 8 as novel, p_name || ' ' || l_partkey % 300 as s from lineitem join part on l_partkey = p_partkey), o as (select novel, surface, arg_min(id, (not is_name, case entity_type when 'character' then 1 when 'location' then 2 else 3 end, id)) as id from su group by all) select ref_id, line, c.novel, id from c left join o on c.novel = o.novel and lower(trim(s)) = surface")
 def resolved_names(spark, sf):
     p = bind.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    refs = bind.table(spark, sf, "lineitem").where("l_quantity > 40").join(p, "l_partkey").select(F.col("l_orderkey").alias("ref_id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 8).alias("novel"), F.concat("p_name", F.lit(" "), (F.col("l_partkey") % 300).cast("string")).alias("name"))
+    refs = bind.table(spark, sf, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("ref_id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 8).alias("novel"), F.concat("p_name", F.lit(" "), (F.col("l_partkey") % 300).cast("string")).alias("name"))
     return entity.resolve_names(refs, names(spark, sf), ["novel"], ["character", "location", "object"]).select("ref_id", "line", "novel", "id")
 
 
-@query(f"with {_PARTS}, c as (select p_partkey as ref_id, p_partkey % 8 as novel, case when p_partkey % 2 = 0 then p_name else p_name || ' ' || p_partkey % 200 || ' extra' end as r from part where p_partkey % 7 = 0), m as (select c.novel, ref_id, id from c join su on c.novel = su.novel and (r = surface or starts_with(surface, r || ' ') or starts_with(r, surface || ' '))) select novel, ref_id, min(id) as id from m group by all having count(distinct id) = 1")
+@query(f"with {_PARTS}, c as (select p_partkey as ref_id, p_partkey % 8 as novel, case when p_partkey % 2 = 0 then p_name else p_name || ' ' || p_partkey % 200 || ' extra' end as r from part), m as (select c.novel, ref_id, id from c join su on c.novel = su.novel and (r = surface or starts_with(surface, r || ' ') or starts_with(r, surface || ' '))) select novel, ref_id, min(id) as id from m group by all having count(distinct id) = 1")
 def partial_matches(spark, sf):
     full = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 200).cast("string"), F.lit(" extra"))
-    refs = bind.table(spark, sf, "part").where("p_partkey % 7 = 0").select((F.col("p_partkey") % 8).alias("novel"), F.col("p_partkey").alias("ref_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(full).alias("name"))
+    refs = bind.table(spark, sf, "part").select((F.col("p_partkey") % 8).alias("novel"), F.col("p_partkey").alias("ref_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(full).alias("name"))
     return entity.resolve_partial(refs, names(spark, sf), ["novel"])
 
 
@@ -112,11 +112,13 @@ def suggested_names(spark, sf):
     return entity.suggest_names(wrong, known, ["novel"])
 
 
-@query("select p_partkey % 8 as novel, p_name as name, p_size % 2 as owner, arg_min(p_brand, p_partkey) filter (p_partkey % 3 <> 0) as brand, array_to_string(list_distinct(list(p_type order by p_partkey)), '|') is not null as typed, count(*) > 0 as found from part group by all")
+@query("""with t as (select p_partkey % 8 as novel, p_name as name, p_size % 2 as owner, p_type, min(p_partkey) as k from part group by all), u as (select novel, name, owner, string_agg(p_type, '|' order by k) as types from t group by all),
+b as (select p_partkey % 8 as novel, p_name as name, p_size % 2 as owner, arg_min(p_brand, p_partkey) filter (p_partkey % 3 <> 0) as brand from part group by all) select novel, name, owner, brand, types from u join b using (novel, name, owner)""")
 def merged_entities(spark, sf):
+    """Records of one name: the first brand that isn't empty, and all types in order."""
     rows = bind.table(spark, sf, "part").select((F.col("p_partkey") % 8).alias("novel"), F.col("p_name").alias("name"), (F.col("p_size") % 2).alias("owner"), "p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).otherwise("").alias("brand"), F.array("p_type").alias("types"))
     out = ingest.merge_entities(rows, ["novel", "name", "owner"], "p_partkey", ["brand"], ["types"])
-    return out.select("novel", "name", "owner", "brand", (F.size("types") > 0).alias("typed"), F.lit(True).alias("found"))
+    return out.withColumn("types", F.array_join("types", "|"))
 
 
 @query("select distinct p_partkey % 8 as novel, 'object' as entity_type, p_name as name from part union select distinct p_partkey % 8, 'faction', p_brand from part union select distinct p_partkey % 8, 'location', unnest([p_type, p_type || ' hall']) from part")
@@ -161,13 +163,14 @@ def registered_custom(spark, sf):
     return ingest.registered_types(custom, registry)[0].select("id", "entity_type")
 
 
-@query("""with e as (select distinct l_suppkey % 12 as draft, l_partkey as id from lineitem where l_quantity > 49), r as (select d.draft, p_partkey as id, p_size as recency from part, (select distinct l_suppkey % 12 as draft from lineitem) d where p_partkey % 20 < 2),
-x as (select r.*, e.id is not null as m from r left join e on e.draft = r.draft and e.id = r.id) select draft, id, row_number() over (partition by draft order by (not m)::int, case when m then id end, recency desc, id)::int as position from x qualify position <= 40""")
+@query("""with e as (select distinct l_suppkey % 12 as novel, l_partkey as id from lineitem where l_quantity > 49), r as (select p_partkey % 12 as novel, p_partkey as id, p_size as recency from part),
+x as (select r.*, e.id is not null as m from r left join e using (novel, id)) select novel, id, row_number() over (partition by novel order by (not m)::int, case when m then id end, recency desc, id)::int as position from x qualify position <= 40""")
 def selected_context(spark, sf):
-    lines = bind.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 12).alias("draft"), F.col("l_partkey").alias("id"), "l_quantity")
-    drafts = lines.select("draft").distinct()
-    roster = drafts.crossJoin(bind.table(spark, sf, "part").where("p_partkey % 20 < 2").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), F.col("p_size").alias("recency")))
-    return ingest.select_context(lines.where("l_quantity > 49").select("draft", "id"), roster, ["draft"], 40)
+    """The roster of each novel: what its draft mentions, then the rest by recency."""
+    mentions = bind.table(spark, sf, "lineitem").where("l_quantity > 49").select((F.col("l_suppkey") % 12).alias("novel"), F.col("l_partkey").alias("id"))
+    key = F.col("p_partkey")
+    roster = bind.table(spark, sf, "part").select((key % 12).alias("novel"), key.alias("id"), key.alias("place"), F.col("p_size").alias("recency"))
+    return ingest.select_context(mentions, roster, ["novel"], 40)
 
 
 @query("with x as (select p_name as surface, case p_size % 3 when 0 then 'character' when 1 then 'location' else 'object' end as t, p_partkey as id from part), c as (select surface, arg_min(t, id) as actual from x group by 1), e as (select distinct p_name as surface, 'object' as expected from part) select count(*) as found, count_if(expected = actual) as right, round(count_if(expected = actual) / count(*), 9) as accuracy from e join c using (surface)")
@@ -183,9 +186,11 @@ def entity_scores(spark, sf):
     return metrics.score_entities(rows.where("p_size < 30"), rows.where("p_size > 10").withColumn("name", F.when(F.col("p_size") % 4 == 0, F.substring_index("name", " ", 1)).otherwise(F.col("name"))), "document")
 
 
-@query("select s_suppkey as id, array_to_string(list_filter(list_distinct(['a', s_name, 'b', 'a', 'n' || s_nationkey]), lambda x: x <> s_name), ',') is not null as ok, case s_nationkey % 3 when 0 then 1.0 when 1 then 0.6 end::double as level from supplier")
+@query("""with x as (select s_suppkey as id, unnest(['a', s_name, 'b', 'a', 'n' || s_nationkey, 'b']) as x, unnest(range(6)) as i, s_name from supplier), f as (select id, x, min(i) as i from x where x <> s_name group by all), j as (select id, string_agg(x, ',' order by i) as aliases from f group by 1)
+select id, aliases, case s_nationkey % 3 when 0 then 1.0 when 1 then 0.6 end::double as level from j join supplier on s_suppkey = id""")
 def aliases_and_levels(spark, sf):
+    """Aliases of two entities in order, distinct, without the own name; levels as numbers."""
     rows = bind.table(spark, sf, "supplier")
-    union = X.union_aliases(F.col("s_name"), F.array(F.lit("a"), "s_name", F.lit("b")), F.array(F.lit("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))))
+    union = X.union_aliases(F.col("s_name"), F.array(F.lit("a"), "s_name", F.lit("b")), F.array(F.lit("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("b")))
     level = F.when(F.col("s_nationkey") % 3 == 0, "High").when(F.col("s_nationkey") % 3 == 1, " medium").otherwise("none")
-    return rows.select(F.col("s_suppkey").alias("id"), (F.size(union) == 3).alias("ok"), X.level(level).alias("level"))
+    return rows.select(F.col("s_suppkey").alias("id"), F.array_join(union, ",").alias("aliases"), X.level(level).alias("level"))

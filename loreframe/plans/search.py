@@ -41,14 +41,14 @@ def postings(spark, sf):
 
 
 def asked(spark, sf):
-    """Benchmark items as queries of the novel src<item % 20>, with a cutoff; every fifth has a negated word."""
+    """Whole benchmark items as queries of the novel src<item % 20>, with a cutoff; every fifth asks for one word without another."""
     words = F.split(F.trim("text"), r"\s+")
-    text = F.array_join(F.slice(words, 1, 6), " ")
+    text = F.array_join(words, " ")
     text = F.when(F.col("item_id") % 5 == 0, F.concat(F.element_at(words, 1), F.lit(" -"), F.element_at(words, 2))).otherwise(text)
     return bind.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("novel"), (F.col("item_id") % 30 + 20).cast("int").alias("max_chapter"))
 
 
-_ASKED = "w0 as (select item_id, regexp_split_to_array(trim(text, ' ' || chr(10)), '\\s+') as w from benchmark), qs as (select item_id as query_id, case when item_id % 5 = 0 then w[1] || ' -' || w[2] else array_to_string(w[1:6], ' ') end as text, 'src' || item_id % 20 as novel, (item_id % 30 + 20)::int as max_chapter from w0)"
+_ASKED = "w0 as (select item_id, regexp_split_to_array(trim(text, ' ' || chr(10)), '\\s+') as w from benchmark), qs as (select item_id as query_id, case when item_id % 5 = 0 then w[1] || ' -' || w[2] else array_to_string(w, ' ') end as text, 'src' || item_id % 20 as novel, (item_id % 30 + 20)::int as max_chapter from w0)"
 _WORDS = f"qw as (select distinct query_id, unnest({_terms('u')}) as term, starts_with(u, '-') as negated from (select query_id, unnest(string_split(text, ' ')) as u from qs)), qf as (select query_id, bool_or(negated) as has_neg, count_if(not negated) as n_terms from qw group by 1)"
 _KEYWORD = f"""{_POST}, {_ASKED}, {_WORDS}, ks as (select qs.query_id, po.novel, item, round(sum(case when not negated then weight * tf end), 9) as raw, count(distinct case when not negated then po.term end) as hit, bool_or(negated) as bad
     from qs join qw using (query_id) join po on po.novel = qs.novel and po.term = qw.term where number <= max_chapter group by all),
@@ -90,26 +90,40 @@ def dense_search(spark, sf):
 
 
 _RRF = "select query_id, item, round(score, 9) as score, row_number() over (partition by query_id order by score desc, t0, item)::int as rank from (select query_id, item, round(sum(1.0::double / (60 + rank)), 12) as score, min((list_no, rank)) as t0 from ls group by all) qualify rank <= 50"
-_KEYED = f"{_KEYWORD}, ls as (select query_id, 0 as list_no, rank, item from kw union all select query_id, 1, rank, item from (select item_id as query_id, vec_id as item, row_number() over (partition by item_id order by {_COS} desc, vec_id)::int as rank from (select item_id, embedding from benchmark join embeddings on vec_id = item_id * 7) q, embeddings e qualify rank <= 50))"
+_KEYED = f"""{_KEYWORD}, dv as (select item_id as query_id, vec_id as item, {_COS} as score, row_number() over (partition by item_id order by {_COS} desc, vec_id)::int as rank
+    from (select item_id, embedding, novel, max_chapter from benchmark join embeddings on vec_id = item_id * 7 join qs on query_id = item_id) q join c on c.novel = q.novel and number <= max_chapter join embeddings e on e.vec_id = c.doc_id where e.label % 2 = 0 qualify rank <= 50),
+ls as (select query_id, 0 as list_no, rank, item from kw union all select query_id, 1, rank, item from dv)"""
 
 
-def lists(spark, sf):
-    rows = vectors(spark, sf)
-    items = bind.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    own = items.join(rows.select((F.col("item") / 7).alias("query_id"), "vector"), "query_id")
-    return keyword_search(spark, sf), retrieval.dense_search(own.select(F.col("query_id").cast("long"), "vector"), rows, 64)
+def chapter_vectors(spark, sf):
+    """Vectors of chapters (document and vector of one id), by the model of their label."""
+    docs = bind.chapters(spark, sf).select(F.col("doc_id").alias("item"), "novel", F.col("number").alias("chapter"))
+    return docs.join(vectors(spark, sf).withColumn("embedding_model", F.concat(F.lit("m"), (F.col("label") % 2).cast("string"))), "item")
+
+
+def chapter_lists(spark, sf):
+    """Keyword and vector lists of chapters for the same queries, both within novel, cutoff and model."""
+    own = vectors(spark, sf).where("item % 7 = 0").select((F.col("item") / 7).cast("long").alias("query_id"), "vector")
+    own = own.join(asked(spark, sf).select("query_id", "novel", "max_chapter"), "query_id")
+    return keyword_search(spark, sf), retrieval.dense_search(own, chapter_vectors(spark, sf), 64, scope=("novel",), model="m0")
+
+
+@query(f"with {_KEYED} select query_id, item, round(score, 6) as score, rank from dv")
+def scoped_dense_search(spark, sf):
+    """Vectors of chapters in each query's novel, up to its cutoff, of one model."""
+    return chapter_lists(spark, sf)[1].withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_KEYED} {_RRF}")
 def rank_fusion(spark, sf):
-    keyword, dense = lists(spark, sf)
+    keyword, dense = chapter_lists(spark, sf)
     both = keyword.select("query_id", F.lit(0).alias("list_no"), "rank", "item").union(dense.select("query_id", F.lit(1).alias("list_no"), "rank", "item"))
     return retrieval.rrf(both, ["query_id"]).withColumn("score", F.round("score", 9))
 
 
 @query("")
 def hybrid_search(spark, sf):
-    keyword, dense = lists(spark, sf)
+    keyword, dense = chapter_lists(spark, sf)
     return retrieval.hybrid_search(keyword, dense, vectors(spark, sf))
 
 
@@ -122,6 +136,11 @@ def recall_at_8(spark, sf):
     return metrics.recall_at_k(found, met.where("label = _l and rank <= 40").select("query_id", "item"), 8, "query_id", "item")
 
 
+@query(f"with {_DENSE}, x as (select *, label = (select label from embeddings where vec_id = query_id) as hit from ds join embeddings on vec_id = item), ex as (select query_id, item from x where hit and rank <= 40), r as (select query_id, count_if(item in (select item from ds d where d.query_id = ex.query_id and d.rank <= 8)) / count(*) as recall from ex group by 1) select round(avg(recall), 6) as recall, count(*) as queries from r")
+def mean_recall(spark, sf):
+    return metrics.mean_recall(recall_at_8(spark, sf)).withColumn("recall", F.round("recall", 6))
+
+
 @query("""with p as (select label as truth, vec_id % 6 as predicted from embeddings), n as (select (select sum(c * (c - 1) / 2) from (select count(*) as c from p group by truth, predicted))::bigint as both_pairs, (select sum(c * (c - 1) / 2) from (select count(*) as c from p group by truth))::bigint as true_pairs, (select sum(c * (c - 1) / 2) from (select count(*) as c from p group by predicted))::bigint as predicted_pairs)
 select *, round(both_pairs / predicted_pairs, 9) as precision, round(both_pairs / true_pairs, 9) as recall, round(2 * (both_pairs / predicted_pairs) * (both_pairs / true_pairs) / (both_pairs / predicted_pairs + both_pairs / true_pairs), 9) as f1 from n""")
 def pairwise_resolution(spark, sf):
@@ -142,17 +161,29 @@ def neighbour_cosine(spark, sf):
     return a.join(b, "item").select("item", F.round(c, 6).alias("cosine"), F.round(X.similarity_of_distance(1 - c), 6).alias("similarity"))
 
 
-@query("")
+def _sha_numbers(text: str) -> str:
+    """SQL of the eight numbers of one digest; hex digits are put together least byte first."""
+    at = lambda k: "('0x' || " + " || ".join(f"substr(sha256({text}), {8 * k + 2 * i + 1}, 2)" for i in (3, 2, 1, 0)) + ")::bigint / 4294967295.0::double * 2 - 1"
+    return "[" + ", ".join(at(k) for k in range(8)) + "]"
+
+
+_ZEROS = "chr(0) || chr(0) || chr(0)"
+
+
+@query(f"select item_id, array_to_string(list_transform(list_concat({_sha_numbers(f'(text || chr(0) || {_ZEROS})')}, {_sha_numbers(f'(text || chr(1) || {_ZEROS})')}), lambda x: round(x * 1000000)::bigint), ' ') as numbers from benchmark")
 def hash_vectors(spark, sf):
+    """Vectors of hashes, written as text and read back."""
     rows = bind.table(spark, sf, "benchmark").select("item_id", X.hash_embed("text", 16).alias("v"))
-    return rows.select("item_id", F.transform(X.parse_vector(X.vector_text(F.col("v"))), lambda x: F.round(x, 9)).alias("v"))
+    return rows.select("item_id", F.array_join(F.transform(X.parse_vector(X.vector_text(F.col("v"))), lambda x: F.round(x * 1000000).cast("long").cast("string")), " ").alias("numbers"))
 
 
-@query("select vec_id as item, case when vec_id % 3 = 0 then 'new' else 'kept' end as origin, 'model-b' as embedding_model from embeddings")
+@query(f"""with r as (select vec_id as item, 'label ' || label as text, case when vec_id % 3 <> 0 then embedding::double[] end as v, case when vec_id % 5 = 0 then 'model-a' else 'model-b' end as m from embeddings)
+select item, case when v is null or m <> 'model-b' then 'new' else 'kept' end as origin, array_to_string(list_transform(case when v is null or m <> 'model-b' then {_sha_numbers("(text || chr(0) || chr(0) || chr(0) || chr(0))")} else v end, lambda x: round(x * 1000000)::bigint), ' ') as numbers from r""")
 def backfilled_vectors(spark, sf):
-    rows = vectors(spark, sf).select("item", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.when(F.col("item") % 3 != 0, F.col("vector").cast("array<double>")).alias("vector"), F.lit("model-b").alias("embedding_model"))
+    """Missing vectors and those of another model are embedded anew; the numbers themselves are compared."""
+    rows = vectors(spark, sf).select("item", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.when(F.col("item") % 3 != 0, F.col("vector").cast("array<double>")).alias("vector"), F.when(F.col("item") % 5 == 0, "model-a").otherwise("model-b").alias("embedding_model"))
     out = retrieval.backfill_vectors(rows, lambda t: X.hash_embed(t, 8), "model-b")
-    return out.select("item", F.when(F.size("vector") == 8, "new").otherwise("kept").alias("origin"), "embedding_model")
+    return out.select("item", F.when(F.size("vector") == 8, "new").otherwise("kept").alias("origin"), F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("long").cast("string")), " ").alias("numbers"))
 
 
 @query("select vec_id as item, not (vec_id % 4 = 0 and vec_id % 6 <> 0) as kept from embeddings")
@@ -161,10 +192,10 @@ def invalidated_vectors(spark, sf):
     return retrieval.invalidated(rows).select("item", F.col("vector").isNotNull().alias("kept"))
 
 
-@query("select string_agg(distinct lang, ',' order by lang) as models, count(distinct lang) as n from documents")
+@query(f"with {CHAPTERS} select novel, count(*) as n_excluded, string_agg(distinct 'm' || label % 2, ', ' order by 'm' || label % 2) as models from c join embeddings on vec_id = doc_id group by 1 having count_if(label % 2 = 7) = 0")
 def excluded_models(spark, sf):
-    langs = bind.table(spark, sf, "documents").agg(F.array_sort(F.collect_set("lang")).alias("l"))
-    return langs.select(F.array_join("l", ",").alias("models"), F.size("l").cast("long").alias("n"))
+    """For a model that no vector has: what each novel's search leaves out."""
+    return retrieval.excluded_models(chapter_vectors(spark, sf), "m7", ["novel"])
 
 
 _FOLD = "trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'), ' ')"
@@ -186,16 +217,20 @@ def overlapping_items(spark, sf):
     return met.groupBy("a", "b", "na").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(2), F.floor(F.col("na") * 0.1).cast("int"))).select("a", "b", "shared")
 
 
-@query("select doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{2,}$') and not list_contains(" + _STOP + ", lower(w))))) as n_names from documents where lang = 'en'")
+@query("select doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{2,}$') and not list_contains(" + _STOP + ", lower(w))))) as n_names from documents")
 def candidate_names(spark, sf):
-    rows = bind.table(spark, sf, "documents").where("lang = 'en'").withColumn("n", X.candidate_names("text"))
+    rows = bind.table(spark, sf, "documents").withColumn("n", X.candidate_names("text"))
     return rows.select("doc_id", F.size("n").cast("long").alias("n_names"))
 
 
-@query("with s as (select doc_id, unnest(string_split(regexp_replace(trim(text, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from documents) select doc_id, count(*) as n_flagged, min(length(s)) as shortest from s where s <> '' and regexp_matches(lower(s), 'thing|edly|someday|if only') group by 1")
+#: Besides the fixed words, some that the invented texts have.
+_FLAGS = (*X.FLAG_WORDS, "thing", "edly")
+
+
+@query(f"with s as (select doc_id, unnest(string_split(regexp_replace(trim(text, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from documents) select doc_id, count(*) as n_flagged, min(length(s)) as shortest from s where s <> '' and regexp_matches(lower(s), '{'|'.join(_FLAGS)}') group by 1")
 def flag_sentences(spark, sf):
-    rows = bind.table(spark, sf, "documents").select("doc_id", F.explode(X.sentences("text")).alias("s"))
-    return rows.where(F.rlike(F.lower("s"), F.lit("thing|edly|someday|if only"))).groupBy("doc_id").agg(F.count("*").alias("n_flagged"), F.min(F.length("s")).cast("long").alias("shortest"))
+    rows = bind.table(spark, sf, "documents").select("doc_id", F.explode(X.flag_sentences("text", _FLAGS)).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_flagged"), F.min(F.length("s")).cast("long").alias("shortest"))
 
 
 @query("with m as (select doc_id, case when doc_id % 2 = 0 then substr(text, 5, 20) else 'no such quote ' || doc_id end as quote, text from documents) select doc_id, contains(text, quote) as verbatim, contains(lower(text), lower('THEA')) as has_word from m")
@@ -237,12 +272,11 @@ def chapter_summaries(spark, sf):
     return ingest.concat_distinct(rows, ["chapter"], ["turn"], "text", "\n\n")
 
 
-@query(f"with {_CONV}, m as (select chapter % 20 as character, lower(trim(text)) as t, chapter, min(text) as text from cv where turn % 2 = 1 and text is not null group by all), l as (select distinct chapter % 20 as character, lower(trim(text)) as t, chapter from cv where turn % 2 = 0) select (select count(*) from cv where turn % 2 = 0) as logged, count(*) as added from m where not exists (select 1 from l where l.character = m.character and l.t = m.t and l.chapter = m.chapter)")
+@query(f"with {_CONV}, l as (select chapter % 20 as character, chapter, lower(trim(text, ' ')) as text from cv where turn % 2 = 0 and text is not null), m as (select distinct chapter % 20 as character, chapter, lower(trim(text, ' ')) as text from cv where turn % 2 = 1 and text is not null) select *, true as logged from l union all select *, false from m where not exists (select 1 from l where l.character = m.character and l.chapter = m.chapter and l.text = m.text)")
 def consolidated_log(spark, sf):
-    rows = bind.table(spark, sf, "conversations").where("text is not null").select((F.col("conv_id") % 20).alias("character"), F.col("conv_id").alias("chapter"), "turn", "text")
-    log, moved = rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1")
-    out = ingest.consolidate_log(log.select("character", "chapter", "text"), moved.select("character", "chapter", "text"), ["character", "chapter"], "text")
-    return log.agg(F.count("*").alias("logged")).crossJoin(out.agg(F.count("*").alias("_n"))).select("logged", (F.col("_n") - F.col("logged")).alias("added"))
+    """The log and what it lacks of the moved rows, by folded text."""
+    rows = bind.table(spark, sf, "conversations").where("text is not null").select((F.col("conv_id") % 20).alias("character"), F.col("conv_id").alias("chapter"), F.lower(F.trim("text")).alias("text"), (F.col("turn") % 2 == 0).alias("logged"))
+    return ingest.consolidate_log(rows.where("logged"), rows.where("not logged"), ["character", "chapter"], "text")
 
 
 @query(f"with {_CONV} select chapter, role, arg_max(turn, turn) as turn, arg_max(text, turn) filter (text <> '' and turn % 3 <> 0) as text from cv group by all")
@@ -271,12 +305,12 @@ def fact_recall(spark, sf):
     return metrics.score_facts(rows.where("turn = 0").drop("turn"), rows.where("turn = 1").drop("turn"), ["character"]).select("character", "fact_id", "matched")
 
 
-_EV = f"ev as (select doc_id % 50 as draft, doc_id as event_seq, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from documents where lang = 'en'), cm as (select item_id as commitment_id, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from benchmark)"
+_EV = f"ev as (select doc_id % 50 as draft, doc_id as event_seq, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from documents), cm as (select item_id as commitment_id, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from benchmark)"
 
 
 @query(f"with {_EV} select draft, commitment_id, min(event_seq) as event_seq from ev, cm where len(list_intersect(cm.w, ev.w)) >= greatest(3, floor(len(cm.w) * 0.4::double)::int) group by all")
 def check_commitments(spark, sf):
-    events = bind.table(spark, sf, "documents").where("lang = 'en'").select(F.lit(0).alias("novel"), (F.col("doc_id") % 50).alias("draft"), F.col("doc_id").alias("event_seq"), F.col("text").alias("description"))
+    events = bind.table(spark, sf, "documents").select(F.lit(0).alias("novel"), (F.col("doc_id") % 50).alias("draft"), F.col("doc_id").alias("event_seq"), F.col("text").alias("description"))
     pending = bind.table(spark, sf, "benchmark").select(F.lit(0).alias("novel"), F.col("item_id").alias("commitment_id"), F.col("text").alias("foreshadow"))
     return checks.check_commitments(events, pending, ["novel"]).select("draft", "commitment_id", "event_seq")
 
@@ -310,13 +344,8 @@ def merged_canon(spark, sf):
 
 @query("")
 def matched_payoffs(spark, sf):
-    """Short chapters as payoffs of benchmark items, by name similarity, greedily within each language."""
-    from loreframe.operators.entity import similarity
-
-    words = lambda c, n: F.array_join(F.slice(F.split(X.fold_text(c), " "), 1, n), " ")
-    payoffs = bind.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("payoff_id"), F.col("doc_id").alias("payoff_seq"), words("text", 12).alias("p"))
-    commitments = bind.table(spark, sf, "benchmark").select(F.col("item_id").alias("commitment_id"), words("text", 12).alias("c"))
-    a = payoffs.withColumn("_t", F.explode(X.content_words("p")))
-    b = commitments.withColumn("_t", F.explode(X.content_words("c")))
-    pairs = a.join(b, "_t").groupBy("lang", "payoff_id", "payoff_seq", "p", "commitment_id", "c").agg(F.count("*").alias("n")).where("n >= 2")
-    return ingest.match_payoffs(pairs, similarity("c", "p"), ["lang"])
+    """Chapters as payoffs of their novel's benchmark items: whole texts, a payoff's first line being what it says it answers."""
+    docs = bind.chapters(spark, sf)
+    payoffs = docs.select("novel", F.col("doc_id").alias("payoff_id"), F.col("number").alias("payoff_seq"), F.regexp_extract("text", r"^[^\n]*", 0).alias("matches"), F.col("text").alias("payoff"))
+    commitments = asked(spark, sf).select("query_id", "novel").join(bind.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("foreshadow")), "query_id").select("novel", F.col("query_id").alias("commitment_id"), "foreshadow")
+    return ingest.match_payoffs(payoffs, commitments, ["novel"])

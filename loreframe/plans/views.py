@@ -85,12 +85,12 @@ def object_pages(spark, sf):
     return edges.join(names, "other").groupBy(F.col("entity").alias("object"), "cutoff").agg(F.count("*").alias("n_relations"), F.min("name").alias("first_name"))
 
 
-@query("with e as (select l_orderkey as event, min((year(l_shipdate) - 1995) * 12 + month(l_shipdate))::int as chapter, list(distinct l_suppkey) as m from lineitem group by 1), k(cutoff) as (values (12), (36), (60)) select s_suppkey as faction, cutoff, count(event) as n_events from supplier join k on true left join e on list_contains(m, s_suppkey) and chapter <= cutoff where s_suppkey < 20 group by all having count(event) > 0")
+@query("with e as (select l_orderkey as event, min((year(l_shipdate) - 1995) * 12 + month(l_shipdate))::int as chapter, list(distinct l_suppkey) as m from lineitem group by 1), k(cutoff) as (values (12), (36), (60)) select s_suppkey as faction, cutoff, count(event) as n_events from supplier join k on true left join e on list_contains(m, s_suppkey) and chapter <= cutoff group by all having count(event) > 0")
 def faction_pages(spark, sf):
     """Factions that some event up to the cutoff involves, by array membership as an equi-join."""
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
     events = bind.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.min(month).alias("chapter"), F.collect_set("l_suppkey").alias("m"))
-    each = events.select("event", "chapter", F.explode("m").alias("faction")).where("faction < 20").crossJoin(F.broadcast(graph.cutoffs(spark))).where("chapter <= cutoff")
+    each = events.select("event", "chapter", F.explode("m").alias("faction")).crossJoin(F.broadcast(graph.cutoffs(spark))).where("chapter <= cutoff")
     own = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("faction"))
     return each.join(own, "faction").groupBy("faction", "cutoff").agg(F.count("*").alias("n_events"))
 
@@ -184,11 +184,10 @@ def horizon_counts(spark, sf):
     return log.crossJoin(horizon).groupBy("novel", "horizon").agg(F.count_if(F.col("chapter") == F.col("horizon")).alias("n_last"), F.count("*").alias("n"))
 
 
-@query("select l_orderkey as event, l_linenumber as line from lineitem where l_suppkey = 7 group by all")
+@query("select l_orderkey as event, count(distinct l_suppkey) as n_members from lineitem group by 1 having bool_or(l_suppkey = 7)")
 def contained_members(spark, sf):
-    """Rows whose array holds an id."""
-    rows = bind.table(spark, sf, "lineitem").withColumn("members", F.array("l_suppkey", F.lit(-1).cast("long")))
-    return rows.where(F.array_contains("members", F.lit(7).cast("long"))).select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("line")).distinct()
+    """Events whose members hold an id."""
+    return graph.events(spark, sf).where(F.array_contains("members", F.lit(7).cast("long"))).select("event", F.size("members").cast("long").alias("n_members"))
 
 
 @query("select o_custkey as novel, count(*) as n_kept, min(o_orderkey) as first from orders where o_orderkey % 4 <> 0 group by 1")

@@ -178,8 +178,27 @@ def test_keyword_negation_and_cutoff(spark):
 
 
 def test_greedy_payoffs(spark):
-    pairs = spark.createDataFrame([(0, 1, 1, 100, 0.9), (0, 1, 1, 101, 0.5), (0, 2, 2, 100, 0.99), (0, 2, 2, 101, 0.6), (0, 3, 3, 101, 0.9), (0, 3, 3, 102, 0.4)], "novel long, payoff_id long, payoff_seq long, commitment_id long, s double")
-    assert rows(ingest.match_payoffs(pairs, F.col("s"), ["novel"]), "payoff_id", "commitment_id") == [(1, 100), (2, 101)]
+    import difflib
+
+    commitments = [(0, 100, "The lamp in the tower will burn again"), (0, 101, "She swore to bring the bell home"), (0, 102, "lamp in tower burn"), (1, 103, "The lamp in the tower will burn again"), (0, 104, ""), (0, 105, None)]
+    payoffs = [
+        (0, 1, 1, "the lamp in the tower burns", "Light fell on the sea."), (0, 2, 2, "the lamp in the tower burns", "again"), (0, 3, 3, None, "She swore to bring the bell home"),
+        (0, 4, 4, "nothing like it " * 40, None), (0, 5, 5, "", "she did bring the bell home at last"), (1, 6, 1, "THE LAMP IN THE TOWER WILL BURN AGAIN", None), (2, 7, 1, "The lamp in the tower will burn again", None),
+    ]
+    expected, used = [], set()
+    for n, p, _, m, t in sorted(payoffs, key=lambda x: (x[0], x[2])):
+        best = None
+        for k, c, f in commitments:
+            if k == n and f and c not in used:
+                ratio = lambda x: difflib.SequenceMatcher(None, (x or "").lower(), f.lower()).ratio() if x else 0.0  # noqa: B023, E731
+                score = max(ratio(m), 0.6 * ratio(t))
+                if score >= 0.45 and (best is None or score > best[0]):
+                    best = score, c
+        if best:
+            used.add(best[1])
+            expected.append((p, best[1], round(best[0], 9)))
+    out = ingest.match_payoffs(spark.createDataFrame(payoffs, "novel long, payoff_id long, payoff_seq long, matches string, payoff string"), spark.createDataFrame(commitments, "novel long, commitment_id long, foreshadow string"), ["novel"])
+    assert sorted((r.payoff_id, r.commitment_id, round(r.score, 9)) for r in out.collect()) == expected and len(expected) >= 4
 
 
 def test_maximum_matching(spark):
