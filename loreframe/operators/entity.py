@@ -51,18 +51,6 @@ def sequence_ratio(a: str | Column, b: str | Column, least: float = 0.0) -> Colu
     return F.pandas_udf(ratio, T.DoubleType())(a, b)
 
 
-def token_share(a: str | Column, b: str | Column) -> Column:
-    """The tokens that two folded names share, over the shorter one's."""
-    x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in (a, b))
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
-
-
-def similarity(a: str | Column, b: str | Column, least: float = 0.0) -> Column:
-    """The higher of the sequence ratio and the shared tokens over the shorter name's; exact where it is ``least`` or more."""
-    return F.greatest(token_share(a, b), sequence_ratio(a, b, least))
-
-
 def _ratio(a: list[str], b: list[str]) -> list[float]:
     out = []
     for x, y in zip(a, b, strict=True):
@@ -89,8 +77,8 @@ def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> Dat
     rare = tokens.join(counts, [*keys, "_t"]).withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(least) - 1e-9) + 1)
     other = tokens.select(*keys, F.col("surface").alias("_b"), "_t", F.col("_w").alias("_v"), F.col("_n").alias("_m"))
     shared = rare.join(other, [*keys, "_t"]).where((F.col("surface") != F.col("_b")) & (F.col("_n") <= F.col("_m")))
-    shared = shared.where(F.size(F.array_intersect("_w", "_v")) / F.col("_n") >= least)
-    first = shared.select(*keys, F.least("surface", "_b").alias("a"), F.greatest("surface", "_b").alias("b"))
+    shared = shared.withColumn("_share", F.size(F.array_intersect("_w", "_v")) / F.col("_n")).where(F.col("_share") >= least)
+    first = shared.select(*keys, F.least("surface", "_b").alias("a"), F.greatest("surface", "_b").alias("b"), "_share")
     # pieces of the shorter name for each length that the longer may have, and where they may lie there
     most = F.floor(F.col("_l") * (least / (2 - least)) ** -1 + 1e-9).cast("int")
     lengths = rows.select(*keys, F.col("_l").alias("_len")).distinct()
@@ -105,9 +93,12 @@ def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> Dat
     long = rows.select(*keys, F.col("surface").alias("_b"), F.col("_l").alias("_len")).join(widths, [*keys, "_len"])
     long = long.where("_len >= _w").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_len") - F.col("_w")))).select(*keys, "_b", "_len", F.col("_b").substr(F.col("_j") + 1, F.col("_w")).alias("_p"), "_j")
     met = short.select(*keys, "_a", "_len", "_p", "_j").distinct().join(long, [*keys, "_len", "_p", "_j"]).where("_a <> _b")
-    second = met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    pairs = first.union(second).distinct()
-    return pairs.withColumn("score", similarity("a", "b", least)).where(F.col("score") >= least)
+    second = met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), F.lit(0.0).alias("_share"))
+    # a fixed number of partitions: pairs are few bytes, but their ratio is the work
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = first.union(second).repartition(n, *keys, "a", "b").groupBy(*keys, "a", "b").agg(F.max("_share").alias("_share"))
+    # who shares that many tokens has met on them: for others the ratio alone counts
+    return pairs.withColumn("score", F.greatest("_share", sequence_ratio("a", "b", least))).where(F.col("score") >= least).drop("_share")
 
 
 def duplicate_pairs(names: DataFrame, keys: list[str], least: float = NEAR) -> DataFrame:
