@@ -70,7 +70,7 @@ def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> Dat
     for. They meet on (lengths, piece, place).
     """
     rows = names.select(*keys, "surface").distinct().withColumn("_l", F.length("surface"))
-    words = rows.select(*keys, "surface", F.array_distinct(F.split("surface", " ")).alias("_w")).withColumn("_n", F.size("_w"))
+    words = rows.select(*keys, "surface", F.array_distinct(F.filter(F.split("surface", " "), lambda w: w != "")).alias("_w")).withColumn("_n", F.size("_w"))
     tokens = words.withColumn("_t", F.explode("_w"))
     counts = tokens.groupBy(*keys, "_t").agg(F.count("*").alias("_df"))
     rank = F.row_number().over(W.partitionBy(*keys, "surface").orderBy("_df", "_t"))
