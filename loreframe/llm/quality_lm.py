@@ -1,22 +1,27 @@
-"""Quality by an interpolated modified Kneser-Ney bigram model of trusted text.
+"""Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words are hashed into a vocabulary of 2**19 ids; a pair of ids is a 38-bit number, mixed one to one so that
-ranges of it are even shards. The model is trained on all trusted documents but those kept to calibrate:
+Words are 64-bit hashes and so are pairs and trigrams of them; nothing is folded into a vocabulary of fixed size.
+The model is trained on all trusted documents but those kept to calibrate:
 
-    p(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) * p1(w)
-    p1(w)    = max(N(.w) - E(N), 0) / N(..) + g1 / V
+    p3(w | uv) = max(c(uvw) - D3, 0) / c(uv.) + g3(uv) * p2(w | v)
+    p2(w | v)  = max(a(vw) - D2, 0) / a(v.) + g2(v) * p1(w)
+    p1(w)      = max(a(w) - D1, 0) / a(.) + g1 / V
 
-with D and E the modified discounts of pairs and of continuation counts, from their counts of counts. The pair
-counts are a table of shards; the statistics by word are arrays of the vocabulary's fixed size.
+a(vw) is the number of distinct words before vw (its count where v is the start of a text), a(w) that of distinct
+words before w, each D the modified discount of its level and V the number of known words and one for all others.
+The first word of a text has only the start before it and takes p2.
 
-Scoring joins by shard: each run of documents deals its pairs to the shards as packed arrays; the shard's counts
-turn them into sums of log p for each document of the run, which come back by run. The commonest pairs
-(over ``HEAVY`` of all pairs, so at most 1 / HEAVY of them) go to the scoring tasks instead.
+Texts are read once into runs: packed words of about ``RUN_WORDS`` tokens. A run asks each level's table for its
+distinct grams, as sorted hashes dealt to shards of the hash; a shard merges the runs or looks their grams up and
+answers in the order asked, so that answers need no keys. So however common a gram is, a run asks for it once.
+In training a shard tells one run of those that hold a gram to hand its count on to the level below; in scoring
+words and pairs are asked first, and then only trigrams of which both pairs are known. No table is collected:
+the counts of counts are all that reaches the driver.
 A document is kept where its log-perplexity is at most its language's quantile of the calibration documents.
 
 Cases: null and empty texts have no words, no perplexity and aren't kept; a null language is a language of its
 own; a language without calibration documents takes the quantile over all of them; with no trusted documents
-every word has probability 1 / V and, without a quantile, documents with words are kept; repeated rows each get
+every word has probability 1 and, without a quantile, documents with words are kept; repeated rows each get
 a row; a row without an id is scored and never trusted; empty tables give empty results; extra columns don't matter.
 """
 
@@ -31,149 +36,230 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.llm.setjoin import _planes, _unplaned, grouped, run_id, squeeze, unsqueeze
-from loreframe.llm.shared import Words, lean, n_words, pieces, stored, utf8
-
-BITS = 19
-V = 1 << BITS
-_FULL = np.uint64((1 << 2 * BITS) - 1)
-_MULTIPLY = 0x2545F4914F6CDD1D | 1
-_BACK = pow(_MULTIPLY, -1, 1 << 2 * BITS)
-START = 0
-RUN_WORDS, SHARD_WORDS, HEAVY = 1_000_000, 4_000_000, 1e-5
+from loreframe.llm.shared import Words, lean, pieces, splitmix, stored, utf8
+
+START = np.uint64(0x5354415254)
+RUN_WORDS, SHARD_WORDS, LEAST_SHARDS = 1_000_000, 4_000_000, 64
 QUANTILE, BIN = 0.99, 1000
-FILTER_BITS = 25
+_PAIR = np.uint64(0xD1342543DE82EF95)
 
 
-def mix(pairs: np.ndarray) -> np.ndarray:
-    x = (pairs * np.uint64(_MULTIPLY & int(_FULL))) & _FULL
-    x ^= x >> np.uint64(BITS)
-    return (x * np.uint64(_MULTIPLY & int(_FULL))) & _FULL
+def gram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a gram one word longer than ``before``."""
+    return splitmix(splitmix(before) * _PAIR + word)
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    x = (x * np.uint64(_BACK)) & _FULL
-    x = x ^ (x >> np.uint64(BITS))
-    return (x * np.uint64(_BACK)) & _FULL
+def _ints(columns: list[np.ndarray]) -> bytes:
+    return squeeze(_planes(np.concatenate(columns), "<u8"))
 
 
-def shard_bounds(shards: int) -> np.ndarray:
-    """Where each shard's range of mixed pairs begins."""
-    return np.array([-(-(k << 2 * BITS) // shards) for k in range(shards + 1)], np.uint64)
+def _columns(x: bytes, n: int) -> np.ndarray:
+    """n rows, one a column of values."""
+    return _unplaned(unsqueeze(x), "<u8").astype(np.int64).reshape(n, -1)
 
 
-def word_ids(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: the first row's index, the words' ids, and the rows' bounds in them. Id 0 is the start of a text."""
-    data, offsets = utf8(column)
-    for i, j in pieces(offsets):
-        words = Words(data, offsets[i : j + 1])
-        yield i, (words.hashes % np.uint64(V - 1) + np.uint64(1)).astype(np.uint64), words.bounds
+def _rising(x: np.ndarray) -> bytes:
+    return _ints([np.diff(x, prepend=np.uint64(0))])
 
 
-def pairs_of(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mixed pair, row) of each word with the word before it or the start."""
-    counts = np.diff(bounds)
-    before = np.concatenate([np.zeros(1, np.uint64), ids[:-1]]) if len(ids) else ids
-    before[bounds[:-1][counts > 0]] = START
-    return mix((before << np.uint64(BITS)) | ids), np.repeat(np.arange(len(counts)), counts)
+def _risen(x: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(unsqueeze(x), "<u8"), dtype=np.uint64)
 
 
-def _deal(pairs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, cut) for sorted pairs: where each shard's part begins and ends."""
-    cuts = np.searchsorted(pairs, bounds[:-1]), np.searchsorted(pairs, bounds[1:] - np.uint64(1), side="right")
-    return cuts
+# runs of texts
 
+_RUNS = "run long, ids array<long>, langs array<string>, n array<int>, vocabulary binary, words binary"
+_RUN_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
-def _steps(x: np.ndarray) -> bytes:
-    """Rising uint32 values as planes of their differences."""
-    return squeeze(_planes(np.diff(x, prepend=np.uint32(0))))
 
+def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-def _stepped(x: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(unsqueeze(x)), dtype=np.uint32)
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about RUN_WORDS words; a row counts as one more, so that empty texts fill runs too."""
+    ids, langs, n, held, size, number = [], [], [], [], 0, 0
 
-# training
+    def flush() -> pa.RecordBatch:
+        vocabulary, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+        content = np.concatenate([vocabulary, np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array(n, np.uint64)])
+        row = (run_id(number, content), ids, langs, n, _rising(vocabulary), squeeze(_planes(at.astype(np.uint32))))
+        return _batch([row], _RUN_TYPES, _RUNS)
+
+    for batch in batches:
+        keys, names = batch.column("id").to_pylist(), batch.column("lang").to_pylist()
+        data, offsets = utf8(batch.column("text"))
+        for i, j in pieces(offsets):
+            words = Words(data, offsets[i : j + 1])
+            held.append(words.hashes)
+            ids += keys[i:j]
+            langs += names[i:j]
+            n += np.diff(words.bounds).tolist()
+            size += len(words.hashes) + j - i
+            if size >= RUN_WORDS:
+                yield flush()
+                ids, langs, n, held, size, number = [], [], [], [], 0, number + 1
+    if ids:
+        yield flush()
+
+
+class Run:
+    """The words of a run's texts with the grams that end at each."""
+
+    def __init__(self, row: dict):
+        self.ids, self.langs, self.n = row["ids"], row["langs"], np.array(row["n"], np.int64)
+        vocabulary = _risen(row["vocabulary"])
+        self.words = vocabulary[_unplaned(unsqueeze(row["words"])).astype(np.int64)]
+        begins = np.cumsum(self.n) - self.n
+        self.first = np.zeros(len(self.words), bool)
+        self.first[begins[self.n > 0]] = True
+        self.later = np.flatnonzero(~self.first)
+        self.before = np.concatenate([self.words[:1], self.words[:-1]])
+        self.before[self.first] = START
+        self.pairs = gram(self.before, self.words)
+        self.trigrams = gram(self.pairs[self.later - 1], self.words[self.later])
+
+    def known_words(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.array([START]), self.words]))
 
 
-def _trusted_words(bits: np.ndarray) -> Callable:
-    """Documents whose id may be trusted, with their words' ids in three planes of bytes."""
+# tables of grams, in shards of their hashes
+
+_DEALT = "level int, shard int, run long, keys binary, values binary, stats array<long>"
+_DEALT_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _deal(level: int, run: int, keys: np.ndarray, columns: list[np.ndarray], bits: int) -> list[tuple]:
+    """Rows for each shard with some of the sorted keys."""
+    shift, mask = np.uint64(64 - bits), np.uint64((1 << (64 - bits)) - 1)
+    cuts = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+    return [(level, k, run, _rising(keys[a:b] & mask), _ints([c[a:b] for c in columns]) if columns else None, None) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _merge(n: int) -> Callable:
+    """Of each shard, a row with the sums of each gram's n values, and answers to the runs: the first value's sum for one run of each gram, 0 for the others."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) == 1))
-            for i, ids, bounds in word_ids(batch.column("text")):
-                own = ids.astype("<u4")
-                packed = [_planes(own[a:b])[: 3 * (b - a)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, len(packed)), pa.array(packed, pa.binary())], names=["id", "words"])
+        for part in grouped(batches, ["level", "shard"]):
+            runs, level, shard = part.column("run").to_pylist(), part.column("level")[0].as_py(), part.column("shard")[0].as_py()
+            each = [_risen(x) for x in part.column("keys").to_pylist()]
+            values = np.concatenate([_columns(x, n) for x in part.column("values").to_pylist()], axis=1)
+            keys, first, inverse = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+            sums = [np.bincount(inverse, v, len(keys)).astype(np.int64) for v in values]
+            few = np.bincount(np.minimum(sums[0], 5), minlength=6)[1:5].tolist()
+            rows = [(level, shard, None, _rising(keys), _ints(sums), [*few, int((sums[0] > 0).sum()), int(sums[0].sum())])]
+            answers = np.zeros(len(inverse), np.int64)
+            answers[first] = sums[0]
+            cuts = np.cumsum([0, *map(len, each)])
+            rows += [(level, shard, run, None, _ints([answers[a:b]]), None) for run, a, b in zip(runs, cuts[:-1], cuts[1:], strict=True)]
+            yield _batch(rows, _DEALT_TYPES, _DEALT)
 
     return go
 
 
-def _unpacked(words: bytes) -> np.ndarray:
-    x = np.frombuffer(words, np.uint8).reshape(3, -1).astype(np.uint64)
-    return x[0] | x[1] << np.uint64(8) | x[2] << np.uint64(16)
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by shard, tables first: the values of the grams that each run asks for, 0 where unknown."""
+    at, keys, values = None, None, None
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            place, n = (row["level"], row["shard"]), 1 if row["level"] == 3 else 5
+            if row["run"] is None:
+                at, keys, values = place, _risen(row["keys"]), _columns(row["values"], n)
+                continue
+            asked = _risen(row["keys"])
+            found = np.zeros((n, len(asked)), np.int64)
+            if place == at:
+                i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                found = np.where(keys[i] == asked, values[:, i], 0)
+            rows.append((*place, row["run"], None, _ints(list(found)), None))
+        yield _batch(rows, _DEALT_TYPES, _DEALT)
+
 
+def _answers(rows: list[dict], level: int) -> np.ndarray:
+    """A run's answers of a level in the order of its sorted grams."""
+    n = 1 if level == 3 else 5
+    own = sorted((r for r in rows if r["level"] == level), key=lambda r: r["shard"])
+    return np.concatenate([np.zeros((n, 0), np.int64), *[_columns(r["values"], n) for r in own]], axis=1)
 
-def _counts(shards: int) -> Callable:
-    """Pair counts of runs of documents, dealt to shards."""
-    bounds = shard_bounds(shards)
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-        begin, end = _deal(pairs, bounds)
-        out = [(k, _steps((pairs[a:b] - bounds[k]).astype(np.uint32)), squeeze(_planes(counts[a:b].astype(np.uint32)))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "pairs", "counts"])
+def _by_run(run: Callable, schema: str, types: list[pa.DataType]) -> Callable:
+    """run(id, Run, rows of answers) for each run and its answers, giving tuples."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for words in batch.column("words").to_pylist():
-                ids = _unpacked(words)
-                if len(ids):
-                    held.append(pairs_of(ids, np.array([0, len(ids)]))[0])
-                    size += len(ids)
-                if size >= RUN_WORDS:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+        for part in grouped(batches, ["run"]):
+            rows = part.to_pylist()
+            head = next((r for r in rows if r["ids"] is not None), None)
+            if head is not None:
+                yield _batch(run(head["run"], Run(head), [r for r in rows if r["ids"] is None]), types, schema)
 
     return go
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a shard: its pairs in order with their counts."""
-    for part in grouped(batches, ["shard"]):
-        pairs = np.concatenate([_stepped(x) for x in part.column("pairs").to_pylist()])
-        counts = np.concatenate([_unplaned(unsqueeze(x)) for x in part.column("counts").to_pylist()])
-        pairs, inverse = np.unique(pairs, return_inverse=True)
-        total = np.bincount(inverse, counts).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks()[:1], pa.array([_steps(pairs)], pa.binary()), pa.array([squeeze(_planes(total))], pa.binary())], names=["shard", "pairs", "counts"])
+def _with_answers(runs: DataFrame, *answers: DataFrame) -> DataFrame:
+    rows = runs
+    for x in answers:
+        rows = rows.unionByName(x.where("run is not null").select("run", "level", "shard", "values"), allowMissingColumns=True)
+    return rows.repartition("run").sortWithinPartitions("run")
 
 
-def _by_word(shards: int) -> Callable:
-    """Of each shard, sums by first word (count, pairs seen once, twice, oftener) and by second word (kinds of first words), and counts of counts."""
-    bounds = shard_bounds(shards)
+def _to_shards(rows: DataFrame) -> DataFrame:
+    return rows.repartition("level", "shard").sortWithinPartitions("level", "shard", "run")
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, pairs, counts in zip(*[batch.column(c).to_pylist() for c in ("shard", "pairs", "counts")], strict=True):
-                plain, c = unmix(_stepped(pairs).astype(np.uint64) + bounds[shard]), _unplaned(unsqueeze(counts)).astype(np.int64)
-                first, second = (plain >> np.uint64(BITS)).astype(np.int64), (plain & np.uint64(V - 1)).astype(np.int64)
-                words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-                a, b = at[: len(first)], at[len(first) :]
-                own = lambda of, w=None, n=len(words): np.bincount(of, w, n).astype(np.int64)  # noqa: B023, E731
-                columns = [own(a, c), own(a, c == 1), own(a, c == 2), own(a, c >= 3), own(b)]
-                few = np.bincount(np.minimum(c, 5), minlength=6)[1:5]
-                # the counts of counts travel under ids below zero
-                words = np.concatenate([words, -np.arange(1, 5)])
-                columns = [np.concatenate([columns[0], few]), *[np.concatenate([x, np.zeros(4, np.int64)]) for x in columns[1:]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words, *columns)], names=["word", "total", "n1", "n2", "n3", "kinds"])
+
+# training
+
+
+def _ask_trigrams(bits: int) -> Callable:
+    def go(key: int, run: Run, rows: list[dict]) -> list[tuple]:
+        grams, counts = np.unique(run.trigrams, return_counts=True)
+        return _deal(3, key, grams, [counts], bits)
+
+    return go
+
+
+def _ask_pairs(bits: int) -> Callable:
+    """Of each pair of a run: how many trigrams handed to this run end in it, and the counts of those that begin with it."""
+
+    def go(key: int, run: Run, rows: list[dict]) -> list[tuple]:
+        _, index = np.unique(run.trigrams, return_index=True)
+        counts = _own(rows, 3)
+        place, counts = run.later[index][counts > 0], counts[counts > 0]
+        grams, at = np.unique(run.pairs, return_inverse=True)
+        left, n = at[place - 1], len(grams)
+        kinds = np.bincount(at[place], minlength=n) + np.bincount(at[run.first], minlength=n)
+        return _deal(2, key, grams, [kinds, np.bincount(left, counts, n), *_classes(left, counts, n)], bits)
+
+    return go
+
+
+def _ask_words(bits: int) -> Callable:
+    """Of each word of a run: how many pairs handed to this run end in it, and the counts of those that begin with it."""
+
+    def go(key: int, run: Run, rows: list[dict]) -> list[tuple]:
+        _, index = np.unique(run.pairs, return_index=True)
+        counts = _own(rows, 2)
+        place, counts = index[counts > 0], counts[counts > 0]
+        words = run.known_words()
+        left, n = np.searchsorted(words, run.before[place]), len(words)
+        kinds = np.bincount(np.searchsorted(words, run.words[place]), minlength=n)
+        return _deal(1, key, words, [kinds, np.bincount(left, counts, n), *_classes(left, counts, n)], bits)
 
     return go
 
 
+def _own(rows: list[dict], level: int) -> np.ndarray:
+    """The counts handed to a run, in the order of its grams."""
+    own = sorted((r for r in rows if r["level"] == level), key=lambda r: r["shard"])
+    return np.concatenate([np.zeros(0, np.int64), *[_columns(r["values"], 1)[0] for r in own]])
+
+
+def _classes(groups: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """How many grams of each group have the count 1, 2, and more."""
+    return [np.bincount(groups[np.minimum(counts, 3) == k], minlength=n) for k in (1, 2, 3)]
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """The modified discounts for counts 0, 1, 2 and more, from how many things have counts 1 to 4."""
     n = np.asarray(n, float)
@@ -184,172 +270,125 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.1), k - 0.1) for x, k in zip(d, (1, 2, 3), strict=True))])
 
 
-def word_tables(stats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Arrays by word: 1 / c(v), g(v) and p1(w), and the discounts of pairs."""
-    total, kinds = np.zeros((5, V)), np.zeros(V)
-    real = stats["word"] >= 0
-    words = stats["word"][real]
-    for k, name in enumerate(("total", "n1", "n2", "n3")):
-        total[k, words] = stats[name][real]
-    kinds[words] = stats["kinds"][real]
-    few = np.zeros(4)
-    few[-1 - stats["word"][~real]] = stats["total"][~real]
-    d = discounts(few)
-    e = discounts(np.bincount(np.minimum(kinds, 5).astype(int), minlength=6)[1:5])
-    known = total[0] > 0
-    inverse = np.where(known, 1 / np.maximum(total[0], 1), 0)
-    g = np.where(known, (d[1] * total[1] + d[2] * total[2] + d[3] * total[3]) * inverse, 1.0)
-    all_kinds = kinds.sum()
-    taken = e[np.minimum(kinds, 3).astype(int)]
-    p1 = (np.maximum(kinds - taken, 0) + taken.sum() / V) / all_kinds if all_kinds else np.full(V, 1 / V)
-    return {"inverse": inverse, "g": g, "p1": p1, "d": d}
-
-
-def log_p(tables: dict[str, np.ndarray], plain: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    first, second = (plain >> np.uint64(BITS)).astype(np.int64), (plain & np.uint64(V - 1)).astype(np.int64)
-    seen = np.maximum(counts - tables["d"][np.minimum(counts, 3)], 0) * tables["inverse"][first]
-    return np.log(seen + tables["g"][first] * tables["p1"][second])
-
-
-def _common(shards: int, least: int) -> Callable:
-    bounds = shard_bounds(shards)
+def _trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs cut down to the texts at the places in ``kept``."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kept"]:
+                run, kept = Run(row), np.zeros(len(row["n"]), bool)
+                kept[row["kept"]] = True
+                vocabulary, at = np.unique(run.words[np.repeat(kept, run.n)], return_inverse=True)
+                yield _batch([(row["run"], [], [], run.n[kept].tolist(), _rising(vocabulary), squeeze(_planes(at.astype(np.uint32))))], _RUN_TYPES, _RUNS)
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, pairs, counts in zip(*[batch.column(c).to_pylist() for c in ("shard", "pairs", "counts")], strict=True):
-                c = _unplaned(unsqueeze(counts))
-                at = np.flatnonzero(c >= least)
-                yield pa.RecordBatch.from_arrays([pa.array((_stepped(pairs)[at].astype(np.uint64) + bounds[shard]).astype(np.int64)), pa.array(c[at].astype(np.int64))], names=["pair", "count"])
 
-    return go
+def runs_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    return stored(rows.mapInArrow(lean(_runs), _RUNS), "runs")
 
 
 class Model:
-    """The table of pair counts by shard, the arrays by word, and the commonest pairs."""
-
-    def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str):
-        """trusted: ids (column ``id``) of the documents to learn from."""
-        place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-        ids = trusted.select(F.col("id").cast("long")).where("id is not null").distinct()
-        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        found = ids.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
-        bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").select("id", "text", place.alias("place"))
-        self.words = int(docs.agg(F.coalesce(F.sum(n_words(text_col)), F.lit(0))).first()[0])
-        self.shards = max(64, self.words // SHARD_WORDS)
-        # the filter of fixed size lets few other documents pass; the join takes these out
-        words = rows.mapInArrow(lean(_trusted_words(bits)), "id long, words binary").join(ids, "id", "left_semi").select("words")
-        schema = "shard int, pairs binary, counts binary"
-        self.counts = stored(words.mapInArrow(lean(_counts(self.shards)), schema).repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_merge), schema), "pair-counts")
-        sums = self.counts.mapInArrow(lean(_by_word(self.shards)), "word long, total long, n1 long, n2 long, n3 long, kinds long")
-        sums = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "kinds")]).toArrow()
-        self.tables = word_tables({c: sums.column(c).to_numpy() for c in sums.column_names})
-        real = sums.column("word").to_numpy() >= 0
-        least = max(2, int(HEAVY * sums.column("total").to_numpy()[real].sum()))
-        heavy = self.counts.mapInArrow(lean(_common(self.shards, least)), "pair long, count long").toArrow()
-        order = np.argsort(heavy.column("pair").to_numpy())
-        self.heavy = heavy.column("pair").to_numpy()[order].astype(np.uint64), heavy.column("count").to_numpy()[order]
+    """The tables of grams by level and shard, and the discounts."""
+
+    def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, runs: DataFrame | None = None):
+        """trusted: ids (column ``id``) of the documents to learn from; runs: those of docs, where they are at hand."""
+        runs = runs_of(docs, id_col, text_col, None) if runs is None else runs
+        ids = trusted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
+        kept = runs.select("run", F.posexplode("ids").alias("place", "id")).join(ids, "id", "left_semi").groupBy("run").agg(F.collect_list("place").alias("kept"))
+        learnt = stored(runs.join(kept, "run").mapInArrow(lean(_trusted), _RUNS), "learnt")
+        words = int(learnt.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0])
+        self.bits = max(LEAST_SHARDS, words // SHARD_WORDS).bit_length() - 1
+        self.tables: dict[int, DataFrame] = {}
+        self.discounts: dict[int, np.ndarray] = {}
+        before: list[DataFrame] = []
+        for level, ask in ((3, _ask_trigrams), (2, _ask_pairs), (1, _ask_words)):
+            asked = _with_answers(learnt, *before).mapInArrow(lean(_by_run(ask(self.bits), _DEALT, _DEALT_TYPES)), _DEALT)
+            table = stored(_to_shards(asked).mapInArrow(lean(_merge(1 if level == 3 else 5)), _DEALT), f"grams-{level}")
+            before, self.tables[level] = [table], table.where("run is null")
+            sums = self.tables[level].agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(6)]).first()
+            self.discounts[level] = discounts(sums[:4])
+        # of the level of words: what the discounts took, the words and one for all others, and the sum of the counts
+        few, d = sums[:2], self.discounts[1]
+        self.words = d[1] * few[0] + d[2] * few[1] + d[3] * (sums[4] - few[0] - few[1]), sums[4] + 1, sums[5]
+
+
+def word_part(words: tuple[float, int, int], d: np.ndarray) -> Callable:
+    """p1 by a word's number of kinds: what the discounts took goes to all words alike."""
+    taken, known, total = words
+
+    def p1(kinds: np.ndarray) -> np.ndarray:
+        return (np.maximum(kinds - d[np.minimum(kinds, 3)], 0) + taken / known) / total if total else np.ones(len(kinds))
+
+    return p1
+
+
+def backed_off(values: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What a context leaves to the level below; all, where it is unknown."""
+    return np.where(values[1] > 0, (d[1] * values[2] + d[2] * values[3] + d[3] * values[4]) / np.maximum(values[1], 1), 1.0)
+
+
+def taken_off(counts: np.ndarray, totals: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The level's own part of a probability."""
+    return np.where(totals > 0, np.maximum(counts - d[np.minimum(counts, 3)], 0) / np.maximum(totals, 1), 0.0)
 
 
 # scoring
 
-_RUN = "run long, ids array<long>, langs array<string>, n array<int>, sums array<double>, shard int, pairs binary, rows binary"
-_RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
-_RUN_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.binary()]
-
-
-def _ask(shards: int, heavy: tuple[np.ndarray, np.ndarray], tables: dict) -> Callable:
-    """Runs of documents: a row with their ids and what the commonest pairs add, and a row for each shard with the other pairs."""
-    bounds = shard_bounds(shards)
-
-    def flush(number: int, ids: list, langs: list, n: list, held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate([*held, np.zeros(0, np.uint64)])
-        rows = np.repeat(np.arange(len(n)), n).astype(np.uint32)
-        at = np.minimum(np.searchsorted(heavy[0], pairs), max(0, len(heavy[0]) - 1))
-        known = heavy[0][at] == pairs if len(heavy[0]) else np.zeros(len(pairs), bool)
-        sums = np.bincount(rows[known], log_p(tables, unmix(pairs[known]), heavy[1][at[known]]) if known.any() else None, len(n)).astype(float)
-        pairs, rows = pairs[~known], rows[~known]
-        order = np.argsort(pairs, kind="stable")
-        pairs, rows = pairs[order], rows[order]
-        begin, end = _deal(pairs, bounds)
-        run = run_id(number, np.concatenate([pairs[:1000], np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([len(pairs)], np.uint64)]))
-        out = [(run, ids, langs, n, sums.tolist(), -1, None, None)]
-        out += [(run, None, None, None, None, k, _steps((pairs[a:b] - bounds[k]).astype(np.uint32)), squeeze(_planes(rows[a:b]))) for k, (a, b) in enumerate(zip(begin, end, strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
+def _ask_words_and_pairs(bits: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, n, held, size, number = [], [], [], [], 0, 0
         for batch in batches:
-            keys, names = batch.column("id").to_pylist(), batch.column("lang").to_pylist()
-            for i, words, cuts in word_ids(batch.column("text")):
-                k = len(cuts) - 1
-                held.append(pairs_of(words, cuts)[0])
-                ids += keys[i : i + k]
-                langs += names[i : i + k]
-                n += np.diff(cuts).tolist()
-                size += len(words)
-                if size >= RUN_WORDS:
-                    yield flush(number, ids, langs, n, held)
-                    ids, langs, n, held, size, number = [], [], [], [], 0, number + 1
-        if ids:
-            yield flush(number, ids, langs, n, held)
+            for row in batch.to_pylist():
+                run = Run(row)
+                yield _batch(_deal(1, row["run"], run.known_words(), [], bits) + _deal(2, row["run"], np.unique(run.pairs), [], bits), _DEALT_TYPES, _DEALT)
 
     return go
 
 
-def _answer(shards: int, tables: dict) -> Callable:
-    """Sorted by shard, counts first: a shard's questions become sums for the documents of their run."""
-    bounds = shard_bounds(shards)
+def _known_trigrams(run: Run, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of each word's pair, which later words have a known context and a known pair, and their trigrams."""
+    _, at = np.unique(run.pairs, return_inverse=True)
+    pairs = _answers(rows, 2)[:, at]
+    asked = (pairs[1, run.later - 1] > 0) & (pairs[0, run.later] > 0)
+    return pairs, asked, run.trigrams[asked]
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pairs, counts = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("run", "shard", "pairs", "rows", "counts")}
-                if row["shard"] < 0:
-                    own = batch.slice(i, 1)
-                    yield pa.RecordBatch.from_arrays([*[own.column(c) for c in _RUN_NAMES[:5]], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=[*_RUN_NAMES[:5], "rows", "logs"])
-                    continue
-                if row["counts"] is not None:
-                    at, pairs, counts = row["shard"], _stepped(row["pairs"]), _unplaned(unsqueeze(row["counts"])).astype(np.int64)
-                    continue
-                if row["shard"] != at:
-                    at, pairs, counts = row["shard"], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                asked, rows = _stepped(row["pairs"]), _unplaned(unsqueeze(row["rows"]))
-                c = np.zeros(len(asked), np.int64)
-                if len(pairs):
-                    place = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
-                    c = np.where(pairs[place] == asked, counts[place], 0)
-                logs = log_p(tables, unmix(asked.astype(np.uint64) + bounds[at]), c)
-                found, inverse = np.unique(rows, return_inverse=True)
-                out = np.bincount(inverse, logs).astype("<f4")
-                own = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([own.column("run"), *[pa.nulls(1, t) for t in _RUN_TYPES[1:5]], pa.array([_steps(found)], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=[*_RUN_NAMES[:5], "rows", "logs"])
+
+def _ask_known(bits: int) -> Callable:
+    def go(key: int, run: Run, rows: list[dict]) -> list[tuple]:
+        return _deal(3, key, np.unique(_known_trigrams(run, rows)[2]), [], bits)
 
     return go
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in grouped(batches, ["run"]):
-        rows = part.to_pylist()
-        for head in [r for r in rows if r["ids"] is not None]:
-            sums = np.array(head["sums"], float)
-            for r in rows:
-                if r["rows"] is not None:
-                    sums[_stepped(r["rows"])] += np.frombuffer(r["logs"], "<f4")
-            n = np.array(head["n"])
-            logs = [float(-s / k) if k else None for s, k in zip(sums, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(head["langs"], pa.string()), pa.array(n, pa.int64()), pa.array(logs, pa.float64())], names=["id", "lang", "n_words", "log_perplexity"])
+_SCORED = "id long, lang string, n_words long, log_perplexity double"
+_SCORED_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
+
 
+def _score(d: dict[int, np.ndarray], p1: Callable) -> Callable:
+    def go(key: int, run: Run, rows: list[dict]) -> list[tuple]:
+        pairs, asked, trigrams = _known_trigrams(run, rows)
+        words, known = _answers(rows, 1), run.known_words()
+        context = words[:, np.searchsorted(known, run.before)]
+        p = taken_off(pairs[0], context[1], d[2]) + backed_off(context, d[2]) * p1(words[0, np.searchsorted(known, run.words)])
+        counts = np.zeros(len(run.later), np.int64)
+        counts[asked] = _answers(rows, 3)[0, np.unique(trigrams, return_inverse=True)[1]]
+        context = pairs[:, run.later - 1]
+        p[run.later] = taken_off(counts, context[1], d[3]) + backed_off(context, d[3]) * p[run.later]
+        sums = np.bincount(np.repeat(np.arange(len(run.n)), run.n), np.log(p), len(run.n)) if len(p) else np.zeros(len(run.n))
+        return [(i, lang, n, -s / n if n else None) for i, lang, n, s in zip(run.ids, run.langs, run.n.tolist(), sums.tolist(), strict=True)]
+
+    return go
 
-def perplexity(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, n_words, log_perplexity) of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    asked = rows.mapInArrow(lean(_ask(model.shards, model.heavy, model.tables)), _RUN).withColumn("counts", F.lit(None).cast("binary"))
-    held = asked.unionByName(model.counts, allowMissingColumns=True)
-    held = held.repartition(F.col("shard"), F.when(F.col("shard") < 0, F.col("run"))).sortWithinPartitions("shard", F.col("counts").isNull())
-    answers = held.mapInArrow(lean(_answer(model.shards, model.tables)), "run long, ids array<long>, langs array<string>, n array<int>, sums array<double>, rows binary, logs binary")
-    return answers.repartition("run").sortWithinPartitions("run").mapInArrow(lean(_collect), "id long, lang string, n_words long, log_perplexity double")
+
+def perplexity(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str, runs: DataFrame | None = None) -> DataFrame:
+    """(id, lang, n_words, log_perplexity) of each row; runs: those of docs, where they are at hand."""
+    runs = runs_of(docs, id_col, text_col, lang_col) if runs is None else runs
+    asked = runs.mapInArrow(lean(_ask_words_and_pairs(model.bits)), _DEALT)
+    first = stored(_to_shards(asked.union(model.tables[1]).union(model.tables[2])).mapInArrow(lean(_answer), _DEALT), "known-pairs")
+    asked = _with_answers(runs, first.where("level = 2")).mapInArrow(lean(_by_run(_ask_known(model.bits), _DEALT, _DEALT_TYPES)), _DEALT)
+    second = _to_shards(asked.union(model.tables[3])).mapInArrow(lean(_answer), _DEALT)
+    score = _score(model.discounts, word_part(model.words, model.discounts[1]))
+    return _with_answers(runs, first, second).mapInArrow(lean(_by_run(score, _SCORED, _SCORED_TYPES)), _SCORED)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -368,7 +407,9 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_
     """
     ids = stored(trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), "trusted")
     held_out = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0
-    scored = stored(perplexity(docs, Model(docs, ids.where(~held_out), id_col, text_col), id_col, text_col, lang_col), "perplexity")
+    runs = runs_of(docs, id_col, text_col, lang_col)
+    model = Model(docs, ids.where(~held_out), id_col, text_col, runs)
+    scored = stored(perplexity(docs, model, id_col, text_col, lang_col, runs), "perplexity")
     limits = stored(thresholds(scored.join(ids.where(held_out), "id", "left_semi"), quantile), "thresholds")
     own, every = limits.where("not every").select(F.col("lang").alias("_lang"), F.col("limit").alias("_own")), limits.where("every").select(F.col("limit").alias("_every"))
     out = scored.join(own, scored["lang"].eqNullSafe(own["_lang"]), "left").join(F.broadcast(every), F.lit(True), "left")
@@ -380,5 +421,3 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents labelled good and not toxic."""
     return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)).select("doc_id")
-
-

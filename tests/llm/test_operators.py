@@ -459,28 +459,31 @@ def test_media_chunks_cut_by_content():
 
 
 def brute_lm(train, docs):
-    def ids(text):
-        w = Words(*utf8(pa.array([text], pa.string())))
-        return [0, *(int(x) % (quality_lm.V - 1) + 1 for x in w.hashes)]
-
-    pairs = collections.Counter(p for t in train for p in itertools.pairwise(ids(t)))
-    total, seen, kinds = collections.Counter(), collections.defaultdict(collections.Counter), collections.Counter()
-    for (v, w), c in pairs.items():
-        total[v] += c
-        seen[v][min(c, 3)] += 1
-        kinds[w] += 1
+    """The model on words themselves, level by level."""
     few = lambda counter: [sum(c == k for c in counter.values()) for k in range(1, 5)]
-    d, e = quality_lm.discounts(few(pairs)), quality_lm.discounts(few(kinds))
-    everything = sum(kinds.values())
-    taken = sum(e[min(c, 3)] for c in kinds.values())
+    words = lambda t: (t or "").lower().split()
+    triples, starts = collections.Counter(), collections.Counter()
+    for t in train:
+        x = ["<s>", *words(t)]
+        triples.update(zip(x, x[1:], x[2:]))
+        starts.update([("<s>", w) for w in x[1:2]])
+    pairs = collections.Counter((v, w) for _, v, w in triples) + starts
+    single = collections.Counter(w for _, w in pairs)
+    d3, d2, d1 = (quality_lm.discounts(few(x)) for x in (triples, pairs, single))
+    everything, taken = sum(single.values()), sum(d1[min(c, 3)] for c in single.values())
+
+    def level(counts, context, gram, d, below):
+        own = [c for g, c in counts.items() if g[:-1] == context]
+        c, total = counts[gram], sum(own)
+        return below if not total else (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in own) * below) / total
+
     out = []
     for t in docs:
-        x, logs = ids(t), []
-        for v, w in itertools.pairwise(x):
-            p1 = (max(kinds[w] - e[min(kinds[w], 3)], 0) + taken / quality_lm.V) / everything
-            g = sum(d[k] * seen[v][k] for k in (1, 2, 3)) / total[v] if total[v] else 1.0
-            c = pairs[v, w]
-            logs.append(np.log((max(c - d[min(c, 3)], 0) / total[v] if total[v] else 0) + g * p1))
+        x, logs = ["<s>", *words(t)], []
+        for i in range(1, len(x)):
+            p = (max(single[x[i]] - d1[min(single[x[i]], 3)], 0) + taken / (len(single) + 1)) / everything
+            p = level(pairs, (x[i - 1],), (x[i - 1], x[i]), d2, p)
+            logs.append(np.log(level(triples, (x[i - 2], x[i - 1]), (x[i - 2], x[i - 1], x[i]), d3, p) if i > 1 else p))
         out.append(-np.mean(logs) if logs else None)
     return out
 
@@ -498,9 +501,17 @@ def test_quality_lm(spark):
     assert quality_lm.quality(docs, trusted.where("false")).where("keep").count() == 81 and quality_lm.quality(docs.where("false"), trusted).count() == 0
 
 
-def test_pairs_mix_is_one_to_one():
-    x = np.random.default_rng(1).integers(0, 1 << 38, 10_000).astype(np.uint64)
-    assert (quality_lm.unmix(quality_lm.mix(x)) == x).all()
+@pytest.mark.parametrize("most", [40, 700])
+def test_quality_lm_runs(monkeypatch, most):
+    """Runs hold every text's words in order, wherever they are cut; repeated, null and empty texts too."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice([f"v{k}" for k in range(40)], int(rng.integers(0, 40)))) for _ in range(60)] + [None, "alone"]
+    rows = lambda ts: [pa.RecordBatch.from_pydict({"id": [i], "lang": [None], "text": pa.array([x], pa.string())}) for i, x in enumerate(ts)]
+    monkeypatch.setattr(quality_lm, "RUN_WORDS", most)
+    runs = [r for b in quality_lm._runs(iter(rows(texts))) for r in b.to_pylist()]
+    assert sum(len(r["ids"]) for r in runs) == len(texts) and len({r["run"] for r in runs}) == len(runs) > 1
+    got = [w for r in runs for w in quality_lm.Run(r).words.tolist()]
+    assert got == [int(h) for t in texts for h in Words(*utf8(pa.array([t or ""], pa.string()))).hashes]
 
 
 def test_licenses(spark):
