@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm import decontaminate, fim, hard_negatives, licenses, line_dedup, media_chunks, mixing, ngram_join, quality_lm, token_files, toxicity, url_filter
+from loreframe.llm import decontaminate, fim, hard_negatives, licenses, line_dedup, media_chunks, mixing, ngram_join, packing, quality_lm, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.quality(table(spark, sf_dir, "documents"), quality_lm.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = packing.with_ids(ids, pieces, F.crc32)
+    return found.select("doc_id", "start", "length", F.col("told").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(hard_negatives.SHIFTED).alias("label"))
     return hard_negatives.hard_negatives(rows, F.col("id") % hard_negatives.EVERY == 0)
@@ -66,5 +72,5 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_licenses, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join, op10_quality_lm, op12_hard_negatives, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_licenses, op4_token_files, op5_toxicity, op6_decontaminate, op7_url_filter, op8_media_chunks, op9_ngram_join, op10_quality_lm, op11_packing, op12_hard_negatives, op13_fill_in_middle)}
 ORACLES = {"op3_licenses": licenses.oracle(), "op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_fill_in_middle": fim.ORACLE}
