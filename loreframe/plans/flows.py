@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from loreframe.operators import asof, checks, entity, folds, ingest
@@ -27,9 +24,7 @@ def query(sql: str):
 
 
 def shared(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return files.scratch(spark, name)
 
 
 @query(f"with {DELTAS}, {LOCATED} select novel, entity, id, location, since, until from loc where until is not null")

@@ -247,7 +247,7 @@ def test_entry_without_the_training_subpackage(spark):
 
     def block(name, *args, **kwargs):
         if name.startswith(("corpus_pipeline", "loreframe.llm")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     held = {k: sys.modules.pop(k) for k in list(sys.modules) if k == "__spark_entry__" or k.startswith(("corpus_pipeline", "loreframe.llm"))}
