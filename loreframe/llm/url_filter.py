@@ -3,7 +3,11 @@
 A page's outcome is bad or good where it is labelled. Bad outcomes of a host are shrunk towards those
 of its registered domain, these towards its suffix, and these towards all pages: at each level the
 children's counts are beta-binomial, and the prior's strength is found by the method of moments over
-all children. A page is blocked where the lower bound of its host's posterior exceeds a limit.
+all children; a prior is never worth more than ``MOST`` outcomes, so that it can't swallow what a host itself shows
+where most hosts are alike. A page is blocked where the lower bound of its host's posterior, ``Z`` deviations below the
+mean, exceeds ``MULTIPLE`` times the share of bad outcomes among all: where the host is worse than the corpus.
+
+Hosts with many pages are dealt over several tasks when their reputation meets the pages.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the
 reputation of the empty host. Hosts without labels take their parents' posterior. Equal rows give
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import LOWER, UPPER, stored
+from loreframe.llm.shared import LOWER, UPPER, hot_join, hot_keys, stored
 
 #: Rule = (host, path prefix, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Suffixes of two labels under which domains are registered; fixed values.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.in", "com.br", "com.cn", "com.mx", "co.za", "co.kr")
-LIMIT, Z = 0.4, 1.645
+MULTIPLE, Z, MOST = 1.0, 1.0, 10
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -60,23 +64,23 @@ def _strength(children: DataFrame) -> DataFrame:
     """One row: the prior's strength kappa by moments of (bad, n) around each child's own prior mean m.
 
     Var(bad) = n m (1 - m) (1 + (n - 1) rho) with rho = 1 / (kappa + 1); rho is solved from sums over all
-    children with at least two outcomes and kept within [0.001, 0.999].
+    children with at least two outcomes and kept within [1 / (MOST + 1), 0.999].
     """
     spread = F.col("m") * (1 - F.col("m"))
     over = F.sum((F.col("bad") - F.col("n") * F.col("m")) ** 2 - F.col("n") * spread)
     room = F.sum(F.col("n") * (F.col("n") - 1) * spread)
-    rho = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(F.when(F.col("room") > 0, F.col("over") / F.col("room")), F.lit(0.5))))
+    rho = F.greatest(F.lit(1 / (MOST + 1)), F.least(F.lit(0.999), F.coalesce(F.when(F.col("room") > 0, F.col("over") / F.col("room")), F.lit(0.5))))
     return children.where("n >= 2").agg(over.alias("over"), room.alias("room")).select(F.round(1 / rho - 1, 6).alias("kappa"))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """One row a host: host, n, bad, mean, bound and blocked, from outcomes (page_id, bad).
+def reputation(pages: DataFrame, outcomes: DataFrame, limit: float | None = None, z: float = Z, multiple: float = MULTIPLE) -> DataFrame:
+    """One row a host: host, pages, n, bad, mean, bound and blocked, from outcomes (page_id, bad). ``limit`` takes the place of the multiple.
 
     Counts are grouped by host before anything else meets, so a host with a third of all rows costs one
     row a task. The top level is one row, the suffix, domain and host levels are joined on their keys.
     """
     counted = pages.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left")
-    hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = stored(hosts.withColumns(levels(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -89,18 +93,19 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: f
 
     suffixes = stored(shrunk(suffixes.crossJoin(F.broadcast(top))).select("suffix", F.col("mean").alias("m")), "suffixes")
     domains = stored(shrunk(domains.join(suffixes, "suffix")).select("domain", "suffix", F.col("mean").alias("m")), "domains")
-    hosts = shrunk(hosts.join(domains, ["domain", "suffix"]))
+    hosts = shrunk(hosts.join(domains, ["domain", "suffix"])).crossJoin(F.broadcast(top.select((F.round(F.col("m") * multiple, 9) if limit is None else F.lit(limit)).alias("limit"))))
     bound = F.round(F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("kappa") + 1)), 9)
-    return hosts.withColumn("bound", bound).select("host", "n", "bad", "mean", "bound", (F.col("bound") > limit).alias("blocked"))
+    return hosts.withColumn("bound", bound).select("host", "pages", "n", "bad", "mean", "bound", (F.col("bound") > F.col("limit")).alias("blocked"))
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float | None = None, z: float = Z, multiple: float = MULTIPLE) -> DataFrame:
     """pages with host, path, rule, verdict and bound: the rule's verdict, else the reputation's."""
     known = with_host(pages)
-    hosts = reputation(known, outcomes, limit, z).select("host", F.col("bound").alias("_bound"), F.col("blocked").alias("_blocked"))
-    judged = known.withColumn("_fit", rule_for(F.col("host"), F.col("path"), rules)).join(hosts, "host", "left")
+    hosts = stored(reputation(known, outcomes, limit, z, multiple), "reputation")
+    facts = hosts.select("host", F.col("bound").alias("_bound"), F.col("blocked").alias("_blocked"))
+    judged = hot_join(known.withColumn("_fit", rule_for(F.col("host"), F.col("path"), rules)), facts, "host", hot_keys(hosts, "host", "pages"), "page_id")
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
-    return judged.withColumns({"rule": F.col("_fit.rule"), "verdict": verdict, "bound": F.col("_bound")}).drop("_fit", "_blocked", "_bound")
+    return judged.withColumns({"rule": F.col("_fit.rule"), "verdict": verdict, "bound": F.col("_bound")}).select(*[c for c in known.columns if c not in ("rule", "verdict", "bound")], "rule", "verdict", "bound")
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
@@ -127,15 +132,15 @@ h as (select host, n, bad, array_to_string(l[greatest(len(l) - w, 1):], '.') as
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
 s as (select suffix, sum(n) as n, sum(bad) as bad from d group by all),
 s1 as (select s.*, (select (coalesce(sum(bad), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1.0::double) from s) as m from s),
-sk as (select round(1 / greatest(0.001::double, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from s1),
+sk as (select round(1 / greatest(1::double / 11, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from s1),
 s2 as (select suffix, round((bad + k * m) / (n + k), 9) as m from s1, sk),
 d1 as (select d.*, m from d join s2 using (suffix)),
-dk as (select round(1 / greatest(0.001::double, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from d1),
+dk as (select round(1 / greatest(1::double / 11, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from d1),
 d2 as (select domain, suffix, round((bad + k * m) / (n + k), 9) as m from d1, dk),
 h3 as (select h.*, m from h join d2 using (domain, suffix)),
-hk as (select round(1 / greatest(0.001::double, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from h3),
+hk as (select round(1 / greatest(1::double / 11, least(0.999::double, coalesce(case when sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) > 0 then sum((bad - n * m) ** 2 - n * m * (1 - m)) filter (n >= 2) / sum(n * (n - 1) * m * (1 - m)) filter (n >= 2) end, 0.5::double))) - 1, 6) as k from h3),
 h4 as (select host, n, k, round((bad + k * m) / (n + k), 9) as mean from h3, hk),
-r as (select host, round(mean - 1.645::double * sqrt(mean * (1 - mean) / (n + k + 1)), 9) > 0.4 as blocked from h4)
+r as (select host, round(mean - sqrt(mean * (1 - mean) / (n + k + 1)), 9) > (select round(any_value(m), 9) from s1) as blocked from h4)
 select p.page_id, p.host, p.path, f.rule, coalesce(f.v, case when r.blocked then 'block' else 'allow' end) as verdict
 from p left join fits f on p.host = f.host and p.path = f.path left join r on p.host = r.host
 """
