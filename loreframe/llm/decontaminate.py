@@ -241,6 +241,14 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, shin
 
 
 def without(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that match no item; rows without an id stay."""
+    """The documents whose id is in no pair found; for ids that name one text each. See ``clean``."""
     gone = stored(found.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return docs.join(gone, id_col, "left_anti")
+
+
+def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, radius: int = RADIUS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text holds no item. Rows are known by a digest of their text: equal texts are judged alike, whatever their ids, and rows without an id like others."""
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.lit(3), text_col).alias("_key"), F.col(text_col).alias("_text"))
+    found = contaminated(keyed, items, percent, shingle, radius, "_key", "_text", item_id, item_text)
+    gone = stored(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return keyed.join(gone, "_key", "left_anti").select("_row.*")

@@ -2,14 +2,16 @@
 
 Each source's documents fall into up to 4096 permuted blocks by a digest of their id. A source's target
 is its weight's share of all words, at most ``most`` times its size; the excess is shared again by weight.
-The target takes whole epochs of a source's blocks, then further whole blocks in permuted order, and of the
-block at the boundary the documents whose middle word lies below the target. The draws of blocks are a
+The target takes whole epochs of a source's blocks, then further whole blocks in permuted order. What is then missing is
+filled from the block at the boundary and those after it, until they hold ``FILL`` documents: in ``ROUNDS`` rounds, documents in
+permuted order that are no larger than what is missing are taken as long as they fit, so that one long document doesn't leave
+its place empty. Rows that are equal in id, size and text are taken or left together. The draws of blocks are a
 quota for each source; a binary tree over the output shards splits the vector of quotas by multivariate
 hypergeometric draws, so that shards have exact and disjoint runs of each source's permuted blocks. Within
 a shard the rows are shuffled by a digest.
 
-What comes to the driver is one row a source. Windows hold the blocks of one source (4096 at most) or the
-documents of one block of 4096.
+What comes to the driver is one row a source. Windows hold the blocks of one source (4096 at most), or the ids and sizes,
+without texts, of the documents of the block at the boundary and of less than ``FILL`` after it.
 
 What a document gives to the mix is what the tree draws: a draw counts if the shards' runs of blocks hold its place.
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from loreframe.llm.shared import n_words, stored
 
 SEED = 7
+#: Documents after the boundary among which a source's last words are sought, and how often.
+FILL, ROUNDS = 1000, 5
 #: Rows of the tables of sources and of blocks up to which they are broadcast; beyond, Spark chooses.
 BROADCAST_ROWS = 200_000
 
@@ -81,9 +85,9 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, shards: int = 32, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix draws the row) and shards (array: the shard of each draw)."""
     spark = docs.sparkSession
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), n_words(text_col).alias("size"), _source_key(source_col).alias("_source"), _digest(id_col, seed).alias("_digest"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), n_words(text_col).alias("size"), _source_key(source_col).alias("_source"), _digest(id_col, seed).alias("_digest"), F.xxhash64(F.col(text_col).isNull(), text_col).alias("_content"))
     keyed = keyed.withColumn("_block", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
-    blocks = stored(keyed.groupBy("_source", "_block").agg(F.sum("size").alias("words")), "mixing-blocks")
+    blocks = stored(keyed.groupBy("_source", "_block").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mixing-blocks")
     # "=" sorts code points as they are, the empty key of null goes last
     sources = sorted((r._source == "", r._source, r.words, r.blocks) for r in blocks.groupBy("_source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).collect())
     aims = targets([r[2] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
@@ -91,22 +95,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     plan = [(*p, p[2] - p[4] * p[1] if p[1] else 0.0) for p in plan]
     facts = spark.createDataFrame(plan, "_source string, source_size long, target double, _blocks long, _epochs int, _rest double")
     order = W.partitionBy("_source").orderBy("_block")
-    placed = blocks.withColumns({"_rank": F.row_number().over(order) - 1, "_end": F.sum("words").over(order)}).withColumn("_begin", F.col("_end") - F.col("words"))
+    placed = blocks.withColumns({"_rank": F.row_number().over(order) - 1, "_end": F.sum("words").over(order), "_docs": F.sum("docs").over(order) - F.col("docs")}).withColumn("_begin", F.col("_end") - F.col("words"))
     placed = placed.join(_small(facts, len(plan)), "_source")
-    placed = placed.withColumns({"_whole": (F.col("_rest") > 0) & (F.col("_end") <= F.col("_rest")), "_cut": (F.col("_rest") > 0) & (F.col("_begin") <= F.col("_rest")) & (F.col("_rest") < F.col("_end"))})
-    placed = stored(placed, "mixing-plan")
-    drawn = {r._source: r.n for r in placed.groupBy("_source").agg(F.sum(F.col("_epochs") + (F.col("_whole") | F.col("_cut")).cast("int")).alias("n")).collect()}
-    quotas = np.array([drawn[p[0]] for p in plan], np.int64)
+    beyond = (F.col("_rest") > 0) & (F.col("_end") > F.col("_rest"))
+    placed = placed.withColumns({"_whole": (F.col("_rest") > 0) & ~beyond, "_first": F.min(F.when(beyond, F.struct("_docs", "_begin"))).over(W.partitionBy("_source"))})
+    placed = placed.withColumn("_cut", beyond & (F.col("_docs") - F.col("_first._docs") < FILL))
+    placed = stored(placed.withColumn("_missing", F.col("_rest") - F.col("_first._begin")).drop("_first", "_docs", "docs"), "mixing-plan")
+    table = _small(placed.drop("words", "_end", "_begin"), sum(p[3] for p in plan))
+    near = keyed.join(table, ["_source", "_block"]).where("_cut").groupBy("_source", "_block", "_digest", "_id", "size", "_content").agg((F.count("*") * F.col("size")).alias("_size"), F.first("_missing").alias("_all"))
+    near = near.withColumns({"_taken": F.lit(False), "_missing": F.col("_all")})
+    inside = W.partitionBy("_source").orderBy("_digest", "_id", "size", "_content").rowsBetween(W.unboundedPreceding, W.currentRow)
+    for _ in range(ROUNDS):
+        open_ = ~F.col("_taken") & (F.col("_size") > 0) & (F.col("_size") <= F.col("_missing"))
+        near = near.withColumn("_taken", F.col("_taken") | (open_ & (F.sum(F.when(open_, F.col("_size")).otherwise(0)).over(inside) <= F.col("_missing")))).withColumn("_new", F.sum(F.when(F.col("_taken"), F.col("_size")).otherwise(0)).over(W.partitionBy("_source")))
+        near = near.withColumn("_missing", F.col("_all") - F.col("_new"))
+    picked = stored(near.where("_taken").select("_source", "_block", "_digest", "_content").distinct().withColumn("_more", F.lit(1)), "mixing-picked")
+    # a source's draws are whole epochs, the whole blocks after them, and the blocks of what was filled in
+    filled = stored(picked.select("_source", "_block").distinct().withColumn("_fill", F.row_number().over(order) - 1), "mixing-filled")
+    drawn = {r._source: r.n for r in placed.groupBy("_source").agg(F.sum(F.col("_epochs") + F.col("_whole").cast("int")).alias("n")).collect()}
+    more = {r._source: r.n for r in filled.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    quotas = np.array([drawn[p[0]] + more.get(p[0], 0) for p in plan], np.int64)
     ends = np.cumsum(split(quotas, shards, seed), axis=0) if len(plan) else np.zeros((shards, 0), np.int64)
-    runs = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]]) for i, p in enumerate(plan)], "_source string, _ends array<long>")
-    placed = placed.join(_small(runs, len(plan)), "_source").drop("words", "_end")
-    met = keyed.join(_small(placed, sum(p[3] for p in plan)), ["_source", "_block"])
-    inside = W.partitionBy("_source", "_block").orderBy("_digest", "_id", "size", "_text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cut = met.where("_cut").withColumn("_middle", F.col("_begin") + F.sum("size").over(inside) - F.col("size") / 2)
-    cut = cut.withColumn("copies", F.col("_epochs") + (F.col("_middle") <= F.col("_rest")).cast("int")).drop("_middle")
+    runs = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]], drawn[p[0]]) for i, p in enumerate(plan)], "_source string, _ends array<long>, _before long")
+    placed = placed.join(_small(runs, len(plan)), "_source").join(_small(filled, sum(more.values())), ["_source", "_block"], "left")
+    met = keyed.join(_small(placed.drop("words", "_end", "_begin"), sum(p[3] for p in plan)), ["_source", "_block"])
+    cut = met.where("_cut").join(picked.drop("_block"), ["_source", "_digest", "_content"], "left").withColumn("copies", F.col("_epochs") + F.coalesce("_more", F.lit(0))).drop("_more")
     whole = met.where("not _cut").withColumn("copies", F.col("_epochs") + F.col("_whole").cast("int"))
     # the draw of a block's place falls to the shard whose run of the source's draws holds it
-    at = lambda copy: F.size(F.filter("_ends", lambda end: end <= copy * F.col("_blocks") + F.col("_rank")))
+    place = lambda copy: F.when((copy == F.col("_epochs")) & ~F.col("_whole"), F.col("_before") + F.col("_fill")).otherwise(copy * F.col("_blocks") + F.col("_rank"))
+    at = lambda copy: F.size(F.filter("_ends", lambda end: end <= place(copy)))
     wanted = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<int>"))
     out = whole.unionByName(cut).withColumn("shards", F.filter(wanted, lambda s: s < shards)).withColumn("copies", F.size("shards"))
     added = ("size", "source_size", "target", "copies", "shards")
@@ -129,7 +146,28 @@ l as (select *, row_number() over (order by r, source nulls last) as pos, ((sele
 f as (select arg_min(level, pos) filter (cap > level * wt) as level from l),
 t as (select source, n, case when f.level is null or cap <= f.level * wt then cap else f.level * wt end as target from c, f),
 k as (select *, case when n > 0 then floor(target / n)::int else 1 end as e from t),
-q as (select w.*, k.n, k.target, k.e, k.target - k.e * k.n as rest, sum(size) over (partition by w.source order by d, doc_id, size rows between unbounded preceding and current row) as cum
-        from w join k on w.source is not distinct from k.source)
-select doc_id, size, n as source_size, round(target, 6) as target, (size * (e + case when cum - size / 2.0::double <= rest then 1 else 0 end))::bigint as taken from q
+q as (select w.*, k.n, k.target, k.e, k.target - k.e * k.n as rest, substr(d, 1, 3) as b from w join k on w.source is not distinct from k.source),
+b0 as (select source, b, any_value(rest) as rest, sum(size) as words, count(*) as docs from q group by all),
+b1 as (select *, sum(words) over o as ends, sum(docs) over o - docs as before from b0 window o as (partition by source order by b)),
+b2 as (select source, b, rest > 0 and ends <= rest as whole, rest > 0 and ends > rest as beyond, before, rest - min(ends - words) filter (rest > 0 and ends > rest) over p as missing,
+        min(before) filter (rest > 0 and ends > rest) over p as first from b1 window p as (partition by source)),
+m0 as (select q.doc_id, q.source, q.size, q.d, b2.missing as whole_gap, b2.missing as gap, false as taken from q join b2 on q.source is not distinct from b2.source and q.b = b2.b where beyond and before - first < 1000),
+m1a as (select *, not taken and size > 0 and size <= gap as fits from m0),
+m1b as (select * exclude (taken), taken or (fits and sum(case when fits then size else 0 end) over (partition by source order by d, doc_id, size rows unbounded preceding) <= gap) as taken from m1a),
+m1 as (select doc_id, source, size, d, whole_gap, whole_gap - sum(case when taken then size else 0 end) over (partition by source) as gap, taken from m1b),
+m2a as (select *, not taken and size > 0 and size <= gap as fits from m1),
+m2b as (select * exclude (taken), taken or (fits and sum(case when fits then size else 0 end) over (partition by source order by d, doc_id, size rows unbounded preceding) <= gap) as taken from m2a),
+m2 as (select doc_id, source, size, d, whole_gap, whole_gap - sum(case when taken then size else 0 end) over (partition by source) as gap, taken from m2b),
+m3a as (select *, not taken and size > 0 and size <= gap as fits from m2),
+m3b as (select * exclude (taken), taken or (fits and sum(case when fits then size else 0 end) over (partition by source order by d, doc_id, size rows unbounded preceding) <= gap) as taken from m3a),
+m3 as (select doc_id, source, size, d, whole_gap, whole_gap - sum(case when taken then size else 0 end) over (partition by source) as gap, taken from m3b),
+m4a as (select *, not taken and size > 0 and size <= gap as fits from m3),
+m4b as (select * exclude (taken), taken or (fits and sum(case when fits then size else 0 end) over (partition by source order by d, doc_id, size rows unbounded preceding) <= gap) as taken from m4a),
+m4 as (select doc_id, source, size, d, whole_gap, whole_gap - sum(case when taken then size else 0 end) over (partition by source) as gap, taken from m4b),
+m5a as (select *, not taken and size > 0 and size <= gap as fits from m4),
+m5b as (select * exclude (taken), taken or (fits and sum(case when fits then size else 0 end) over (partition by source order by d, doc_id, size rows unbounded preceding) <= gap) as taken from m5a),
+m5 as (select doc_id, source, size, d, whole_gap, whole_gap - sum(case when taken then size else 0 end) over (partition by source) as gap, taken from m5b),
+x as (select doc_id, d from m5 where taken)
+select q.doc_id, q.size, q.n as source_size, round(q.target, 6) as target, (q.size * (q.e + case when b2.whole or x.d is not null then 1 else 0 end))::bigint as taken
+  from q join b2 on q.source is not distinct from b2.source and q.b = b2.b left join x on x.d = q.d and x.doc_id is not distinct from q.doc_id
 """

@@ -15,8 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreframe.llm import setjoin
@@ -25,36 +24,49 @@ from loreframe.llm.shared import hot_join, hot_keys, shingle_sets, stored
 PERCENT, SHINGLE = 75, 5
 
 
-def _documents(size: int) -> setjoin.Sets:
+def _documents(size: int, names: list[str]) -> setjoin.Sets:
     def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-        ids = batch.column("id")
         for i, tokens, cuts in shingle_sets(batch.column("text"), size):
-            yield [ids.slice(i, len(cuts) - 1)], tokens, cuts
+            yield [batch.column(c).slice(i, len(cuts) - 1) for c in names], tokens, cuts
 
     return sets
 
 
-def ngram_join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of each row of docs."""
-    rows, sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _documents(shingle)
-    entities, counts = setjoin.members(rows, sets, ["id"])
+def _joined(rows: DataFrame, names: list[str], first: Column, percent: int, shingle: int) -> DataFrame:
+    """names, n, cls (null without words) and component: the least ``first`` of the rows that links reach."""
+    sets = _documents(shingle, names)
+    entities, counts = setjoin.members(rows, sets, names)
     roots = setjoin.linked(setjoin.survivors(rows, sets, entities, counts, percent), percent)
-    classes = stored(entities.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("held")), "classes")
+    classes = stored(entities.where("cls is not null").groupBy("cls").agg(F.min(first).alias("first"), F.count("*").alias("held")), "classes")
     named = stored(classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     least = stored(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("held")), "least")
     named = hot_join(named, least.drop("held"), "root", hot_keys(least, "root", "held"), "cls").select("cls", "component")
-    out = hot_join(entities, named, "cls", hot_keys(classes, "cls", "held"), "id")
+    return hot_join(entities, named, "cls", hot_keys(classes, "cls", "held"), names[-1])
+
+
+def ngram_join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of each row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = _joined(rows, ["id"], F.col("id"), percent, shingle)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that with the smallest id, and of repeated rows one. Rows without an id stay."""
-    found = ngram_join(docs, percent, shingle, id_col, text_col)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-copies")
-    left = docs.join(gone, id_col, "left_anti")
-    twice = stored(left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    """One row of each component stays: that with the smallest id, rows without an id last.
+
+    Rows are known by a 128-bit digest of their id and text, so that different texts under one id are judged each for
+    itself, and rows without an id too. Of rows equal in both, texts without words included, one stays.
+    """
+    key = lambda seed: F.xxhash64(F.lit(seed), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key(1).alias("k1"), key(2).alias("k2"))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
+    found = _joined(keyed.select("id", "k1", "k2", "text"), ["id", "k1", "k2"], own, percent, shingle)
+    other = (F.col("k1") != F.col("component.k1")) | (F.col("k2") != F.col("component.k2"))
+    gone = stored(found.where(F.col("cls").isNotNull() & other).select("k1", "k2").distinct(), "near-copies")
+    left = keyed.select("_row", "k1", "k2").join(gone, ["k1", "k2"], "left_anti")
+    twice = stored(left.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
     if twice.isEmpty():
-        return left
-    one = W.partitionBy(id_col).orderBy(F.xxhash64(*[c for c in docs.columns]))
-    again = left.join(twice, id_col, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return left.join(twice, id_col, "left_anti").unionByName(again)
+        return left.select("_row.*")
+    # a hot group of equal rows is reduced before it is shuffled
+    again = left.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return left.join(twice, ["k1", "k2"], "left_anti").unionByName(again.select("_row", "k1", "k2")).select("_row.*")

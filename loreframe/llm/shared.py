@@ -71,6 +71,8 @@ def n_words(text: str | Column) -> Column:
 
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of uint64 values."""
+    if np.ndim(x) == 0:  # scalars warn where arrays wrap
+        return splitmix(np.array([x], np.uint64))[0]
     x = x + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
