@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
 from loreframe.operators.asof import topk
+from loreframe.sources.files import stored
 
 #: Weights of index fields.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -80,27 +81,31 @@ def bm25_search(queries: DataFrame, postings: DataFrame, scope: list[str], item:
     return topk(scored, ["query_id"], [F.desc("score"), F.col(item)], limit).select("query_id", *scope, item, "score", "rank")
 
 
-def dense_search(queries: DataFrame, items: DataFrame, dimensions: int, limit: int = 50, scope: tuple[str, ...] = (), model: str | None = None) -> DataFrame:
-    """(query_id, item, score, rank): cosine similarity, within 0 and 1, of each query with every item it may see; ties by item.
+def dense_search(queries: DataFrame, items: DataFrame, dimensions: int, limit: int = 50, scope: tuple[str, ...] = (), model: str | None = None, kind: bool = False) -> DataFrame:
+    """(query_id, item, score, rank), with ``kind`` after query_id if asked for, a list for each kind: cosine similarity, within 0 and 1, of each query with every item it may see; ties by item.
 
     A query sees the items of its ``scope`` columns (such as novel) and, where it has a max_chapter, those of a
     chapter up to that; with ``model``, only vectors with that embedding_model are read. Queries are a stated set.
     Each block of them (bounded bytes) goes to the tasks, where a batch of items is one matrix product for every
-    ``PRODUCT`` queries; a task gives its own first ``limit`` of each query, and these are ranked. Null vectors and
+    ``PRODUCT`` queries; a task gives its own first ``limit`` of each query, and these are ranked. Of several blocks each is
+    searched and its lists written before the next is brought to the driver. Null vectors and
     those of another length are left out.
     """
     capped = "max_chapter" in queries.columns
-    own = [F.col("item").cast("long"), "vector", *scope, *(["chapter"] if capped else [])]
+    kinds = ["kind"] if kind else []
+    own = [F.col("item").cast("long"), "vector", *scope, *(["chapter"] if capped else []), *kinds]
     rows = (items if model is None else items.where(F.col("embedding_model") == model)).where(F.size("vector") == dimensions).select(*own)
     asked = queries.where(F.size("vector") == dimensions).select(F.col("query_id").cast("long"), "vector", *scope, *(["max_chapter"] if capped else []))
     n = asked.count()
     blocks = max(1, -(-n * dimensions * 8 // BROADCAST_BYTES))
-    out = items.sparkSession.createDataFrame([], "query_id long, item long, score double")
+    schema = "query_id long, item long, score double" + ", kind string" * kind
+    out = items.sparkSession.createDataFrame([], schema)
     for k in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
         if len(some):
-            out = out.union(rows.mapInPandas(_nearest(some, scope, capped, limit), "query_id long, item long, score double"))
-    return topk(out, ["query_id"], [F.desc("score"), F.col("item")], limit)
+            part = rows.mapInPandas(_nearest(some, scope, capped, limit), schema)
+            out = out.union(part if blocks == 1 else stored(part, "nearest"))
+    return topk(out, ["query_id", *kinds], [F.desc("score"), F.col("item")], limit).select("query_id", *kinds, "item", "score", "rank")
 
 
 def _nearest(asked: pd.DataFrame, scope: tuple[str, ...], capped: bool, limit: int):
@@ -110,10 +115,11 @@ def _nearest(asked: pd.DataFrame, scope: tuple[str, ...], capped: bool, limit: i
     limits = asked["max_chapter"].fillna(np.inf).to_numpy(float) if capped else None
 
     def go(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        held: dict[tuple[int, str | None], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in (part for whole in batches for _, part in (whole.groupby("kind") if "kind" in whole.columns else [(None, whole)])):
             if not len(batch):
                 continue
+            kind = batch["kind"].iloc[0] if "kind" in batch.columns else None
             x = np.stack(batch["vector"].to_list()).astype(float)
             size = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(size == 0, 1, size)
@@ -128,12 +134,15 @@ def _nearest(asked: pd.DataFrame, scope: tuple[str, ...], capped: bool, limit: i
                     seen &= batch["chapter"].to_numpy(float)[None, :] <= limits[part, None]
                 for k in range(len(scores)):
                     s, i = scores[k][seen[k]], items[seen[k]]
-                    if begin + k in held:
-                        s, i = np.concatenate([held[begin + k][0], s]), np.concatenate([held[begin + k][1], i])
+                    at = begin + k, kind
+                    if at in held:
+                        s, i = np.concatenate([held[at][0], s]), np.concatenate([held[at][1], i])
                     best = np.lexsort((i, -s))[:limit]
-                    held[begin + k] = s[best], i[best]
+                    held[at] = s[best], i[best]
         if held:
-            yield pd.DataFrame({"query_id": np.concatenate([np.repeat(ids[q], len(s)) for q, (s, _) in held.items()]), "item": np.concatenate([i for _, i in held.values()]), "score": np.concatenate([s for s, _ in held.values()])})
+            out = pd.DataFrame({"query_id": np.concatenate([np.repeat(ids[q], len(s)) for (q, _), (s, _) in held.items()]), "item": np.concatenate([i for _, i in held.values()]), "score": np.concatenate([s for s, _ in held.values()])})
+            kinds = [kind for (_, kind), (s, _) in held.items() for _ in range(len(s))]
+            yield out if kinds and kinds[0] is None or not kinds else out.assign(kind=kinds)
 
     return go
 
@@ -178,7 +187,8 @@ def mmr(candidates: DataFrame, vectors: DataFrame, key: str = "query_id", weight
                         near[i] = max(near[i], float(unit[i][:n] @ unit[best][:n]))
         return pd.DataFrame(out, columns=[key, "item", "score", "rank"])
 
-    return met.groupBy(key).applyInPandas(pick, f"{key} long, item long, score double, rank int")
+    kinds = dict(candidates.dtypes)
+    return met.groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, item {kinds['item']}, score double, rank int")
 
 
 def hybrid_search(keyword: DataFrame, dense: DataFrame, vectors: DataFrame | None, top_k: int = 8) -> DataFrame:

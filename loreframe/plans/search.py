@@ -9,6 +9,7 @@ from loreframe.functions import text as X
 from loreframe.operators import asof, checks, folds, ingest, metrics, retrieval
 from loreframe.plans import bind
 from loreframe.plans.bind import CHAPTERS
+from loreframe.sources import files
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,7 +36,18 @@ _POST = f"""{CHAPTERS}, pw as (select novel, number, doc_id as item, unnest({_te
 po as (select novel, number, item, term, weight, count(*) as tf from pw group by all)"""
 
 
+_written: dict = {}
+
+
 def postings(spark, sf):
+    """The postings of chapters, written once a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _written:
+        _written[at] = files.stored(_postings(spark, sf).repartitionByRange("novel", "term", "item"), "postings")
+    return _written[at]
+
+
+def _postings(spark, sf):
     docs = bind.chapters(spark, sf).select("novel", F.col("number").alias("chapter"), F.col("doc_id").alias("item"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), "text")
     return retrieval.build_postings(docs, {"title": "A", "text": "D"}, ["novel", "chapter", "item"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.operators import asof, folds, ingest, reads
-from loreframe.plans import bind, graph, records, search, story
+from loreframe.plans import bind, graph, records, story
 from loreframe.plans.bind import ASSERTED, CHAPTERS, DELTAS, HELD, LOCATED, RELATIONS
 
 QUERIES, ORACLES = {}, {}
@@ -168,14 +168,6 @@ def built_records(spark, sf):
     return bind.table(spark, sf, "events").select("event_id", F.get_json_object(record, "$.k").alias("k"), F.concat_ws(" ", F.lit("event"), "event_type", F.round("value").cast("int").cast("string")).alias("snippet"))
 
 
-@query(f"with {search._KEYWORD} select query_id, rank, item as doc_id, c.number as chapter, substr(c.text, 1, 80) as snippet, score from kw join c on c.doc_id = kw.item where rank <= 8")
-def search_rows(spark, sf):
-    """What a reader sees of a search: the first eight with chapter and snippet."""
-    found = search.keyword_search(spark, sf).where("rank <= 8").select("query_id", "rank", F.col("item").alias("doc_id"), "score")
-    docs = bind.chapters(spark, sf).select("doc_id", F.col("number").alias("chapter"), F.substring("text", 1, 80).alias("snippet"))
-    return found.join(docs, "doc_id").select("query_id", "rank", "doc_id", "chapter", "snippet", "score")
-
-
 @query(f"with {DELTAS}, m as (select d.*, (select max(chapter) from d) as horizon from d) select novel, horizon, count_if(chapter = horizon) as n_last, count(*) as n from m group by all")
 def horizon_counts(spark, sf):
     """A join with a one-row table."""
