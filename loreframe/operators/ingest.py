@@ -21,13 +21,13 @@ def run_log(log: DataFrame, novel: str = "novel") -> DataFrame:
 
 def rewind(log: DataFrame, points: DataFrame, novel: str = "novel", chapter: str = "chapter") -> DataFrame:
     """The log without what the named novels (novel, from_chapter) hold from a chapter on; derived tables are recomputed from it."""
-    met = log.join(F.broadcast(points), novel, "left")
+    met = log.join(points, novel, "left")
     return met.where(F.col("from_chapter").isNull() | (F.col(chapter) < F.col("from_chapter"))).drop("from_chapter")
 
 
 def unpaid(commitments: DataFrame, points: DataFrame, novel: str = "novel") -> DataFrame:
     """Commitments after a rewind: later foreshadows go, later payoffs are open again."""
-    met = commitments.join(F.broadcast(points), novel, "left")
+    met = commitments.join(points, novel, "left")
     late = F.coalesce(F.col("payoff_chapter") >= F.col("from_chapter"), F.lit(False))
     met = met.where(F.col("from_chapter").isNull() | (F.col("foreshadow_chapter") < F.col("from_chapter")))
     return met.withColumns({"status": F.when(late, "pending").otherwise(F.col("status")), "payoff_chapter": F.when(~late, F.col("payoff_chapter"))}).drop("from_chapter")

@@ -12,10 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a log: novel, entity, chapter, ordinal, location, object, change, attribute, value."""
+    return as_deltas(table(spark, sf_dir, "events"))
+
+
+def as_deltas(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     attribute = F.element_at(F.array(*[F.lit(a) for a in ("goals", "physical_state", "appearance", "emotional_state", "notes")]), (k % 5 + 1).cast("int"))
     change = F.when(F.col("event_type") == "purchase", "gain").when(F.col("event_type") == "error", "loss")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") % 10).alias("novel"), F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("chapter"), F.col("event_id").alias("ordinal"),
         F.col("event_type").alias("location"), (k % 5).alias("object"), change.alias("change"), attribute.alias("attribute"), k.cast("string").alias("value"), F.col("value").alias("amount"),
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreframe.operators import asof, checks, entity, folds, ingest
+from loreframe.operators import asof, checks, entity, folds, ingest, refold
 from loreframe.plans import bind, names, records
-from loreframe.plans.bind import DELTAS, LOCATED, VERSIONS
+from loreframe.plans.bind import ASSERTED, DELTAS, HELD, LOCATED, VERSIONS
 from loreframe.sources import files
 from loreframe.streaming import edges
 
@@ -44,6 +44,84 @@ def stream_location_edges(spark, sf):
     return spark.read.parquet(f"{path}/out").where("kind = 'closed'").drop("kind")
 
 
+def _streamed(spark, sf, make):
+    """What a stream over the event files puts out until it has read them."""
+    path, provider = shared(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, edges.ROCKS)
+    try:
+        log = bind.deltas(spark, sf)  # the same columns, from a stream
+        events = spark.readStream.schema(bind.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+        run = make(bind.as_deltas(events).select(*log.columns)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(f"with {DELTAS}, {LOCATED}, {HELD} select 'location' as kind, novel, entity, null::bigint as object, id, location, since, until from loc where until is not null union all select 'possession', novel, entity, object, id, null, since, until from pos where until is not null")
+def stream_edges(spark, sf):
+    """Closed intervals of both kinds from one pass of a stream."""
+    return _streamed(spark, sf, edges.stream_edges).where("kind <> 'late'")
+
+
+#: The rewind of novels divisible by 3: from chapter 10 + novel on, every other change is gone and every fifth is elsewhere.
+_RETCON = "rc as (select novel, entity, chapter, ordinal, case when novel % 3 = 0 and chapter >= 10 + novel and ordinal % 5 = 0 then 'elsewhere' else location end as location, object, change, attribute, value from d where not (novel % 3 = 0 and chapter >= 10 + novel and ordinal % 2 = 1))"
+
+
+def retold(spark, sf):
+    """(old log, new log, points) of the rewind."""
+    old = bind.deltas(spark, sf)
+    points = old.select("novel").distinct().where("novel % 3 = 0").select("novel", (F.col("novel") + 10).cast("int").alias("from_chapter"))
+    late = (F.col("novel") % 3 == 0) & (F.col("chapter") >= 10 + F.col("novel"))
+    new = old.where(~(late & (F.col("ordinal") % 2 == 1))).withColumn("location", F.when(late & (F.col("ordinal") % 5 == 0), "elsewhere").otherwise(F.col("location")))
+    return old, new, points
+
+
+def _refolded(spark, sf, make, fold, columns=("*",)):
+    """A table stored from the old log, refolded in place for the new one."""
+    old, new, points = retold(spark, sf)
+    path = shared(spark, "derived")
+    refold.write_table(make(old), path)
+    entities = files.stored(refold.touched(old, new, points), "touched")
+    refold.refold_table(path, fold, refold.suffix(new, entities), entities)
+    return spark.read.parquet(path).drop("bucket").select(*columns)
+
+
+@query(f"with {DELTAS}, {_RETCON}, {LOCATED.replace('from d)', 'from rc)')} select * from loc")
+def refolded_locations(spark, sf):
+    return _refolded(spark, sf, folds.location_edges, refold.refold_locations)
+
+
+@query(f"with {DELTAS}, {_RETCON}, {HELD.replace('from d where', 'from rc where')} select * from pos")
+def refolded_possessions(spark, sf):
+    return _refolded(spark, sf, lambda log: folds.possession_edges(log.where("change is not null")), refold.refold_possessions)
+
+
+@query(f"""with {DELTAS}, {_RETCON}, s0 as (select novel, entity, chapter, {', '.join(f"arg_max(value, ordinal) filter (attribute = '{a}') as {a}" for a in (*folds.CARRIED, *folds.NOT_CARRIED))} from rc group by all)
+select novel, entity, chapter, {', '.join(f"last_value({a} ignore nulls) over w as {a}" for a in folds.CARRIED)}, {', '.join(folds.NOT_CARRIED)} from s0 window w as (partition by novel, entity order by chapter rows between unbounded preceding and current row)""")
+def refolded_snapshots(spark, sf):
+    return _refolded(spark, sf, folds.state_snapshots, refold.refold_snapshots)
+
+
+@query(f"with {DELTAS}, {_RETCON}, x as (select * from rc where entity % 11 <> 5), {LOCATED.replace('from d)', 'from x)')}, k as (select novel, count(*) as n from rc where entity % 11 = 5 group by all), e as (select novel, count(*) as n_edges from loc where since <= 20 group by all), p as (select distinct novel from rc) select p.novel, coalesce(n_edges, 0) as n_edges, coalesce(n, 0) as n_skipped from p left join e using (novel) left join k using (novel)")
+def replayed_prefix(spark, sf):
+    """Intervals begun up to chapter 20, of changes whose entity is known; the others are counted."""
+    _, log, _ = retold(spark, sf)
+    known = log.select("novel", "entity").distinct().where("entity % 11 <> 5")
+    kept, skipped = refold.resolved(log, {"entity": known})
+    begun = folds.location_edges(kept).where("since <= 20").groupBy("novel").agg(F.count("*").alias("n_edges"))
+    every = log.select("novel").distinct()
+    return every.join(begun, "novel", "left").join(skipped, "novel", "left").select("novel", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("n_skipped", F.lit(0)).alias("n_skipped"))
+
+
+@query(f"with {DELTAS}, {ASSERTED}, g as (select id from a where novel % 3 = 0 and learned >= 10 + novel) select novel, entity, id, text, learned, case when successor not in (select id from g) then successor end as successor from a where not (novel % 3 = 0 and learned >= 10 + novel)")
+def rewound_knowledge(spark, sf):
+    """What was learnt from the points on is gone, and what it superseded is current again."""
+    _, _, points = retold(spark, sf)
+    return refold.rewound_records(bind.assertions(spark, sf), points, "learned")
+
+
 @query(f"with {DELTAS.replace('from events)', 'from events where not (user_id % 10 = 3 and day(ts) >= 20))')}, {LOCATED} select * from loc")
 def written_projection(spark, sf):
     """The location projection, of which novel 3 is first written whole and then replaced by its rewound form."""

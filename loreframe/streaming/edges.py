@@ -1,8 +1,8 @@
 """Location and possession intervals from a stream of changes.
 
-State is one row for each key: the open interval. A change later than the state closes it and opens another; a
-change older than the state's is put out as late, for a rewind of its novel in batch. Rows of one trigger are put
-in order first.
+State is kept by entity: the open location interval, and for each object it holds the gain that began the interval. One pass
+over a trigger's rows, in order, closes intervals of both kinds. A change older than the entity's last one is put out as late:
+its entity is refolded in batch from that chapter on (``late_points`` and ``operators.refold``).
 """
 
 from __future__ import annotations
@@ -11,41 +11,67 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "kind string, novel long, entity long, id long, location string, since int, until int"
+BOTH = "kind string, novel long, entity long, object long, id long, location string, since int, until int"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Intervals(StatefulProcessor):
+    """Closed intervals of both kinds (location, possession), and late changes."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._open = handle.getValueState("open", "id long, location string, since int, chapter int, ordinal long")
+        self._held = handle.getMapState("held", "object long", "id long, since int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = self._open.get() if self._open.exists() else None
         out = []
         for row in pd.concat(list(rows)).sort_values(["chapter", "ordinal"]).itertuples():
             if own is not None and (row.chapter, row.ordinal) < (own[3], own[4]):
-                out.append(("late", *key, row.ordinal, row.location, row.chapter, None))
+                out.append(("late", *key, None, row.ordinal, row.location, row.chapter, None))
                 continue
             if own is None or own[1] != row.location:
                 if own is not None:
-                    out.append(("closed", *key, own[0], own[1], own[2], max(row.chapter - 1, own[2])))
+                    out.append(("location", *key, None, own[0], own[1], own[2], max(row.chapter - 1, own[2])))
                 own = (int(row.ordinal), row.location, int(row.chapter), int(row.chapter), int(row.ordinal))
             else:
                 own = (*own[:3], int(row.chapter), int(row.ordinal))
+            if row.change in ("gain", "loss") and not pd.isna(row.object):
+                what = (int(row.object),)
+                held = self._held.containsKey(what)
+                if row.change == "gain" and not held:
+                    self._held.updateValue(what, (int(row.ordinal), int(row.chapter)))
+                elif row.change == "loss" and held:
+                    id_, since = self._held.getValue(what)
+                    out.append(("possession", *key, what[0], id_, None, since, int(row.chapter)))
+                    self._held.removeKey(what)
         if own is not None:
             self._open.update(tuple(own))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
-        yield frame.astype({"until": "Int32"})
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in BOTH.split(", ")])
+        yield frame.astype({"until": "Int32", "object": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_location_edges(deltas: DataFrame) -> DataFrame:
-    """Closed intervals and late changes of a streaming log (novel, entity, chapter, ordinal, location).
+def stream_edges(deltas: DataFrame) -> DataFrame:
+    """Closed intervals and late changes of a streaming log (novel, entity, chapter, ordinal, location, object, change).
 
     The session's state store must be RocksDB (``ROCKS``).
     """
-    return deltas.groupBy("novel", "entity").transformWithStateInPandas(Intervals(), OUT, "append", "none")
+    return deltas.groupBy("novel", "entity").transformWithStateInPandas(Intervals(), BOTH, "append", "none")
+
+
+def stream_location_edges(deltas: DataFrame) -> DataFrame:
+    """Closed location intervals (kind ``closed``) and late changes of a streaming log (novel, entity, chapter, ordinal, location)."""
+    plain = deltas.withColumns({"object": F.lit(None).cast("long"), "change": F.lit(None).cast("string")})
+    out = stream_edges(plain).where("kind <> 'possession'")
+    return out.select(F.when(F.col("kind") == "location", "closed").otherwise(F.col("kind")).alias("kind"), "novel", "entity", "id", "location", "since", "until")
+
+
+def late_points(out: DataFrame) -> DataFrame:
+    """(novel, entity, from_chapter) of a stream's output: from where its late entities must be refolded in batch."""
+    return out.where("kind = 'late'").groupBy("novel", "entity").agg(F.min("since").alias("from_chapter"))
