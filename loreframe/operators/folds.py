@@ -1,11 +1,14 @@
 """Folds of an append-only log into validity intervals, snapshots and knowledge.
 
 Logs are ordered by (chapter, ordinal) within an entity. All folds partition by entity, never by novel alone, and
-are windows or grouped aggregates; nothing is looped.
+are windows, grouped aggregates or, for relationships, a sorted stream with bounded state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,32 +147,57 @@ def canon_before(log: DataFrame, points: DataFrame, keys: list[str], locked: Dat
     return run.where("_kind = 0 and _best is not null").select(*keys, "chapter", F.col("_best.value").alias("value"), F.coalesce(F.col("_lock") < F.col("chapter"), F.lit(False)).alias("locked"))
 
 
+_KEPT = "novel {novel}, rel_type {rel_type}, seq bigint, a bigint, b bigint, mutual boolean, from_chapter int, to_chapter int, notes string, superseded_by bigint"
+
+
+def _relationships() -> Callable:
+    """Rows in order of pair and seq: each pair's active rows are held, one for each direction at most; a row is put out once it can't change."""
+    names = [c.split()[0] for c in _KEPT.split(", ")]
+
+    def step(active: list[dict], row: dict) -> Iterator[dict]:
+        match = [k for k in active if (k["a"], k["b"]) == (row["a"], row["b"]) or (k["mutual"] and row["mutual"])]
+        if match:
+            if row["to_chapter"] is None or any(k["to_chapter"] is not None for k in match):
+                return
+            first = match[0]
+            row["from_chapter"] = row["from_chapter"] if first["from_chapter"] is None else first["from_chapter"]
+            row["notes"] = first["notes"] if row["notes"] is None else row["notes"]
+            for k in match:
+                yield k | {"superseded_by": row["seq"]}
+                active.remove(k)
+        active.append(row)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, pair, active = None, None, []
+        for batch in batches:
+            schema, out = pa.schema([f if f.name != "superseded_by" else pa.field("superseded_by", pa.int64()) for f in batch.select(names).schema]), []
+            for row in batch.to_pylist():
+                own = row.pop("_pair")
+                if own != pair:
+                    out += active
+                    pair, active = own, []
+                out += step(active, row)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist(active, schema)
+
+    return go
+
+
 def fold_relationships(log: DataFrame) -> DataFrame:
     """Relationship rows kept from assertions (novel, a, b, rel_type, mutual, from_chapter, to_chapter, notes, seq).
 
     Within an unordered pair and type, in order of seq: an assertion with the same direction (or both mutual) as
     the active row is a duplicate unless it states an end that the row hasn't; then the row is superseded by a new
-    one that inherits its start and notes. The fold runs over one pair's assertions, sorted in an array.
+    one that inherits its start and notes. Pairs are sorted and streamed: a task holds a pair's active rows, of which
+    there are two at most, however often the pair is asserted.
     """
-    fields = ["seq", "a", "b", "mutual", "from_chapter", "to_chapter", "notes"]
-    pair = [F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")]
-    grouped = log.groupBy("novel", "rel_type", *pair).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_log"))
-    row = "struct<seq:bigint,a:bigint,b:bigint,mutual:boolean,from_chapter:int,to_chapter:int,notes:string,superseded_by:bigint>"
-    expr = f"""
-    aggregate(_log, cast(array() as array<{row}>), (kept, x) ->
-      case when not exists(kept, k -> k.superseded_by is null and ((k.a = x.a and k.b = x.b) or (k.mutual and x.mutual)))
-        then array_append(kept, struct(x.seq, x.a, x.b, x.mutual, x.from_chapter, x.to_chapter, x.notes, cast(null as bigint) as superseded_by))
-      when x.to_chapter is null or exists(kept, k -> k.superseded_by is null and ((k.a = x.a and k.b = x.b) or (k.mutual and x.mutual)) and k.to_chapter is not null)
-        then kept
-      else array_append(
-        transform(kept, k -> case when k.superseded_by is null and ((k.a = x.a and k.b = x.b) or (k.mutual and x.mutual))
-          then struct(k.seq, k.a, k.b, k.mutual, k.from_chapter, k.to_chapter, k.notes, x.seq as superseded_by) else k end),
-        struct(x.seq, x.a, x.b, x.mutual,
-          coalesce(filter(kept, k -> k.superseded_by is null and ((k.a = x.a and k.b = x.b) or (k.mutual and x.mutual)))[0].from_chapter, x.from_chapter) as from_chapter,
-          x.to_chapter,
-          coalesce(x.notes, filter(kept, k -> k.superseded_by is null and ((k.a = x.a and k.b = x.b) or (k.mutual and x.mutual)))[0].notes) as notes,
-          cast(null as bigint) as superseded_by)) end)"""
-    return grouped.select("novel", "rel_type", F.explode(F.expr(expr)).alias("r")).select("novel", "rel_type", "r.*")
+    types = dict(log.dtypes)
+    pair = F.struct("novel", "rel_type", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    fields = ["novel", "rel_type", F.col("seq").cast("long").alias("seq"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "mutual", F.col("from_chapter").cast("int").alias("from_chapter"), F.col("to_chapter").cast("int").alias("to_chapter"), "notes"]
+    rows = log.select(*fields, F.lit(None).cast("long").alias("superseded_by"), F.to_json(pair).alias("_pair"))
+    dealt = rows.repartition("_pair").sortWithinPartitions("_pair", "seq")
+    return dealt.mapInArrow(_relationships(), _KEPT.format(novel=types["novel"], rel_type=types["rel_type"]))
 
 
 def dedupe_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -141,7 +141,24 @@ def relationship_log(spark, sf):
     return r.select((F.col("id") % 2).alias("novel"), (F.col("a") % 30).alias("a"), ((F.col("b") - 1_000_000_000) % 30).alias("b"), "rel_type", (F.col("rel_type") == "A").alias("mutual"), "from_chapter", "to_chapter", F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).alias("notes"), F.col("id").alias("seq")).where("a <> b")
 
 
-@query("")
+#: One assertion of every pair a step: f and b are the pair's active rows in either direction (seq, start, end, notes, mutual).
+_FOLDED = f"""with recursive {RELATIONS}, lg as (select id % 2 as novel, a % 30 as a, (b - 1000000000) % 30 as b, rel_type, rel_type = 'A' as mutual, from_chapter, to_chapter, case when id % 5 = 0 then id::varchar end as notes, id as seq from r),
+ln as (select *, least(a, b) as x, greatest(a, b) as y, a < b as fwd, row_number() over (partition by novel, rel_type, least(a, b), greatest(a, b) order by seq) as i from lg where a <> b),
+st as (select 0::bigint as i, novel, rel_type, x, y, null::struct(s bigint, c0 int, c1 int, t varchar, m boolean) as f, null::struct(s bigint, c0 int, c1 int, t varchar, m boolean) as g, null::bigint as gone_f, null::bigint as gone_g, null::bigint as made from (select distinct novel, rel_type, x, y from ln)
+ union all select i, novel, rel_type, x, y,
+   case when act and fwd then {{'s': seq, 'c0': c0, 'c1': c1, 't': t, 'm': mutual}} when act and hit_f then null else f end,
+   case when act and not fwd then {{'s': seq, 'c0': c0, 'c1': c1, 't': t, 'm': mutual}} when act and hit_g then null else g end,
+   case when act and hit_f then f.s end, case when act and hit_g then g.s end, case when act then seq end
+  from (select *, (not hit_f and not hit_g) or (to_chapter is not null and not coalesce(hit_f and f.c1 is not null, false) and not coalesce(hit_g and g.c1 is not null, false)) as act,
+     case when lead_f then coalesce(f.c0, from_chapter) when hit_f or hit_g then coalesce(g.c0, from_chapter) else from_chapter end as c0, to_chapter as c1,
+     case when lead_f then coalesce(notes, f.t) when hit_f or hit_g then coalesce(notes, g.t) else notes end as t
+    from (select *, hit_f and (not hit_g or f.s < g.s) as lead_f from (select n.*, s.f, s.g, s.f is not null and (n.fwd or (n.mutual and s.f.m)) as hit_f, s.g is not null and (not n.fwd or (n.mutual and s.g.m)) as hit_g from st s join ln n on n.novel = s.novel and n.rel_type = s.rel_type and n.x = s.x and n.y = s.y and n.i = s.i + 1)))),
+mk as (select l.novel, l.rel_type, l.seq, l.a, l.b, l.mutual, case when l.fwd then s.f.c0 else s.g.c0 end as from_chapter, l.to_chapter, case when l.fwd then s.f.t else s.g.t end as notes from st s join ln l on l.novel = s.novel and l.rel_type = s.rel_type and l.x = s.x and l.y = s.y and l.i = s.i where made is not null),
+gn as (select gone_f as seq, made from st where gone_f is not null union all select gone_g, made from st where gone_g is not null)
+select mk.*, gn.made as superseded_by from mk left join gn on gn.seq = mk.seq"""
+
+
+@query(_FOLDED)
 def folded_relationships(spark, sf):
     return folds.fold_relationships(relationship_log(spark, sf))
 
