@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreframe.functions import text as X
+from loreframe.sources.files import stored
 
 NEAR = 0.85
 NAME_BLOCK = 2000
@@ -94,7 +95,7 @@ def near_surfaces(names: DataFrame, keys: list[str], least: float = NEAR) -> Dat
     long = long.where("_len >= _w").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_len") - F.col("_w")))).select(*keys, "_b", "_len", F.col("_b").substr(F.col("_j") + 1, F.col("_w")).alias("_p"), "_j")
     met = short.select(*keys, "_a", "_len", "_p", "_j").distinct().join(long, [*keys, "_len", "_p", "_j"]).where("_a <> _b")
     second = met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), F.lit(0.0).alias("_share"))
-    # a fixed number of partitions: pairs are few bytes, but their ratio is the work
+    # pairs are few bytes, but their ratio is the work: they are dealt by pair, so that a hot novel is many tasks
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = first.union(second).repartition(n, *keys, "a", "b").groupBy(*keys, "a", "b").agg(F.max("_share").alias("_share"))
     # who shares that many tokens has met on them: for others the ratio alone counts
@@ -306,16 +307,26 @@ def move_between(rows: DataFrame, source_column: str, target_column: str, source
     return rows.withColumn("_has", has).withColumns({target_column: F.when(F.col("_has"), F.array_union(target_column, F.array(target))).otherwise(F.col(target_column)), source_column: F.array_remove(source_column, source)}).drop("_has")
 
 
-def merge_roots(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(source, target) with chains of merges followed to their ends by doubling, up to 2**rounds links."""
-    for _ in range(rounds):
-        nxt = merges.select(F.col("source").alias("target"), F.col("target").alias("_t"))
-        longer = merges.join(nxt, "target", "left").select("source", F.coalesce("_t", "target").alias("target"), F.col("_t").isNotNull().alias("_m"))
-        longer = longer.checkpoint() if merges.sparkSession.sparkContext.getCheckpointDir() else longer
-        merges = longer.drop("_m")
-        if longer.where("_m").isEmpty():
+def merge_roots(merges: DataFrame) -> DataFrame:
+    """(source, target) with chains of merges (one target a source) followed to their ends; of a cycle the least id is the end.
+
+    Each round doubles how far a source looks, and is written, so that the next reads it once. A chain is never longer
+    than the sources that haven't ended, which bounds the rounds: what is left then leads into a cycle, and has seen all of it.
+    """
+    rows = merges.select("source", F.col("target").alias("at"), F.least("source", "target").alias("least"))
+    reach = 1
+    while True:
+        nxt = rows.select(F.col("source").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        met = rows.join(nxt, "at", "left")
+        rows = stored(met.select("source", F.coalesce("_at", "at").alias("at"), F.least("least", "_least").alias("least"), F.col("_at").isNotNull().alias("open")), "roots")
+        reach *= 2
+        left = rows.where("open").count()
+        if reach > 2 * left:
             break
-    return merges
+        rows = rows.drop("open")
+    ends = rows.where("open").select(F.col("source").alias("at"), F.col("least").alias("_end"))
+    found = rows.join(ends, "at", "left").select("source", F.when(F.col("open") & F.col("_end").isNotNull(), F.col("_end")).otherwise(F.col("at")).alias("target"))
+    return found.where("source <> target")
 
 
 def repair_history(versions: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:

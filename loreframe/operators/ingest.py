@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
-from loreframe.operators.entity import sequence_ratio
+from loreframe.operators.entity import merge_roots, sequence_ratio
+from loreframe.sources.files import stored
 
 ATTRIBUTES = ("goals", "physical_state", "appearance", "emotional_state")
 
@@ -58,12 +59,20 @@ def contract_violations(rows: DataFrame, row_id: str, rules: dict[tuple[str, str
 
 
 def sliding_chunks(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
-    """docs with chunk_index and chunk: windows of ``size`` words, each beginning size - overlap after the one before, until one reaches the end."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    rows = docs.withColumn("_words", words)
-    last = F.greatest(F.ceil((F.size("_words") - size) / F.lit(size - overlap)).cast("int"), F.lit(0))
-    rows = rows.where(F.size("_words") > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    return rows.withColumn("chunk", F.array_join(F.slice("_words", F.col("chunk_index") * (size - overlap) + 1, size), " ")).drop("_words")
+    """docs with chunk_index, start and chunk: windows of ``size`` words, each beginning size - overlap words after the one before, until one reaches the end.
+
+    A chunk is the text itself from its first word to its last, white space and all: substr(text, start, length(chunk)).
+    Places of words are summed a step at a time.
+    """
+    step = size - overlap
+    rows = docs.withColumn("_words", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+\s*"), F.lit(0))).where(F.size("_words") > 0)
+    joined = lambda first, n: F.array_join(F.slice("_words", first, n), "")
+    last = F.greatest(F.ceil((F.size("_words") - size) / F.lit(step)).cast("int"), F.lit(0))
+    lead = F.length(F.regexp_extract(text, r"^\s*", 0)) + 1
+    # an empty sequence counts down from 1 to 0
+    starts = F.aggregate(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), F.array(lead), lambda s, k: F.array_append(s, F.element_at(s, -1) + F.length(joined((k - 1) * step + 1, F.lit(step)))))
+    each = rows.select("*", F.posexplode(starts).alias("chunk_index", "start"))
+    return each.withColumn("chunk", F.regexp_replace(joined(F.col("chunk_index") * step + 1, F.lit(size)), r"\s+$", "")).drop("_words")
 
 
 def merge_entities(rows: DataFrame, keys: list[str], order: str, scalars: list[str], lists: list[str]) -> DataFrame:
@@ -117,6 +126,23 @@ def fold_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     return parents.join(added, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
+def fold_chains(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places that stay, with the names and aliases of all below them; (source, target) of those that were folded).
+
+    places: id, name, aliases, parent_id. Chains of parents are followed to their ends; in a cycle the least id stays.
+    Aliases are distinct and sorted, without the place's own name.
+    """
+    chain = places.where("parent_id is not null and parent_id <> id").select(F.col("id").alias("source"), F.col("parent_id").alias("target"))
+    # a parent that isn't a place ends no chain
+    roots = stored(merge_roots(chain.join(places.select(F.col("id").alias("target")), "target", "left_semi")), "place-roots")
+    own = F.coalesce("aliases", F.array().cast("array<string>"))
+    below = places.join(roots, places["id"] == roots["source"]).select(F.col("target").alias("id"), F.explode(F.array_append(own, F.col("name"))).alias("alias"))
+    added = below.groupBy("id").agg(F.collect_set("alias").alias("_new"))
+    kept = places.join(roots.select(F.col("source").alias("id")), "id", "left_anti").join(added, "id", "left")
+    every = F.array_sort(F.array_remove(F.array_distinct(F.concat(own, F.coalesce("_new", F.array().cast("array<string>")))), F.col("name")))
+    return kept.select("id", "name", every.alias("aliases")), roots
+
+
 def merge_aliases(proposed: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, aliases): proposed (id, alias) that no other entity owns as name or alias, added to what each has."""
     owned = entities.select(F.col("id").alias("_owner"), F.explode(F.array_append("aliases", F.col("name"))).alias("_s")).select("_owner", F.lower("_s").alias("_s")).distinct()

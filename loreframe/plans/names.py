@@ -194,3 +194,17 @@ def aliases_and_levels(spark, sf):
     union = X.union_aliases(F.col("s_name"), F.array(F.lit("a"), "s_name", F.lit("b")), F.array(F.lit("a"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("b")))
     level = F.when(F.col("s_nationkey") % 3 == 0, "High").when(F.col("s_nationkey") % 3 == 1, " medium").otherwise("none")
     return rows.select(F.col("s_suppkey").alias("id"), F.array_join(union, ",").alias("aliases"), X.level(level).alias("level"))
+
+
+#: Suppliers within suppliers: chains of six; every fifth chain closes into a cycle.
+@query("""with recursive pl as (select s_suppkey as id, s_name as name, case when s_suppkey % 3 = 0 then ['old ' || s_name] else [] end as aliases, case when s_suppkey % 6 <> 0 then s_suppkey - 1 when s_suppkey % 30 = 0 then s_suppkey + 5 when s_suppkey % 12 = 0 then 1000000 end as parent from supplier),
+e as (select id, parent from pl where parent in (select id from pl)), r as (select id, parent as up from e union select r.id, e.parent from r join e on e.id = r.up),
+t as (select id, coalesce(min(up) filter (up not in (select id from e)), min(up) filter (up in (select id from r where up = id))) as root from r group by 1), g as (select id, root from t where id <> root),
+a as (select root as id, unnest(list_append(aliases, name)) as alias from g join pl using (id) union select id, unnest(aliases) from pl)
+select p.id, p.name, coalesce(string_agg(distinct a.alias, ',' order by a.alias) filter (a.alias <> p.name), '') as aliases from pl p left join a on a.id = p.id where p.id not in (select id from g) group by p.id, p.name""")
+def folded_chains(spark, sf):
+    """Places within places, however deep: the outermost one stays and knows the names of all below it."""
+    key = F.col("s_suppkey")
+    parent = F.when(key % 6 != 0, key - 1).when(key % 30 == 0, key + 5).when(key % 12 == 0, F.lit(1_000_000))
+    places = bind.table(spark, sf, "supplier").select(key.alias("id"), F.col("s_name").alias("name"), F.when(key % 3 == 0, F.array(F.concat(F.lit("old "), "s_name"))).alias("aliases"), parent.cast("long").alias("parent_id"))
+    return ingest.fold_chains(places)[0].withColumn("aliases", F.array_join("aliases", ","))

@@ -252,11 +252,12 @@ def verbatim_quotes(spark, sf):
     return rows.select("doc_id", F.contains("text", F.col("quote")).alias("verbatim"), F.contains(F.lower("text"), F.lower(F.lit("THEA"))).alias("has_word"))
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(trim(text, ' ' || chr(10)), '\\s+'), lambda x: x <> '') as w from documents), n as (select doc_id, w, len(w) as n from w where len(w) > 0),
-s as (select doc_id, w, unnest(range(0, greatest(ceil((n - 200) / 180)::int, 0) + 1)) as chunk_index from n) select doc_id, chunk_index::int as chunk_index, length(array_to_string(w[chunk_index * 180 + 1:chunk_index * 180 + 200], ' ')) as n_chars from s""")
+@query("""with w as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '\\S+\\s*') as w from documents), n as (select *, len(w) as n, length(text) - length(array_to_string(w, '')) as lead from w where len(w) > 0),
+s as (select *, unnest(range(0, greatest(ceil((n - 200) / 180)::int, 0) + 1)) as chunk_index from n), c as (select doc_id, chunk_index, text, (lead + length(array_to_string(w[1:chunk_index * 180], '')) + 1)::int as start, regexp_replace(array_to_string(w[chunk_index * 180 + 1:chunk_index * 180 + 200], ''), '\\s+$', '') as chunk from s)
+select doc_id, chunk_index::int as chunk_index, start, length(chunk) as n_chars, md5(substr(text, start, length(chunk))) as digest from c""")
 def sliding_chunks(spark, sf):
     rows = ingest.sliding_chunks(bind.table(spark, sf, "documents").select("doc_id", "text"), 200, 20)
-    return rows.select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("n_chars"))
+    return rows.select("doc_id", "chunk_index", "start", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 @query("""with g as (select doc_id, regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), '[\\p{L}\\p{N}_'']+') as w from documents),
@@ -297,14 +298,14 @@ def upserted_scenes(spark, sf):
     return ingest.last_wins(rows, ["chapter", "role"], ["seq"], ["text"]).select("chapter", "role", "turn", "text")
 
 
-_KN = f"with {_CONV}, fx as (select chapter % 10 as character, chapter as learned, {_FOLD.format(c='text')} as f from cv where turn = 0), fw as (select *, {_CONTENT.format(c='f', s=_STOP)} as w from fx), cl as (select chapter % 10 as character, chapter * 100 + turn as claim_id, chapter, {_FOLD.format(c='text')} as a from cv where turn = 1), cw as (select *, {_CONTENT.format(c='a', s=_STOP)} as w from cl)"
+_KN = f"with {_CONV}, fx as (select chapter % 10 as character, chapter as learned, {_FOLD.format(c='text')} as f from cv where turn % 2 = 0), fw as (select *, {_CONTENT.format(c='f', s=_STOP)} as w from fx), cl as (select chapter % 10 as character, chapter * 100 + turn as claim_id, chapter, {_FOLD.format(c='text')} as a from cv where turn % 2 = 1), cw as (select *, {_CONTENT.format(c='a', s=_STOP)} as w from cl)"
 
 
 @query(_KN + " select claim_id from cw where not exists (select 1 from fw where fw.character = cw.character and learned <= chapter and length(f) > 0 and (contains(a, f) or contains(f, a) or (len(cw.w) > 0 and len(fw.w) > 0 and len(list_intersect(cw.w, fw.w)) >= greatest(2, floor(len(cw.w) * 0.5::double)::int))))")
 def check_knowledge(spark, sf):
     rows = bind.table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("character"), F.col("conv_id").alias("chapter"), "turn", "text")
-    claims = rows.where("turn = 1").select("character", (F.col("chapter") * 100 + F.col("turn")).alias("claim_id"), "chapter", F.col("text").alias("claim"))
-    facts = rows.where("turn = 0").select("character", F.col("chapter").alias("learned"), F.col("text").alias("fact"))
+    claims = rows.where("turn % 2 = 1").select("character", (F.col("chapter") * 100 + F.col("turn")).alias("claim_id"), "chapter", F.col("text").alias("claim"))
+    facts = rows.where("turn % 2 = 0").select("character", F.col("chapter").alias("learned"), F.col("text").alias("fact"))
     return checks.check_knowledge(claims, facts, ["character"]).select("claim_id")
 
 
