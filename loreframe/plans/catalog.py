@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loreframe.plans import entity_graph, flows, fulltext, graph, names, payloads, records, search, story, views
+from loreframe.plans import entity_graph, flows, fulltext, graph, merges, names, payloads, records, search, story, views
 
-_GROUPS = (story, records, graph, search, names, flows, views, fulltext, entity_graph, payloads)
+_GROUPS = (story, records, graph, search, names, flows, views, fulltext, entity_graph, payloads, merges)
 QUERIES: dict = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
 ORACLES: dict = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
