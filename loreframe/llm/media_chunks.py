@@ -9,9 +9,10 @@ top bits are zero. Chunks are known by their SHA-256 digest. One store holds:
 - ``chunks``: every other chunk once.
 
 The digests of all chunks are counted by a Spark aggregation; those that occur more than once go into a Bloom
-filter of fixed size that is sent to the writing tasks. What the filter holds, its rare false positives
-included, is written by digest to ``chunks``; so only repeated bytes are shuffled, at any size of the input,
-and every chunk is stored once. Reading joins chunk lists to ``chunks`` by digest, once for each distinct
+filter of about ``BITS_EACH`` bits for each, sized by their count, that is sent to the writing tasks. What the filter holds, its
+rare false positives included, is written by digest to ``chunks``; so hardly more than repeated bytes are shuffled, and every
+chunk is stored once. The filter has 2**``MOST_BITS`` bits (128 MB) at most: beyond some hundred million repeated digests its
+false positives grow, which costs shuffled bytes and changes no result. Reading joins chunk lists to ``chunks`` by digest, once for each distinct
 media, puts the chunks in order, verifies lengths and digests, and takes the payload out of the WAV form.
 
 Cases: a null text is an empty one (192 spaces); equal texts give equal values; a document longer than a chunk's
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreframe.llm.shared import lean, scratch, splitmix, utf8
+from loreframe.llm.shared import hot_join, hot_keys, lean, scratch, splitmix, stored, utf8
 
 UNIT, RATE = 192, 8000
 LEAST, MASK_BITS, MOST = 512, 12, 16_384
-BLOOM_BITS, BLOOM_HASHES = 25, 4
+BITS_EACH, LEAST_BITS, MOST_BITS, BLOOM_HASHES = 10, 16, 30, 4
 _GEAR = (splitmix(np.arange(256, dtype=np.uint64) + np.uint64(9)) >> np.uint64(32)).astype(np.uint32)
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 CHUNKS = "array<struct<digest:binary,length:int,bytes:binary>>"
@@ -105,25 +106,27 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "held"])
 
 
-def bits_of(digest: bytes) -> list[int]:
-    return [x & ((1 << BLOOM_BITS) - 1) for x in struct.unpack("<4Q", digest)[:BLOOM_HASHES]]
+def bits_of(digest: bytes, bits: int) -> list[int]:
+    return [x & ((1 << bits) - 1) for x in struct.unpack("<4Q", digest)[:BLOOM_HASHES]]
 
 
 def repeated_filter(rows: DataFrame) -> np.ndarray:
-    """The Bloom filter of the digests that occur more than once, as 64-bit words."""
+    """The Bloom filter of the digests that occur more than once, as 64-bit words: a power of two of them."""
     counted = rows.mapInArrow(lean(_digests), "digest binary, held long").groupBy("digest").agg(F.sum("held").alias("held")).where("held > 1")
+    counted = stored(counted.select("digest"), "repeated-digests")
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * counted.count()).bit_length()))
     # the same bits as bits_of: little-endian words of the digest
-    place = lambda k: F.conv(F.concat(*[F.hex(F.substring("digest", 8 * k + i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("long").bitwiseAND((1 << BLOOM_BITS) - 1)
+    place = lambda k: F.conv(F.concat(*[F.hex(F.substring("digest", 8 * k + i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("long").bitwiseAND((1 << size) - 1)
     bits = counted.select(F.explode(F.array(*[place(k) for k in range(BLOOM_HASHES)])).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found = words.toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def repeated_in(bloom: np.ndarray, digest: bytes) -> bool:
-    return all(int(bloom[b >> 6]) >> (b & 63) & 1 for b in bits_of(digest))
+    return all(int(bloom[b >> 6]) >> (b & 63) & 1 for b in bits_of(digest, len(bloom).bit_length() + 5))
 
 
 def _media(bloom: np.ndarray) -> Callable:
@@ -220,7 +223,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ordered = joined.groupBy("media").agg(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["chunk"]).alias("chunks"))
     # texts that differ in the spaces of the padding share a media: n_bytes is each row's own
     known = ordered.select("media", F.lit(0).cast("long").alias("n_bytes"), "chunks").mapInArrow(lean(_facts("media")), f"media binary, {FEATURES}").drop("n_bytes")
-    return whole.unionByName(parts.select("id", "n_bytes", "media").join(known, "media").drop("media")).withColumnRenamed("id", "doc_id")
+    # a media that very many rows share is dealt over several tasks
+    counts = stored(parts.groupBy("media").agg(F.count("*").alias("held")), "shared-media")
+    shared = hot_join(parts.select("id", "n_bytes", "media"), known, "media", hot_keys(counts, "media", "held"), "id", "inner")
+    return whole.unionByName(shared.drop("media")).withColumnRenamed("id", "doc_id")
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
