@@ -12,8 +12,9 @@ matches at the very threshold is missed; random windows differ by 128.
 An exact bound decides which windows are fingerprinted: those where enough positions hold shingles of items of
 the size; all others have a lower similarity. An item of fewer than 5 words has one shingle, of its own length, and
 matches where a window of as many words has it. Items are a query set: they are sent to the tasks in blocks of at most
-``ITEMS`` items and ``ITEM_WORDS`` words, one block at a time, documents are scanned once a block, and nothing is
-shuffled but the pairs found.
+``ITEMS`` items and ``ITEM_WORDS`` words, so that documents are scanned once for all but very large sets, and nothing is
+shuffled but the pairs found. Tables of the values near the items' own answer a window by one search a block; they are kept up to
+``TABLE_BYTES``, and items beyond are looked up by all values near the window's, which needs no room and finds the same.
 
 Cases: null and empty texts and items match nothing; items with equal words match alike; fewer words than a
 shingle make one shingle; repeated rows of documents give repeated pairs once each by id; empty tables give no
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from loreframe.llm.shared import Words, lean, n_words, pieces, splitmix, stored, utf8
 
 PERCENT, SHINGLE, RADIUS = 75, 5, 63
-LANES, BLOCKS, ITEMS, ITEM_WORDS = 4, 16, 2000, 4_000_000
+LANES, BLOCKS, ITEMS, ITEM_WORDS = 4, 16, 50_000, 8_000_000
+#: Bytes of tables that hold all values near the items' own; items beyond are found by the values near a window's.
+TABLE_BYTES = 96 << 20
 #: Positions that are fingerprinted at a time.
 SPAN = 8192
 PAIRS = "doc_id long, item_id long, similarity double, hamming int, first_word int, n_words int"
@@ -107,7 +110,8 @@ class Index:
         self.holder_cuts, self.holder_sizes = np.searchsorted(holders[0], np.arange(len(self.known) + 1)), holders[1]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.known >> np.uint64(44)] = True
-        self.sized: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        self.sized: dict[int, tuple[np.ndarray, list[np.ndarray] | None, list[np.ndarray]]] = {}
+        self.room = TABLE_BYTES
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are shingles of items."""
@@ -124,27 +128,44 @@ class Index:
         found = [self.holder_sizes[self.holder_cuts[k] : self.holder_cuts[k + 1]] for k in at]
         return np.unique(np.concatenate(found)).tolist()
 
-    def tables(self, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The items of a size, and for each block the sorted (value << 16 | item's place) of all values near the items' own."""
+    def tables(self, size: int) -> tuple[np.ndarray, list[np.ndarray] | None, list[np.ndarray]]:
+        """The items of a size, and for each block the sorted (value << 16 | item's place) of all values near the items' own
+        (None where there is no room), and the sorted (value << 32 | place) of the items' own."""
         if size not in self.sized:
             of = np.flatnonzero(self.sizes == size)
-            values, masks = self.prints[of].view("<u2"), near_masks(self.radius // BLOCKS)
-            near = [((values[:, b, None] ^ masks).astype(np.uint32) << np.uint32(16) | np.arange(len(of), dtype=np.uint32)[:, None]).ravel() for b in range(BLOCKS)]
-            self.sized[size] = of, [np.sort(x) for x in near]
+            values, masks, near = self.prints[of].view("<u2"), near_masks(self.radius // BLOCKS), None
+            own = [np.sort(values[:, b].astype(np.uint64) << np.uint64(32) | np.arange(len(of), dtype=np.uint64)) for b in range(BLOCKS)]
+            bytes_ = len(of) * len(masks) * BLOCKS * 4
+            if len(of) < 1 << 16 and bytes_ <= self.room:
+                self.room -= bytes_
+                near = [np.sort(((values[:, b, None] ^ masks).astype(np.uint32) << np.uint32(16) | np.arange(len(of), dtype=np.uint32)[:, None]).ravel()) for b in range(BLOCKS)]
+            self.sized[size] = of, near, own
         return self.sized[size]
 
+    @staticmethod
+    def _met(table: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which search, where in the table) of every entry from low to high of each search."""
+        begin = np.searchsorted(table, low)
+        counts = np.searchsorted(table, high, side="right") - begin
+        return np.repeat(np.arange(len(low)), counts), np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
     def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of items of a size within the radius of the windows' fingerprints."""
-        of, tables = self.tables(size)
-        values, found = np.ascontiguousarray(prints).view("<u2").astype(np.uint32), []
+        of, near, own = self.tables(size)
+        values, found = np.ascontiguousarray(prints).view("<u2"), []
         for b in range(BLOCKS):
-            low = np.searchsorted(tables[b], values[:, b] << np.uint32(16))
-            counts = np.searchsorted(tables[b], values[:, b] << np.uint32(16) | np.uint32(0xFFFF), side="right") - low
-            windows = np.repeat(np.arange(len(prints)), counts)
-            at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            found.append(windows << 16 | (tables[b][at] & np.uint32(0xFFFF)).astype(np.int64))
-        pairs = np.unique(np.concatenate(found))
-        windows, items = pairs >> 16, of[pairs & 0xFFFF]
+            if near is not None:
+                at = values[:, b].astype(np.uint32) << np.uint32(16)
+                windows, place = self._met(near[b], at, at | np.uint32(0xFFFF))
+                found.append(windows << 32 | (near[b][place] & np.uint32(0xFFFF)).astype(np.int64))
+                continue
+            masks = near_masks(self.radius // BLOCKS)
+            for i in range(0, len(prints), 256):
+                at = (values[i : i + 256, b, None] ^ masks).ravel().astype(np.uint64) << np.uint64(32)
+                search, place = self._met(own[b], at, at | np.uint64(0xFFFFFFFF))
+                found.append((i + search // len(masks)) << 32 | (own[b][place] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        windows, items = pairs >> 32, of[pairs & 0xFFFFFFFF]
         keep = distances(prints[windows], self.prints[items]) <= self.radius
         return windows[keep], items[keep]
 
