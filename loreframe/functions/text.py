@@ -153,3 +153,11 @@ def grams(folded: str | Column, most: int) -> Column:
         runs = F.filter(F.zip_with(runs, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
         out.append(runs)
     return F.array_distinct(F.concat(*out))
+
+
+def merge_json(old: str | Column, new: str | Column) -> Column:
+    """The JSON object ``old`` with the keys of ``new`` put over it, one level deep; values keep their types. What is no object counts as empty."""
+    fields = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(_col(c)), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    patch = fields(new)
+    kept = F.map_filter(fields(old), lambda k, _: ~F.array_contains(F.map_keys(patch), k))
+    return F.to_json(F.map_concat(kept, patch))

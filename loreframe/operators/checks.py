@@ -82,14 +82,15 @@ def check_knowledge(claims: DataFrame, facts: DataFrame, keys: list[str], least:
 def check_commitments(events: DataFrame, commitments: DataFrame, keys: list[str], least: int = 3, ratio: float = 0.4) -> DataFrame:
     """(keys, draft, commitment_id, event_seq, terms): for each pending commitment the first event of a draft that may pay it off.
 
-    Events (keys, draft, event_seq, description) meet commitments (keys, commitment_id, foreshadow) on shared content words.
+    Commitments of ``due_commitments`` have a draft, and meet the events of their own. Events (keys, draft, event_seq, description) meet commitments (keys, commitment_id, foreshadow) on shared content words.
     """
+    keys = [*keys, "draft"] if "draft" in commitments.columns else keys  # those that are due for each draft
     a = commitments.withColumn("_w", X.content_words(X.fold_text("foreshadow"))).withColumn("_n", F.size("_w"))
     b = events.withColumn("_v", F.explode(X.content_words(X.fold_text("description"))))
-    shared = a.select(*keys, "commitment_id", "_n", F.explode("_w").alias("_v")).join(b.select(*keys, "draft", "event_seq", "_v"), [*keys, "_v"])
-    hits = shared.groupBy(*keys, "draft", "commitment_id", "event_seq", "_n").agg(F.array_sort(F.collect_set("_v")).alias("terms"))
+    shared = a.select(*keys, "commitment_id", "_n", F.explode("_w").alias("_v")).join(b.select(*dict.fromkeys([*keys, "draft"]), "event_seq", "_v"), [*keys, "_v"])
+    hits = shared.groupBy(*dict.fromkeys([*keys, "draft"]), "commitment_id", "event_seq", "_n").agg(F.array_sort(F.collect_set("_v")).alias("terms"))
     hits = hits.where(F.size("terms") >= F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(ratio)).cast("int")))
-    first = F.row_number().over(W.partitionBy(*keys, "draft", "commitment_id").orderBy("event_seq"))
+    first = F.row_number().over(W.partitionBy(*dict.fromkeys([*keys, "draft"]), "commitment_id").orderBy("event_seq"))
     return hits.withColumn("_r", first).where("_r = 1").drop("_r", "_n")
 
 
@@ -130,3 +131,22 @@ def resolve_claims(claims: DataFrame, surfaces: DataFrame, keys: list[str]) -> t
     best = surfaces.groupBy(*keys, "surface").agg(F.max_by("id", F.struct("is_name", -F.col("id"))).alias("id"))
     met = claims.withColumn("surface", X.fold_name("name")).join(best, [*keys, "surface"], "left").drop("surface")
     return met.where("id is not null"), met.where("id is null").drop("id")
+
+
+def claim_coverage(claims: DataFrame, surfaces: DataFrame, keys: list[str], draft: str = "draft") -> DataFrame:
+    """(keys, draft, kind, resolved, unresolved, later) of the claims (keys, draft, chapter, kind, name) of drafts.
+
+    Surfaces (keys, surface, id, is_name, first) count as known where they appeared before the draft's chapter, or never say when;
+    later are claims of names that appear only from the chapter on, and are among the unresolved.
+    """
+    named = claims.withColumn("surface", X.fold_name("name"))
+    begun = surfaces.groupBy(*keys, "surface").agg(F.min(F.coalesce("first", F.lit(-1))).alias("_first"))
+    met = named.join(begun, [*keys, "surface"], "left")
+    known = F.coalesce(F.col("_first") < F.col("chapter"), F.lit(False))
+    return met.groupBy(*keys, draft, "kind").agg(F.count_if(known).alias("resolved"), F.count_if(~known).alias("unresolved"), F.count_if(~known & F.col("_first").isNotNull()).alias("later"))
+
+
+def due_commitments(commitments: DataFrame, drafts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, draft, the commitments' columns): what a draft of a chapter may pay off: planted by then, and still open when it begins."""
+    met = commitments.join(drafts.select(*keys, "draft", "chapter"), keys)
+    return met.where((F.col("foreshadow_chapter") <= F.col("chapter")) & (F.col("payoff_chapter").isNull() | (F.col("payoff_chapter") >= F.col("chapter")))).drop("chapter")

@@ -44,6 +44,18 @@ def location_edges(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return moved.select(*keys, F.col("ordinal").alias("id"), "location", F.col("chapter").alias("since"), until.alias("until"), F.lead("ordinal").over(order).alias("superseded_by"))
 
 
+def located(edges: DataFrame, cutoffs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Location intervals at cutoffs: those that hold, and of several of a chapter the last. edges: keys, id, since, until.
+
+    An entity's next interval replaces it from its start on, also where both are of one chapter; the start is known from the
+    window by entity that made the intervals, so that no join of the intervals with themselves is needed.
+    """
+    keys = keys or ["novel", "entity"]
+    nxt = F.lead("since").over(W.partitionBy(*keys).orderBy("since", "id"))
+    met = edges.withColumn("_next", nxt).crossJoin(F.broadcast(cutoffs)).where((F.col("since") <= F.col("cutoff")) & (F.col("until").isNull() | (F.col("until") >= F.col("cutoff"))))
+    return met.where(F.col("_next").isNull() | (F.col("_next") > F.col("cutoff"))).drop("_next")
+
+
 def possession_edges(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, id, since, until) from changes gain and loss: repeated gains, and losses of what isn't held, do nothing."""
     keys = keys or ["novel", "entity", "object"]

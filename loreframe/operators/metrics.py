@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreframe.sources.files import stored
+
 from loreframe.functions import text as X
 
 
@@ -109,3 +111,39 @@ def score_entities(expected: DataFrame, actual: DataFrame, group: str) -> DataFr
     out = expected.select(group, "name").groupBy(group).cogroup(actual.select(group, "name").groupBy(group)).applyInPandas(match, schema)
     share = lambda n: F.round(F.when(F.col(n) > 0, F.col("matched") / F.col(n)).otherwise(0.0), 9)
     return out.withColumns({"precision": share("actual"), "recall": share("expected")})
+
+
+def entity_coverage(expected: DataFrame, actual: DataFrame, aliases: DataFrame, group: str) -> DataFrame:
+    """(group, expected, actual, matched, precision, recall, missing, extra, ambiguous): names found against names expected.
+
+    expected, actual: group, name, one row an entry; aliases: group, name, alias of expected names. A name found is credited to the
+    one expected entry that it equals or is an alias of, else to the one of which it is a run of whole words, or which is one of its.
+    A name with several such entries is ambiguous and credited to none; so no name has more than one edge, and the largest
+    one-to-one matching is the number of entries with an edge. Names meet on whole names and on first words.
+    """
+    from loreframe.functions import text as X
+
+    entries = lambda df, key: df.select(group, F.monotonically_increasing_id().alias(key), X.fold_text("name").alias("n"))
+    want, have = stored(entries(expected, "e"), "expected"), stored(entries(actual, "a"), "actual")
+    other = aliases.select(group, X.fold_text("name").alias("n"), X.fold_text("alias").alias("alias"))
+    called = want.select(group, "e", "n").union(want.join(other, [group, "n"]).select(group, "e", F.col("alias").alias("n"))).distinct()
+    exact = have.where("n <> ''").join(called, [group, "n"]).select(group, "a", "e").distinct()
+    rest = have.where("n <> ''").join(exact, [group, "a"], "left_anti")
+    told, whole = want.where("n <> ''").select(group, "e", F.col("n").alias("m")), lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    first, every = lambda c: F.substring_index(c, " ", 1), lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+    inside = rest.withColumn("_t", first("n")).join(told.withColumn("_t", every("m")), [group, "_t"]).where(F.contains(whole("m"), whole("n")))
+    around = rest.withColumn("_t", every("n")).join(told.withColumn("_t", first("m")), [group, "_t"]).where(F.contains(whole("n"), whole("m")))
+    near = inside.select(group, "a", "e").union(around.select(group, "a", "e")).distinct()
+    edges = exact.union(near).groupBy(group, "a").agg(F.count("*").alias("_n"), F.min("e").alias("e"))
+    sure = edges.where("_n = 1")
+    names = lambda df, c: df.groupBy(group).agg(F.count("*").alias(f"n_{c}"), F.array_sort(F.collect_list("n")).alias(c))
+    found = sure.groupBy(group).agg(F.count_distinct("e").alias("matched"))
+    # of several names with one entry one is assigned to it; the first by name, so that the others are told as extra
+    taken = sure.join(have, [group, "a"]).groupBy(group, "e").agg(F.min_by("a", F.struct("n", "a")).alias("a"))
+    out = want.groupBy(group).agg(F.count("*").alias("expected")).join(have.groupBy(group).agg(F.count("*").alias("actual")), group, "full_outer").join(found, group, "left")
+    for df, c in ((want.join(sure, [group, "e"], "left_anti"), "missing"), (have.join(taken, [group, "a"], "left_anti"), "extra"), (have.join(edges.where("_n > 1"), [group, "a"], "left_semi"), "ambiguous")):
+        out = out.join(names(df, c).drop(f"n_{c}"), group, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = out.select(group, zero("expected"), zero("actual"), zero("matched"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("missing", "extra", "ambiguous")])
+    share = lambda n: F.round(F.when(F.col(n) > 0, F.col("matched") / F.col(n)).otherwise(1.0), 9)
+    return out.withColumns({"precision": share("actual"), "recall": share("expected")})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreframe.operators import asof, reads
+from loreframe.operators import asof, folds, reads
 
 AT = ["novel", "cutoff"]
 
@@ -66,8 +66,7 @@ def character_pages(known: DataFrame, cutoffs: DataFrame, relationships: DataFra
     told = part.groupBy(*key).agg(_ordered(["chapter", "event"], F.concat_ws(" ", "chapter", "event", "label")).alias("events"))
     held = possessions.crossJoin(F.broadcast(cutoffs)).where(asof.within("since", "until", "cutoff", loses_at_end=True))
     held = named_at(held.select(*key, "object", "id"), known, "object", "_thing").groupBy(*key).agg(_ordered(["id"], F.col("_thing")).alias("holds"))
-    here = asof.unsuperseded(locations, cutoffs, "id", "superseded_by", F.col("since")).where(asof.within("since", "until", "cutoff", loses_at_end=False))
-    here = named_at(here.select(*key, "place", "id"), known, "place", "_place").groupBy(*key).agg(F.max_by("_place", "id").alias("place"))
+    here = named_at(folds.located(locations, cutoffs).select(*key, "place", "id"), known, "place", "_place").groupBy(*key).agg(F.max_by("_place", "id").alias("place"))
     past = snapshots.crossJoin(F.broadcast(cutoffs)).where("chapter <= cutoff").groupBy(*key).agg(_ordered(["chapter"], F.concat_ws(" ", "chapter", "state")).alias("history"))
     out = people
     for x in (ties, felt, told, held, here, past):

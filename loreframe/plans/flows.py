@@ -142,6 +142,27 @@ def stored_chapters(spark, sf):
     return spark.read.parquet(path).select("novel", "number", "doc_id")
 
 
+@query("with c as (select source as novel, row_number() over (partition by source order by doc_id)::int as number, doc_id from documents) select novel, number, doc_id, false as rejected from c union all select novel, number, doc_id, true from c where number <= 6 and number % 2 = 0 union all select novel, number, doc_id, true from c where number > 6 and number % 5 = 0")
+def appended_chapters(spark, sf):
+    """Six chapters of each novel are stored, then all but the odd ones of these are added, some of them twice; with what was rejected."""
+    path = shared(spark, "appended")
+    rows = bind.chapters(spark, sf).select("novel", "number", "doc_id")
+    files.write_chapters(rows.where("number <= 6"), path)
+    more = rows.where("number > 6 or number % 2 = 0").unionByName(rows.where("number > 6 and number % 5 = 0"))
+    rejected = files.append_chapters(more, path)
+    kept = spark.read.parquet(path).select("novel", "number", "doc_id")
+    return kept.withColumn("rejected", F.lit(False)).unionByName(rejected.select("novel", "number", "doc_id").withColumn("rejected", F.lit(True)))
+
+
+@query(f"with {DELTAS}, {LOCATED} select novel, entity, id, location, since from loc where novel in (2, 5, 7) and since <= 12")
+def scanned_projection(spark, sf):
+    """A derived table read with the predicates of novels and cutoff, which reach the scan."""
+    path = shared(spark, "scanned")
+    folds.location_edges(bind.deltas(spark, sf)).withColumnRenamed("since", "chapter").repartitionByRange("novel", "chapter").write.partitionBy("novel").parquet(path)
+    rows = files.read_table(spark, path, [2, 5, 7], 12)
+    return rows.select(F.col("novel").cast("long").alias("novel"), "entity", "id", "location", F.col("chapter").alias("since"))
+
+
 @query(f"with {names._PARTS}, b as (select novel, surface, arg_max(id, (is_name, -id)) as id from su group by all), c as (select l_orderkey as claim, l_linenumber as line, l_partkey % 8 as novel, p_name || ' ' || l_partkey % 230 as s from lineitem join part on l_partkey = p_partkey) select claim, line, c.novel, id from c left join b on c.novel = b.novel and s = surface")
 def resolved_claims(spark, sf):
     p = bind.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -150,6 +171,15 @@ def resolved_claims(spark, sf):
     return known.select("claim", "line", "novel", "id").unionByName(unknown.select("claim", "line", "novel", F.lit(None).cast("long").alias("id")))
 
 
+@query(f"with {names._PARTS}, b as (select novel, surface, min(id % 30 - 3) as first from su group by all), c as (select l_partkey % 8 as novel, l_orderkey % 100 as draft, l_orderkey % 28 as chapter, l_returnflag as kind, p_name || ' ' || l_partkey % 230 as s from lineitem join part on l_partkey = p_partkey) select c.novel, draft, kind, count_if(coalesce(first < chapter, false)) as resolved, count_if(not coalesce(first < chapter, false)) as unresolved, count_if(coalesce(first >= chapter, false)) as later from c left join b on c.novel = b.novel and s = surface group by all")
+def claim_coverage(spark, sf):
+    """How many names of each draft's claims were known when its chapter began."""
+    p = bind.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    rows = bind.table(spark, sf, "lineitem").join(p, "l_partkey")
+    claims = rows.select((F.col("l_partkey") % 8).alias("novel"), (F.col("l_orderkey") % 100).alias("draft"), (F.col("l_orderkey") % 28).alias("chapter"), F.col("l_returnflag").alias("kind"), F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("l_partkey") % 230).cast("string")).alias("name"))
+    return checks.claim_coverage(claims, names.names(spark, sf).withColumn("first", F.col("id") % 30 - 3), ["novel"])
+
+
 @query("""with u as (select p_partkey % 40 as chapter, p_partkey as update_id, lower(trim(p_name)) as a from part where p_partkey % 3 = 0), e as (select p_partkey % 40 as chapter, p_partkey as event_id, lower(trim(case when p_partkey % 2 = 0 then p_name else string_split(p_name, ' ')[1] end)) as b from part where p_partkey % 3 <> 0),
 m as (select u.chapter, update_id, arg_min(event_id, ((a <> b)::int, event_id)) as event_id from u join e using (chapter) where contains(a, b) or contains(b, a) group by all) select u.chapter, u.update_id, event_id from u left join m using (chapter, update_id)""")
 def linked_updates(spark, sf):

@@ -79,9 +79,11 @@ def story_graph(spark, sf):
     """Edges of three sources, collapsed by pair."""
     co = reads.cooccurrence_edges(events(spark, sf)).select((F.col("event") % 4).alias("novel"), "a", "b", F.lit("event").alias("source"), F.concat(F.lit("event "), (F.col("event") % 3).cast("string")).alias("label"), F.col("event").alias("seq"))
     r = bind.relations(spark, sf)
-    holds = r.where("to_chapter is not null").select((F.col("id") % 4).alias("novel"), "a", "b", F.lit("possession").alias("source"), F.concat(F.lit("holds "), "rel_type").alias("label"), F.col("id").alias("seq"))
-    tension = r.where("id % 10 = 1").select((F.col("id") % 4).alias("novel"), F.col("b").alias("a"), F.col("a").alias("b"), F.lit("dynamic").alias("source"), F.concat(F.lit("tension "), "rel_type").alias("label"), F.col("id").alias("seq"))
-    return reads.merge_story_edges(co.unionByName(holds).unionByName(tension), ["novel"], ["seq"])
+    edge = lambda a, b, source, said: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(source).alias("source"), F.concat(F.lit(said), "rel_type").alias("label"))
+    # both kinds of edges from one pass over the relationships
+    both = F.array_compact(F.array(F.when(F.col("to_chapter").isNotNull(), edge("a", "b", "possession", "holds ")), F.when(F.col("id") % 10 == 1, edge("b", "a", "dynamic", "tension "))))
+    told = r.select((F.col("id") % 4).alias("novel"), F.explode(both).alias("e"), F.col("id").alias("seq")).select("novel", "e.a", "e.b", "e.source", "e.label", "seq")
+    return reads.merge_story_edges(co.unionByName(told), ["novel"], ["seq"])
 
 
 @query("select l_orderkey as event, string_agg(coalesce(p_name, l_partkey::varchar), '|' order by l_linenumber, l_partkey, l_suppkey) as names from lineitem left join part on l_partkey = p_partkey and p_partkey % 10 <> 0 group by 1")

@@ -208,3 +208,27 @@ def folded_chains(spark, sf):
     parent = F.when(key % 6 != 0, key - 1).when(key % 30 == 0, key + 5).when(key % 12 == 0, F.lit(1_000_000))
     places = bind.table(spark, sf, "supplier").select(key.alias("id"), F.col("s_name").alias("name"), F.when(key % 3 == 0, F.array(F.concat(F.lit("old "), "s_name"))).alias("aliases"), parent.cast("long").alias("parent_id"))
     return ingest.fold_chains(places)[0].withColumn("aliases", F.array_join("aliases", ","))
+
+
+_COV = """ex as (select p_partkey % 100 as document, p_partkey as e, p_name as n, p_brand as alias from part where p_size % 2 = 0),
+ac as (select p_partkey % 100 as document, p_partkey as a, case p_partkey % 5 when 0 then string_split(p_name, ' ')[1] when 1 then 'the ' || p_name || ' here' when 2 then lower(p_brand) when 3 then 'x' || p_name else p_name end as n from part where p_size % 3 <> 0),
+ef as (select document, e, trim(regexp_replace(lower(n), '\\s+', ' ', 'g')) as n, lower(alias) as alias from ex), af as (select document, a, trim(regexp_replace(lower(n), '\\s+', ' ', 'g')) as n from ac),
+al as (select distinct document, n, alias from ef), xa as (select distinct document, a, e from af join (select document, e, n from ef union select ef.document, e, al.alias from ef join al using (document, n)) using (document, n)),
+pa as (select document, a, e from af join ef using (document) where (document, a) not in (select document, a from xa) and (contains(' ' || ef.n || ' ', ' ' || af.n || ' ') or contains(' ' || af.n || ' ', ' ' || ef.n || ' '))),
+eg as (select document, a, count(*) as c, min(e) as e from (select * from xa union all select * from pa) group by all)"""
+
+
+@query(f"""with {_COV}, m as (select document, count(distinct e) as matched from eg where c = 1 group by 1), w as (select document, count(*) as expected from ef group by 1), h as (select document, count(*) as actual from af group by 1),
+ms as (select document, string_agg(n, '|' order by n) as missing from ef where (document, e) not in (select document, e from eg where c = 1) group by 1), am as (select document, string_agg(n, '|' order by n) as ambiguous from af where (document, a) in (select document, a from eg where c > 1) group by 1)
+select document, coalesce(expected, 0) as expected, coalesce(actual, 0) as actual, coalesce(matched, 0) as matched, round(case when actual > 0 then coalesce(matched, 0) / actual else 1 end, 9) as precision, round(case when expected > 0 then coalesce(matched, 0) / expected else 1 end, 9) as recall,
+  coalesce(missing, '') as missing, coalesce(ambiguous, '') as ambiguous from w full join h using (document) left join m using (document) left join ms using (document) left join am using (document)""")
+def entity_coverage(spark, sf):
+    """Names found against names expected, with aliases; ambiguous ones get no credit."""
+    from loreframe.operators import metrics
+
+    rows = bind.table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("document"), F.col("p_name").alias("name"), "p_partkey", "p_size", "p_brand")
+    key = F.col("p_partkey") % 5
+    said = F.when(key == 0, F.substring_index("name", " ", 1)).when(key == 1, F.concat(F.lit("the "), "name", F.lit(" here"))).when(key == 2, F.lower("p_brand")).when(key == 3, F.concat(F.lit("x"), "name")).otherwise(F.col("name"))
+    want = rows.where("p_size % 2 = 0")
+    out = metrics.entity_coverage(want, rows.where("p_size % 3 <> 0").withColumn("name", said), want.select("document", "name", F.col("p_brand").alias("alias")), "document")
+    return out.drop("extra").withColumns({"missing": F.array_join("missing", "|"), "ambiguous": F.array_join("ambiguous", "|")})

@@ -328,6 +328,17 @@ def check_commitments(spark, sf):
     return checks.check_commitments(events, pending, ["novel"]).select("draft", "commitment_id", "event_seq")
 
 
+@query(f"with {_EV}, dr as (select distinct draft, (draft % 20 + 1)::int as chapter from ev), cp as (select cm.*, item_id % 15 as planted, case when item_id % 3 = 0 then item_id % 15 + 4 end as paid from cm join benchmark on item_id = commitment_id) select ev.draft, commitment_id, min(event_seq) as event_seq from ev join dr using (draft) join cp on planted <= chapter and (paid is null or paid >= chapter) where len(list_intersect(cp.w, ev.w)) >= greatest(3, floor(len(cp.w) * 0.4::double)::int) group by all")
+def due_commitment_hints(spark, sf):
+    """Hints of commitments that were planted by a draft's chapter and still open when it begins."""
+    novel = F.lit(0).alias("novel")
+    events = bind.table(spark, sf, "documents").select(novel, (F.col("doc_id") % 50).alias("draft"), F.col("doc_id").alias("event_seq"), F.col("text").alias("description"))
+    planted = F.col("item_id") % 15
+    commitments = bind.table(spark, sf, "benchmark").select(novel, F.col("item_id").alias("commitment_id"), F.col("text").alias("foreshadow"), planted.alias("foreshadow_chapter"), F.when(F.col("item_id") % 3 == 0, planted + 4).alias("payoff_chapter"))
+    drafts = events.select("novel", "draft", (F.col("draft") % 20 + 1).alias("chapter")).distinct()
+    return checks.check_commitments(events, checks.due_commitments(commitments, drafts, ["novel"]), ["novel"]).select("draft", "commitment_id", "event_seq")
+
+
 @query("select count_if(toxic = 1 and quality = 0) as hits, count_if(quality = 0) as flagged, count_if(toxic = 1) as expected, round(case when count_if(quality = 0) > 0 then count_if(toxic = 1 and quality = 0) / count_if(quality = 0) else 1 end, 9) as precision, round(case when count_if(toxic = 1) > 0 then count_if(toxic = 1 and quality = 0) / count_if(toxic = 1) else 1 end, 9) as recall from labels")
 def flag_scores(spark, sf):
     rows = bind.table(spark, sf, "labels").select((F.col("toxic") == 1).alias("e"), (F.col("quality") == 0).alias("f"))

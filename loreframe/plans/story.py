@@ -33,11 +33,7 @@ CUTS = "k(cutoff) as (values (5), (15), (25))"
 
 @query(f"with {DELTAS}, {LOCATED}, {CUTS} select novel, entity, cutoff, location, since, case when until <= cutoff then until end as until from loc, k where since <= cutoff and (until is null or until >= cutoff) and not exists (select 1 from loc n where n.id = loc.superseded_by and n.since <= cutoff)")
 def located_at_cutoffs(spark, sf):
-    edges = folds.location_edges(bind.deltas(spark, sf)).crossJoin(F.broadcast(cutoffs(spark)))
-    # a successor in the same chapter replaces an interval that would still hold there
-    newer = folds.location_edges(bind.deltas(spark, sf)).select("novel", "entity", F.col("id").alias("_id"), F.col("since").alias("_since"))
-    held = edges.where(asof.within("since", "until", "cutoff", loses_at_end=False)).alias("e")
-    held = held.join(newer.alias("n"), [F.col("e.novel") == F.col("n.novel"), F.col("e.entity") == F.col("n.entity"), F.col("superseded_by") == F.col("_id"), F.col("_since") <= F.col("cutoff")], "left_anti")
+    held = folds.located(folds.location_edges(bind.deltas(spark, sf)), cutoffs(spark))
     return held.select("novel", "entity", "cutoff", "location", "since", asof.masked("until", "cutoff").alias("until"))
 
 

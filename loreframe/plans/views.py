@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreframe.functions import text as X
 from loreframe.operators import asof, folds, ingest, reads
 from loreframe.plans import bind, graph, records, story
 from loreframe.plans.bind import ASSERTED, CHAPTERS, DELTAS, HELD, LOCATED, RELATIONS
@@ -168,6 +169,15 @@ def built_records(spark, sf):
     return bind.table(spark, sf, "events").select("event_id", F.get_json_object(record, "$.k").alias("k"), F.concat_ws(" ", F.lit("event"), "event_type", F.round("value").cast("int").cast("string")).alias("snippet"))
 
 
+@query("""with x as (select event_id, json_merge_patch(props, case when event_id % 3 = 0 then '{"seen": true, "k": "new", "list": [1, {"a": 2}]}' when event_id % 3 = 1 then '{"seen": false}' else '{}' end) as j from events) select event_id, j->>'$.k' as k, j->>'$.seen' as seen, j->>'$.list[1].a' as inner_a, len(json_keys(j)) as n from x""")
+def merged_json(spark, sf):
+    """Objects put over each other: a value is replaced, added or kept, nested ones whole."""
+    patch = F.when(F.col("event_id") % 3 == 0, '{"seen": true, "k": "new", "list": [1, {"a": 2}]}').when(F.col("event_id") % 3 == 1, '{"seen": false}').otherwise("{}")
+    rows = bind.table(spark, sf, "events").select("event_id", X.merge_json("props", patch).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    return rows.select("event_id", at("$.k").alias("k"), at("$.seen").alias("seen"), at("$.list[1].a").alias("inner_a"), F.size(F.json_object_keys("j")).cast("long").alias("n"))
+
+
 @query(f"with {DELTAS}, m as (select d.*, (select max(chapter) from d) as horizon from d) select novel, horizon, count_if(chapter = horizon) as n_last, count(*) as n from m group by all")
 def horizon_counts(spark, sf):
     """A join with a one-row table."""

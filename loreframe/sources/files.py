@@ -41,14 +41,32 @@ def read_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_chapters(chapters: DataFrame, folder: str) -> None:
-    """One folder by novel of chapters as Parquet, in order of their number."""
-    chapters.repartition("novel").sortWithinPartitions("novel", "number").write.mode("overwrite").partitionBy("novel").parquet(folder)
+    """One folder by novel of chapters as Parquet, in order of their number; novels are dealt by ranges of it, so that a long one is several files."""
+    chapters.repartitionByRange("novel", "number").sortWithinPartitions("novel", "number").write.mode("overwrite").partitionBy("novel").parquet(folder)
+
+
+def append_chapters(chapters: DataFrame, folder: str) -> DataFrame:
+    """Add chapters (novel, number, ...) to a folder of write_chapters; gives the rejected ones: numbers that are there, or that come twice.
+
+    Which are there is read from the folders of the novels that are added to alone (a join prunes the partitions).
+    """
+    from pyspark.sql import Window as W
+
+    spark = chapters.sparkSession
+    there = spark.read.parquet(folder).select("novel", "number").join(chapters.select("novel").distinct(), "novel", "left_semi")
+    order = W.partitionBy("novel", "number").orderBy(*[F.hash(c) if t.startswith("map") else F.col(c) for c, t in chapters.dtypes if c not in ("novel", "number")])
+    marked = chapters.withColumn("_n", F.row_number().over(order)).join(there.withColumn("_there", F.lit(True)), ["novel", "number"], "left")
+    marked = stored(marked, "chapters-to-append")
+    fresh = (F.col("_n") == 1) & F.col("_there").isNull()
+    marked.where(fresh).select(*chapters.columns).repartitionByRange("novel", "number").sortWithinPartitions("novel", "number").write.mode("append").partitionBy("novel").parquet(folder)
+    return marked.where(~fresh).select(*chapters.columns)
 
 
 def write_projection(rows: DataFrame, path: str, buckets: int = 16, novel: str = "novel") -> None:
     """Replace whole novels of a derived table: only the hash buckets that rows touch are written anew.
 
-    rows must hold every row of the novels in the buckets they touch, as a recomputed projection does.
+    rows must hold every row of the novels in the buckets they touch, as a recomputed projection does. A large bucket is
+    written by several tasks.
     """
     out = rows.withColumn("novel_bucket", F.pmod(F.xxhash64(novel), F.lit(buckets)))
-    out.repartition("novel_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("novel_bucket").parquet(path)
+    out.repartitionByRange("novel_bucket", *[c for c in rows.columns[:2]]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("novel_bucket").parquet(path)
