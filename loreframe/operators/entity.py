@@ -164,18 +164,20 @@ def gate_groups(groups: DataFrame, names: DataFrame, keys: list[str]) -> DataFra
     """(keys, group_id, member, canonical) of groups (keys, group_id, nominated, members) fit to be merged.
 
     names: keys, name, id (null for names without a known identity). Members that aren't input names are dropped;
-    groups that share a member, span two known identities or have fewer than two members are refused. The
+    groups that share a member, span two known identities or have fewer than two members are refused, and so are, where names
+    have owners (an array), groups with a member that has more than one: things of one name with two owners are two. The
     established name is canonical, else the nominated one, else the first.
     """
+    names = names if "owners" in names.columns else names.withColumn("owners", F.array().cast("array<string>"))
     each = groups.select(*keys, "group_id", "nominated", F.explode(F.array_distinct("members")).alias("member"))
-    met = each.join(names.select(*keys, F.col("name").alias("member"), "id"), [*keys, "member"])
+    met = each.join(names.select(*keys, F.col("name").alias("member"), "id", F.size(F.array_distinct(F.transform("owners", X.fold_name))).alias("_o")), [*keys, "member"])
     owners = met.groupBy(*keys, "member").agg(F.count_distinct("group_id").alias("_g"))
     met = met.join(owners, [*keys, "member"])
     facts = met.groupBy(*keys, "group_id").agg(
-        F.max("_g").alias("_g"), F.count_distinct("id").alias("_ids"), F.count("*").alias("_n"), F.min_by("member", F.when(F.col("id").isNotNull(), F.col("member"))).alias("_known"),
+        F.max("_g").alias("_g"), F.max("_o").alias("_owners"), F.count_distinct("id").alias("_ids"), F.count("*").alias("_n"), F.min_by("member", F.when(F.col("id").isNotNull(), F.col("member"))).alias("_known"),
         F.min(F.when(F.col("member") == F.col("nominated"), F.col("member"))).alias("_nom"), F.min("member").alias("_first"),
     )
-    good = facts.where("_g = 1 and _ids <= 1 and _n >= 2").select(*keys, "group_id", F.coalesce("_known", "_nom", "_first").alias("canonical"))
+    good = facts.where("_g = 1 and _ids <= 1 and _n >= 2 and coalesce(_owners, 0) <= 1").select(*keys, "group_id", F.coalesce("_known", "_nom", "_first").alias("canonical"))
     return met.join(good, [*keys, "group_id"]).select(*keys, "group_id", "member", "canonical")
 
 

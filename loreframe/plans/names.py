@@ -163,11 +163,11 @@ def registered_custom(spark, sf):
     return ingest.registered_types(custom, registry)[0].select("id", "entity_type")
 
 
-@query("""with e as (select distinct l_suppkey % 12 as novel, l_partkey as id from lineitem where l_quantity > 49), r as (select p_partkey % 12 as novel, p_partkey as id, p_size as recency from part),
+@query("""with e as (select distinct l_suppkey % 12 as novel, l_partkey as id from lineitem), r as (select p_partkey % 12 as novel, p_partkey as id, p_size as recency from part),
 x as (select r.*, e.id is not null as m from r left join e using (novel, id)) select novel, id, row_number() over (partition by novel order by (not m)::int, case when m then id end, recency desc, id)::int as position from x qualify position <= 40""")
 def selected_context(spark, sf):
     """The roster of each novel: what its draft mentions, then the rest by recency."""
-    mentions = bind.table(spark, sf, "lineitem").where("l_quantity > 49").select((F.col("l_suppkey") % 12).alias("novel"), F.col("l_partkey").alias("id"))
+    mentions = bind.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 12).alias("novel"), F.col("l_partkey").alias("id"))
     key = F.col("p_partkey")
     roster = bind.table(spark, sf, "part").select((key % 12).alias("novel"), key.alias("id"), key.alias("place"), F.col("p_size").alias("recency"))
     return ingest.select_context(mentions, roster, ["novel"], 40)

@@ -312,10 +312,10 @@ def check_knowledge(spark, sf):
 _ALLW = "list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
 
 
-@query(f"with {_CONV}, e as (select chapter % 10 as character, chapter as fact_id, {_ALLW.format(c=_FOLD.format(c='text'))} as w from cv where turn = 0), a as (select chapter % 10 as character, {_ALLW.format(c=_FOLD.format(c='text'))} as w from cv where turn = 1) select character, fact_id, exists (select 1 from a where a.character = e.character and len(list_intersect(a.w, e.w)) >= greatest(2, len(e.w) // 2)) as matched from e")
+@query(f"with {_CONV}, e as (select chapter % 10 as character, chapter * 100 + turn as fact_id, {_ALLW.format(c=_FOLD.format(c='text'))} as w from cv where turn % 2 = 0), a as (select chapter % 10 as character, {_ALLW.format(c=_FOLD.format(c='text'))} as w from cv where turn % 2 = 1) select character, fact_id, exists (select 1 from a where a.character = e.character and len(list_intersect(a.w, e.w)) >= greatest(2, len(e.w) // 2)) as matched from e")
 def fact_recall(spark, sf):
-    rows = bind.table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("character"), F.col("conv_id").alias("fact_id"), "turn", F.col("text").alias("fact"))
-    return metrics.score_facts(rows.where("turn = 0").drop("turn"), rows.where("turn = 1").drop("turn"), ["character"]).select("character", "fact_id", "matched")
+    rows = bind.table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("character"), (F.col("conv_id") * 100 + F.col("turn")).alias("fact_id"), "turn", F.col("text").alias("fact"))
+    return metrics.score_facts(rows.where("turn % 2 = 0").drop("turn"), rows.where("turn % 2 = 1").drop("turn"), ["character"]).select("character", "fact_id", "matched")
 
 
 _EV = f"ev as (select doc_id % 50 as draft, doc_id as event_seq, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from documents), cm as (select item_id as commitment_id, {_CONTENT.format(c=_FOLD.format(c='text'), s=_STOP)} as w from benchmark)"

@@ -34,11 +34,11 @@ def chapter_list(spark, sf):
     return rows.join(counts, "doc_id", "left").fillna(0, ["findings", "fails"]).select("novel", "number", "cutoff", "findings", "fails")
 
 
-@query("with s as (select conv_id as chapter, row_number() over (partition by conv_id order by turn) - 1 as scene_index, turn, role, text from conversations where turn % 2 = 0), n as (select c_custkey as id, c_name as name from customer where c_custkey % 3 <> 0) select chapter, scene_index, coalesce(p.name, chapter::varchar) as pov, coalesce(l.name, (turn + 7)::varchar) as place, length(text) as n_chars from s left join n p on p.id = chapter left join n l on l.id = turn + 7")
+@query("with s as (select conv_id as chapter, row_number() over (partition by conv_id order by turn) - 1 as scene_index, turn, role, text from conversations), n as (select c_custkey as id, c_name as name from customer where c_custkey % 3 <> 0) select chapter, scene_index, coalesce(p.name, chapter::varchar) as pov, coalesce(l.name, (turn + 7)::varchar) as place, length(text) as n_chars from s left join n p on p.id = chapter left join n l on l.id = turn + 7")
 def scene_list(spark, sf):
     """Scenes with the names of their points of view and places, or the ids where those are unknown."""
     index = F.row_number().over(W.partitionBy("chapter").orderBy("turn")) - 1
-    rows = bind.table(spark, sf, "conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("chapter"), "turn", "text").withColumn("scene_index", index)
+    rows = bind.table(spark, sf, "conversations").select(F.col("conv_id").alias("chapter"), "turn", "text").withColumn("scene_index", index)
     names = bind.table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     pov, place = names.select(F.col("id").alias("chapter"), F.col("name").alias("_p")), names.select((F.col("id") - 7).alias("turn"), F.col("name").alias("_l"))
     met = rows.join(pov, "chapter", "left").join(place, "turn", "left")
