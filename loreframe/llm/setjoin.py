@@ -41,6 +41,8 @@ RUN_TOKENS = 1_000_000
 HEAVY_SHARE = 1 / 500
 HEAVY_MOST = 200_000
 RANGE_TOKENS = 500_000
+#: Tokens that a row of a run and a range should hold, and most tokens of a run and of a range (some 50 bytes of memory each).
+ROW_TOKENS, MOST_TOKENS = 100, 16_000_000
 CHUNK = 1024
 #: Classes that a task remembers to have dealt; one that is forgotten is dealt again.
 REMEMBERED = 300_000
@@ -149,7 +151,14 @@ def _heavy(counts: DataFrame, classes: int) -> np.ndarray:
 _POSTED = "range int, run long, tokens binary, rows binary, own binary, classes binary, sizes binary, heavy binary"
 
 
-def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
+def sizes_for(tokens: int) -> tuple[int, int]:
+    """(tokens of a run, ranges) for so many tokens in all: runs and ranges grow with the root of the corpus, so that the rows
+    between them stay large; from some 10 billion tokens on they need more memory, up to MOST_TOKENS."""
+    grown = min(MOST_TOKENS, int((ROW_TOKENS * tokens) ** 0.5))
+    return max(RUN_TOKENS, grown), min(1 << 20, max(64, tokens // max(RANGE_TOKENS, grown)))
+
+
+def _post(sets: Sets, ranges: int, common: np.ndarray, most: int) -> Callable:
     """Runs of classes: one row for each range of token hashes, and one (range -1) with the run's classes."""
 
     by_value = np.argsort(common)
@@ -188,7 +197,7 @@ def _post(sets: Sets, ranges: int, common: np.ndarray) -> Callable:
             for _, tokens, cuts in sets(batch):
                 held.append(fresh(tokens, cuts, class_ids(tokens, cuts)))
                 size += len(held[-1][0])
-                if size >= RUN_TOKENS:
+                if size >= most:
                     yield from flush(number, held)
                     held, size, number = [], 0, number + 1
         if size:
@@ -339,8 +348,8 @@ def survivors(rows: DataFrame, sets: Sets, entities: DataFrame, counts: DataFram
     """(cls, n, keys): the classes that share enough tokens to be linked at all, each once, with those tokens in order."""
     size = entities.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("cls")).first()
     common = _heavy(counts, size[1])
-    ranges = min(1 << 20, max(64, size[0] // RANGE_TOKENS))
-    dealt = rows.mapInArrow(lean(_post(sets, ranges, common)), _POSTED).repartition(F.col("range"), F.when(F.col("range") < 0, F.col("run"))).sortWithinPartitions("range")
+    most, ranges = sizes_for(size[0])
+    dealt = rows.mapInArrow(lean(_post(sets, ranges, common, most)), _POSTED).repartition(F.col("range"), F.when(F.col("range") < 0, F.col("run"))).sortWithinPartitions("range")
     shared = dealt.mapInArrow(lean(_count), _POSTED.split(", ", 1)[1])
     alive = shared.repartition("run").sortWithinPartitions("run").mapInArrow(lean(_assemble(common, percent)), "cls binary, n long, keys binary")
     return stored(alive, "survivors")
