@@ -110,7 +110,8 @@ class Index:
         self.holder_cuts, self.holder_sizes = np.searchsorted(holders[0], np.arange(len(self.known) + 1)), holders[1]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.known >> np.uint64(44)] = True
-        self.sized: dict[int, tuple[np.ndarray, list[np.ndarray] | None, list[np.ndarray]]] = {}
+        self.sized: dict[int, tuple[np.ndarray, list[np.ndarray] | None]] = {}
+        self.own_values: dict[int, list[np.ndarray]] = {}
         self.room = TABLE_BYTES
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
@@ -128,20 +129,26 @@ class Index:
         found = [self.holder_sizes[self.holder_cuts[k] : self.holder_cuts[k + 1]] for k in at]
         return np.unique(np.concatenate(found)).tolist()
 
-    def tables(self, size: int) -> tuple[np.ndarray, list[np.ndarray] | None, list[np.ndarray]]:
-        """The items of a size, and for each block the sorted (value << 16 | item's place) of all values near the items' own
-        (None where there is no room), and the sorted (value << 32 | place) of the items' own."""
+    def tables(self, size: int) -> tuple[np.ndarray, list[np.ndarray] | None]:
+        """The items of a size, and for each block the sorted (value << 16 | item's place) of all values near the items' own; None where there is no room."""
         if size not in self.sized:
             of = np.flatnonzero(self.sizes == size)
             values, masks, near = self.prints[of].view("<u2"), near_masks(self.radius // BLOCKS), None
-            own = [np.sort(values[:, b].astype(np.uint64) << np.uint64(32) | np.arange(len(of), dtype=np.uint64)) for b in range(BLOCKS)]
             bytes_ = len(of) * len(masks) * BLOCKS * 4
             if len(of) < 1 << 16 and bytes_ <= self.room:
                 self.room -= bytes_
                 near = [np.sort(((values[:, b, None] ^ masks).astype(np.uint32) << np.uint32(16) | np.arange(len(of), dtype=np.uint32)[:, None]).ravel()) for b in range(BLOCKS)]
-            self.sized[size] = of, near, own
+            self.sized[size] = of, near
         return self.sized[size]
 
+    def values(self, size: int) -> list[np.ndarray]:
+        """For each block the sorted (value << 32 | item's place) of the items of a size."""
+        if size not in self.own_values:
+            of = self.tables(size)[0]
+            values, places = self.prints[of].view("<u2").astype(np.uint64), np.arange(len(of), dtype=np.uint64)
+            self.own_values[size] = [np.sort(values[:, b] << np.uint64(32) | places) for b in range(BLOCKS)]
+        return self.own_values[size]
+
     @staticmethod
     def _met(table: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which search, where in the table) of every entry from low to high of each search."""
@@ -151,7 +158,8 @@ class Index:
 
     def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of items of a size within the radius of the windows' fingerprints."""
-        of, near, own = self.tables(size)
+        of, near = self.tables(size)
+        own = self.values(size) if near is None else []
         values, found = np.ascontiguousarray(prints).view("<u2"), []
         for b in range(BLOCKS):
             if near is not None:

@@ -168,7 +168,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, near
         bound = max(bound, x.sum() / max(value, 1.0))
         if value <= 1 + near or done >= pivots:
             break
-        table = np.concatenate([table[-4 * m :], np.array(offered)])
+        table = np.array(offered)
     return basis.T.astype(np.int64), np.maximum(x, 0), bound
 
 
