@@ -68,7 +68,11 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, removed: the numbers of the removed lines) of each document with an id and a text."""
-    found = matched_lines(docs, percent, shingle, id_col, text_col).distinct()
+    found = matched_lines(docs, percent, shingle, id_col, text_col)
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    twice = stored(ids.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if not twice.isEmpty():  # lines are made distinct for the repeated ids alone
+        found = found.join(twice, "id", "left_anti").unionByName(found.join(twice, "id", "left_semi").distinct())
     out = found.groupBy("id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"))
     return out.withColumnRenamed("id", id_col)
 
