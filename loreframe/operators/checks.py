@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
+from loreframe.operators import textjoin
 from loreframe.operators.asof import held_entering
+from loreframe.sources.files import stored
 
 
 def check_possession(claims: DataFrame, edges: DataFrame, keys: list[str], chapter: str = "chapter") -> DataFrame:
@@ -23,60 +25,29 @@ def check_canon(mentions: DataFrame, canon: DataFrame, keys: list[str]) -> DataF
     return met.withColumn("severity", F.when(F.col("locked"), "fail").otherwise("warn"))
 
 
-#: Letters of a text of one or two words by which it is sought in longer ones.
-GRAM = 4
-
-
-def _words_of(text: str) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
-
-
-def _rarest(rows: DataFrame, keys: list[str], row: list[str], words: Column, counts: DataFrame, most: Column) -> DataFrame:
-    """rows with _t: of each row the ``most`` words that fewest rows of counts (keys, _t, _df) have; words that none has are left out."""
-    each = rows.withColumn("_t", F.explode(F.array_distinct(words))).join(counts, [*keys, "_t"])
-    own = W.partitionBy(*keys, *row)
-    each = each.withColumns({"_n": F.count("*").over(own), "_r": F.row_number().over(own.orderBy("_df", "_t"))})
-    return each.where(F.col("_r") <= most).drop("_df", "_n", "_r")
-
-
-def _counts(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
-    return rows.select(*keys, F.explode(F.array_distinct(words)).alias("_t")).groupBy(*keys, "_t").agg(F.count("*").alias("_df"))
-
-
-def _contained(short: DataFrame, row: list[str], text: str, long: DataFrame, other: str, keys: list[str]) -> DataFrame:
-    """Pairs of rows where the text may lie within the other: a text of three words or more by the rarest of its inner
-    words, which the other must have whole; a shorter one by its first letters."""
-    words, theirs = _words_of(text), _words_of(other)
-    inner = short.where(F.size(words) >= 3)
-    sought = _rarest(inner, keys, row, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), _counts(long, keys, theirs), F.lit(1))
-    met = sought.join(long.withColumn("_t", F.explode(F.array_distinct(theirs))), [*keys, "_t"]).drop("_t")
-    few = short.where((F.size(words) < 3) & (F.length(text) > 0)).withColumn("_t", F.substring(text, 1, GRAM))
-    widths = few.select(*keys, F.length("_t").alias("_q")).distinct()
-    grams = long.join(widths, keys).where(F.length(other) >= F.col("_q"))
-    grams = grams.withColumn("_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(other) - F.col("_q") + 1), lambda k: F.substring(F.col(other), k, F.col("_q")))))).drop("_q")
-    return met.unionByName(few.join(grams, [*keys, "_t"]).drop("_t")).where(F.contains(F.col(other), F.col(text)))
-
-
 def check_knowledge(claims: DataFrame, facts: DataFrame, keys: list[str], least: int = 2, ratio: float = 0.5) -> DataFrame:
     """Claims (keys, claim_id, chapter, claim) that nobody of the keys knew: no fact (keys, learned, fact) equal, containing, contained or overlapping.
 
-    Claims and facts meet on words that a match must share: for an overlap of t of a claim's content words one of its rarest
-    ones but t - 1, for one text within the other the rarest inner word of the shorter (see ``_contained``). All pairs of a key
-    are never compared. An empty claim is contained in every fact.
+    Equal texts of a key meet once: a fact by when it was first learned, a claim by the last chapter in which it is made. Which
+    texts meet is ``textjoin``'s; all pairs of a key are never compared. An empty claim is contained in every fact.
     """
-    row = ["claim_id"]
-    a = claims.select(*keys, "claim_id", "chapter", X.fold_text("claim").alias("_a")).withColumn("_aw", X.content_words("_a"))
-    b = facts.select(*keys, "learned", X.fold_text("fact").alias("_b")).where("_b <> ''").groupBy(*keys, "_b").agg(F.min("learned").alias("_learned")).withColumn("_bw", X.content_words("_b"))
-    needed = F.greatest(F.lit(least), F.floor(F.size("_aw") * F.lit(ratio)).cast("int"))
-    sought = _rarest(a.where(F.size("_aw") >= needed), keys, row, F.col("_aw"), _counts(b, keys, F.col("_bw")), F.col("_n") - needed + 1)
-    shared = sought.join(b.withColumn("_t", F.explode("_bw")), [*keys, "_t"]).drop("_t").where(F.size(X.words_overlap(F.col("_aw"), F.col("_bw"), least, ratio)) > 0)
-    told = a.where("_a <> ''")
-    met = [shared, _contained(b, ["_b"], "_b", told, "_a", keys), _contained(told, row, "_a", b, "_b", keys)]
-    known = [x.where("_learned <= chapter").select(*keys, "claim_id") for x in met]
-    first = b.groupBy(*keys).agg(F.min("_learned").alias("_learned"))
-    known.append(a.where("_a = ''").join(first, keys).where("_learned <= chapter").select(*keys, "claim_id"))
-    every = known[0].union(known[1]).union(known[2]).union(known[3]).distinct()
-    return claims.join(every, [*keys, "claim_id"], "left_anti")
+    said = claims.select(*keys, "claim_id", "chapter", X.fold_text("claim").alias("_a"))
+    a = said.where("_a <> ''").groupBy(*keys, "_a").agg(F.max("chapter").alias("_last"))
+    b = facts.select(*keys, "learned", X.fold_text("fact").alias("_b")).where("_b <> ''").groupBy(*keys, "_b").agg(F.min("learned").alias("_learned"))
+    a, b = stored(a.withColumn("_i", F.xxhash64("_a")), "claims"), stored(b.withColumn("_j", F.xxhash64("_b")), "facts")  # read ten times below
+    needed = F.greatest(F.lit(least), F.floor(F.size("_w") * F.lit(ratio)).cast("int"))
+    mine = a.withColumn("_w", X.content_words("_a")).withColumn("_need", needed).drop("_a")
+    shared = textjoin.overlaps(mine, b.withColumn("_w", X.content_words("_b")).drop("_b"), keys, F.col("_learned") <= F.col("_last"))
+    told, known = a.select(*keys, F.col("_a").alias("_s")), b.select(*keys, F.col("_b").alias("_s"))
+    held = textjoin.contained(known, told.withColumnRenamed("_s", "_l"), keys).select(*keys, F.col("_l").alias("_a"), F.col("_s").alias("_b"))
+    held = held.union(textjoin.contained(told, known.withColumnRenamed("_s", "_l"), keys).select(*keys, F.col("_s").alias("_a"), F.col("_l").alias("_b")))
+    met = shared.select(*keys, "_i", "_j").union(held.select(*keys, F.xxhash64("_a"), F.xxhash64("_b")))
+    # a text is known by its number here: one in 2**64 of the pairs of texts of a key share theirs
+    first = met.join(b.select(*keys, "_j", "_learned"), [*keys, "_j"]).groupBy(*keys, "_i").agg(F.min("_learned").alias("_learned"))
+    every = said.where("_a <> ''").withColumn("_i", F.xxhash64("_a")).join(first, [*keys, "_i"])
+    empty = said.where("_a = ''").join(b.groupBy(*keys).agg(F.min("_learned").alias("_learned")), keys)
+    done = every.select(*keys, "claim_id", "chapter", "_learned").union(empty.select(*keys, "claim_id", "chapter", "_learned")).where("_learned <= chapter")
+    return claims.join(done.select(*keys, "claim_id").distinct(), [*keys, "claim_id"], "left_anti")
 
 
 def check_commitments(events: DataFrame, commitments: DataFrame, keys: list[str], least: int = 3, ratio: float = 0.4) -> DataFrame:
