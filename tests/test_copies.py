@@ -1,6 +1,6 @@
 """Many copies of a text meet once: no step of a query makes a row for each pair of them."""
 
-from loreframe.operators import checks
+from loreframe.operators import checks, metrics
 
 N = 300
 
@@ -24,6 +24,13 @@ def _names(spark, rows):
     return spark.createDataFrame(rows, "novel long, id long, entity_type string, surface string, is_name boolean")
 
 
+def test_facts_of_copies(spark):
+    schema = "who long, fact_id long, fact string"
+    facts = spark.createDataFrame([(0, i, "red fox ran home") for i in range(N)] + [(0, N, "blue fox sat still"), (0, N + 1, None)], schema)
+    rows, most = most_rows(metrics.score_facts(facts, spark.createDataFrame([(0, i, "the red fox") for i in range(N)], schema), ["who"]))
+    assert {r.fact_id: r.matched for r in rows} == {i: True for i in range(N)} | {N: False, N + 1: False} and most < 10 * N
+
+
 def test_knowledge_of_copies_without_broadcast(spark):
     words = [f"w{i} v{i % 7} u{i % 3}" for i in range(30)]
     claims = spark.createDataFrame([(0, i, 5, "red fox ran home") for i in range(N)] + [(0, N + i, 5, w) for i, w in enumerate(words)], "who long, claim_id long, chapter int, claim string")
