@@ -24,6 +24,16 @@ def _names(spark, rows):
     return spark.createDataFrame(rows, "novel long, id long, entity_type string, surface string, is_name boolean")
 
 
+def test_coverage_of_copies(spark):
+    schema = "document long, name string"
+    want = spark.createDataFrame([(0, "Ann Lee")] * N + [(0, "Bob"), (1, "Cid")], schema)
+    have = spark.createDataFrame([(0, "ann  lee")] * N + [(0, "the bob here"), (0, "bob"), (1, "x")], schema)
+    rows, most = most_rows(metrics.entity_coverage(want, have, spark.createDataFrame([], "document long, name string, alias string"), "document").orderBy("document"))
+    a, b = rows
+    assert (a.expected, a.actual, a.matched, a.missing, a.ambiguous) == (N + 1, N + 2, 1, ["ann lee"] * N, ["ann lee"] * N)
+    assert a.extra == ["ann lee"] * N + ["the bob here"] and (b.missing, b.extra) == (["cid"], ["x"]) and most < 10 * N
+
+
 def test_facts_of_copies(spark):
     schema = "who long, fact_id long, fact string"
     facts = spark.createDataFrame([(0, i, "red fox ran home") for i in range(N)] + [(0, N, "blue fox sat still"), (0, N + 1, None)], schema)
