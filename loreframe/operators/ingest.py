@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
+from loreframe.operators import textjoin
 from loreframe.operators.entity import merge_roots, sequence_ratio
 from loreframe.sources.files import stored
 
@@ -163,11 +164,19 @@ def dynamics(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def link_thread_events(updates: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """updates (keys, update_id, event_text) with event_id: an equal description first, else the first that contains or is contained, else null."""
-    a, b = F.lower(F.trim("event_text")), F.lower(F.trim("description"))
-    met = updates.join(events.select(*keys, "event_id", "seq", "description"), keys)
-    fits = met.where((F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a)))
-    best = fits.groupBy(*keys, "update_id").agg(F.min_by("event_id", F.struct((a != b).cast("int"), F.col("seq"))).alias("event_id"))
-    return updates.join(best, [*keys, "update_id"], "left")
+    # equal texts of the keys share their fate, so they meet once; candidates meet by their folded texts, which keep what lies within what
+    said = updates.select(*keys, F.lower(F.trim("event_text")).alias("_a")).distinct().where("_a <> ''").withColumn("_s", X.fold_text("_a"))
+    at = F.struct("seq", "event_id")
+    told = events.select(*keys, F.lower(F.trim("description")).alias("_b"), "event_id", "seq").groupBy(*keys, "_b").agg(F.min(at).alias("_e")).where("_b <> ''").withColumn("_l", X.fold_text("_b"))
+    a, b = said.where("_s <> ''").select(*keys, "_s").distinct(), told.where("_l <> ''").select(*keys, "_l").distinct()
+    back = textjoin.contained(b.withColumnRenamed("_l", "_s"), a.withColumnRenamed("_s", "_l"), keys)
+    pairs = textjoin.contained(a, b, keys).union(back.select(*keys, "_l", "_s")).distinct()
+    met = said.join(pairs, [*keys, "_s"]).join(told, [*keys, "_l"]).select(*keys, "_a", "_b", "_e")
+    # what is white space alone folds to nothing: it meets all texts of its keys
+    met = met.union(said.where("_s = ''").join(told, keys).select(*keys, "_a", "_b", "_e")).union(said.where("_s <> ''").join(told.where("_l = ''"), keys).select(*keys, "_a", "_b", "_e"))
+    met = met.where(F.contains("_a", F.col("_b")) | F.contains("_b", F.col("_a")))
+    best = met.groupBy(*keys, "_a").agg(F.min(F.struct((F.col("_a") != F.col("_b")).cast("int").alias("x"), "_e"))["_e"]["event_id"].alias("event_id"))
+    return updates.withColumn("_a", F.lower(F.trim("event_text"))).join(best, [*keys, "_a"], "left").drop("_a")
 
 
 def consolidate_log(log: DataFrame, moved: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Many copies of a text meet once: no step of a query makes a row for each pair of them."""
 
-from loreframe.operators import checks, metrics
+from loreframe.operators import checks, ingest, metrics
 
 N = 300
 
@@ -24,6 +24,13 @@ def _names(spark, rows):
     return spark.createDataFrame(rows, "novel long, id long, entity_type string, surface string, is_name boolean")
 
 
+def test_links_of_copies(spark):
+    updates = spark.createDataFrame([(0, i, " Red fox ran") for i in range(N)] + [(0, N, "a\tb"), (0, N + 1, "\t"), (0, N + 2, None)], "chapter long, update_id long, event_text string")
+    events = spark.createDataFrame([(0, i, i, "fox") for i in range(5, N)] + [(0, 900, 900, "red FOX ran"), (0, 901, 901, "x a\tb c")], "chapter long, event_id long, seq long, description string")
+    rows, most = most_rows(ingest.link_thread_events(updates, events, ["chapter"]))
+    assert {r.update_id: r.event_id for r in rows} == {i: 900 for i in range(N)} | {N: 901, N + 1: 901, N + 2: None} and most < 10 * N
+
+
 def test_coverage_of_copies(spark):
     schema = "document long, name string"
     want = spark.createDataFrame([(0, "Ann Lee")] * N + [(0, "Bob"), (1, "Cid")], schema)
