@@ -1,6 +1,9 @@
 """Many copies of a text meet once: no step of a query makes a row for each pair of them."""
 
-from loreframe.operators import checks, ingest, metrics
+from pyspark.sql import functions as F
+
+from loreframe.operators import checks, entity, ingest, metrics
+from loreframe.plans import names
 
 N = 300
 
@@ -57,3 +60,18 @@ def test_knowledge_of_copies_without_broadcast(spark):
     assert {r.claim_id for r in rows} == {N + i for i, w in enumerate(words) if "w3" not in w and "4 v" not in w} and most < 50 * N
     # exploded sides grow beyond what the planner knows: they are never gathered on the driver
     assert df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 4
+
+
+def test_duplicate_classes_hold_all_pairs(spark):
+    e = spark.createDataFrame([(0, i, "object" if i % 2 else "place", "red fox", True) for i in range(8)] + [(0, 3, "object", "red foxes", False), (0, 9, "object", "red foxes", True), (0, 20, "place", "blue whale", True), (0, 20, "place", "blue whales", False), (1, 21, "place", "red fox", True)], "novel long, id long, entity_type string, surface string, is_name boolean")
+    told = entity.duplicate_classes(e, ["novel"])
+    own = e.select("novel", "surface", "id", F.col("entity_type").alias("t"))
+    a, b = own.toDF("novel", "surface_a", "a", "ta"), own.toDF("novel", "surface_b", "b", "tb")
+    pairs = told.select("novel", "surface_a", "surface_b", "kind", "score").distinct().join(a, ["novel", "surface_a"]).join(b, ["novel", "surface_b"]).where("a <> b")
+    pairs = {(r.novel, min(r.a, r.b), max(r.a, r.b)): r for r in pairs.orderBy("score").collect()}
+    want = {(r.novel, r.id_a, r.id_b): r for r in entity.duplicate_pairs(e, ["novel"]).collect()}
+    assert pairs.keys() == want.keys() and all(abs(pairs[k].score - want[k].score) < 1e-9 for k in want)
+    copies = _names(spark, [(0, i, "object", "red fox", True) for i in range(N)])
+    rows, most = most_rows(entity.duplicate_classes(copies, ["novel"]))
+    assert {(r.id_a, r.id_b) for r in rows} == {(0, i) for i in range(1, N)} and most < 10 * N
+    assert "surface_a" in names.duplicate_pairs(spark, "/root/testdata/sf0.001").columns
