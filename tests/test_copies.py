@@ -27,6 +27,13 @@ def _names(spark, rows):
     return spark.createDataFrame(rows, "novel long, id long, entity_type string, surface string, is_name boolean")
 
 
+def test_partial_matches_of_copies(spark):
+    refs = spark.createDataFrame([(0, i, "Ann") for i in range(N)] + [(0, N, "bob lee")], "novel long, ref_id long, name string")
+    known = _names(spark, [(0, i, "object", f"ann {i}", True) for i in range(N)] + [(0, 999, "object", "bob", True)])
+    rows, most = most_rows(entity.resolve_partial(refs, known, ["novel"]))
+    assert [(r.ref_id, r.id) for r in rows] == [(N, 999)] and most < 10 * N
+
+
 def test_links_of_copies(spark):
     updates = spark.createDataFrame([(0, i, " Red fox ran") for i in range(N)] + [(0, N, "a\tb"), (0, N + 1, "\t"), (0, N + 2, None)], "chapter long, update_id long, event_text string")
     events = spark.createDataFrame([(0, i, i, "fox") for i in range(5, N)] + [(0, 900, 900, "red FOX ran"), (0, 901, 901, "x a\tb c")], "chapter long, event_id long, seq long, description string")
