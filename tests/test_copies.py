@@ -82,3 +82,10 @@ def test_duplicate_classes_hold_all_pairs(spark):
     rows, most = most_rows(entity.duplicate_classes(copies, ["novel"]))
     assert {(r.id_a, r.id_b) for r in rows} == {(0, i) for i in range(1, N)} and most < 10 * N
     assert "surface_a" in names.duplicate_pairs(spark, "/root/testdata/sf0.001").columns
+
+
+def test_unambiguous_matches_of_copies(spark):
+    known = _names(spark, [(0, i, "object", "silver harbour", True) for i in range(N)] + [(0, 999, "object", "golden mountain", True)])
+    said = spark.createDataFrame([(0, f"silver harbour{c}") for c in "abcdefghijklmnop"] + [(0, "golden mountains")], "novel long, name string")
+    rows, most = most_rows(entity.match_unambiguous(said, known, ["novel"]))
+    assert [(r.surface, r.id) for r in rows] == [("golden mountains", 999)] and most < 4000
