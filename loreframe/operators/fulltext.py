@@ -40,8 +40,12 @@ def _placed(found: Column, weight: float, before: Column) -> Column:
     return F.transform(found, lambda t, i: F.struct(t.alias("term"), F.lit(weight).alias("weight"), (i + before + 1).cast("int").alias("place")))
 
 
-def positions(items: DataFrame, fields: dict[str, str], keys: list[str]) -> DataFrame:
-    """(keys, term, weight, places): the places of each term, rising. fields: column -> weight class, in order."""
+def positions(items: DataFrame, fields: dict[str, str], keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, term, weight, places): the places of each term, rising. fields: column -> weight class, in order.
+
+    wanted (novel, term, last): only these terms in items of the novel up to the chapter ``last``, for a search that comes once.
+    It is a stated set of queries' terms, and is sent to the tasks, so that other places are never dealt.
+    """
     own = [f"_w{k}" for k in range(len(fields))]
     rows = items.select(*keys, *[words(c).alias(w) for c, w in zip(fields, own, strict=True)])
     parts, before = [], F.lit(0)
@@ -49,6 +53,8 @@ def positions(items: DataFrame, fields: dict[str, str], keys: list[str]) -> Data
         parts.append(_placed(F.col(w), WEIGHTS[kind], before))
         before = before + F.size(w)
     each = rows.select(*keys, F.explode(F.concat(*parts)).alias("p")).select(*keys, "p.*").where(~F.col("term").isin(*X.STOPWORDS))
+    if wanted is not None:
+        each = each.join(F.broadcast(wanted), ["novel", "term"]).where("chapter <= last").select(*keys, "term", "weight", "place")
     return each.groupBy(*keys, "term", "weight").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
