@@ -96,10 +96,15 @@ def visible_by_reference(entities: DataFrame, references: DataFrame, cutoffs: Da
 
 
 def unsuperseded(rows: DataFrame, cutoffs: DataFrame, row_id: str, successor: str, start: Column) -> DataFrame:
-    """Rows at cutoffs whose successor hasn't started: an anti join on the id with the cutoff as residual."""
-    met = rows.crossJoin(F.broadcast(cutoffs))
-    newer = rows.select(F.col(row_id).alias("_newer"), start.alias("_start"))
-    return met.join(newer, (F.col(successor) == F.col("_newer")) & (F.col("_start") <= F.col("cutoff")), "left_anti")
+    """Rows at cutoffs whose successor hasn't started.
+
+    A row learns once when its successor starts, before it meets the cutoffs. Rows without a successor, which are most, are dealt by
+    their own id: by the null key they would all come into one task. The other side is as long as the table, so it isn't broadcast.
+    """
+    newer = rows.select(F.col(row_id).alias("_newer"), start.alias("_start")).groupBy("_newer").agg(F.min("_start").alias("_start")).withColumn("_dealt", F.xxhash64("_newer"))
+    dealt = F.xxhash64(F.coalesce(successor, row_id))
+    met = rows.withColumn("_own", dealt).join(newer.hint("merge"), (F.col(successor) == F.col("_newer")) & (F.col("_own") == F.col("_dealt")), "left").drop("_own", "_newer", "_dealt")
+    return met.crossJoin(F.broadcast(cutoffs)).where(F.col("_start").isNull() | (F.col("_start") > F.col("cutoff"))).drop("_start")
 
 
 def topk(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
