@@ -51,7 +51,8 @@ def relationship_graph_nodes(spark, sf):
 
 
 def events(spark, sf):
-    return bind.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"), F.array_sort(F.collect_set(F.col("l_partkey") + 1_000_000_000)).alias("parts"))
+    lines = bind.dealt(bind.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), "l_suppkey", "l_partkey"), "event")
+    return lines.groupBy("event").agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"), F.array_sort(F.collect_set(F.col("l_partkey") + 1_000_000_000)).alias("parts"))
 
 
 _PAIRS = "p as (select distinct l_orderkey as event, l_suppkey as s from lineitem), co as (select x.event, x.s as a, y.s as b from p x join p y on x.event = y.event and x.s < y.s)"
