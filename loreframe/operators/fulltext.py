@@ -2,7 +2,7 @@
 
 An index has one row for each item, term and field weight, with the places of the term; stop words take a place but have
 no row, and the places of a later field follow those of the field before. It is written once, by buckets of the
-term, and a search reads the buckets of its terms only.
+term, and a search reads the buckets of its terms only. An item's words are grouped in its row and never dealt.
 
 Queries are in web-search form: words, ``"a phrase"``, ``or``, and ``-`` before what must not occur. ``or`` binds less than
 what stands next to each other. A query without a negation is relaxed: each of its words and phrases may match alone.
@@ -24,16 +24,9 @@ from pyspark.sql import functions as F
 
 from loreframe.functions import text as X
 from loreframe.operators.asof import topk
-from loreframe.operators.retrieval import WEIGHTS, rrf
+from loreframe.operators.retrieval import WEIGHTS, placed, rrf, words
 
 BUCKETS = 32
-_WORD = r"([\p{L}\p{N}_]+)"
-
-
-def words(text: str | Column) -> Column:
-    """All lower-case words, stop words too."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(1))
 
 
 def _placed(found: Column, weight: float, before: Column) -> Column:
@@ -41,11 +34,13 @@ def _placed(found: Column, weight: float, before: Column) -> Column:
 
 
 def positions(items: DataFrame, fields: dict[str, str], keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """(keys, term, weight, places): the places of each term, rising. fields: column -> weight class, in order.
+    """(keys, term, weight, places): the places of each term, rising; an item is one row. fields: column -> weight class, in order.
 
     wanted (novel, term, last): only these terms in items of the novel up to the chapter ``last``, for a search that comes once.
     It is a stated set of queries' terms, and is sent to the tasks, so that other places are never dealt.
     """
+    if wanted is None:
+        return placed(items, fields, keys)
     own = [f"_w{k}" for k in range(len(fields))]
     rows = items.select(*keys, *[words(c).alias(w) for c, w in zip(fields, own, strict=True)])
     parts, before = [], F.lit(0)
@@ -53,8 +48,7 @@ def positions(items: DataFrame, fields: dict[str, str], keys: list[str], wanted:
         parts.append(_placed(F.col(w), WEIGHTS[kind], before))
         before = before + F.size(w)
     each = rows.select(*keys, F.explode(F.concat(*parts)).alias("p")).select(*keys, "p.*").where(~F.col("term").isin(*X.STOPWORDS))
-    if wanted is not None:
-        each = each.join(F.broadcast(wanted), ["novel", "term"]).where("chapter <= last").select(*keys, "term", "weight", "place")
+    each = each.join(F.broadcast(wanted), ["novel", "term"]).where("chapter <= last").select(*keys, "term", "weight", "place")
     return each.groupBy(*keys, "term", "weight").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
@@ -63,9 +57,10 @@ def _bucket(term: str, buckets: int) -> Column:
 
 
 def write_index(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """One folder by bucket of the term, in as many files as its size asks for (a common term doesn't make one task), sorted by term."""
+    """One folder by bucket of the term. Each task sorts the terms of its items and adds a file to each bucket: the index isn't dealt,
+    so that a common term is in as many files as there are tasks."""
     rows = index.withColumn("term_bucket", _bucket("term", buckets))
-    rows.repartitionByRange("term_bucket", "term", "novel", "item").sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(path)
+    rows.sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
