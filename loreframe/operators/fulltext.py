@@ -118,19 +118,22 @@ def matched(queries: DataFrame, parsed: DataFrame, index: DataFrame, scope: list
     index: scope, keys, chapter, term, weight, places.
     """
     asked = queries.select("query_id", *scope, "max_chapter").join(parsed, "query_id")
-    hits = index.join(asked, [*scope, "term"]).where("chapter <= max_chapter")
     plain = parsed.groupBy("query_id").agg((F.min("relaxed") & (F.max("width") == 1)).alias("_plain"))
     group = ["query_id", *keys]
+    # dealt once, by query and item with places in lists: all that follows is grouped and joined by at least these
+    hits = index.join(asked, [*scope, "term"]).where("chapter <= max_chapter").select(*group, "term", "weight", "clause", "operand", "negated", "offset", "width", "places").repartition(*group)
     # relaxed words: every place is a cover
-    words_ = hits.join(plain.where("_plain"), "query_id").select(*group, "term", "weight", F.size("places").alias("tf")).distinct()
+    words_ = hits.join(F.broadcast(plain.where("_plain")), "query_id").select(*group, "term", "weight", F.size("places").alias("tf")).distinct()
     words_ = words_.groupBy(*group).agg(F.sum(F.col("weight") * F.col("tf")).alias("raw"))
-    rest = hits.join(plain.where("not _plain"), "query_id")
+    rest = hits.join(F.broadcast(plain.where("not _plain")), "query_id")
     each = rest.select(*group, "clause", "operand", "negated", "offset", "width", "weight", F.explode("places").alias("place"))
     found = each.groupBy(*group, "clause", "operand", "negated", "width", (F.col("place") - F.col("offset")).alias("begin")).agg(F.count_distinct("offset").alias("_hit"), F.max("place").alias("end")).where("_hit = width")
     needs = parsed.where("not negated").groupBy("query_id", "clause").agg(F.count_distinct("operand").cast("int").alias("needs"))
-    clauses = found.groupBy(*group, "clause").agg(F.count_distinct(F.when(~F.col("negated"), F.col("operand"))).alias("_have"), F.max("negated").alias("_bad"))
-    alive = clauses.join(needs, ["query_id", "clause"]).where("_have = needs and not _bad").select(*group, "clause", "needs")
-    occurrences = found.where("not negated").join(alive, [*group, "clause"]).groupBy(*group).agg(F.collect_list(F.struct("end", "begin", "clause", "operand", "needs")).alias("_occ"))
+    own = F.collect_list(F.when(~F.col("negated"), F.struct("end", "begin", "clause", "operand")))
+    clauses = found.groupBy(*group, "clause").agg(F.size(F.collect_set(F.when(~F.col("negated"), F.col("operand")))).alias("_have"), F.max("negated").alias("_bad"), own.alias("_own"))
+    alive = clauses.join(F.broadcast(needs), ["query_id", "clause"]).where("_have = needs and not _bad")
+    told = F.transform("_own", lambda o: F.struct(o["end"].alias("end"), o["begin"].alias("begin"), o["clause"].alias("clause"), o["operand"].alias("operand"), F.col("needs")))
+    occurrences = alive.select(*group, told.alias("_o")).groupBy(*group).agg(F.flatten(F.collect_list("_o")).alias("_occ"))
     # the places of one query's terms in one item
     places = each.groupBy(*group).agg(F.collect_set(F.struct("place", "weight")).alias("_places"))
     rows = occurrences.join(places, group)
