@@ -2,7 +2,7 @@
 
 A payload is one JSON object a pass and chapter. It is taken apart into records (the object itself, and the elements of its lists
 of records), each with its keys and their types as they stand in the JSON; rules are a small table that these meet on
-(pass, list, key). So all passes are checked in one scan, and a payload that from_json would read by
+(pass, list), and a record's are told in its row: a payload is parsed once. So all passes are checked in one scan, and a payload that from_json would read by
 bending it (a number for a text, a key too many) is told by path and rule.
 """
 
@@ -118,50 +118,55 @@ def violations(rows: DataFrame, row_id: str = "row_id", pass_col: str = "pass",
     blank). A payload or element that is no object has that one violation. An unknown pass has rule ``pass``.
     """
     spark = rows.sparkSession
-    rules = F.broadcast(spark.createDataFrame(rule_rows(passes), "pass string, list string, key string, type string, null boolean, values array<string>, least int, required boolean"))
-    known = [(p, g, sorted(f), sorted(n for n, k in f.items() if k.required), {k: list(v) for k, v in needs.items()}) for p, g, f, needs in _groups(passes)]
-    groups = F.broadcast(spark.createDataFrame(known, "pass string, list string, declared array<string>, required array<string>, needs map<string,array<string>>"))
-    whole = rows.select(F.col(row_id).alias("row_id"), F.col(pass_col).alias("pass"), F.try_parse_json(F.col(payload)).alias("v"))
+    lists = F.broadcast(spark.createDataFrame([(p, [n for n, k in f.items() if k.type == "records"]) for p, f in passes.items()], "pass string, lists array<string>"))
+    kinds = lambda f: {n: (k.type, k.null, list(k.values), k.least) for n, k in f.items()}
+    known = [(p, g, sorted(f), sorted(n for n, k in f.items() if k.required), {k: list(v) for k, v in needs.items()}, kinds(f)) for p, g, f, needs in _groups(passes)]
+    groups = F.broadcast(spark.createDataFrame(known, "pass string, list string, declared array<string>, required array<string>, needs map<string,array<string>>, kinds map<string,struct<type:string,null:boolean,values:array<string>,least:int>>"))
     is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
-    told = lambda df, path, rule: df.select("row_id", F.expr(path).alias("path"), F.lit(rule).alias("rule") if isinstance(rule, str) else rule.alias("rule"))
-    out = [told(whole.where(~F.coalesce(F.col("pass").isin(*passes), F.lit(False))), "''", "pass")]
-    whole = whole.where(F.col("pass").isin(*passes))
-    out.append(told(whole.where(~is_object("v")), "''", "object"))
-    top = whole.where(is_object("v")).select("row_id", "pass", F.lit("").alias("list"), F.lit("").alias("path"), F.col("v").cast("map<string,variant>").alias("m"))
-    lists = rules.where("type = 'records'").select("pass", F.col("key").alias("list"))
-    held = top.select("row_id", "pass", F.explode("m").alias("list", "v")).join(lists, ["pass", "list"]).where(F.schema_of_variant("v").startswith("ARRAY"))
-    elements = held.select("row_id", "pass", "list", F.posexplode(F.col("v").cast("array<variant>")).alias("i", "v")).withColumn("path", F.concat_ws(".", "list", F.col("i").cast("string")))
-    out.append(told(elements.where(~is_object("v")), "path", "object"))
-    each = top.unionByName(elements.where(is_object("v")).select("row_id", "pass", "list", "path", F.col("v").cast("map<string,variant>").alias("m"))).join(groups, ["pass", "list"])
-    under = "concat_ws('.', nullif(path, ''), key)"
-    keys = F.map_keys("m")
-    out.append(told(each.withColumn("key", F.explode(F.array_except("required", keys))), under, "missing"))
-    out.append(told(each.withColumn("key", F.explode(F.array_except(keys, "declared"))), under, "extra"))
+    told = lambda path, rule: F.struct(path.alias("path"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    whole = rows.select(F.col(row_id).alias("row_id"), F.col(pass_col).alias("pass"), F.try_parse_json(F.col(payload)).alias("v")).join(lists, "pass", "left")
+    # the object itself and the elements of its lists, each a row of one pass over the payloads
+    record = lambda of, path, v: F.struct(of.alias("list"), path.alias("path"), v.alias("v"))
+    held = F.filter(F.map_entries(F.col("v").cast("map<string,variant>")), lambda e: F.array_contains("lists", e["key"]) & F.schema_of_variant(e["value"]).startswith("ARRAY"))
+    elements = F.flatten(F.transform(held, lambda e: F.transform(e["value"].cast("array<variant>"), lambda x, i: record(e["key"], F.concat_ws(".", e["key"], i.cast("string")), x))))
+    top = F.array(record(F.lit(""), F.lit(""), F.col("v")))
+    each = whole.select("row_id", "pass", F.explode(F.when(F.col("lists").isNotNull() & is_object("v"), F.concat(top, elements)).otherwise(top)).alias("r")).select("row_id", "pass", "r.*")
+    each = each.join(groups, ["pass", "list"], "left").withColumn("m", F.when(is_object("v"), F.col("v").cast("map<string,variant>")))
+    under = lambda *parts: F.concat_ws(".", F.nullif("path", F.lit("")), *parts)
     as_text = lambda v: F.trim(F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit("")))
     wanted = F.element_at("needs", as_text(F.try_element_at("m", F.lit("kind"))))
-    out.append(told(each.where(F.size("needs") > 0).where(F.exists(wanted, lambda n: as_text(F.try_element_at("m", n)) == "")), "path", "kind"))
-    values = each.select("row_id", "pass", "list", "path", F.explode("m").alias("key", "v")).join(rules, ["pass", "list", "key"]).withColumn("t", F.schema_of_variant("v"))
-    text = F.try_variant_get("v", "$", "string")
-    whole_number = (F.col("t") == "BIGINT") | F.col("t").rlike(r"^DECIMAL\(\d+,0\)$")
-    number = whole_number | F.col("t").rlike("^(DECIMAL|DOUBLE|FLOAT)")
-    amount = F.try_variant_get("v", "$", "double")
-    fits = (
-        F.when(F.col("type").isin("text", "string", "one_of"), F.col("t") == "STRING").when(F.col("type") == "whole", whole_number).when(F.col("type") == "share", number)
-        .when(F.col("type") == "flag", F.col("t") == "BOOLEAN").otherwise(F.col("t").startswith("ARRAY"))
-    )
-    rule = (
-        F.when((F.col("t") == "VOID") & F.col("null"), None).when(~fits, "type").when((F.col("type") == "text") & (F.trim(text) == ""), "blank")
-        .when((F.col("type") == "one_of") & ~F.array_contains("values", text), "enum").when((F.col("type") == "whole") & (amount < F.col("least")), "range")
-        .when((F.col("type") == "share") & ((amount < 0) | (amount > 1)), "range")
+    lacks = (F.size("needs") > 0) & F.exists(wanted, lambda n: as_text(F.try_element_at("m", n)) == "")
+    values = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"), F.schema_of_variant(e["value"]).alias("t"), F.try_element_at("kinds", e["key"]).alias("k")))
+
+    def broken(e):
+        kind, t, text, amount = e["k"]["type"], e["t"], F.try_variant_get(e["v"], "$", "string"), F.try_variant_get(e["v"], "$", "double")
+        whole_number = (t == "BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$")
+        number = whole_number | t.rlike("^(DECIMAL|DOUBLE|FLOAT)")
+        fits = (
+            F.when(kind.isin("text", "string", "one_of"), t == "STRING").when(kind == "whole", whole_number).when(kind == "share", number)
+            .when(kind == "flag", t == "BOOLEAN").otherwise(t.startswith("ARRAY"))
+        )
+        return (
+            F.when((t == "VOID") & e["k"]["null"], None).when(~fits, "type").when((kind == "text") & (F.trim(text) == ""), "blank")
+            .when((kind == "one_of") & ~F.array_contains(e["k"]["values"], text), "enum").when((kind == "whole") & (amount < e["k"]["least"]), "range")
+            .when((kind == "share") & ((amount < 0) | (amount > 1)), "range")
+        )
+
+    def names(e):
+        rule = lambda x: F.when(F.schema_of_variant(x) != "STRING", "type").when(F.trim(F.try_variant_get(x, "$", "string")) == "", "blank")
+        listed = F.when((e["k"]["type"] == "names") & e["t"].startswith("ARRAY"), e["v"].cast("array<variant>"))
+        return F.coalesce(F.transform(listed, lambda x, i: told(under(e["key"], i.cast("string")), rule(x))), none)
+
+    keys = F.map_keys("m")
+    rules = F.concat(
+        F.transform(F.array_except("required", keys), lambda k: told(under(k), "missing")),
+        F.transform(F.array_except(keys, "declared"), lambda k: told(under(k), "extra")),
+        F.when(lacks, F.array(told(F.col("path"), "kind"))).otherwise(none),
+        F.flatten(F.transform(F.filter(values, lambda e: e["k"].isNotNull()), lambda e: F.concat(F.array(told(under(e["key"]), broken(e))), names(e)))),
     )
-    out.append(told(values.withColumn("_rule", rule).where("_rule is not null"), under, F.col("_rule")))
-    names = values.where("type = 'names'").where(F.col("t").startswith("ARRAY")).select("row_id", "path", "key", F.posexplode(F.col("v").cast("array<variant>")).alias("i", "v"))
-    rule = F.when(F.schema_of_variant("v") != "STRING", "type").when(F.trim(text) == "", "blank")
-    out.append(told(names.withColumn("_rule", rule).where("_rule is not null"), "concat_ws('.', nullif(path, ''), key, cast(i as string))", F.col("_rule")))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+    found = F.when(F.col("kinds").isNull(), F.array(told(F.lit(""), "pass"))).when(F.col("m").isNull(), F.array(told(F.col("path"), "object"))).otherwise(rules)
+    return each.select("row_id", F.explode(found).alias("b")).where("b.rule is not null").select("row_id", "b.path", "b.rule")
 
 
 def compose(rows: DataFrame, keys: list[str], pass_col: str = "pass", payload: str = "payload", passes: dict[str, dict[str, Kind]] = PASSES) -> DataFrame:
