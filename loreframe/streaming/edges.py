@@ -1,6 +1,7 @@
 """Location and possession intervals from a stream of changes.
 
-State is kept by entity: the open location interval, and for each object it holds the gain that began the interval. One pass
+State is kept by entity: the open location interval, and for each object it holds the gain that began the interval. It is read and
+written once a trigger; entities have few rows each, so these come as rows, not as a frame an entity. One pass
 over a trigger's rows, in order, closes intervals of both kinds. A change older than the entity's last one is put out as late:
 its entity is refolded in batch from that chapter on (``late_points`` and ``operators.refold``).
 """
@@ -9,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,39 +19,35 @@ BOTH = "kind string, novel long, entity long, object long, id long, location str
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_out = Row(*[x.split()[0] for x in BOTH.split(", ")])
+
+
 class Intervals(StatefulProcessor):
     """Closed intervals of both kinds (location, possession), and late changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "id long, location string, since int, chapter int, ordinal long")
-        self._held = handle.getMapState("held", "object long", "id long, since int")
+        self._state = handle.getValueState("state", "id long, location string, since int, chapter int, ordinal long, held array<struct<object:long,id:long,since:int>>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = self._open.get() if self._open.exists() else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["chapter", "ordinal"]).itertuples():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # one read and one write of the entity's state a trigger
+        before = self._state.get()
+        own, held = (tuple(before[:5]), {x[0]: (x[1], x[2]) for x in before[5]}) if before is not None else (None, {})
+        for row in sorted(rows, key=lambda r: (r.chapter, r.ordinal)):
             if own is not None and (row.chapter, row.ordinal) < (own[3], own[4]):
-                out.append(("late", *key, None, row.ordinal, row.location, row.chapter, None))
+                yield _out("late", *key, None, row.ordinal, row.location, row.chapter, None)
                 continue
             if own is None or own[1] != row.location:
                 if own is not None:
-                    out.append(("location", *key, None, own[0], own[1], own[2], max(row.chapter - 1, own[2])))
-                own = (int(row.ordinal), row.location, int(row.chapter), int(row.chapter), int(row.ordinal))
+                    yield _out("location", *key, None, own[0], own[1], own[2], max(row.chapter - 1, own[2]))
+                own = (row.ordinal, row.location, row.chapter, row.chapter, row.ordinal)
             else:
-                own = (*own[:3], int(row.chapter), int(row.ordinal))
-            if row.change in ("gain", "loss") and not pd.isna(row.object):
-                what = (int(row.object),)
-                held = self._held.containsKey(what)
-                if row.change == "gain" and not held:
-                    self._held.updateValue(what, (int(row.ordinal), int(row.chapter)))
-                elif row.change == "loss" and held:
-                    id_, since = self._held.getValue(what)
-                    out.append(("possession", *key, what[0], id_, None, since, int(row.chapter)))
-                    self._held.removeKey(what)
-        if own is not None:
-            self._open.update(tuple(own))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in BOTH.split(", ")])
-        yield frame.astype({"until": "Int32", "object": "Int64"})
+                own = (*own[:3], row.chapter, row.ordinal)
+            if row.change == "gain" and row.object is not None:
+                held.setdefault(row.object, (row.ordinal, row.chapter))
+            elif row.change == "loss" and row.object in held:
+                id_, since = held.pop(row.object)
+                yield _out("possession", *key, row.object, id_, None, since, row.chapter)
+        self._state.update((*own, [(o, *x) for o, x in held.items()]))
 
     def close(self) -> None:
         pass
@@ -62,7 +58,7 @@ def stream_edges(deltas: DataFrame) -> DataFrame:
 
     The session's state store must be RocksDB (``ROCKS``).
     """
-    return deltas.groupBy("novel", "entity").transformWithStateInPandas(Intervals(), BOTH, "append", "none")
+    return deltas.groupBy("novel", "entity").transformWithState(Intervals(), BOTH, "append", "none")
 
 
 def stream_location_edges(deltas: DataFrame) -> DataFrame:
