@@ -218,17 +218,20 @@ def match_payoffs(payoffs: DataFrame, commitments: DataFrame, keys: list[str], l
     text). commitments: keys, commitment_id, foreshadow. The score is the sequence ratio of matches and foreshadow, or
     ``second`` times that of payoff and foreshadow, whichever is higher; it must reach ``least``. A ratio bounds the
     quotient of the lengths, so that payoffs meet only commitments of a fitting length (by powers of two). The greedy
-    step gets the pairs of one value of keys that reach ``least``: keys should name a chapter window, never a whole table.
+    step takes one value of keys at a time, but at most the square of its commitments: a payoff that a commitment fits takes
+    that one or another, so of n commitments each is gone with the n-th payoff that it fits.
     """
     reach = int(np.ceil(np.log2(2 / least - 1)))
     level = lambda c: F.floor(F.log2(F.greatest(F.length(c), F.lit(1)))).cast("int")
-    c = commitments.select(*keys, "commitment_id", F.lower("foreshadow").alias("_f")).where("_f <> ''").withColumn("_at", level("_f"))
-    p = payoffs.select(*keys, "payoff_id", "payoff_seq", F.lower(F.coalesce("matches", F.lit(""))).alias("_m"), F.lower(F.coalesce("payoff", F.lit(""))).alias("_p"))
-    each = [p.where(F.col(x) != "").select(*keys, "payoff_id", "payoff_seq", F.col(x).alias("_x"), F.lit(w).alias("_w"), F.explode(F.sequence(level(x) - reach, level(x) + reach)).alias("_at")) for x, w in (("_m", 1.0), ("_p", second)) if w >= least]
-    met = each[0].unionByName(each[1]) if len(each) > 1 else each[0]
-    met = met.join(c, [*keys, "_at"]).where(2 * F.col("_w") * F.least(F.length("_x"), F.length("_f")) >= F.lit(least - 1e-9) * (F.length("_x") + F.length("_f")))
-    scored = met.withColumn("score", F.col("_w") * sequence_ratio("_x", "_f", least)).where(F.col("score") >= least)
+    c = commitments.select(*keys, "commitment_id", F.lower("foreshadow").alias("_f")).where("_f <> ''")
+    at = c.select("*", F.explode(F.sequence(level("_f") - reach, level("_f") + reach)).alias("_at"))
+    said = [F.struct(F.lower(x).alias("x"), F.lit(w).alias("w")) for x, w in (("matches", 1.0), ("payoff", second)) if w >= least]
+    p = payoffs.where("payoff_seq is not null").select(*keys, "payoff_id", "payoff_seq", F.explode(F.array(*said)).alias("_s")).select(*keys, "payoff_id", "payoff_seq", F.col("_s.x").alias("_x"), F.col("_s.w").alias("_w"))
+    met = p.where("_x <> ''").withColumn("_at", level("_x")).join(at, [*keys, "_at"]).where(2 * F.col("_w") * F.least(F.length("_x"), F.length("_f")) >= F.lit(least - 1e-9) * (F.length("_x") + F.length("_f")))
+    scored = met.withColumn("score", F.col("_w") * sequence_ratio("_x", "_f", F.lit(least) / F.col("_w"))).where(F.col("score") >= least)
     scored = scored.groupBy(*keys, "payoff_id", "payoff_seq", "commitment_id").agg(F.max("score").alias("score"))
+    place = F.dense_rank().over(W.partitionBy(*keys, "commitment_id").orderBy("payoff_seq"))
+    scored = scored.withColumn("_place", place).join(c.groupBy(*keys).agg(F.count_distinct("commitment_id").alias("_n")), keys).where("_place <= _n").drop("_place", "_n")
     schema = ", ".join([*(f"{k} {t}" for k, t in payoffs.select(*keys).dtypes), "payoff_id long", "commitment_id long", "score double"])
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
