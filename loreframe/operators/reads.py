@@ -63,14 +63,18 @@ def merge_story_edges(edges: DataFrame, keys: list[str], order: list[str]) -> Da
     """One edge for each unordered pair from (a, b, source, label): the strongest source and its labels.
 
     Sources rank dynamic, event, possession, location. The label is the single description, or how many there
-    are. Counts are aggregated by label before the labels of a pair meet.
+    are. Edges are counted by label and source, with numbers alone as what is kept of them (so by hash, not by sort),
+    before the labels of a pair meet.
     """
-    rank = F.when(F.col("source") == "dynamic", 0).when(F.col("source") == "event", 1).when(F.col("source") == "possession", 2).otherwise(3)
-    pairs = edges.select(*keys, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), rank.alias("_rank"), "source", "label", *order)
-    labels = pairs.groupBy(*keys, "x", "y", "label").agg(F.min(F.struct("_rank", *order)).alias("_at"), F.min(F.struct("_rank", "source")).alias("_s"))
-    out = labels.groupBy(*keys, "x", "y").agg(F.min("_s").alias("_s"), F.array_sort(F.collect_list(F.struct("_at", "label"))).alias("_l"))
-    names = F.transform("_l", lambda x: x["label"])
-    return out.select(*keys, F.col("x").alias("a"), F.col("y").alias("b"), F.col("_s.source").alias("source"), F.when(F.size("_l") == 1, names[0]).otherwise(F.concat(F.size("_l").cast("string"), F.lit(" kinds"))).alias("label"), F.array_join(names, "\n").alias("tooltip"))
+    rank = lambda source: F.when(source == "dynamic", 0).when(source == "event", 1).when(source == "possession", 2).otherwise(3)
+    pairs = edges.select(*keys, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "source", "label", *order)
+    # a missing place comes first
+    first = F.when(F.count("*") == F.count(order[0]), F.min(order[0])) if len(order) == 1 else F.min(F.struct(*order))
+    labels = pairs.groupBy(*keys, "x", "y", "label", "source").agg(first.alias("_at"))
+    out = labels.groupBy(*keys, "x", "y").agg(F.array_sort(F.collect_list(F.struct(rank(F.col("source")).alias("rank"), "_at", "label", "source"))).alias("_l"))
+    # a label stands where it comes first
+    out = out.select(*keys, F.col("x").alias("a"), F.col("y").alias("b"), F.array_min(F.transform("_l", lambda x: F.struct(x["rank"], x["source"].alias("source"))))["source"].alias("source"), F.array_distinct(F.transform("_l", lambda x: x["label"])).alias("_n"))
+    return out.select(*keys, "a", "b", "source", F.when(F.size("_n") == 1, F.col("_n")[0]).otherwise(F.concat(F.size("_n").cast("string"), F.lit(" kinds"))).alias("label"), F.array_join("_n", "\n").alias("tooltip"))
 
 
 def resolve_array_names(rows: DataFrame, row_id: str, ids: str, names: DataFrame) -> DataFrame:
